@@ -7,9 +7,9 @@ probability 1e-4. Bands that nobody else has drop out before keys are formed.
 
 Equal shingle sets are one class (128-bit set hash) behind its smallest doc_id. Links are confirmed
 on full sets of 64-bit shingle hashes, in rounds that leave out what is connected already:
-each class against the best of its buckets' smallest members; then against each bucket's best-linked
-member; then every pair of one bucket that is still in different components. So no link between
-components is left untested, and large groups of copies need about one test per class. Components
+each class against the best of its buckets' smallest members; then against the best-linked member
+of its buckets; then every pair that meets in a table and is still in different components, tested
+in blocks inside tasks. So no link between components is left untested, and no pairs are gathered. Components
 come from distributed star contraction.
 
 Rows of one doc_id count as one document (all its sets are reachable from each other). A null doc_id
@@ -28,6 +28,8 @@ from continuo.llm.graph import components
 from continuo.llm.hashing import Words, mix, set_hashes
 
 SHINGLE, SIDE, ROWS, PERCENT = 5, 12, 2, 75
+#: Classes on one side of a block of pairs.
+BLOCK = 400
 #: Ids that are broadcast at most; beyond it, joins shuffle.
 BROADCAST_IDS = 1_000_000
 _SEED = 20_240_501
@@ -107,6 +109,44 @@ def _confirm(percent: int):
     return run
 
 
+def _close(side: int, percent: int):
+    def run(key, rows):
+        import pandas as pd
+
+        bands = np.stack(rows["bands"].to_numpy())
+        left, right, i = bands[:, :side], bands[:, side:], int(rows["i"].iloc[0])
+        part, root, n, ids = rows["part"].to_numpy(), rows["root"].to_numpy(), rows["n"].to_numpy(), rows["class"].to_numpy()
+        flat, at = np.unique(np.concatenate([np.frombuffer(s, dtype=np.uint64) for s in rows["shingles"]]), return_inverse=True)
+        begin = np.concatenate([[0], np.cumsum(n)])
+        marked, parent, out = np.zeros(len(flat), dtype=np.int32), {}, []
+
+        def top(x):
+            while x in parent:
+                x = parent[x]
+            return x
+
+        for y in range(len(n)):
+            if key[1] != key[2] and part[y] != key[1]:
+                continue
+            equal = left == left[y]
+            meets = equal[:, i] & (equal.argmax(axis=1) == i) & (root != root[y]) & (100 * np.minimum(n, n[y]) >= percent * np.maximum(n, n[y]))
+            meets &= (part == key[2]) if key[1] != key[2] else (np.arange(len(n)) > y)
+            meets &= (right == right[y]).any(axis=1)
+            if not meets.any():
+                continue
+            marked[at[begin[y] : begin[y + 1]]] = 1
+            common = np.add.reduceat(marked[at], begin[:-1])
+            marked[at[begin[y] : begin[y + 1]]] = 0
+            for z in np.flatnonzero(meets & (100 * common >= percent * (n + n[y] - common))):
+                a, b = top(root[y]), top(root[z])
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    out.append((ids[y], ids[z]))
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    return run
+
+
 class NearDuplicates:
     """The run over one table; ``links`` are confirmed pairs of class representatives."""
 
@@ -164,34 +204,41 @@ class NearDuplicates:
         met = met.groupBy(F.col("class").alias("u"), F.col("head.class").alias("v"), F.col("head.rep").alias("first")).agg(F.count("*").alias("times"))
         tested = materialize(met.groupBy("u").agg(F.max(F.struct("times", -F.col("first"), "v")).alias("best")).select("u", F.col("best.v").alias("v")), "tested")
         links = self.confirm(tested)
-        # second: the best-linked member of each bucket that still spans components
-        spread, degrees = self.spanning(rows, links)
+        # second: the best-linked member of those that lead buckets which still span components
+        spread = self.spanning(rows, links)
         hub = spread.groupBy("key").agg(F.max(F.struct("degree", -F.col("rep"), "class", "n", "root")).alias("hub"))
         met = spread.join(hub, "key").where((F.col("root") != F.col("hub.root")) & self.fits("n", "hub.n"))
-        fresh = materialize(self.untested(met.select(F.col("class").alias("u"), F.col("hub.class").alias("v")), tested), "tested")
+        met = met.groupBy("class").agg(F.max(F.struct("hub.degree", -F.col("hub.rep"), F.col("hub.class").alias("v"))).alias("best"))
+        fresh = materialize(self.untested(met.select(F.col("class").alias("u"), F.col("best.v").alias("v")), tested), "tested")
         links = links.unionByName(self.confirm(fresh))
-        tested = tested.unionByName(fresh)
-        # third: every pair that still meets across components, in the first table where it meets
-        spread, _ = self.spanning(rows, links)
-        spread = materialize(spread.join(self.classes.select("class", "bands"), "class"), "spanning")
-        a, b = spread.alias("a"), spread.alias("b")
-        meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.class") < F.col("b.class")) & (F.col("a.root") != F.col("b.root")) & self.fits("a.n", "b.n")
-        meet &= (self._first_equal(1) == F.col("a.i") + 1) & (self._first_equal(self.side + 1) == F.col("a.j") + 1)
-        last = self.untested(a.join(b, meet).select(F.col("a.class").alias("u"), F.col("b.class").alias("v")), tested)
-        links = links.unionByName(self.confirm(materialize(last, "tested")))
-        return self.label(links)
-
-    def _first_equal(self, at: int):
-        left, right = F.slice("a.bands", at, self.side), F.slice("b.bands", at, self.side)
-        return F.array_position(F.zip_with(left, right, lambda x, y: x == y), F.lit(True))
-
-    def spanning(self, rows: DataFrame, links: DataFrame):
+        # third: every pair that still meets across components, in blocks
+        return self.label(links.unionByName(self.close(self.spanning(rows, links))))
+
+    def close(self, spread: DataFrame) -> DataFrame:
+        """Links that join components: all pairs that share a band on both sides, by common left band, in blocks.
+
+        A block's pairs are tested inside one task on at most two parts of ``BLOCK`` sets; only links
+        that join what the block has not joined yet come out.
+        """
+        members = materialize(spread.select("class", "root").distinct(), "open-classes")
+        members = members.join(self.classes.select("class", "n", "bands"), "class")
+        left = members.select("class", "root", "n", "bands", F.posexplode(F.slice("bands", 1, self.side)).alias("i", "band"))
+        left = materialize(left.withColumn("key", F.xxhash64("i", "band")), "open-bands")
+        # a lone component behind a band has nothing to join
+        sizes = left.groupBy("key").agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("parts"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+        dealt = left.join(sizes.select("key", "parts"), "key").withColumn("part", F.pmod(F.xxhash64("class", "i"), F.col("parts")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = dealt.select("class", "root", "n", "bands", "i", "key", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
+        dealt = dealt.join(self.sets.select("class", "shingles"), "class")
+        return materialize(dealt.groupBy("key", "a", "b").applyInPandas(_close(self.side, self.percent), "u long, v long"), "links")
+
+    def spanning(self, rows: DataFrame, links: DataFrame) -> DataFrame:
         """Rows of buckets that span components, with root and degree."""
         roots = materialize(self.roots(links), "roots")
         rows = rows.join(roots, "class", "left").withColumn("root", F.coalesce("root", "rep")).withColumn("degree", F.coalesce("degree", F.lit(0)))
         rows = materialize(rows, "rooted")
         open_ = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-        return materialize(rows.join(open_, "key"), "spanning"), roots
+        return materialize(rows.join(open_, "key"), "spanning")
 
     @staticmethod
     def untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
