@@ -206,9 +206,9 @@ class NearDuplicates:
         links = self.confirm(tested)
         # second: the best-linked member of those that lead buckets which still span components
         spread = self.spanning(rows, links)
-        hub = spread.groupBy("key").agg(F.max(F.struct("degree", -F.col("rep"), "class", "n", "root")).alias("hub"))
+        hub = spread.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("order"), "class", "n", "root")).alias("hub"))
         met = spread.join(hub, "key").where((F.col("root") != F.col("hub.root")) & self.fits("n", "hub.n"))
-        met = met.groupBy("class").agg(F.max(F.struct("hub.degree", -F.col("hub.rep"), F.col("hub.class").alias("v"))).alias("best"))
+        met = met.groupBy("class").agg(F.max(F.struct("hub.degree", "hub.order", F.col("hub.class").alias("v"))).alias("best"))
         fresh = materialize(self.untested(met.select(F.col("class").alias("u"), F.col("best.v").alias("v")), tested), "tested")
         links = links.unionByName(self.confirm(fresh))
         # third: every pair that still meets across components, in blocks
