@@ -105,9 +105,10 @@ def covered_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     """(doc_id, text_key, lo, n): words lo to lo + n - 1 repeat a document with a smaller doc_id. docs: doc_id, __text_key, text."""
     found = materialize(docs.mapInArrow(_occurrences(window, gram), _OCCURRENCES), "anchors")
     shared = found.groupBy("anchor").agg(F.count("*").alias("times"), F.min("context").alias("a"), F.max("context").alias("b")).where("times > 1")
-    shared = shared.select("anchor", (F.col("a") != F.col("b")).alias("several"))
+    # written first, so that the joins back deal both sides anew and the runtime can split hot anchors
+    shared = materialize(shared.select("anchor", (F.col("a") != F.col("b")).alias("several")), "shared-anchors")
     repeated = materialize(found.join(shared, "anchor"), "repeated-anchors")
-    first = repeated.groupBy("anchor", "context").agg(F.min("doc_id").alias("first"))
+    first = materialize(repeated.groupBy("anchor", "context").agg(F.min("doc_id").alias("first")), "first-contexts")
     placed = materialize(repeated.join(first, ["anchor", "context"]).where("doc_id > first or (several and doc_id = first)"), "placed-anchors")
     whole = placed.where("doc_id > first").select("doc_id", "text_key", "lo", (F.col("n") + (window - 1)).alias("n"))
     runs = placed.where("doc_id = first").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("lo", "n", "at", "anchor")).alias("__runs"))
@@ -115,7 +116,8 @@ def covered_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     ends = only(docs, runs).join(runs, ["doc_id", "__text_key"]).select("doc_id", "__text_key", "text", "__runs")
     single = materialize(ends.mapInArrow(_windows(window), "anchor long, place int, hash long, doc_id long, text_key long, lo int"), "end-windows")
     keys = ["anchor", "place", "hash"]
-    least = single.groupBy(*keys).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(*keys, "first")
+    least = single.groupBy(*keys).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    least = materialize(least.select(*keys, "first"), "first-windows")
     parts = single.join(least, keys).where("doc_id > first").select("doc_id", "text_key", "lo", F.lit(window).alias("n"))
     return whole.unionByName(parts)
 
