@@ -154,7 +154,8 @@ class NearDuplicates:
         self.size, self.side, self.percent = size, side, percent
         self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         signed = materialize(self.texts.mapInArrow(_signatures(size, side, rows), "doc_id long, n long, h1 long, h2 long, bands array<long>"), "signatures")
-        classes = signed.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+        # written first, so that the join back deals both sides anew and the runtime can split a hot class
+        classes = materialize(signed.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "set-classes")
         self.members = materialize(signed.join(classes, ["h1", "h2"], "left").withColumn("class", F.xxhash64("h1", "h2")), "members")
         own = self.members.where("doc_id = rep and n > 0").select("class", "rep", "n", "h1", "h2", "bands")
         self.classes = materialize(own.dropDuplicates(["class"]), "classes")
