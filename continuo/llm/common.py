@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: An Arrow batch that goes to Python holds about so many bytes at most (one row at least).
+BATCH_BYTES = 16 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 _own_dir: str | None = None
 _scratch: list[str] = []
 
@@ -34,7 +37,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cuts lineage: writes df as a table in the shared folder, where a lost executor loses nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH_CONF, None)
+    spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_BATCH_CONF) if before is None else spark.conf.set(_BATCH_CONF, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -76,6 +84,18 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system; workers live on between stages, beside each other."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
 def unbatched(batches, sizes: int = 1 << 19):
     """Slices of Arrow batches of about ``sizes`` bytes of the column ``text`` (one row at least)."""
     import numpy as np
@@ -91,3 +111,4 @@ def unbatched(batches, sizes: int = 1 << 19):
             to = min(max(to, at + 1), len(text))
             yield batch.slice(at, to - at)
             at = to
+    give_back()

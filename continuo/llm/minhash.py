@@ -23,13 +23,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from continuo.llm.common import checked_broadcast, materialize, unbatched
+from continuo.llm.common import checked_broadcast, give_back, materialize, unbatched
 from continuo.llm.graph import components
 from continuo.llm.hashing import Words, mix, set_hashes
 
 SHINGLE, SIDE, ROWS, PERCENT = 5, 12, 2, 75
-#: Classes on one side of a block of pairs.
-BLOCK = 400
+#: Classes, and their shingles, on one side of a block of pairs (on average; one class at least).
+BLOCK, BLOCK_SHINGLES = 400, 500_000
 #: Ids that are broadcast at most; beyond it, joins shuffle.
 BROADCAST_IDS = 1_000_000
 _SEED = 20_240_501
@@ -105,6 +105,7 @@ def _confirm(percent: int):
                 common = int((b[at] == a).sum())
                 keep.append(100 * common >= percent * (len(a) + len(b) - common))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return run
 
@@ -142,6 +143,9 @@ def _close(side: int, percent: int):
                 if a != b:
                     parent[max(a, b)] = min(a, b)
                     out.append((ids[y], ids[z]))
+        if len(at) > BLOCK_SHINGLES // 2:
+            del flat, at, marked
+            give_back()
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     return run
@@ -218,7 +222,7 @@ class NearDuplicates:
     def close(self, spread: DataFrame) -> DataFrame:
         """Links that join components: all pairs that share a band on both sides, by common left band, in blocks.
 
-        A block's pairs are tested inside one task on at most two parts of ``BLOCK`` sets; only links
+        A block's pairs are tested inside one task on at most two parts of about ``BLOCK`` sets and ``BLOCK_SHINGLES`` shingles; only links
         that join what the block has not joined yet come out.
         """
         members = materialize(spread.select("class", "root").distinct(), "open-classes")
@@ -226,7 +230,7 @@ class NearDuplicates:
         left = members.select("class", "root", "n", "bands", F.posexplode(F.slice("bands", 1, self.side)).alias("i", "band"))
         left = materialize(left.withColumn("key", F.xxhash64("i", "band")), "open-bands")
         # a lone component behind a band has nothing to join
-        sizes = left.groupBy("key").agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("parts"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+        sizes = left.groupBy("key").agg((F.floor(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)) + 1).cast("int").alias("parts"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
         dealt = left.join(sizes.select("key", "parts"), "key").withColumn("part", F.pmod(F.xxhash64("class", "i"), F.col("parts")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         dealt = dealt.select("class", "root", "n", "bands", "i", "key", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
