@@ -96,7 +96,7 @@ def give_back() -> None:
         trim(0)
 
 
-def unbatched(batches, sizes: int = 1 << 19):
+def unbatched(batches, sizes: int = (1 << 18) - 1):
     """Slices of Arrow batches of about ``sizes`` bytes of the column ``text`` (one row at least)."""
     import numpy as np
 

@@ -22,7 +22,7 @@ def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and its inverse modulo 2**64, for i below n at least."""
     got = _POWERS.get(int(base))
     if got is None or len(got[0]) < n:
-        size = 1 << max(20, (n - 1).bit_length())
+        size = 1 << max(16, (n - 1).bit_length())
         inverse = np.uint64(pow(int(base), -1, 1 << 64))
         tables = []
         for b in (base, inverse):

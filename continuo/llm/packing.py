@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from continuo.llm import tokens
-from continuo.llm.common import text_of
+from continuo.llm.common import materialize, text_of
 
 TIERS = (4096, 2048, 1024, 512, 256)
 STEP_WINDOWS = 16
@@ -140,6 +140,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, tiers=TIERS, ste
             for doc_id, text in zip(batch["doc_id"].array, batch["text"], strict=True):
                 doc_id = None if pd.isna(doc_id) else int(doc_id)
                 packer.add(doc_id, np.frombuffer(tokenizer.ids(text) + end, dtype=tokenizer.dtype))
+        tokenizer.forget()
         names, rows = [c.split()[0] for c in SCHEMA.split(", ")], []
         for row in packer.rows(TaskContext.get().partitionId() << 36):
             rows.append(row)
@@ -149,7 +150,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, tiers=TIERS, ste
         if rows:
             yield _frame(rows, names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(packed, SCHEMA)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    return materialize(texts.mapInPandas(packed, SCHEMA), "pieces")  # in bounded batches
 
 
 def _frame(rows, names):

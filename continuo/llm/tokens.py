@@ -12,6 +12,8 @@ import json
 
 import numpy as np
 
+from continuo.llm.common import give_back
+
 #: Parts and letter runs that a worker remembers at most.
 MAX_PARTS, MAX_RUNS, MAX_PART_CHARS = 600_000, 350_000, 48
 _LOADED: dict[str, WordTokenizer] = {}
@@ -75,6 +77,11 @@ class WordTokenizer:
             self.parts[part] = got
         return got
 
+    def forget(self) -> None:
+        """Drops the memo; the worker lives on beside other stages."""
+        self.parts, self.runs = {"": b""}, {}
+        give_back()
+
     def ids(self, text: str) -> bytes:
         if not self.by_parts:
             return self._encode(text)
