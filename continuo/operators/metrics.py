@@ -51,3 +51,13 @@ def token_stats(observations: DataFrame) -> DataFrame:
     chars = F.sum(F.length("detail"))
     packed = F.sum(F.length("summary"))
     return observations.groupBy("project_key").agg(chars.alias("source_chars"), packed.alias("pack_chars"), F.greatest(F.lit(1), F.ceil(chars / 4)).cast("long").alias("source_tokens"), F.greatest(F.lit(1), F.ceil(packed / 4)).cast("long").alias("pack_tokens"))
+
+
+def upserted(rows: DataFrame, key: str, sticky: str) -> DataFrame:
+    """One row a key: first and last time, the newest ``sticky`` that is not null, the highest version (1 at least).
+
+    rows: key, ts, event_id, ``sticky``, version. A fold by aggregates, so no key's rows are sorted or collected.
+    """
+    newest = F.max(F.when(F.col(sticky).isNotNull(), F.struct("ts", "event_id", sticky)))
+    out = rows.groupBy(key).agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), newest.alias("x"), F.max("version").alias("version"))
+    return out.select(key, "first_seen", "last_seen", F.col(f"x.{sticky}").alias(sticky), F.greatest(F.lit(1), "version").cast("long").alias("schema_version"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from continuo.functions.text import approx_tokens, compact
+from continuo.operators.changes import leading
 
 
 def pack(items: DataFrame, key: str, max_chars: int = 2200, per_kind: int = 6) -> DataFrame:
@@ -14,8 +15,9 @@ def pack(items: DataFrame, key: str, max_chars: int = 2200, per_kind: int = 6) -
     A greedy fold over each group's ordered lines; a kind's first line that does not fit ends that kind.
     items: key, kind, kind_order, pos, value.
     """
-    ranked = items.groupBy(key, "kind_order", "kind").agg(F.array_sort(F.collect_list(F.struct("pos", F.concat(F.lit("- "), compact(F.col("value"), 90)).alias("line")))).alias("lines"))
-    ranked = ranked.select(key, "kind_order", "kind", F.slice("lines", 1, per_kind).alias("lines"))
+    few = leading(items, [key, "kind_order", "kind"], per_kind, "pos", "value")  # cut before collecting: groups may be large
+    line = F.concat(F.lit("- "), compact(F.col("value"), 90)).alias("line")
+    ranked = few.groupBy(key, "kind_order", "kind").agg(F.array_sort(F.collect_list(F.struct("pos", line))).alias("lines"))
     sections = ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("kind_order", "kind", "lines"))).alias("sections"))
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"), F.lit(False).alias("full"))
 

@@ -20,11 +20,17 @@ KINDS = (
     ("blocker", "blocker|blocked|risk", 5, 0.78),
 )
 CLAIM = r"(?i)^\s*(?:status\s*[:\-]\s*(?:done|complete|completed|finished)|(?:we are|we're|it is)\s+(?:done|finished|complete(?:d)?))\s*$"
-DECISION = r"(?i)^\s*(?:[-*]\s*)?(?:decision|decisión|resolved|resolution)\s*[:\-]\s*(.+)$"
+DECISION = r"(?iu)^\s*(?:[-*]\s*(?:decision|decisión)|decision|decisión|resolved|resolution)\s*[:\-]\s*(.+)$"
 INLINE = (
     r"(?i)\s+(?=(?:decision|decisión|objective|goal|target|mission|constraint|restriction|rule|project\s+(?:dod|definition of done)|mission\s+(?:dod|definition of done)|"
     r"session\s+(?:dod|definition of done)|(?<!project )(?<!mission )(?<!session )(?:dod|definition of done)|pending|todo|to do|remaining|open item|done|completed|finished|blocker|blocked|risk|status)\s*[:\-])"
 )
+#: Calls of the memory's own tools; a turn that makes one, or asks for an exact answer, holds no facts.
+TOOLS = "search|get|recent|project_brief|open_work|completion_check|recent_changes|scope_guard|context_pack|provenance|health|snapshot_(?:list|create|restore)"
+DIAGNOSTIC = rf"(?i)\b(?:use|call|invoke)\b.{{0,160}}\bmem_(?:{TOOLS})\b|respond exactly as\s*:|without using tools or reading files"
+#: Titles, importance and confidence of the kinds that no label names.
+TITLES = {"objective": "Objective", "user_request": "User request", "constraint": "Constraint", "project_dod": "Project DoD", "mission_dod": "Mission DoD", "session_dod": "Session DoD", "pending_item": "Pending", "completed_item": "Completed", "blocker": "Blocker", "completion_claim": "Completion claim", "decision": "Decision"}
+WEIGHTS = {kind: (importance, confidence) for kind, _, importance, confidence in KINDS} | {"completion_claim": (5, 0.62), "user_request": (4, 0.38), "decision": (4, 0.75)}
 #: Profiles in order with the limits that open work must fit.
 BUDGETS = (("micro", 3, 2, 2, 2, 0), ("normal", 4, 3, 3, 3, 1), ("full", 6, 4, 5, 4, 2))
 
@@ -62,6 +68,72 @@ def extract(rows: DataFrame, text: str, *keys: str) -> DataFrame:
     return found.withColumn("rn", F.row_number().over(first)).where("rn = 1").select(*keys, "line", "cut", "part", "kind", "value", "normalized")
 
 
+def decisions(rows: DataFrame, text: str, *keys: str) -> DataFrame:
+    """Decisions of a text, each normal form once."""
+    found = segments(rows, text, *keys).withColumn("value", F.trim(F.regexp_extract("segment", DECISION, 1))).withColumn("normalized", T.normalize_state(F.col("value"))).where("normalized <> ''")
+    first = Window.partitionBy(*keys, "normalized").orderBy("line", "cut", "part")
+    return found.withColumn("rn", F.row_number().over(first)).where("rn = 1").select(*keys, "line", "cut", "part", F.lit("decision").alias("kind"), "value", "normalized")
+
+
+def summarize(messages: Column, reply: Column) -> Column:
+    """The last two messages and up to 400 characters of the reply on one line."""
+    said = F.trim(F.array_join(F.when(F.size(messages) <= 2, messages).otherwise(F.slice(messages, -2, 2)), " | "))
+    line = F.replace(F.trim(reply), F.lit("\n"), F.lit(" "))
+    line = F.when(F.length(line) > 400, F.concat(F.substring(line, 1, 397), F.lit("..."))).otherwise(line)
+    return F.trim(F.concat(F.when(said == "", "No user message").otherwise(said), F.lit(" -> "), line))
+
+
+def turn_observations(events: DataFrame, *keys: str, tool: str | None = None) -> DataFrame:
+    """All observations of turns: a summary, the reply's decisions, labelled facts and the request of each message.
+
+    events: ``keys``, runtime, input_messages, assistant_message; null messages count as none. Turns that only probe
+    the memory give nothing; ``tool`` names the tool whose use by name counts as such. Facts are distinct within one
+    message, not across them. Output: ``keys``, type, title, summary, detail, importance, confidence, status.
+    """
+    probe = DIAGNOSTIC + (rf"|use the {tool} mcp tool" if tool else "")
+    none = F.array().cast("array<string>")
+    turns = events.select(*keys, F.coalesce("runtime", F.lit("")).alias("runtime"), F.array_compact(F.coalesce("input_messages", none)).alias("messages"), F.coalesce("assistant_message", F.lit("")).alias("reply"))
+    turns = turns.where(~F.array_join("messages", "\n").rlike(probe))
+    summary = turns.select(*keys, F.lit("session_summary").alias("type"), F.concat("runtime", F.lit(" turn summary")).alias("title"), summarize(F.col("messages"), F.col("reply")).alias("summary"), F.substring("reply", 1, 8000).alias("detail"), F.lit(2).alias("importance"), F.lit(0.45).alias("confidence"), F.lit("snapshot").alias("status"))
+    blocks = turns.select(*keys, F.posexplode("messages").alias("block", "text"))
+    lines = F.filter(F.transform(F.split("text", r"\r\n|\n|\r"), F.trim), lambda x: x != "")
+    requests = blocks.withColumn("value", F.substring(F.trim(F.array_join(lines, " | ")), 1, 280)).where("value <> ''").select(*keys, "block", F.lit("user_request").alias("kind"), "value")
+    replies = turns.select(*keys, F.lit(-1).alias("block"), F.col("reply").alias("text"))
+    texts = blocks.unionByName(replies)
+    facts = extract(texts, "text", *keys, "block").select(*keys, "block", "kind", "value").unionByName(requests).unionByName(decisions(replies, "text", *keys, "block").select(*keys, "block", "kind", "value"))
+    entry = lambda of: F.create_map(*[F.lit(x) for kind, v in of.items() for x in (kind, v)])[F.col("kind")]
+    found = facts.join(texts, [*keys, "block"]).select(
+        *keys, F.col("kind").alias("type"), F.concat(entry(TITLES), F.lit(": "), F.substring("value", 1, 72)).alias("title"), F.col("value").alias("summary"), F.substring("text", 1, 8000).alias("detail"),
+        entry({k: w[0] for k, w in WEIGHTS.items()}).alias("importance"), entry({k: w[1] for k, w in WEIGHTS.items()}).alias("confidence"), F.lit("active").alias("status"),
+    )
+    return summary.unionByName(found)
+
+
+def open_work(items: DataFrame, key: str) -> DataFrame:
+    """The open items of a state: pending ones and definitions of done that nothing completed resolves, and blockers.
+
+    items: the bounded state items (key, type, id, summary, normalized, updated_at), see ``changes.state_items``.
+    """
+    done = items.where("type = 'completed_item'").alias("d")
+    todo = items.where("type in ('pending_item', 'project_dod', 'mission_dod', 'session_dod')").alias("p")
+    meets = (F.col(f"p.{key}") == F.col(f"d.{key}")) & T.state_matches(F.col("p.normalized"), F.col("d.normalized"))
+    return todo.join(done, meets, "left_anti").unionByName(items.where("type = 'blocker'")).select(key, "type", "id", "summary", "normalized", "updated_at")
+
+
+def scope_guard(items: DataFrame, open_items: DataFrame, key: str) -> DataFrame:
+    """key, must_not_drop, flags: texts that a pack must keep, in order of kind, and why the work is not closed."""
+    order = {"objective": 0, "constraint": 1, "pending_item": 2, "blocker": 3, "project_dod": 4, "mission_dod": 5, "session_dod": 6}
+    place = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])[F.col("type")]
+    kept = items.where("type in ('objective', 'constraint')").select(key, "type", "id", "summary").unionByName(open_items.select(key, "type", "id", "summary"))
+    listed = kept.withColumn("place", place).where("summary <> ''")
+    texts = listed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", F.negative("id").alias("newest"), "summary"))).alias("xs")).select(key, F.array_distinct(F.col("xs.summary")).alias("must_not_drop"))
+    of = lambda *kinds: F.count(F.when(F.col("type").isin(*kinds), 1)) > 0
+    claims = items.groupBy(key).agg(of("completion_claim").alias("claimed"))
+    state = open_items.groupBy(key).agg(of("pending_item").alias("p"), of("blocker").alias("b"), of("project_dod", "mission_dod", "session_dod").alias("d"))
+    flags = F.array_compact(F.array(F.when(F.col("claimed") & F.col("p").isNotNull(), "closure_mismatch"), F.when(F.col("p"), "pending_work_open"), F.when(F.col("b"), "blockers_open"), F.when(F.col("d"), "dod_incomplete")))
+    return claims.join(texts, key, "left").join(state, key, "left").select(key, "must_not_drop", flags.alias("flags"))
+
+
 def unresolved(items: DataFrame, key: str) -> DataFrame:
     """Pending items that no completed item of the same group matches."""
     pending, done = items.where("kind = 'pending_item'").alias("p"), items.where("kind = 'completed_item'").alias("d")

@@ -54,10 +54,36 @@ def sync_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Tags that notes carry, by id modulo 4.
+NOTE_TAGS = ("release, data quality", "freeze", "local-install", "Café notes, baseline")
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third observation as a manual note with a line of tags."""
+    tags = F.element_at(F.array(*map(F.lit, NOTE_TAGS)), (F.col("id") % 4 + 1).cast("int"))
+    return observations(spark, sf_dir).where("id % 3 = 0").withColumn("detail", F.concat("detail", F.lit("\n\nTags: "), tags))
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as messages: some sessions open with a title prompt, some wrap the user's prompt, all name a path."""
+    at, key = F.col("turn"), F.col("session_id")
+    named = F.concat(F.lit("see /srv/app/data-"), (key % 3).cast("string"), F.lit("/x and tool-"), (key % 4).cast("string"), F.lit(" "), "text")
+    text = F.when((key % 4 == 0) & (at % 2 == 0), F.concat(F.lit("Generate a short title. "), "text")).when(key % 4 == 1, F.concat(F.lit("Context. User prompt: "), "text")).otherwise(named)
+    return turns(spark, sf_dir).select("session_id", at.alias("pos"), text.alias("text"), "captured_at")
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("session_id")
+    cwd = F.concat(F.lit("/work/team-"), (key % 5).cast("string"), F.when(key % 6 == 0, "/docs").otherwise(F.concat(F.lit("/repo-"), (key % 9).cast("string"))))
+    found = turns(spark, sf_dir).groupBy("session_id").agg(F.max("captured_at").alias("last_turn_at"), F.count("*").alias("turns"))
+    return found.select("session_id", F.concat(F.lit("conv-"), key.cast("string")).alias("external_id"), cwd.alias("cwd"), "last_turn_at", "turns")
+
+
 #: The same tables in the SQL of the oracles.
 _LIST = "[" + ", ".join(f"'{t}'" for t in TYPES) + "]"
 _PRIO = "[" + ", ".join(map(str, PRIORITY)) + "]"
 _LABELS = "[" + ", ".join(f"'{t}'" for t in LABELS) + "]"
+_TAGS = "[" + ", ".join(f"'{t}'" for t in NOTE_TAGS) + "]"
 SQL = f"""
 WITH observations AS (SELECT d.doc_id AS id, source AS project_key, d.doc_id % 50 AS session_id, {_LIST}[d.doc_id % 12 + 1] AS type, {_PRIO}[d.doc_id % 12 + 1] AS priority,
  substr(text, 1, 72) AS title, substr(text, 1, 280) AS summary, text AS detail, CASE quality WHEN 1 THEN 'active' WHEN 0 THEN 'low_value' ELSE 'snapshot' END AS status,
@@ -65,5 +91,10 @@ WITH observations AS (SELECT d.doc_id AS id, source AS project_key, d.doc_id % 5
 turns AS (SELECT conv_id % 7 AS project_id, conv_id AS session_id, turn, role, text, {EPOCH} + conv_id * 3600 + turn * 60 AS captured_at,
  {_LABELS}[turn % 8 + 1] || ': ' || text || '; Blocker: ' || role || ' access still missing' AS labelled FROM conversations),
 sync AS (SELECT event_id, event_type AS budget, event_type = 'error' AS skipped, user_id % 7 AS project_id, value / 1000 AS compression_ratio, value AS build_ms,
- epoch_us(ts) AS generated_at, (props->>'$.k')::BIGINT AS k FROM events)
+ epoch_us(ts) AS generated_at, (props->>'$.k')::BIGINT AS k FROM events),
+notes AS (SELECT * REPLACE (detail || chr(10) || chr(10) || 'Tags: ' || {_TAGS}[id % 4 + 1] AS detail) FROM observations WHERE id % 3 = 0),
+messages AS (SELECT session_id, turn AS pos, captured_at, CASE WHEN session_id % 4 = 0 AND turn % 2 = 0 THEN 'Generate a short title. ' || text WHEN session_id % 4 = 1 THEN 'Context. User prompt: ' || text
+ ELSE 'see /srv/app/data-' || session_id % 3 || '/x and tool-' || session_id % 4 || ' ' || text END AS text FROM turns),
+sessions AS (SELECT session_id, 'conv-' || session_id AS external_id, '/work/team-' || session_id % 5 || CASE WHEN session_id % 6 = 0 THEN '/docs' ELSE '/repo-' || session_id % 9 END AS cwd,
+ max(captured_at) AS last_turn_at, count(*) AS turns FROM turns GROUP BY session_id)
 """

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from continuo.functions import text as T
-from continuo.operators import governance, metrics, pack, retrieval, state
+from continuo.operators import changes, governance, metrics, pack, retrieval, state
 from continuo.plans import views
 from continuo.plans.views import EPOCH, PROTECTED, SQL
 
@@ -169,6 +169,11 @@ def _extracted(spark: SparkSession, sf: str) -> DataFrame:
     return state.extract(views.turns(spark, sf), "labelled", "session_id", "turn")
 
 
+def _state_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The facts that a session's state is derived from: the first ones, as many as the model takes."""
+    return changes.leading(_extracted(spark, sf), ["session_id"], changes.STATE_ROWS, "turn", "line", "cut", "part")
+
+
 @query()
 def extract_labels(spark: SparkSession, sf: str) -> DataFrame:
     return _extracted(spark, sf).select("session_id", "turn", "kind", "value", "normalized")
@@ -181,12 +186,12 @@ def extract_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def fuzzy_unresolved(spark: SparkSession, sf: str) -> DataFrame:
-    return state.unresolved(_extracted(spark, sf), "session_id").select("session_id", "turn", "normalized")
+    return state.unresolved(_state_rows(spark, sf), "session_id").select("session_id", "turn", "normalized")
 
 
 @query()
 def state_fold(spark: SparkSession, sf: str) -> DataFrame:
-    items = _extracted(spark, sf).withColumn("pos", F.col("turn") * 1000 + F.col("cut"))
+    items = _state_rows(spark, sf).withColumn("pos", F.col("turn") * 1000 + F.col("cut"))
     return state.fold_dedupe(items, "session_id", "kind", limit=6)
 
 
@@ -215,5 +220,8 @@ def health_score(spark: SparkSession, sf: str) -> DataFrame:
 def context_pack(spark: SparkSession, sf: str) -> DataFrame:
     kinds = F.array(*[F.lit(kind) for kind, *_ in state.KINDS], F.lit("completion_claim"))
     order = F.array_position(kinds, F.col("kind"))
-    items = _extracted(spark, sf).withColumn("pos", F.col("turn") * 1000 + F.col("cut")).withColumn("kind_order", order)
+    items = _state_rows(spark, sf).withColumn("pos", F.col("turn") * 1000 + F.col("cut")).withColumn("kind_order", order)
     return pack.pack(items, "session_id")
+
+
+from continuo import state_queries  # noqa: E402, F401 - registers the queries on notes, sessions and changes
