@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,8 +104,9 @@ def turn_observations(events: DataFrame, *keys: str, tool: str | None = None) ->
     texts = blocks.unionByName(replies)
     facts = extract(texts, "text", *keys, "block").select(*keys, "block", "kind", "value").unionByName(requests).unionByName(decisions(replies, "text", *keys, "block").select(*keys, "block", "kind", "value"))
     entry = lambda of: F.create_map(*[F.lit(x) for kind, v in of.items() for x in (kind, v)])[F.col("kind")]
-    found = facts.join(texts, [*keys, "block"]).select(
-        *keys, F.col("kind").alias("type"), F.concat(entry(TITLES), F.lit(": "), F.substring("value", 1, 72)).alias("title"), F.col("value").alias("summary"), F.substring("text", 1, 8000).alias("detail"),
+    same = [F.col(f"f.{k}").eqNullSafe(F.col(f"t.{k}")) for k in (*keys, "block")]  # null keys meet too
+    found = facts.alias("f").join(texts.alias("t"), reduce(lambda a, b: a & b, same)).select(
+        *[F.col(f"f.{k}").alias(k) for k in keys], F.col("kind").alias("type"), F.concat(entry(TITLES), F.lit(": "), F.substring("value", 1, 72)).alias("title"), F.col("value").alias("summary"), F.substring("text", 1, 8000).alias("detail"),
         entry({k: w[0] for k, w in WEIGHTS.items()}).alias("importance"), entry({k: w[1] for k, w in WEIGHTS.items()}).alias("confidence"), F.lit("active").alias("status"),
     )
     return summary.unionByName(found)

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from continuo.operators.state import extract
+from continuo.functions import folding as fd
+from continuo.operators.state import turn_observations
 
 #: The envelope of one captured turn.
 ENVELOPE = "runtime string, project_key string, session_id string, turn_id string, cwd string, timestamp string, input_messages array<string>, assistant_message string"
 
+OBSERVATION = "id long, project_key string, session_id string, turn_id string, type string, title string, summary string, detail string, importance int, confidence double, status string, source_kind string, updated_at long, dedupe_hash string"
+OBSERVATION_COLUMNS = [part.split()[0] for part in OBSERVATION.split(", ")]
+
 
 class Store:
     def __init__(self, spark: SparkSession, base: str, read_only: bool = False):
@@ -43,13 +47,39 @@ class Store:
         return out.where(~F.coalesce(F.col("deleted"), F.lit(False))) if "deleted" in out.columns else out
 
     def ingest(self, events: DataFrame) -> None:
-        """Turns (first payload wins) and the observations of their texts, keyed by content."""
+        """Turns (first payload wins), all observations of their texts keyed by content, projects and sessions seen.
+
+        Null keys and times count as empty texts, so that replayed rows meet what is stored.
+        """
+        keys = ("project_key", "session_id", "turn_id", "timestamp")
+        events = events.withColumns({k: F.coalesce(k, F.lit("")) for k in keys})
         turns = events.withColumn("content_hash", F.sha2(F.to_json(F.struct(*sorted(events.columns))), 256))
         self.insert_or_ignore("turns", turns, ["session_id", "turn_id"], "timestamp")
-        text = F.concat_ws("\n", F.array_join("input_messages", "\n"), "assistant_message")
-        found = extract(events.withColumn("text", text), "text", "project_key", "session_id", "turn_id")
-        key = F.sha2(F.concat_ws("|", "project_key", "session_id", "turn_id", "kind", "value"), 256)
-        self.insert_or_ignore("observations", found.withColumn("dedupe_hash", key), ["dedupe_hash"], "line")
+        found = turn_observations(events, *keys)
+        content = F.sha2(F.concat_ws("|", *keys[:3], "type", "title", "summary", "detail"), 256)
+        at = F.coalesce(F.unix_timestamp(F.try_to_timestamp("timestamp")), F.lit(0))
+        rows = found.withColumns({"dedupe_hash": content, "source_kind": F.lit("turn"), "updated_at": at}).withColumn("id", F.xxhash64("dedupe_hash")).drop("timestamp")
+        self.insert_or_ignore("observations", rows.select(*OBSERVATION_COLUMNS), ["dedupe_hash"], "updated_at")
+        self.append("projects", events.select("project_key", F.col("cwd").alias("root_path"), at.alias("seen_at")).distinct())
+        self.append("sessions", events.select("project_key", "session_id", "runtime", "cwd", at.alias("seen_at")).distinct())
+
+    def observations(self) -> DataFrame:
+        return self.read("observations", OBSERVATION)
+
+    def projects(self) -> DataFrame:
+        """project_key, name, root_path, updated_at. The first root that is not blank sticks; its newest spelling shows."""
+        seen = self.read("projects", "project_key string, root_path string, seen_at long").withColumn("root_key", fd.path_key(F.col("root_path")))
+        first = seen.where("root_key <> ''").groupBy("project_key").agg(F.min(F.struct("seen_at", "root_key")).alias("x")).select("project_key", F.col("x.root_key").alias("root_key"))
+        roots = seen.join(first, ["project_key", "root_key"]).groupBy("project_key").agg(F.max(F.struct("seen_at", "root_path")).alias("x")).select("project_key", "x.root_path")
+        name = F.trim(F.translate("project_key", "-_", "  "))
+        names = F.coalesce(F.nullif(name, F.lit("")), F.col("project_key"))
+        return seen.groupBy("project_key").agg(F.max("seen_at").alias("updated_at")).join(roots, "project_key", "left").select("project_key", names.alias("name"), "root_path", "updated_at")
+
+    def sessions(self) -> DataFrame:
+        """project_key, session_id, cwd (the newest that is not null), first_seen, last_seen."""
+        seen = self.read("sessions", "project_key string, session_id string, runtime string, cwd string, seen_at long")
+        newest = F.max(F.when(F.col("cwd").isNotNull(), F.struct("seen_at", "cwd")))
+        return seen.groupBy("project_key", "session_id").agg(newest.alias("x"), F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen")).select("project_key", "session_id", F.col("x.cwd").alias("cwd"), "first_seen", "last_seen")
 
 
 def notify_to_envelope(payloads: DataFrame) -> DataFrame:

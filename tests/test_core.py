@@ -71,7 +71,7 @@ def test_store_is_idempotent(spark, tmp_path):
     for _ in range(2):
         store.ingest(events)
     assert spark.read.parquet(store.path("turns")).count() == 1
-    assert {r.kind for r in spark.read.parquet(store.path("observations")).collect()} == {"pending_item", "completed_item"}
+    assert sorted(r.type for r in spark.read.parquet(store.path("observations")).collect()) == ["completed_item", "pending_item", "session_summary", "user_request"]
     with pytest.raises(PermissionError):
         Store(spark, str(tmp_path), read_only=True).ingest(events)
 
