@@ -165,6 +165,43 @@ def insert_or_ignore(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.first_wins(views.read(spark, sf, "events"), ["user_id", "event_type"], "event_id")
 
 
+def _facts_sql() -> str:
+    """Extraction in SQL. Its regular expressions look neither ahead nor back, so marks stand in: chr(2) joins the words
+    of a two-word definition-of-done label, chr(1) goes before a label inside a line."""
+    labels = "|".join(labels for _, labels, _, _ in state.KINDS).replace(r"\s+", chr(2))
+    flat = r"regexp_replace(seg, '(?i)\b(project|mission|session)\s+(dod|definition of done)', '\1' || chr(2) || '\2', 'g')"
+    marked = rf"regexp_replace({flat}, '(?i)\s+((?:decision|decisión|{labels}|status)\s*[:\-])', chr(1) || '\1', 'g')"
+    cases = " ".join(f"WHEN regexp_matches(segment, '(?i)^\\s*(?:{labels})\\s*[:\\-]\\s*(.+)$') THEN {{}}".replace("{}", f"{{{k}}}") for k, (_, labels, _, _) in enumerate(state.KINDS))
+    kinds = cases.format(*[f"'{kind}'" for kind, *_ in state.KINDS])
+    values = cases.format(*[f"regexp_extract(segment, '(?i)^\\s*(?:{labels})\\s*[:\\-]\\s*(.+)$', 1)" for _, labels, _, _ in state.KINDS])
+    claim = state.CLAIM.replace("'", "''")
+    return rf""", l AS (SELECT session_id, turn, unnest(x) AS t, generate_subscripts(x, 1) AS line FROM (SELECT session_id, turn, string_split_regex(labelled, '\r\n|\n|\r') AS x FROM turns)),
+c AS (SELECT session_id, turn, line, unnest(x) AS seg, generate_subscripts(x, 1) AS cut FROM (SELECT *, string_split_regex(trim(t), '\s*;\s*') AS x FROM l)),
+p AS (SELECT session_id, turn, line, cut, unnest(x) AS t, generate_subscripts(x, 1) AS part FROM (SELECT *, string_split({marked}, chr(1)) AS x FROM (SELECT session_id, turn, line, cut, trim(seg) AS seg FROM c))),
+s AS (SELECT * EXCLUDE t, trim(replace(t, chr(2), ' ')) AS segment FROM p WHERE trim(t) <> ''),
+k AS (SELECT *, CASE {kinds} WHEN regexp_matches(segment, '{claim}') THEN 'completion_claim' END AS kind, CASE {values} END AS raw FROM s),
+v AS (SELECT *, regexp_replace(trim(regexp_replace(raw, '\s+', ' ', 'g')), '^[ -]+|[ -]+$', '', 'g') AS whole FROM k WHERE kind IS NOT NULL),
+w AS (SELECT *, CASE WHEN kind = 'completion_claim' THEN 'assistant claimed the work was complete' WHEN regexp_matches(whole, '[.!?]\s+[A-Z]') THEN trim(regexp_extract(whole, '^(.*?[.!?])\s+[A-Z]', 1)) ELSE trim(whole) END AS value FROM v),
+n AS (SELECT *, {_NORMAL.format("CASE WHEN kind = 'completion_claim' THEN segment ELSE value END")} AS normalized FROM w),
+facts AS (SELECT session_id, turn, line, cut, part, kind, value, normalized FROM n WHERE normalized NOT IN ('', 'and', 'or') QUALIFY row_number() OVER (PARTITION BY session_id, turn, kind, normalized ORDER BY line, cut, part) = 1),
+counted AS (SELECT session_id, count(*) FILTER (kind = 'pending_item') AS pending, count(*) FILTER (kind = 'blocker') AS blockers, count(*) FILTER (kind LIKE '%_dod') AS dod_missing, count(*) FILTER (kind = 'completed_item') AS evidence,
+ count(*) FILTER (kind = 'completion_claim') AS claims, count(*) FILTER (kind = 'constraint') AS constraints, count(*) FILTER (kind = 'objective') AS objectives FROM facts GROUP BY 1)
+"""
+
+
+def _match(a: str, b: str) -> str:
+    """The state match of two normal forms in SQL."""
+    words = lambda x: f"[w FOR w IN string_split({x}, ' ') IF w <> '' AND w NOT IN {tuple(T.STATE_STOPWORDS)}]"
+    inside = lambda x, y: f"len([v FOR v IN {words(x)} IF NOT list_contains({words(y)}, v)]) = 0"
+    return f"({a} = {b} OR (length({a}) >= 18 AND contains({b}, {a})) OR (length({b}) >= 18 AND contains({a}, {b})) OR (len({words(a)}) > 0 AND len({words(b)}) > 0 AND ({inside(a, b)} OR {inside(b, a)})))"
+
+
+_FACTS = _facts_sql()
+_STATE_FACTS = _FACTS + f", few AS (SELECT * FROM facts QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn, line, cut, part) <= {changes.STATE_ROWS}) "
+_REASONS = "concat_ws(',', CASE WHEN pending > 0 THEN 'pending_items_open' END, CASE WHEN blockers > 0 THEN 'blockers_open' END, CASE WHEN dod_missing > 0 THEN 'dod_incomplete' END, CASE WHEN evidence = 0 THEN 'missing_evidence' END)"
+_BUDGET = "CASE " + " ".join(f"WHEN pending <= {p} AND blockers <= {b} AND dod_missing <= {d} AND constraints <= {c} AND 0 <= {n} THEN {{{k}}}" for k, (_, p, b, d, c, n) in enumerate(state.BUDGETS)) + " ELSE {3} END"
+
+
 def _extracted(spark: SparkSession, sf: str) -> DataFrame:
     return state.extract(views.turns(spark, sf), "labelled", "session_id", "turn")
 
@@ -174,7 +211,7 @@ def _state_rows(spark: SparkSession, sf: str) -> DataFrame:
     return changes.leading(_extracted(spark, sf), ["session_id"], changes.STATE_ROWS, "turn", "line", "cut", "part")
 
 
-@query()
+@query(_FACTS + "SELECT session_id, turn, kind, value, normalized FROM facts")
 def extract_labels(spark: SparkSession, sf: str) -> DataFrame:
     return _extracted(spark, sf).select("session_id", "turn", "kind", "value", "normalized")
 
@@ -184,7 +221,7 @@ def extract_segments(spark: SparkSession, sf: str) -> DataFrame:
     return state.segments(views.turns(spark, sf), "labelled", "session_id", "turn").groupBy("session_id", "turn").agg(F.count("*").alias("segments"))
 
 
-@query()
+@query(_STATE_FACTS + f"SELECT session_id, turn, normalized FROM few p WHERE kind = 'pending_item' AND NOT EXISTS (SELECT 1 FROM few d WHERE d.kind = 'completed_item' AND d.session_id = p.session_id AND {_match('p.normalized', 'd.normalized')})")
 def fuzzy_unresolved(spark: SparkSession, sf: str) -> DataFrame:
     return state.unresolved(_state_rows(spark, sf), "session_id").select("session_id", "turn", "normalized")
 
@@ -195,12 +232,12 @@ def state_fold(spark: SparkSession, sf: str) -> DataFrame:
     return state.fold_dedupe(items, "session_id", "kind", limit=6)
 
 
-@query()
+@query(_FACTS + f"SELECT *, {_REASONS} AS reasons, {_REASONS} = '' AS done, CASE WHEN {_REASONS} = '' THEN 'ready_to_close' ELSE string_split({_REASONS}, ',')[1] END AS primary_reason, claims > 0 AND {_REASONS} <> '' AS closure_mismatch FROM counted")
 def completion_check(spark: SparkSession, sf: str) -> DataFrame:
     return state.completion_check(state.counts(_extracted(spark, sf), "session_id"))
 
 
-@query()
+@query(_FACTS + "SELECT *, 0 AS summaries, " + _BUDGET.format(*[f"'{b[0]}'" for b in state.BUDGETS], "'full'") + " AS budget, " + _BUDGET.format(*["'fits_open_work_profile'"] * 3, "'requires_full_profile'") + " AS budget_reason FROM counted")
 def auto_budget(spark: SparkSession, sf: str) -> DataFrame:
     return state.auto_budget(state.counts(_extracted(spark, sf), "session_id").withColumn("summaries", F.lit(0)))
 

@@ -10,7 +10,7 @@ from continuo.functions import text as T
 from continuo.operators import changes, metrics, notes, scope, state
 from continuo.plans import views
 from continuo.plans.views import EPOCH
-from continuo.registry import _MEMORY, _NORMAL, query
+from continuo.registry import _MEMORY, _NORMAL, _match, query
 
 NOTE_QUERY = "hold release notes 7"
 SCOPE_HINT, SCOPE_CWD = "repo-3 und conv-12", "/home/dev/repo-4"
@@ -25,13 +25,6 @@ def _fold(x: str) -> str:
     return f"trim(regexp_replace(replace(replace(strip_accents(lower(coalesce({x}, ''))), 'ß', 'ss'), '_', '-'), '\\s+', ' ', 'g'))"
 
 
-def _match(a: str, b: str) -> str:
-    """The state match of two normal forms in SQL."""
-    words = lambda x: f"[w FOR w IN string_split({x}, ' ') IF w <> '' AND w NOT IN {tuple(T.STATE_STOPWORDS)}]"
-    inside = lambda x, y: f"len([v FOR v IN {words(x)} IF NOT list_contains({words(y)}, v)]) = 0"
-    return f"({a} = {b} OR (length({a}) >= 18 AND contains({b}, {a})) OR (length({b}) >= 18 AND contains({a}, {b})) OR (len({words(a)}) > 0 AND len({words(b)}) > 0 AND ({inside(a, b)} OR {inside(b, a)})))"
-
-
 # ---- notes
 
 
