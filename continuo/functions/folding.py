@@ -33,11 +33,19 @@ def query_tokens(text: str | None) -> set[str]:
     return set(re.findall("[a-z0-9]+", fold_query(text)))
 
 
+def plain_query(text: str) -> str:
+    return re.sub("[\u0300-\u036f]+", "", text.lower()).translate(str.maketrans(_LETTERS))
+
+
+def plain(text: Column) -> Column:
+    """Lower case without accents; null is the empty text."""
+    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\p{M}+", "")
+    return F.translate(out, "".join(_LETTERS), "".join(_LETTERS.values()))
+
+
 def fold(text: Column) -> Column:
     """Lower case, accents dropped, underscores as hyphens, spacing squashed; null folds to the empty text."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\p{M}+", "")
-    out = F.translate(out, "".join(_LETTERS), "".join(_LETTERS.values()))
-    return squash(F.translate(F.replace(out, F.lit("ß"), F.lit("ss")), "_", "-"))
+    return squash(F.translate(F.replace(plain(text), F.lit("ß"), F.lit("ss")), "_", "-"))
 
 
 def tokens(text: Column) -> Column:

@@ -51,7 +51,3 @@ def compact(text: Column, limit: int) -> Column:
 
 def approx_tokens(chars: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(chars / 4)).cast("long")
-
-
-def search_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))

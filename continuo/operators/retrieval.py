@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from continuo.functions import folding as fd
 from continuo.functions import text as T
 from continuo.plans.views import PROTECTED
 
@@ -21,19 +25,54 @@ def like_search(observations: DataFrame, query: str) -> DataFrame:
     return observations.where(F.like(F.lower("title"), pattern) | F.like(F.lower("summary"), pattern) | F.like(F.lower("detail"), pattern))
 
 
+def search_words(text: Column) -> Column:
+    return F.regexp_extract_all(fd.plain(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def indexed(observations: DataFrame) -> DataFrame:
+    """id, words, dl: the words of title, summary and detail, with an empty word between them that no phrase crosses."""
+    gap = F.array(F.lit(""))
+    words = F.concat(search_words(F.col("title")), gap, search_words(F.col("summary")), gap, search_words(F.col("detail")))
+    return observations.select("id", words.alias("words")).select("id", "words", (F.size("words") - 2).alias("dl"))
+
+
 def postings(observations: DataFrame) -> DataFrame:
     """(term, id, tf, dl): the inverted index over title, summary and detail."""
-    words = observations.select("id", T.search_tokens(F.concat_ws(" ", "title", "summary", "detail")).alias("words"))
-    words = words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    words = indexed(observations).select("id", "dl", F.explode("words").alias("term")).where("term <> ''")
     return words.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
 
 
+def parse(query: str) -> list[str] | None:
+    """Terms of a query: words, "quoted phrases", either with a final * for prefixes. None if it holds anything else."""
+    terms = []
+    for phrase, star, word in re.findall(r'"([^"]*)"(\*?)|(\S+)', query):
+        bare = word.rstrip("*") if word.count("*") <= 1 else word
+        if word and (not bare.isalnum() or bare in ("AND", "OR", "NOT", "NEAR")):
+            return None
+        parts = re.findall(r"[^\W_]+", fd.plain_query(phrase or bare))
+        if parts:
+            terms.append(" ".join(parts) + ("*" if star or word.endswith("*") else ""))
+    return terms
+
+
+def occurrences(term: str) -> Column:
+    """How often a word or phrase starts in ``words``; the last word of a term with a final * is a prefix."""
+    *lead, last = term.rstrip("*").split()
+
+    def starts(word: Column, at: Column) -> Column:
+        here = lambda k: word if k == 0 else F.get(F.col("words"), at + k)
+        end = here(len(lead)).startswith(last) if term.endswith("*") else here(len(lead)) == last
+        return reduce(lambda a, b: a & b, [here(k) == w for k, w in enumerate(lead)] + [end])
+
+    return F.size(F.filter("words", starts))
+
+
 def bm25(observations: DataFrame, terms: list[str]) -> DataFrame:
-    """(id, rank) of rows that hold all terms; negative, smaller is better; statistics are those of the whole table."""
-    words = observations.select("id", T.search_tokens(F.concat_ws(" ", "title", "summary", "detail")).alias("words"))
-    times = lambda term: F.size(F.filter("words", lambda x: x == term))
-    counts = [times(t).alias(f"f{k}") for k, t in enumerate(terms)]
-    rows = words.select("id", F.size("words").alias("dl"), *counts)
+    """(id, rank) of rows that hold all terms; negative, smaller is better; statistics are those of the whole table.
+
+    Terms are those of ``parse``. One pass counts the terms a row; no postings are shuffled.
+    """
+    rows = indexed(observations).select("id", "dl", *[occurrences(t).alias(f"f{k}") for k, t in enumerate(terms)])
     stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"), *[F.sum((F.col(f"f{k}") > 0).cast("long")).alias(f"n{k}") for k in range(len(terms))])
     hit = rows.where(" and ".join(f"f{k} > 0" for k in range(len(terms)))).join(F.broadcast(stats))  # one row
     score = F.lit(0.0)
@@ -45,14 +84,11 @@ def bm25(observations: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def search(observations: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """Plain words go to ranked search, anything else to the substring search; type priority leads."""
-    terms = query.lower().split()
-    if not terms:
+    """Words and phrases go to ranked search, anything else to the substring search; type priority leads."""
+    if not query.strip():
         return recent(observations, limit).withColumn("rank", F.lit(None).cast("double"))
-    if all(t.isalnum() for t in terms) and not {"NOT", "AND", "OR", "NEAR"} & set(query.split()):
-        found = observations.join(bm25(observations, terms), "id")
-    else:
-        found = like_search(observations, query).withColumn("rank", F.lit(0.0))
+    terms = parse(query)
+    found = observations.join(bm25(observations, terms), "id") if terms else like_search(observations, query).withColumn("rank", F.lit(0.0))
     return found.orderBy("priority", "rank", F.desc("updated_at"), "id").limit(limit)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from continuo.functions import folding as fd
 from continuo.operators import changes, notes, scope, state
-from continuo.operators.retrieval import recent
+from continuo.operators.retrieval import parse, recent, search
 
 NOTE = "id long, title string, summary string, detail string, status string, importance int"
 ITEM = "project_key string, type string, id long, summary string, detail string, title string, updated_at long"
@@ -138,3 +138,13 @@ def test_segments_against_plain_python(spark):
 
 def test_recent_of_an_empty_table(spark):
     assert recent(frame(spark, [], "id long, updated_at long")).count() == 0
+
+
+def test_phrases_prefixes_and_accents(spark):
+    rows = frame(spark, [(1, 0, "Café noir", "the old café", "", 5), (2, 0, "noir", "cafe", "", 6), (3, 0, "cafeteria", "x", None, 7)], "id long, priority int, title string, summary string, detail string, updated_at long")
+    ids = lambda q: sorted(r.id for r in search(rows, q).collect())
+    assert ids("CAFÉ") == [1, 2] and ids("cafe*") == [1, 2, 3]
+    assert ids('"cafe noir"') == [1] and ids('"noir cafe"') == []  # no phrase runs from one column into the next
+    assert ids('"old caf"*') == [1] and ids('noir "old cafe"') == [1]
+    assert parse("Straße") == ["straße"]
+    assert parse("a AND b") is None and parse("v1.0") is None and parse('"a-b"* c') == ["a b*", "c"]
