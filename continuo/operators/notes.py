@@ -99,7 +99,8 @@ def score(notes: DataFrame, query: str) -> DataFrame:
     counted = ((4.0, 6, "direct"), (0.5, 4, "weak"), (2.0, 4, "alias"), (3.0, 9, "alias_groups"), (4.0, 4, "boosted"), (3.0, 3, "specific"), (2.0, 3, "in_title"), (2.0, 4, "stable"), (4.0, 2, "greatest(0, importance - 3)"))
     flags = ((8.0, "importance >= 4"), (80.0, "identifier"), (60.0, "same_title"), (40.0, "literal and not same_title"), (20.0, "title_literal"), (14.0, "body_literal"), (10.0, "tag_literal"), (2.0, "status in ('active', 'promoted')"))
     parts = [F.least(F.expr(what), F.lit(most)) * weight for weight, most, what in counted] + [F.when(F.expr(what), weight).otherwise(0.0) for weight, what in flags]
-    return rows.where(relevant & allowed).select("id", reduce(lambda a, b: a + b, parts, F.lit(8.0)).alias("note_score"))
+    scored = F.struct("id", reduce(lambda a, b: a + b, parts, F.lit(8.0)).alias("note_score"))
+    return rows.select(F.inline(F.when(relevant & allowed, F.array(scored))))  # a filter would be pushed down and work everything out twice
 
 
 def candidates(notes: DataFrame, limit: int = 50) -> DataFrame:
