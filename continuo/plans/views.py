@@ -59,9 +59,9 @@ NOTE_TAGS = ("release, data quality", "freeze", "local-install", "Café notes, b
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third observation as a manual note with a line of tags."""
+    """Every observation as a manual note with a line of tags."""
     tags = F.element_at(F.array(*map(F.lit, NOTE_TAGS)), (F.col("id") % 4 + 1).cast("int"))
-    return observations(spark, sf_dir).where("id % 3 = 0").withColumn("detail", F.concat("detail", F.lit("\n\nTags: "), tags))
+    return observations(spark, sf_dir).withColumn("detail", F.concat("detail", F.lit("\n\nTags: "), tags))
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
