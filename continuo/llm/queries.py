@@ -79,8 +79,10 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("toxic").alias("bad"))
-    return url_filter.judge(table(spark, sf_dir, "pages"), outcomes)
+    """Labels are those of documents; a page's address names its document."""
+    outcomes = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("bad"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", url_filter.document_of(F.col("url")).alias("doc_id"))
+    return url_filter.judge(pages, outcomes, key="doc_id")
 
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_packing, op3_language_id, language_id_pages, op4_substring_dedup, op5_decontamination, op6_nearest_neighbours, op7_chat_format, op8_minhash_dedup, op9_token_output, op10_url_filter)}

@@ -9,7 +9,8 @@ less ``z`` standard deviations, exceeds ``max_bad``. Hosts without labels inheri
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: up to
 ``?``, ``#`` or the end. A null url or one without ``://`` has neither; it is judged like any host.
 Rules fit a host and all its subdomains where the path starts with the rule's; the longest wins.
-Repeated label rows of one page count once, as bad if any says so; null outcomes are no label.
+Outcomes go to pages by ``key``, a column of both; a page without key has no label. Repeated label
+rows of one key count once, as bad if any says so; null outcomes are no label.
 Repeated pages are rows of their own. Empty tables give no rows; other columns are ignored.
 """
 
@@ -49,6 +50,12 @@ def domain_of(host: Column) -> Column:
     return F.when(paired.isin(*PAIRED_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(paired)
 
 
+def document_of(url: Column) -> Column:
+    """The document that the path names: its last part if that is a number (.html and / may follow), else null."""
+    digits = F.regexp_extract(path_of(url), r"/([0-9]{1,18})(?:\.html?)?/?$", 1)
+    return F.when(digits != "", digits.cast("long"))
+
+
 def rule_of(host: Column, path: Column, rules) -> Column:
     """The (rule, verdict) of the longest rule that fits, else null. The rule list is a parameter, not data."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
@@ -75,11 +82,13 @@ def shrink(children: DataFrame, parents: DataFrame | None, parent: str, top: flo
     return joined.withColumn("k", F.lit(k)).withColumn("mean", (F.col("bad") + F.col("k") * F.col("prior")) / (F.col("n") + F.col("k")))
 
 
-def reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> DataFrame:
-    """host, n, bad, mean, lower of every host. outcomes: page_id, bad (0 or 1)."""
-    hosts = pages.select("page_id", host_of(F.col("url")).alias("name"))
-    once = outcomes.where("bad is not null").groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad"))
-    counts = hosts.join(once, "page_id", "left").groupBy("name").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+def reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z, key: str = "page_id") -> DataFrame:
+    """host, n, bad, mean, lower of every host. outcomes: the key, bad (0 or 1)."""
+    hosts = pages.groupBy(host_of(F.col("url")).alias("name"), F.col(key)).agg(F.count("*").alias("rows"))
+    once = outcomes.where("bad is not null").groupBy(key).agg(F.max(F.col("bad").cast("int")).alias("bad"))
+    labelled = hosts.join(once, key).select("name", F.col("rows").alias("n"), (F.col("rows") * F.col("bad")).alias("bad"))
+    every = hosts.select("name", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bad"))
+    counts = labelled.unionByName(every).groupBy("name").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     counts = materialize(counts.withColumn("domain", domain_of(F.col("name"))).withColumn("suffix", suffix_of(F.col("name"))), "host-counts")
     domains = counts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumnRenamed("domain", "name")
     suffixes = counts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumnRenamed("suffix", "name")
@@ -93,9 +102,9 @@ def reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> DataFrame
     return hosts.select(F.col("name").alias("host"), "n", "bad", "mean", (F.col("mean") - z * deviation).alias("lower"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, z: float = Z, max_bad: float = MAX_BAD) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, z: float = Z, max_bad: float = MAX_BAD, key: str = "page_id") -> DataFrame:
     """page_id, host, path, rule, verdict of every page."""
-    blocked = reputation(pages, outcomes, z).where(F.col("lower") > max_bad).select("host", F.lit(True).alias("blocked"))
+    blocked = reputation(pages, outcomes, z, key).where(F.col("lower") > max_bad).select("host", F.lit(True).alias("blocked"))
     blocked = materialize(blocked, "blocked-hosts")
     cut = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     cut = cut.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))

@@ -282,6 +282,18 @@ def test_url_edges(spark):
     assert url_filter.judge(pages.limit(0), labels).count() == 0
 
 
+def test_url_outcomes_are_those_of_the_document_in_the_path(spark, tmp_path):
+    urls = ["http://h.a/en/7817?x=1", "http://h.a/en/7.html#t", "http://h.a/8/", "http://h.a/en/x9", "http://h.a/1/index", "http://h.a/en/" + "9" * 30, None]
+    got = spark.createDataFrame([(u,) for u in urls], "url string").select(url_filter.document_of(F.col("url"))).collect()
+    assert [r[0] for r in got] == [7817, 7, 8, None, None, None, None]
+    # pages 0 to 29 of h.bad name documents 1000 to 1029, all toxic; the labels of documents 0 to 29 are those of other pages
+    rows = [(k, f"http://h.bad/xx/{1000 + k}") for k in range(30)] + [(30 + k, f"http://h.good/xx/{k}") for k in range(30)]
+    spark.createDataFrame(rows + [(90, "http://h.good/none")], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(1000 + k, 1) for k in range(30)] + [(k, 0) for k in range(30)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    verdicts = {r.page_id: r.verdict for r in queries.op10_url_filter(spark, str(tmp_path)).collect()}
+    assert all(verdicts[k] == "block" for k in range(30)) and all(verdicts[k] == "allow" for k in [*range(30, 60), 90])
+
+
 def test_pipeline_stages(spark, sf, tmp_path):
     table = spark.read.parquet(f"{sf}/documents.parquet")
     clean = " ".join(f"unique{k}" for k in range(80))
