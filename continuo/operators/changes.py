@@ -25,17 +25,24 @@ def leading(items: DataFrame, keys: list[str], most: int, *order) -> DataFrame:
 
 
 def state_items(observations: DataFrame, key: str, newest_first: bool = True) -> DataFrame:
-    """key, type, id, summary, normalized: of each kind the leading distinct texts that state keeps.
+    """key, type, id, summary, normalized: of each kind the leading texts that state keeps.
 
-    The first row of an equal text stays. Bounded by STATE_LIMITS a group, so joins between kinds stay small.
+    Greedy fuzzy dedupe in order: a text stays unless it matches one kept before, as many as STATE_LIMITS says, so joins
+    between kinds stay small. Matching is not transitive, so each round keeps the first text left of a kind and drops
+    what matches it. All rounds run on one sort of the distinct texts, and no group is collected or cut before.
     """
     order = [F.desc("updated_at"), F.desc("id")] if newest_first else [F.col("updated_at"), F.col("id")]
     rows = observations.where(F.col("type").isin(*STATE_LIMITS)).withColumn("normalized", state_text()).where("normalized <> ''")
     lead = F.max if newest_first else F.min
     distinct = rows.groupBy(key, "type", "normalized").agg(lead(F.struct("updated_at", "id", "summary")).alias("x")).select(key, "type", "normalized", "x.*")
     limits = F.create_map(*[F.lit(v) for pair in STATE_LIMITS.items() for v in pair])
-    ranked = distinct.withColumn("rn", F.row_number().over(Window.partitionBy(key, "type").orderBy(*order))).where(F.col("rn") <= max(STATE_LIMITS.values()))
-    return ranked.where(F.col("rn") <= limits[F.col("type")]).drop("rn")
+    so_far = Window.partitionBy(key, "type").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left = distinct.withColumn("kept", F.lit(False))
+    for k in range(1, max(STATE_LIMITS.values()) + 1):
+        left = left.withColumn("first", F.first(F.when(~F.col("kept"), F.col("normalized")), ignorenulls=True).over(so_far))
+        left = left.withColumn("kept", F.col("kept") | (F.col("first") == F.col("normalized")))
+        left = left.where(F.col("kept") | ((limits[F.col("type")] > k) & ~T.state_matches(F.col("first"), F.col("normalized"))))
+    return left.where("kept").drop("kept", "first")
 
 
 def delta(current: DataFrame, previous: DataFrame, key: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from continuo import registry
 from continuo.functions import folding as fd
+from continuo.functions import text as T
 from continuo.operators import changes, notes, scope, state
 from continuo.operators.retrieval import parse, recent, search
 from continuo.plans import views
@@ -122,6 +123,31 @@ def test_changes_contradictions_and_repairs(spark):
     assert changes.state_items(empty, "project_key").count() == changes.repairs(empty, "project_key", empty, empty).count() == 0
 
 
+def test_state_keeps_items_behind_wordings_of_one_text(spark):
+    words = ["fix the parser", "fix parser now", "please fix the parser", "parser fix", "fix the parser today", "still fix parser soon", "fix a parser"]
+    rows = [("p", "pending_item", 100 - n, s) for n, s in enumerate(words)] + [("p", "pending_item", 10, "write the docs"), ("p", "blocker", 9, "no access yet"), ("q", "pending_item", 8, "fix parser")]
+    # not transitive: "a b" drops "a b c", which would have dropped "b c", so that stays
+    rows += [("r", "constraint", 7, "a1 b1"), ("r", "constraint", 6, "a1 b1 c1"), ("r", "constraint", 5, "b1 c1"), ("r", "objective", 4, "one"), ("r", "objective", 3, "two")]
+    rows += [("s", "completed_item", 90 - n, f"task number{n}") for n in range(9)] + [("s", "pending_item", 50 - n, f"common lead {n % 3} x{n}") for n in range(30)] + [("s", "pending_item", 2, "lead 1")]
+    obs = frame(spark, [(k, t, i, s, s, s, i) for k, t, i, s in rows], ITEM)
+    norm = {r.id: r.n for r in obs.select("id", changes.state_text().alias("n")).collect()}
+
+    def matches(a, b):  # the rule of operational_state.py in plain Python
+        x, y = ({w for w in t.split() if w not in T.STATE_STOPWORDS} for t in (a, b))
+        return a == b or (len(a) >= 18 and a in b) or (len(b) >= 18 and b in a) or bool(x and y and (x <= y or y <= x))
+
+    want = set()
+    for key, kind in {(k, t) for k, t, _, _ in rows}:
+        kept = []
+        for i in sorted((i for k, t, i, _ in rows if (k, t) == (key, kind)), reverse=True):
+            if len(kept) < changes.STATE_LIMITS[kind] and not any(matches(norm[i], norm[j]) for j in kept):
+                kept.append(i)
+        want |= set(kept)
+    items = changes.state_items(obs, "project_key")
+    assert {r.id for r in items.collect()} == want >= {10, 7, 5, 4} and not want & {6, 3}
+    assert {r.summary for r in state.open_work(items.where("project_key = 'p'"), "project_key").collect()} >= {"write the docs", "no access yet"}
+
+
 def test_turn_observations(spark):
     schema = "session_id string, turn_id string, runtime string, input_messages array<string>, assistant_message string"
     rows = [
