@@ -9,7 +9,11 @@ those by the global one (Dirichlet). Trigrams depend on each other, so a text co
 trigrams at most.
 
 A row is rejected (``kept`` false) if its text has fewer than ``LETTERS`` letters, null texts
-included, or if no language has a posterior of ``CONFIDENT``. Null declarations, suffixes and hosts
+included, if it is ``UNKNOWN``, or if no language has a posterior of ``CONFIDENT``. Posteriors compare
+the modelled languages only, so a text is unknown if under ``LETTER_SHARE`` of its bytes are letters
+or if it is too unlikely in every language: below the floor of log likelihood a trigram that held-out
+texts of the language set (their median less ``SPREADS`` of their spreads, less ``SHORT`` / sqrt(trigrams)).
+The text alone decides this; a declaration or host makes no text known. Null declarations, suffixes and hosts
 are no evidence. Repeated rows are judged alike. Without any declared language nothing is rejected.
 """
 
@@ -23,6 +27,7 @@ from continuo.llm.common import checked_broadcast, materialize, unbatched
 
 LANGUAGES, SAMPLE, SAMPLE_CHARS, EFFECTIVE, LETTERS, CONFIDENT, STRENGTH = 32, 300, 8_000, 300, 3, 0.5, 10.0
 BROADCAST_HOSTS = 200_000
+UNKNOWN, LETTER_SHARE, SPREADS, LEAST_SPREAD, SHORT = "unknown", 0.15, 12.0, 0.25, 14.0
 _CLASSES = np.zeros(256, dtype=np.int32)
 _CLASSES[np.arange(97, 123)] = _CLASSES[np.arange(65, 91)] = np.arange(1, 27)
 _CLASSES[128:] = 27 + np.arange(128) % 37
@@ -33,14 +38,37 @@ def trigrams(data: np.ndarray) -> np.ndarray:
     return (codes[:-2] << 12) | (codes[1:-1] << 6) | codes[2:]
 
 
+def _bytes(text: str) -> np.ndarray:
+    return np.frombuffer(f" {text} ".encode(), dtype=np.uint8)
+
+
+def _likelihoods(texts: list[str]) -> np.ndarray:
+    counts = np.full(1 << 18, 0.1)
+    for text in texts:
+        counts += np.bincount(trigrams(_bytes(text)), minlength=1 << 18)
+    return np.log(counts / counts.sum()).astype(np.float32)
+
+
+def _floor(texts: list[str]) -> float:
+    """From each half of the texts under the model of the other; one text alone sets no floor."""
+    halves = texts[::2], texts[1::2]
+    if not halves[1]:
+        return -np.inf
+    held = np.array([table[trigrams(_bytes(t))].mean() for table, half in ((_likelihoods(halves[1]), halves[0]), (_likelihoods(halves[0]), halves[1])) for t in half])
+    middle = np.median(held)
+    return float(middle - SPREADS * max(1.4826 * np.median(np.abs(held - middle)), LEAST_SPREAD))
+
+
 class TrigramModel:
     def __init__(self, labelled: dict[str, list[str]]):
         self.languages = sorted(labelled)
-        counts = np.full((len(self.languages), 1 << 18), 0.1)
-        for k, language in enumerate(self.languages):
-            for text in labelled[language]:
-                counts[k] += np.bincount(trigrams(np.frombuffer(f" {text} ".encode(), dtype=np.uint8)), minlength=1 << 18)
-        self.table = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+        self.table = np.stack([_likelihoods(labelled[x]) for x in self.languages])
+        self.floors = np.array([_floor(labelled[x]) for x in self.languages])
+
+    def known(self, number: np.ndarray, letters: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """Whether a text could be in one of the languages at all; from what ``scores`` gives."""
+        n = np.maximum(number, 1)[:, None]
+        return (letters >= LETTER_SHARE * (number + 2)) & (scores / n >= self.floors - SHORT / np.sqrt(n)).any(axis=1)
 
     def scores(self, data: np.ndarray, offsets: np.ndarray):
         """(trigrams, letters, log likelihoods) of each text; trigrams that cross a boundary don't count."""
@@ -84,11 +112,12 @@ def _score(model: TrigramModel):
             offsets = np.frombuffer(text.buffers()[1], dtype=np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
             data = np.frombuffer(text.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if text.buffers()[2] is not None else np.zeros(0, np.uint8)
             number, letters, scores = model.scores(data, offsets - offsets[0])
+            known = model.known(number, letters, scores)
             scores *= np.minimum(1.0, EFFECTIVE / np.maximum(number, 1))[:, None]
             size = len(model.languages)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(text) + 1, dtype=np.int32) * size), pa.array(scores.ravel()))
             best = pa.array([model.languages[k] for k in scores.argmax(axis=1)])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], batch["host"], batch["suffix"], batch["declared"], pa.array(letters.astype(np.int64)), lists, best], ["doc_id", "text_key", "host", "suffix", "declared", "letters", "scores", "best"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], batch["host"], batch["suffix"], batch["declared"], pa.array(letters.astype(np.int64)), pa.array(known), lists, best], ["doc_id", "text_key", "host", "suffix", "declared", "letters", "known", "scores", "best"])
 
     return run
 
@@ -109,8 +138,8 @@ def identify(rows: DataFrame) -> DataFrame:
     if model is None:
         return rows.select("doc_id", "text_key", "declared", F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("posterior"), F.lit(True).alias("kept"))
     languages = model.languages
-    scored = materialize(rows.mapInArrow(_score(model), "doc_id long, text_key long, host string, suffix string, declared string, letters long, scores array<double>, best string"), "language-scores")
-    sure = scored.where(F.col("letters") >= LETTERS)
+    scored = materialize(rows.mapInArrow(_score(model), "doc_id long, text_key long, host string, suffix string, declared string, letters long, known boolean, scores array<double>, best string"), "language-scores")
+    sure = scored.where((F.col("letters") >= LETTERS) & F.col("known"))
     counted = materialize(sure.groupBy("host", "suffix", "declared", "best").agg(F.count("*").alias("rows")), "language-counts")
     overall = {r["best"]: r["rows"] for r in counted.groupBy("best").agg(F.sum("rows").alias("rows")).collect()}  # one row per language
     total = sum(overall.values()) + len(languages)
@@ -132,6 +161,7 @@ def identify(rows: DataFrame) -> DataFrame:
     out = out.withColumn("fused", fused).withColumn("most", F.array_max("fused"))
     weight = F.aggregate(F.transform("fused", lambda x: F.exp(x - F.col("most"))), F.lit(0.0), lambda a, x: a + x)
     at = F.array_position("fused", F.col("most")).cast("int")
-    enough = F.col("letters") >= LETTERS
-    out = out.select("doc_id", "text_key", "declared", F.when(enough, F.element_at(F.array(*map(F.lit, languages)), at)).alias("language"), (1 / weight).alias("posterior"), enough.alias("enough"))
+    enough, known = F.col("letters") >= LETTERS, F.col("known")
+    named = F.when(known, F.element_at(F.array(*map(F.lit, languages)), at)).otherwise(UNKNOWN)
+    out = out.select("doc_id", "text_key", "declared", F.when(enough, named).alias("language"), (1 / weight).alias("posterior"), (enough & known).alias("enough"))
     return out.select("doc_id", "text_key", "declared", "language", "posterior", (F.col("enough") & (F.col("posterior") >= CONFIDENT)).alias("kept"))

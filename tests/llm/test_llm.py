@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import random
 import zlib
@@ -126,6 +127,27 @@ def test_language_held_out_accuracy_and_edges(spark):
     assert language_id.identify(queries.language_rows(docs(spark, []))).count() == 0
 
 
+def test_language_rejects_what_no_modelled_language_explains(spark):
+    r = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    kinds = {
+        "random": lambda: "".join(r.choices(letters, k=600)),
+        "words": lambda: " ".join("".join(r.choices(letters, k=r.randint(2, 9))) for _ in range(100)),
+        "base64": lambda: base64.b64encode(r.randbytes(450)).decode(),
+        "cyrillic": lambda: " ".join(r.choices("привет мир это русский текст который когда можно сказать человек".split(), k=80)),
+        "chinese": lambda: "".join(r.choices("的一是不了人我在有他这中大来上国个到说们为子和你地出道也时年", k=200)),
+        "tags": lambda: '<div class="a"><span></span></div>' * r.randint(10, 30),
+        "digits": lambda: " ".join(str(r.randint(0, 10**6)) for _ in range(90)) + " abc",
+        "italian": lambda: "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita " * r.randint(1, 4),
+    }
+    junk = [(-1 - k, make(), None if k % 10 else "en", "src0") for k, make in enumerate(m for m in kinds.values() for _ in range(10))]
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    judged = language_id.identify(queries.language_rows(table.unionByName(spark.createDataFrame(junk, "doc_id long, text string, lang string, source string")))).collect()
+    assert [(x.doc_id, x.language) for x in judged if x.doc_id < 0 and (x.language, x.kept) != ("unknown", False)] == []
+    assert sum(x.kept for x in judged if x.doc_id >= 0) == table.count()  # every clean document stays
+    assert language_id._floor(["one text"]) == -np.inf
+
+
 def brute_cut(pairs, window):
     words = [(d, (t or "").split()) for d, t in pairs]
     first = {}
