@@ -1,7 +1,7 @@
 """Language identification by Bayesian evidence fusion.
 
 Evidence: character trigrams of the whole text, the declared markup language, the address suffix
-and a prior of the host. The trigram model is fitted on a bounded sample of rows with a declared
+and a prior of the host. The trigram model is fitted on a bounded sample of distinct texts with a declared
 language (``SAMPLE`` per language, of at most ``SAMPLE_CHARS`` characters, for the ``LANGUAGES`` most
 frequent ones). All other tables are counted over all rows by grouped aggregation: what hosts,
 suffixes and declarations go with which text language. Host priors are smoothed by their suffix's,
@@ -86,19 +86,19 @@ class TrigramModel:
 
 
 def fit(rows: DataFrame) -> TrigramModel | None:
-    """From rows with text and declared; the sample is chosen by hash, so it is the same every time."""
+    """From rows with text and declared; the sample is chosen by hash, so it is the same every time.
+
+    Copies count once, so a language of few texts has all of them in its sample. Only hashes are dealt out to choose it.
+    """
     declared = rows.where("declared is not null and text is not null").withColumn("chars", F.length("text")).where(F.col("chars").between(20, SAMPLE_CHARS))
     counts = declared.groupBy("declared").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "declared").limit(LANGUAGES).collect()
     if not counts:
         return None
-    order = F.xxhash64("text")
-    share = F.lit(None).cast("double")
-    for r in counts:
-        share = F.when(F.col("declared") == r["declared"], min(1.0, 4 * SAMPLE / r["rows"])).otherwise(share)
-    drawn = declared.where(F.pmod(order, F.lit(1_000_000)) < share * 1_000_000)
-    drawn = drawn.withColumn("k", F.row_number().over(Window.partitionBy("declared").orderBy(order, "text"))).where(F.col("k") <= SAMPLE)
+    declared = declared.where(F.col("declared").isin([r["declared"] for r in counts])).withColumn("hash", F.xxhash64("text"))
+    keys = declared.select("declared", "hash").distinct().withColumn("k", F.row_number().over(Window.partitionBy("declared").orderBy("hash"))).where(F.col("k") <= SAMPLE).drop("k")
+    drawn = declared.join(F.broadcast(keys), ["declared", "hash"]).groupBy("declared", "hash").agg(F.min("text").alias("text"))
     labelled: dict[str, list[str]] = {}
-    for r in drawn.select("declared", "text").collect():  # LANGUAGES * SAMPLE rows at most
+    for r in drawn.orderBy("declared", "hash").collect():  # LANGUAGES * SAMPLE rows at most, as are the keys
         labelled.setdefault(r["declared"], []).append(r["text"])
     return TrigramModel(labelled) if labelled else None
 

@@ -148,6 +148,25 @@ def test_language_rejects_what_no_modelled_language_explains(spark):
     assert language_id._floor(["one text"]) == -np.inf
 
 
+def test_language_sample_has_every_language_and_names_the_rest_unknown(spark, monkeypatch):
+    r = random.Random(5)
+    sounds = {x: ["".join(r.choices("bcdfghklmnprstvwz", k=1)) + "".join(r.choices("aeiouy", k=2)) for _ in range(9)] for x in ("aa", "bb", "cc", "dd")}
+    make = lambda x, k: f"{x}{k} " + " ".join("".join(r.choices(sounds[x], k=3)) for _ in range(60))
+    texts = {x: [make(x, k) for k in range(10 if x == "bb" else 40)] for x in sounds}
+    copies = {"aa": 30, "bb": 120, "cc": 30, "dd": 1}  # bb: 10 texts, 1,200 rows, which the old share could leave out wholly
+    rows = [(x, t) for x in sounds for t in texts[x] for _ in range(copies[x])]
+    frame = spark.createDataFrame([(k, t, x, "s") for k, (x, t) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    monkeypatch.setattr(language_id, "LANGUAGES", 3)
+    monkeypatch.setattr(language_id, "SAMPLE", 12)
+    seen = {}
+    monkeypatch.setattr(language_id, "TrigramModel", lambda labelled, make=language_id.TrigramModel: seen.update(labelled) or make(labelled))
+    got = defaultdict(set)
+    for x in language_id.identify(queries.language_rows(frame)).collect():
+        got[x.declared].add((x.language, x.kept))
+    assert {k: (len(v), len(set(v))) for k, v in seen.items()} == {"aa": (12, 12), "bb": (10, 10), "cc": (12, 12)}
+    assert got == {"aa": {("aa", True)}, "bb": {("bb", True)}, "cc": {("cc", True)}, "dd": {("unknown", False)}}
+
+
 def brute_cut(pairs, window):
     words = [(d, (t or "").split()) for d, t in pairs]
     first = {}
