@@ -70,11 +70,11 @@ class Engine:
     def search(self, query: str, project_key: str | None = None, limit: int = 10) -> DataFrame:
         """id, priority, rank, updated_at, score: ranked search with scored notes; important notes if nothing is found.
 
-        Word statistics are those of all projects; the project filter applies to the hits.
+        Word statistics are those of all projects; the project filter applies to the hits before the limit.
         """
         limit = max(1, min(limit, 50))
         rows = self.observations(project_key)
-        hits = retrieval.search(self.observations(), query, 250).join(rows.select("id"), "id")
+        hits = retrieval.search(self.observations(), query, 250, project_key)
         known = rows.where("source_kind = 'manual_note'")
         return notes.merge_ranked(hits, notes.score(known, query), known.select("id", "priority", "updated_at"), limit)
 

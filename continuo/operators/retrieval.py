@@ -83,12 +83,16 @@ def bm25(observations: DataFrame, terms: list[str]) -> DataFrame:
     return hit.select("id", score.alias("rank"))
 
 
-def search(observations: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """Words and phrases go to ranked search, anything else to the substring search; type priority leads."""
+def search(observations: DataFrame, query: str, limit: int = 10, project_key: str | None = None) -> DataFrame:
+    """Words and phrases go to ranked search, anything else to the substring search; type priority leads.
+
+    Word statistics are those of all rows; with ``project_key`` only that project's hits count towards the limit.
+    """
+    among = observations if project_key is None else observations.where(F.col("project_key") == project_key)
     if not query.strip():
-        return recent(observations, limit).withColumn("rank", F.lit(None).cast("double"))
+        return recent(among, limit).withColumn("rank", F.lit(None).cast("double"))
     terms = parse(query)
-    found = observations.join(bm25(observations, terms), "id") if terms else like_search(observations, query).withColumn("rank", F.lit(0.0))
+    found = among.join(bm25(observations, terms), "id") if terms else like_search(among, query).withColumn("rank", F.lit(0.0))
     return found.orderBy("priority", "rank", F.desc("updated_at"), "id").limit(limit)
 
 

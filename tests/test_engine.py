@@ -59,6 +59,16 @@ def test_notes_and_search(engine, spark):
     assert engine.observations("demo").where("source_kind = 'manual_note'").count() == 1
 
 
+def test_search_filters_by_project_before_the_limit(spark, tmp_path):
+    made = Engine(spark, str(tmp_path))
+    hot = [("agent", "hot", "h", str(k), None, "1970-03-01T00:00:00Z", [f"Pending: mend gearbox {k}"], None) for k in range(260)]
+    made.ingest(spark.createDataFrame(hot + [("agent", "small", "s", "1", None, "1970-01-02T00:00:00Z", ["Pending: mend the gearbox of the very old red tractor"], None)], ENVELOPE))
+    for asked in ("gearbox", "mend-gearbox", ""):
+        want = {r.id for r in made.observations("small").collect() if asked in ("gearbox", "")}
+        assert {r.id for r in made.search(asked, "small").collect()} == want and len(want) in (0, 3)
+    assert made.search("gearbox", limit=50).count() == 50
+
+
 def test_governance_snapshots_and_repairs(engine):
     with pytest.raises(ValueError):
         engine.policy_add("demo", "p0", "nope", {}, 1)
