@@ -47,8 +47,10 @@ class Engine:
         place = F.create_map(*[F.lit(x) for pair in zip(TYPES, PRIORITY, strict=True) for x in pair])
         return changes.without_repaired(rows, self.store.read("repairs", REPAIR)).withColumn("priority", F.coalesce(place[F.col("type")], F.lit(50)))
 
-    def _items(self, project_key: str, before: int | None = None) -> DataFrame:
+    def _items(self, project_key: str, before: int | None = None, hidden: DataFrame | None = None) -> DataFrame:
+        """The bounded state items; what policies hide is taken out before their limits count."""
         rows = self.observations(project_key)
+        rows = rows if hidden is None else rows.join(hidden, "id", "left_anti")
         return changes.state_items(rows if before is None else rows.where(F.col("updated_at") < before), "project_key")
 
     # -- sources
@@ -137,7 +139,7 @@ class Engine:
     def context_pack(self, project_key: str, max_chars: int = 2200, now: int = 0) -> DataFrame:
         """One row: the open items and facts that no policy hides; archiving by age counts from ``now``."""
         hidden = self._effects(project_key, now).where("excluded or archived").select("id")
-        items = self._items(project_key).join(hidden, "id", "left_anti")
+        items = self._items(project_key, hidden=hidden)
         order = F.array_position(F.array(*map(F.lit, TYPES)), F.col("type"))
         return pack.pack(items.select("project_key", F.col("type").alias("kind"), order.alias("kind_order"), F.struct(F.negative("updated_at").alias("t"), "id").alias("pos"), F.col("summary").alias("value")), "project_key", max_chars)
 

@@ -69,6 +69,24 @@ def test_search_filters_by_project_before_the_limit(spark, tmp_path):
     assert made.search("gearbox", limit=50).count() == 50
 
 
+def test_hidden_rows_take_no_place_in_the_pack(spark, tmp_path):
+    made = Engine(spark, str(tmp_path))
+    things = ["paint fences", "sweep chimneys", "mend gearbox", "water lemons", "count sheep", "bake bread", "tune pianos", "sell tickets"]
+    said = [("agent", "p", "s", str(k), None, f"1970-03-0{k + 1}T00:00:00Z", [f"Pending: {x}"], "We did look into all of that for a good while. " * 30) for k, x in enumerate(things)]
+    made.ingest(spark.createDataFrame(said, ENVELOPE))
+    for k, x in enumerate(things[2:]):  # the six newest
+        made.policy_add("p", f"x{k}", "exclude_from_pack", {"types": ["pending_item"], "text_contains": [x]}, k)
+    text = made.context_pack("p").first().text
+    kept = text.split("## pending_item")[1].split("##")[0]
+    assert "paint fences" in kept and "sweep chimneys" in kept and not any(x in kept for x in things[2:])
+    assert made.snapshot_create("p", "x", 9).first().text == text and text in made.sync_document("p", "# Guide", 9)
+    old = [("agent", "q", "s", str(k), None, f"1970-03-0{k + 1}T00:00:00Z", [f"Pending: {x}"], None) for k, x in enumerate(things)]
+    made.ingest(spark.createDataFrame(old, ENVELOPE))
+    made.policy_add("q", "y", "archive_if_stale", {"types": ["pending_item"], "text_contains": ["s"], "days": 0}, 9)
+    made.policy_add("q", "z", "never_archive", {"types": ["pending_item"], "text_contains": [things[0]]}, 9)
+    assert f"- {things[0]}" in made.context_pack("q", now=10**9).first().text.split("## pending_item")[1].split("##")[0]
+
+
 def test_governance_snapshots_and_repairs(engine):
     with pytest.raises(ValueError):
         engine.policy_add("demo", "p0", "nope", {}, 1)
