@@ -20,9 +20,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents without recognisable language go."""
     common.release(spark)
     judged = language_id.identify(language_rows(docs))
-    gone = common.materialize(judged.where("not kept").select("doc_id", F.col("text_key").alias("__text_key")).distinct(), "rejected")
-    keyed = docs.withColumn("__text_key", F.xxhash64("text"))
-    return _columns(substring_dedup.only(keyed, gone, keep=False))
+    gone = common.materialize(judged.where("not kept").select(F.xxhash64("doc_id", "text_key").alias("__doc")).distinct(), "rejected")
+    keyed = docs.withColumn("__doc", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))))  # never null
+    few = common.checked_broadcast(gone, gone.count(), minhash.BROADCAST_IDS)
+    return _columns(keyed.join(few, "__doc", "left_anti"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

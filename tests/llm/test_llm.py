@@ -335,6 +335,13 @@ def test_url_outcomes_are_those_of_the_document_in_the_path(spark, tmp_path):
     assert all(verdicts[k] == "block" for k in range(30)) and all(verdicts[k] == "allow" for k in [*range(30, 60), 90])
 
 
+def test_pipeline_rejects_rows_without_doc_id(spark, sf):
+    table = spark.read.parquet(f"{sf}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    more = docs(spark, [(None, None), (None, "12 %%"), (9004, "12 %%"), (9005, None), (None, table.first().text)]).select(*corpus_pipeline.COLUMNS)
+    left = corpus_pipeline.language_stage(spark, table.unionByName(more), sf).collect()
+    assert len(left) == table.count() + 1 and [r.text for r in left if r.doc_id is None] == [table.first().text]
+
+
 def test_pipeline_stages(spark, sf, tmp_path):
     table = spark.read.parquet(f"{sf}/documents.parquet")
     clean = " ".join(f"unique{k}" for k in range(80))
