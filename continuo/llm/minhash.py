@@ -5,13 +5,19 @@ table's key joins one band of either side, so 2 * side * rows minhashes do the w
 2 * side * side * rows. At similarity 0.75 with side 12 and rows 2, a pair misses all tables with
 probability 1e-4. Bands that nobody else has drop out before keys are formed.
 
-Equal shingle sets are one class (128-bit set hash) behind its smallest doc_id. Links are confirmed
+Equal shingle sets are one class (128-bit set hash) behind its smallest doc_id. A class goes by a
+64-bit number; the few numbers that two classes would share are dealt anew. Links are confirmed
 on full sets of 64-bit shingle hashes, in rounds that leave out what is connected already:
 each class against the best of its buckets' smallest members; then against the best-linked member
 of its buckets; then every pair that meets in a table and is still in different components, tested
 in blocks inside tasks. So no link between components is left untested, and no pairs are gathered. Components
 come from distributed star contraction.
 
+The blocks of the last round are the classes behind a common left band, cut into parts that meet
+pairwise where it is common. Where that takes more parts than a side has bands, its table keys take its place, and
+only a key that is too common itself is cut. A pair is tested in the first block where it meets, so the copies of a
+set are a few for each band, however common it is, as long as no whole key is.
+
 Rows of one doc_id count as one document (all its sets are reachable from each other). A null doc_id
 links with nothing, nor does a text without words; both stay. Empty tables give no rows. Other
 columns are ignored.
@@ -20,7 +26,7 @@ columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from continuo.llm.common import checked_broadcast, give_back, materialize, unbatched
@@ -29,9 +35,7 @@ from continuo.llm.hashing import Words, mix, set_hashes
 
 SHINGLE, SIDE, ROWS, PERCENT = 5, 12, 2, 75
 #: Classes, and their shingles, on one side of a block of pairs (on average; one class at least).
-BLOCK, BLOCK_SHINGLES = 400, 500_000
-#: Ids that are broadcast at most; beyond it, joins shuffle.
-BROADCAST_IDS = 1_000_000
+BLOCK, BLOCK_SHINGLES = 1_000, 500_000
 _SEED = 20_240_501
 
 
@@ -111,38 +115,40 @@ def _confirm(percent: int):
 
 
 def _close(side: int, percent: int):
+    """Tests a block: rows of one left band ``i`` (and right band ``j``, if not -1), of parts a and b of it."""
+
     def run(key, rows):
         import pandas as pd
 
+        i, j, a, b = (int(x) for x in key[1:])
         bands = np.stack(rows["bands"].to_numpy())
-        left, right, i = bands[:, :side], bands[:, side:], int(rows["i"].iloc[0])
-        part, root, n, ids = rows["part"].to_numpy(), rows["root"].to_numpy(), rows["n"].to_numpy(), rows["class"].to_numpy()
+        left, right = bands[:, :side], bands[:, side:]
+        part, root, n, ids = rows["part"].to_numpy(), rows["root"].to_numpy().copy(), rows["n"].to_numpy(), rows["class"].to_numpy()
         flat, at = np.unique(np.concatenate([np.frombuffer(s, dtype=np.uint64) for s in rows["shingles"]]), return_inverse=True)
         begin = np.concatenate([[0], np.cumsum(n)])
-        marked, parent, out = np.zeros(len(flat), dtype=np.int32), {}, []
-
-        def top(x):
-            while x in parent:
-                x = parent[x]
-            return x
-
+        marked, out = np.zeros(len(flat), dtype=bool), []
         for y in range(len(n)):
-            if key[1] != key[2] and part[y] != key[1]:
+            if a != b and part[y] != a:
+                continue
+            z = np.flatnonzero((root != root[y]) & (100 * np.minimum(n, n[y]) >= percent * np.maximum(n, n[y])))
+            z = z[part[z] == b] if a != b else z[z > y]
+            if not len(z):
                 continue
-            equal = left == left[y]
-            meets = equal[:, i] & (equal.argmax(axis=1) == i) & (root != root[y]) & (100 * np.minimum(n, n[y]) >= percent * np.maximum(n, n[y]))
-            meets &= (part == key[2]) if key[1] != key[2] else (np.arange(len(n)) > y)
-            meets &= (right == right[y]).any(axis=1)
-            if not meets.any():
+            same = left[z] == left[y]
+            meets = same[:, i] & (same.argmax(axis=1) == i)  # the first left band that they share
+            same = right[z] == right[y]
+            meets &= same.any(axis=1) if j < 0 else same[:, j] & (same.argmax(axis=1) == j)
+            z = z[meets]
+            if not len(z):
                 continue
-            marked[at[begin[y] : begin[y + 1]]] = 1
-            common = np.add.reduceat(marked[at], begin[:-1])
-            marked[at[begin[y] : begin[y + 1]]] = 0
-            for z in np.flatnonzero(meets & (100 * common >= percent * (n + n[y] - common))):
-                a, b = top(root[y]), top(root[z])
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    out.append((ids[y], ids[z]))
+            own = at[begin[y] : begin[y + 1]]
+            marked[own] = True
+            common = np.array([np.count_nonzero(marked[at[begin[x] : begin[x + 1]]]) for x in z])
+            marked[own] = False
+            for x in z[100 * common >= percent * (n[z] + n[y] - common)]:
+                if root[x] != root[y]:
+                    out.append((ids[y], ids[x]))
+                    root[root == max(root[x], root[y])] = min(root[x], root[y])
         if len(at) > BLOCK_SHINGLES // 2:
             del flat, at, marked
             give_back()
@@ -151,6 +157,13 @@ def _close(side: int, percent: int):
     return run
 
 
+def numbered(classes: DataFrame, number: Column | None = None) -> DataFrame:
+    """Adds ``class``, a 64-bit number of (h1, h2); where several have one hash, all but the first get another."""
+    found = classes.withColumn("class", F.xxhash64("h1", "h2") if number is None else number)
+    found = found.withColumn("k", F.row_number().over(Window.partitionBy("class").orderBy("h1", "h2")))
+    return found.withColumn("class", F.when(F.col("k") == 1, F.col("class")).otherwise(F.xxhash64("class", "h2", "h1", "k"))).drop("k")
+
+
 class NearDuplicates:
     """The run over one table; ``links`` are confirmed pairs of class representatives."""
 
@@ -158,9 +171,10 @@ class NearDuplicates:
         self.size, self.side, self.percent = size, side, percent
         self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         signed = materialize(self.texts.mapInArrow(_signatures(size, side, rows), "doc_id long, n long, h1 long, h2 long, bands array<long>"), "signatures")
+        classes = signed.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
         # written first, so that the join back deals both sides anew and the runtime can split a hot class
-        classes = materialize(signed.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "set-classes")
-        self.members = materialize(signed.join(classes, ["h1", "h2"], "left").withColumn("class", F.xxhash64("h1", "h2")), "members")
+        classes = materialize(numbered(classes), "set-classes")
+        self.members = materialize(signed.join(classes, ["h1", "h2"], "left"), "members")
         own = self.members.where("doc_id = rep and n > 0").select("class", "rep", "n", "h1", "h2", "bands")
         self.classes = materialize(own.dropDuplicates(["class"]), "classes")
 
@@ -198,11 +212,13 @@ class NearDuplicates:
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept of every row."""
         rows = self.table_rows()
-        wanted = materialize(rows.select("class", "rep").distinct(), "wanted")
+        wanted = self.classes.join(rows.select("class").distinct(), "class", "left_semi")
+        wanted = materialize(wanted.select("class", "rep", "h1", "h2"), "wanted")
         ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
-        texts = self.texts.join(checked_broadcast(ids, wanted.count(), BROADCAST_IDS), "doc_id", "left_semi")
-        sets = texts.mapInArrow(_sets(self.size), "h1 long, h2 long, shingles binary").withColumn("class", F.xxhash64("h1", "h2"))
-        self.sets = materialize(sets.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"]), "sets")
+        texts = self.texts.join(checked_broadcast(ids, wanted.count()), "doc_id", "left_semi")
+        sets = texts.mapInArrow(_sets(self.size), "h1 long, h2 long, shingles binary")
+        sets = sets.join(wanted.select("h1", "h2", "class"), ["h1", "h2"]).select("class", "shingles")
+        self.sets = materialize(sets.dropDuplicates(["class"]), "sets")
         # first round: the best of the smallest members of a class's buckets
         head = rows.groupBy("key").agg(F.min(F.struct("rep", "class", "n")).alias("head"))
         met = rows.join(head, "key").where((F.col("class") != F.col("head.class")) & self.fits("n", "head.n"))
@@ -220,22 +236,36 @@ class NearDuplicates:
         return self.label(links.unionByName(self.close(self.spanning(rows, links))))
 
     def close(self, spread: DataFrame) -> DataFrame:
-        """Links that join components: all pairs that share a band on both sides, by common left band, in blocks.
+        """Links that join components: all pairs that share a band on both sides, in blocks.
 
-        A block's pairs are tested inside one task on at most two parts of about ``BLOCK`` sets and ``BLOCK_SHINGLES`` shingles; only links
-        that join what the block has not joined yet come out.
+        A block's pairs are tested inside one task on at most two parts of about ``BLOCK`` sets and
+        ``BLOCK_SHINGLES`` shingles; only links that join what the block has not joined yet come out.
         """
-        members = materialize(spread.select("class", "root").distinct(), "open-classes")
-        members = members.join(self.classes.select("class", "n", "bands"), "class")
-        left = members.select("class", "root", "n", "bands", F.posexplode(F.slice("bands", 1, self.side)).alias("i", "band"))
-        left = materialize(left.withColumn("key", F.xxhash64("i", "band")), "open-bands")
-        # a lone component behind a band has nothing to join
-        sizes = left.groupBy("key").agg((F.floor(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)) + 1).cast("int").alias("parts"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-        dealt = left.join(sizes.select("key", "parts"), "key").withColumn("part", F.pmod(F.xxhash64("class", "i"), F.col("parts")).cast("int"))
+        rows = materialize(spread.select("class", "root").distinct(), "open-classes")
+        rows = rows.join(self.classes.select("class", "n", "bands"), "class")
+        every = ["class", "root", "n", "bands", "i", "j"]
+        left = rows.select("class", "root", "n", "bands", F.posexplode(F.slice("bands", 1, self.side)).alias("i", "band"))
+        left = left.withColumns({"key": F.xxhash64("i", "band"), "j": F.lit(-1)}).select(*every, "key")
+        left = self.sized(materialize(left, "open-bands"))
+        left = materialize(left, "sized-bands")
+        by_key = F.col("parts") > self.side  # below, parts that meet pairwise need fewer copies than keys
+        right = left.where(by_key).drop("j", "parts", "key")
+        right = right.select("class", "root", "n", "bands", "i", F.col("bands")[F.col("i")].alias("own"), F.posexplode(F.slice("bands", self.side + 1, self.side)).alias("j", "band"))
+        right = right.withColumn("key", F.xxhash64("i", "own", "j", "band")).select(*every, "key")
+        right = self.sized(materialize(right, "open-keys"))
+        dealt = left.where(~by_key).select(*every, "key", "parts").unionByName(right.select(*every, "key", "parts"))
+        dealt = dealt.withColumn("part", F.pmod(F.xxhash64("class", "i", "j"), F.col("parts")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        dealt = dealt.select("class", "root", "n", "bands", "i", "key", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
+        dealt = dealt.select(*every, "key", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
         dealt = dealt.join(self.sets.select("class", "shingles"), "class")
-        return materialize(dealt.groupBy("key", "a", "b").applyInPandas(_close(self.side, self.percent), "u long, v long"), "links")
+        return materialize(dealt.groupBy("key", "i", "j", "a", "b").applyInPandas(_close(self.side, self.percent), "u long, v long"), "links")
+
+    @staticmethod
+    def sized(rows: DataFrame) -> DataFrame:
+        """Rows of the keys that span components, with the ``parts`` that their key needs."""
+        parts = (F.floor(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)) + 1).cast("int")
+        sizes = rows.groupBy("key").agg(parts.alias("parts"), F.min("root").alias("a"), F.max("root").alias("b"))
+        return rows.join(sizes.where("a <> b").select("key", "parts"), "key")
 
     def spanning(self, rows: DataFrame, links: DataFrame) -> DataFrame:
         """Rows of buckets that span components, with root and degree."""
