@@ -2,14 +2,16 @@
 
 Layout of a folder: ``shard-<n>-<attempt>.bin``, raw little-endian ids of documents in ascending
 key order (16 bits where the vocabulary allows, else 32); ``index-<bucket>-<attempt>.npz``, one per
-hash bucket of keys. A bucket's index has levels of bit arrays: a key's first level where it alone
-fell on its bit gives its slot (the rank of that bit), so n keys have slots 0 to n - 1. A slot
-stores a fingerprint, the shard, the offset there and the number of ids. A lookup costs one bucket,
-an expected constant number of bits and one range read. Files of lost tasks are never referred to:
-the manifest holds only those of attempts that ended.
-
-A null text is empty (it still has the end id). Rows of one key are copies 0, 1, ... in text order;
-null keys come first and are looked up as null. Empty tables give no shards. Other columns are ignored.
+hash bucket of (key, copy). A bucket's index has levels of bit arrays: an entry's first level where it alone
+fell on its bit gives its slot (the rank of that bit), so n entries have slots 0 to n - 1. A slot
+stores a fingerprint, the shard, the offset there, the number of ids and, for copy 0, how many copies there are.
+A lookup costs one bucket a copy, an expected constant number of bits and one range read. Files of lost tasks
+are never referred to: the manifest holds only those of attempts that ended.
+
+A null text is empty (it still has the end id). Rows of one key are copies 0, 1, ... in the order of their texts'
+first ``PREFIX`` characters, a hash, and their place in the table; however many they are, this order deals them over
+shards, and their number deals them over buckets. Null keys come first and are looked up as null. Empty tables give no shards. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,12 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from continuo.llm import tokens
-from continuo.llm.common import materialize, scratch_path, text_of
+from continuo.llm.common import checked_broadcast, materialize, scratch_path, text_of
 from continuo.llm.hashing import mix
 
 #: A null key is written under this one.
 NULL_KEY = -(2**63)
 SHARD_BYTES, BUCKET_KEYS = 256 << 20, 50_000
+#: Copies of a key that one row of a lookup stands for while they are dealt out.
+COPY_BLOCK = 10_000
+PREFIX = 64
 _LEVELS, _GAMMA = 48, 2.0
 
 
@@ -82,7 +87,18 @@ class PerfectHash:
 def _open(folder: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder)
+    return fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme that Spark takes it to have, so that all writers and readers mean one place."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri().toString()
+    return uri if "://" in uri else uri.replace(":/", ":///", 1)
+
+
+def _bucket(number: int):
+    return F.pmod(F.xxhash64("key", "copy"), F.lit(number)).cast("int").alias("bucket")
 
 
 class TokenStore:
@@ -97,9 +113,20 @@ class TokenStore:
 
     def lookup(self, keys: DataFrame) -> DataFrame:
         """(key, copy, shard, at, n) of each distinct key that the index holds; key: column ``key`` long."""
-        folder, buckets, number = self.folder, self.buckets, self.number
-        if not buckets:
+        columns = ("key", "copy", "shard", "at", "n")
+        if not self.buckets:
             return self.spark.createDataFrame([], "key long, copy long, shard int, at long, n long")
+        first = materialize(self._found(keys.select("key", F.lit(0).cast("long").alias("copy"))), "token-lookup")
+        more = first.where("copies > 1").select("key", "copies", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / COPY_BLOCK))).alias("block"))
+        more = more.repartition(max(1, self.number), "key", "block")  # a key's many copies are found by many tasks
+        begin = F.greatest(F.col("block") * COPY_BLOCK, F.lit(1))
+        end = F.least((F.col("block") + 1) * COPY_BLOCK, "copies") - 1
+        more = more.where(begin <= end).select("key", F.explode(F.sequence(begin, end)).alias("copy"))
+        return first.select(*columns).unionByName(self._found(more).select(*columns))
+
+    def _found(self, entries: DataFrame) -> DataFrame:
+        """(key, copy, shard, at, n, copies) of those of the entries (key, copy) that the index holds."""
+        folder, buckets = self.folder, self.buckets
 
         def find(batches):
             import pandas as pd
@@ -112,22 +139,19 @@ class TokenStore:
                         continue
                     if loaded[0] != bucket:
                         with files.open_input_file(f"{at}/{buckets[bucket]}") as f:
-                            data = np.load(io.BytesIO(f.read()))
+                            data = dict(np.load(io.BytesIO(f.read())))
                         loaded = (bucket, PerfectHash([data[f"level{k}"] for k in range(int(data["levels"]))], data["rest"]), data)
                     _, index, data = loaded
-                    keys, copy = part["key"].to_numpy(np.int64), 0
-                    while len(keys):
-                        copies = np.full(len(keys), copy)
-                        slots = index.slots(_key_hash(keys, copies, 1))
-                        found = slots >= 0
-                        found[found] = data["prints"][slots[found]] == (_key_hash(keys[found], copies[found], 2) >> np.uint64(32)).astype(np.uint32)
-                        keys, slots = keys[found], slots[found]
-                        if len(keys):
-                            yield pd.DataFrame({"key": keys, "copy": copy, "shard": data["shard"][slots], "at": data["at"][slots], "n": data["n"][slots]})
-                        copy += 1
-
-        routed = keys.select("key", F.pmod(F.xxhash64("key"), F.lit(number)).cast("int").alias("bucket"))
-        return routed.repartition(number, "bucket").sortWithinPartitions("bucket", "key").mapInPandas(find, "key long, copy long, shard int, at long, n long")
+                    keys, copies = part["key"].to_numpy(np.int64), part["copy"].to_numpy(np.int64)
+                    slots = index.slots(_key_hash(keys, copies, 1))
+                    found = slots >= 0
+                    found[found] = data["prints"][slots[found]] == (_key_hash(keys[found], copies[found], 2) >> np.uint64(32)).astype(np.uint32)
+                    slots = slots[found]
+                    yield pd.DataFrame({"key": keys[found], "copy": copies[found], **{c: data[c][slots] for c in ("shard", "at", "n", "copies")}})
+
+        routed = entries.select("key", "copy", _bucket(self.number))
+        routed = routed.repartition(self.number, "bucket").sortWithinPartitions("bucket", "key", "copy")
+        return routed.mapInPandas(find, "key long, copy long, shard int, at long, n long, copies long")
 
     def read(self, located: DataFrame) -> DataFrame:
         """(doc_id, start, n_tokens, ids_crc32) of located documents, read from their shards' files."""
@@ -155,8 +179,8 @@ class TokenStore:
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder: str | None = None) -> TokenStore:
     """Writes all documents' ids in ascending doc_id order and the index over them."""
     spark = docs.sparkSession
-    folder = folder or scratch_path(spark, "token-store")
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), text_of().alias("text"))
+    folder = qualified(spark, folder or scratch_path(spark, "token-store"))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), text_of().alias("text"), F.monotonically_increasing_id().alias("place"))
     total = keyed.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     number = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total[1] or 0) // SHARD_BYTES))
     files, root = _open(folder)
@@ -188,9 +212,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder:
         if out is not None:
             out.close()
 
-    ordered = keyed.repartitionByRange(number, "key").sortWithinPartitions("key", "text")
+    order = ["key", F.substring("text", 1, PREFIX), F.xxhash64("text"), "place"]
+    ordered = keyed.repartitionByRange(number, *order).sortWithinPartitions(*order).select("key", "text")
     written = materialize(ordered.mapInPandas(write, "key long, copy long, shard int, file string, at long, n long"), "token-manifest")
-    shards = [tuple(r) for r in written.groupBy("shard", "file").agg(F.sum("n")).collect()]  # one row per shard
+    written, shards = _numbered(written)
     buckets = -(-total[0] // BUCKET_KEYS)
 
     def index(batches):
@@ -209,14 +234,34 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder:
             order[table.slots(hashes)] = np.arange(len(keys))
             data = {f"level{k}": bits for k, bits in enumerate(table.levels)}
             data |= {"levels": np.array(len(table.levels)), "rest": table.rest, "prints": (_key_hash(keys, copies, 2) >> np.uint64(32)).astype(np.uint32)[order]}
-            data |= {c: part[c].to_numpy()[order] for c in ("shard", "at", "n")}
+            data |= {c: part[c].to_numpy()[order] for c in ("shard", "at", "n", "copies")}
             np.savez(out := io.BytesIO(), **data)
             name = f"index-{bucket:06d}-{TaskContext.get().taskAttemptId()}.npz"
             with files.open_output_stream(f"{root}/{name}") as f:
                 f.write(out.getvalue())
             yield pd.DataFrame({"bucket": [bucket], "file": [name]})
 
-    routed = written.select("key", "copy", "shard", "at", "n", F.pmod(F.xxhash64("key"), F.lit(max(1, buckets))).cast("int").alias("bucket"))
+    routed = written.select("key", "copy", "shard", "at", "n", "copies", _bucket(max(1, buckets)))
     indexed = materialize(routed.repartition(max(1, buckets), "bucket").mapInPandas(index, "bucket int, file string"), "token-index")
     width = tokens.load(tokenizer_path).dtype.itemsize
     return TokenStore(spark, folder, width, shards, {r[0]: r[1] for r in indexed.collect()}, max(1, buckets))  # one row per bucket
+
+
+def _numbered(written: DataFrame) -> tuple[DataFrame, list[tuple]]:
+    """The manifest with copy numbers that run on from shard to shard and the copies of each key; and the shards."""
+    spark = written.sparkSession
+    ends = F.max(F.struct("key", (F.col("copy") + 1).alias("copies"))).alias("last")
+    rows = written.groupBy("shard", "file").agg(F.sum("n").alias("ids"), F.min("key").alias("first"), ends).collect()  # one row per shard
+    rows.sort(key=lambda r: r["shard"])
+    before, held = [], (None, 0)  # held: the last key so far and its copies so far
+    for r in rows:
+        if r["first"] == held[0]:
+            before.append((r["shard"], r["first"], held[1]))
+        last, copies = r["last"]
+        held = (last, copies + (held[1] if last == held[0] else 0))
+    moved = spark.createDataFrame(before, "shard int, key long, before long")  # a row a shard at most
+    written = written.join(checked_broadcast(moved, len(before)), ["shard", "key"], "left")
+    written = written.withColumn("copy", F.col("copy") + F.coalesce("before", F.lit(0))).drop("before")
+    many = materialize(written.where("copy > 0").groupBy("key").agg((F.max("copy") + 1).alias("copies")), "token-copies")
+    written = written.join(checked_broadcast(many, many.count()), "key", "left").withColumn("copies", F.coalesce("copies", F.lit(1)).cast("long"))
+    return written, [(r["shard"], r["file"], r["ids"]) for r in rows]
