@@ -2,14 +2,15 @@
 
 ``bytes``: equal texts form an indivisible group. Groups smaller than a unit (a small fraction of a
 shard) are packed into parcels of one unit within their partition; larger groups are parcels of
-their own. As a shard holds a fixed number of units, parcels are few at any input size (about two
-for each unit at most, and one for each partition), so one place packs them all: the least capacity
+their own. As a shard holds a fixed number of units, and there are no more partitions than units, parcels
+are few at any input size (three a unit at most), so one place packs them all: the least capacity
 at which best fit, decreasing, needs no more than the wanted shards. ``rows``: counts at most one
 apart. ``key``: doc_id and the number of shards decide (rendezvous hashing), so one more shard only
 takes rows into itself.
 
 Null texts are one group of size 8 with crc32 0. Repeated rows stay together under ``bytes`` and keep
-slots of their own. Null doc_ids are a value like any other. Empty tables give no rows.
+slots of their own: equal rows are one row with a count until their slots are known, so no number of them
+meets in one task. Null doc_ids are a value like any other. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from continuo.llm.common import checked_broadcast, materialize
 
 UNITS_PER_SHARD, BLOCK_GROUPS, SLOT_ROWS = 200, 100_000, 20_000
+#: Equal rows that one row stands for while they are dealt out.
+COPY_BLOCK = 10_000
 
 
 class CapacityTree:
@@ -58,18 +61,31 @@ class CapacityTree:
         return None
 
 
+class Bins:
+    """Bins of one capacity in the order of their opening; sizes enter the tightest that holds them."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.tree, self.number = capacity, CapacityTree(), 0
+
+    def put(self, size: int, most: int | None = None) -> int | None:
+        """The bin that takes ``size``; None if that would be one more than ``most``."""
+        found = self.tree.take_tightest(size)
+        if found is None:
+            if self.number == most:
+                return None
+            found = (max(self.capacity, size), self.number)
+            self.number += 1
+        self.tree.add(found[0] - size, found[1])
+        return found[1]
+
+
 def best_fit(sizes: list[int], capacity: int, most: int | None = None) -> list[int] | None:
     """Bins of sizes given in descending order; None as soon as more than ``most`` are needed."""
-    tree, bins, out = CapacityTree(), 0, []
+    bins, out = Bins(capacity), []
     for size in sizes:
-        found = tree.take_tightest(size)
-        if found is None:
-            if bins == most:
-                return None
-            found = (max(capacity, size), bins)
-            bins += 1
-        out.append(found[1])
-        tree.add(found[0] - size, found[1])
+        if (at := bins.put(size, most)) is None:
+            return None
+        out.append(at)
     return out
 
 
@@ -88,44 +104,59 @@ def into_bins(sizes: list[int], bins: int) -> list[int]:
     return best
 
 
-def pack_groups(groups: DataFrame, capacity: int, unit: int) -> DataFrame:
-    """(digest, size) to (digest, size, parcel): parcels of at most ``unit``, or one larger group."""
+def pack_groups(groups: DataFrame, unit: int) -> DataFrame:
+    """(digest, size) to (digest, size, parcel): parcels of at most ``unit``, or one larger group.
+
+    A partition's groups come in blocks, each in descending order; its parcels stay open from block to block.
+    """
 
     def place(batches):
         import pandas as pd
         from pyspark import TaskContext
 
-        base, held, rows = TaskContext.get().partitionId() << 36, [], 0
+        base, bins, held, rows = TaskContext.get().partitionId() << 36, Bins(unit), [], 0
 
-        def parcels(frames, base):
-            block = pd.concat(frames)
-            block = block.sort_values(["size", "digest"], ascending=[False, True])
-            bins = best_fit(block["size"].tolist(), unit)
-            return block.assign(parcel=[base + b for b in bins]), base + max(bins) + 1
+        def parcels(frames):
+            block = pd.concat(frames).sort_values(["size", "digest"], ascending=[False, True])
+            return block.assign(parcel=[base + bins.put(size) for size in block["size"].tolist()])
 
         for batch in batches:
             if len(batch):
                 held.append(batch)
                 rows += len(batch)
             if rows >= BLOCK_GROUPS:
-                out, base = parcels(held, base)
+                yield parcels(held)
                 held, rows = [], 0
-                yield out
         if held:
-            yield parcels(held, base)[0]
+            yield parcels(held)
 
     return groups.mapInPandas(place, "digest string, size long, parcel long")
 
 
 def with_slots(rows: DataFrame, n_rows: int, *tie: str) -> DataFrame:
-    """Adds ``slot``: 0, 1, ... within each shard, numbered over hashed buckets so that no shard is one task."""
+    """A row for each of the ``times`` that a row counts for, with its ``slot``: 0, 1, ... within each shard.
+
+    Numbers run over hashed buckets, so that no shard is one task, and over rows that stand for their equals.
+    """
     buckets = max(1, n_rows // SLOT_ROWS)
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*tie), F.lit(buckets)).cast("int"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.groupBy("shard", "bucket").agg(F.count("*").alias("in_bucket"))
+    base = rows.groupBy("shard", "bucket").agg(F.sum("times").alias("in_bucket"))
     base = base.select("shard", "bucket", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("base"))
-    number = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy(*tie))
-    return rows.withColumn("number", number).join(base, ["shard", "bucket"]).withColumn("slot", (F.col("base") + F.col("number") - 1).cast("long")).drop("bucket", "number", "base")
+    own = Window.partitionBy("shard", "bucket").orderBy(*tie).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("ahead", F.coalesce(F.sum("times").over(own), F.lit(0))).join(base, ["shard", "bucket"])
+    rows = rows.withColumn("first", F.col("base") + F.col("ahead")).drop("bucket", "base", "ahead")
+    few = rows.where(F.col("times") <= COPY_BLOCK).withColumn("slot", _numbers(F.col("first"), F.col("times")))
+    many = rows.where(F.col("times") > COPY_BLOCK)
+    block = F.explode(F.sequence(F.lit(0), F.floor((F.col("times") - 1) / COPY_BLOCK)))
+    many = many.withColumn("block", block).repartition(buckets, *tie, "block")  # their equals are written by many tasks
+    left = F.least(F.col("times") - F.col("block") * COPY_BLOCK, F.lit(COPY_BLOCK))
+    many = many.withColumn("slot", _numbers(F.col("first") + F.col("block") * COPY_BLOCK, left)).drop("block")
+    return few.unionByName(many).drop("first", "times")
+
+
+def _numbers(first, number):
+    return F.explode(F.sequence(first, first + number - 1))
 
 
 def shard_by_key(key, shards: int):
@@ -142,21 +173,23 @@ def shard(docs: DataFrame, n_shards: int = 24, law: str = "bytes", units_per_sha
         F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"),
         F.coalesce(F.md5(F.encode(text, "UTF-8")), F.lit("null")).alias("digest"),
     )
-    thin = materialize(thin, "shard-rows")
-    spark, n_rows = docs.sparkSession, thin.count()
+    names = ["doc_id", "size", "text_crc32", "digest"]
+    thin = materialize(thin.groupBy(*names).agg(F.count("*").alias("times")), "shard-rows")
+    spark, sums = docs.sparkSession, thin.agg(F.sum("times").alias("rows"), F.sum(F.col("size") * F.col("times")).alias("bytes")).first()
+    n_rows, total = sums["rows"] or 0, sums["bytes"] or 0
     grown = F.lit(None).cast("int")
     if law == "bytes":
-        groups = thin.groupBy("digest").agg(F.sum("size").alias("size"))
-        total = thin.agg(F.sum("size")).first()[0] or 0
-        capacity = -(-total // n_shards)
-        placed = materialize(pack_groups(groups, capacity, max(1, capacity // units_per_shard)), "shard-parcels")
-        parcels = placed.groupBy("parcel").agg(F.sum("size").alias("size")).collect()  # about two a unit at most
+        units = n_shards * units_per_shard
+        groups = thin.groupBy("digest").agg(F.sum(F.col("size") * F.col("times")).alias("size"))
+        unit = max(1, -(-total // n_shards) // units_per_shard)
+        placed = materialize(pack_groups(groups.coalesce(units), unit), "shard-parcels")
+        parcels = placed.groupBy("parcel").agg(F.sum("size").alias("size")).collect()  # three a unit at most
         parcels.sort(key=lambda r: (-r["size"], r["parcel"]))
         bins = into_bins([r["size"] for r in parcels], n_shards)
         of = spark.createDataFrame([(r["parcel"], b) for r, b in zip(parcels, bins, strict=True)], "parcel long, shard int")
         # equal texts may be a third of all rows: this join is left to the runtime's skew handling
-        rows = thin.join(placed.select("digest", "parcel"), "digest").join(checked_broadcast(of, len(parcels), 1_000_000), "parcel")
-        rows = rows.select("doc_id", "size", "text_crc32", "digest", "shard")
+        rows = thin.join(placed.select("digest", "parcel"), "digest").join(checked_broadcast(of, len(parcels)), "parcel")
+        rows = rows.select(*names, "times", "shard")
     elif law == "key":
         rows = thin.withColumn("shard", shard_by_key(F.col("doc_id"), n_shards))
         grown = shard_by_key(F.col("doc_id"), n_shards + 1)
