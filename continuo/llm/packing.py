@@ -4,8 +4,9 @@ Each input partition is packed on its own, so nothing is shuffled. A document's
 full windows of the longest tier; what is left is routed to the shortest tier that holds it. From
 the longest tier down, a window opens with the longest waiting piece of its tier, and its gap takes
 the longest pieces of shorter tiers that still fit; when none fits, the shortest waiting piece is
-cut. A partition's last, unfilled window is cut into windows of powers of two. Windows then fill
-step groups of equal token counts. Memory: below one window of ids for each document of a partition.
+cut. Whenever ``PENDING`` ids wait, they are packed; what would leave a window unfilled waits on. A partition's
+last, unfilled window is cut into windows of powers of two. Windows fill
+step groups of equal token counts. Memory: about ``PENDING`` ids and one document, however large a partition is.
 
 Null texts count as empty and still have the end id. Repeated rows and repeated or null doc_ids are
 documents of their own. An empty table gives no rows. Other columns are ignored.
@@ -14,40 +15,48 @@ documents of their own. An empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from continuo.llm import tokens
-from continuo.llm.common import materialize, text_of
+from continuo.llm.common import frame, materialize, text_of
 
 TIERS = (4096, 2048, 1024, 512, 256)
 STEP_WINDOWS = 16
+#: Ids that wait in one task before they are packed.
+PENDING = 4_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
 class Packer:
-    """Packs one partition; ``add`` takes documents, ``rows`` gives the pieces of all sequences."""
+    """Packs one partition: ``add`` takes documents, ``rows`` gives the pieces of the sequences that are full.
 
-    def __init__(self, tiers=TIERS, step_windows: int = STEP_WINDOWS):
-        self.tiers, self.step = sorted(tiers, reverse=True), step_windows
+    The last call of ``rows`` gives the rest.
+    """
+
+    def __init__(self, base: int = 0, tiers=TIERS, step_windows: int = STEP_WINDOWS):
+        self.tiers = sorted(tiers, reverse=True)
         self.top = self.tiers[0]
-        self.docs: list[tuple] = []  # (doc_id, tokens)
-        self.full: list[tuple] = []  # (document, start, crc) of full windows
-        self.ids: dict[int, np.ndarray] = {}
+        self.sequence, self.step, self.room, self.taken = base, base, step_windows * self.top, 0
+        self.docs: dict[int, list] = {}  # those with ids waiting: doc_id, tokens, ids from the last window on, ids waiting
+        self.added = self.pending = 0
+        self.full: list[tuple] = []  # (doc_id, start, crc, tokens) of full windows
         self.waiting: dict[int, list[tuple[int, int]]] = {}  # by length: (document, start)
         self.lengths = 0  # bit l is set while a piece of length l waits
 
     def add(self, doc_id, ids: np.ndarray) -> None:
-        k, n = len(self.docs), len(ids)
-        self.docs.append((doc_id, n))
+        n = len(ids)
         whole = n - n % self.top
         for at in range(0, whole, self.top):
-            self.full.append((k, at, zlib.crc32(ids[at : at + self.top].astype("<u4").tobytes())))
+            self.full.append((doc_id, at, zlib.crc32(ids[at : at + self.top].astype("<u4").tobytes()), n))
         if n > whole:
-            self.ids[k] = ids[whole:].astype("<u4")
-            self._put(k, whole, n - whole)
+            self.docs[self.added] = [doc_id, n, ids[whole:].copy(), n - whole]
+            self._put(self.added, whole, n - whole)
+            self.pending += n - whole
+            self.added += 1
 
     def _put(self, k: int, start: int, length: int) -> None:
         self.waiting.setdefault(length, []).append((k, start))
@@ -77,18 +86,23 @@ class Packer:
             gap -= piece[2]
         return out
 
-    def sequences(self):
+    def _sequences(self, last: bool):
         """(tier, pieces) from the longest to the shortest."""
-        for length in self.waiting:
-            self.waiting[length].sort(key=lambda p: (self.docs[p[0]][0] is None, self.docs[p[0]][0] or 0, p[1]), reverse=True)
+        for waiting in self.waiting.values():
+            waiting.sort(key=lambda p: (self.docs[p[0]][0] is None, self.docs[p[0]][0] or 0, p[1]), reverse=True)
+        left = []
         for tier, below in zip(self.tiers, [*self.tiers[1:], 0], strict=True):
             while (length := self._longest(tier)) > below:
                 first = self._take(length)
                 pieces = [first, *self._fill(tier - length)]
                 if sum(p[2] for p in pieces) == tier:
                     yield tier, pieces
-                else:
+                elif last:
                     yield from self._by_powers(pieces)
+                else:
+                    left += pieces
+        for piece in left:
+            self._put(*piece)
 
     @staticmethod
     def _by_powers(pieces):
@@ -107,55 +121,55 @@ class Packer:
                 size -= length
             yield tier, own
 
-    def rows(self, base: int):
-        """(doc_id, start, length, crc, doc_tokens, sequence_id, offset, tier, step_group); ids from ``base``."""
-        order = sorted(self.sequences(), key=lambda s: -s[0])
-        room, sequence, taken = self.step * self.top, base, 0
-        self.full.sort(key=lambda f: (self.docs[f[0]][0] is None, self.docs[f[0]][0] or 0, f[1], f[2]))
-        for k, at, crc in self.full:
-            doc_id, n = self.docs[k]
-            yield doc_id, at, self.top, crc, n, sequence, 0, self.top, base + taken // room
-            sequence, taken = sequence + 1, taken + self.top
-        for tier, pieces in order:
-            offset = 0
+    def _numbers(self, tier: int) -> tuple[int, int, int]:
+        """(sequence_id, tier, step_group) of the next sequence."""
+        out = self.sequence, tier, self.step + self.taken // self.room
+        self.sequence, self.taken = self.sequence + 1, self.taken + tier
+        return out
+
+    def rows(self, last: bool = True):
+        """(doc_id, start, length, crc, doc_tokens, sequence_id, offset, tier, step_group)."""
+        self.full.sort(key=lambda f: (f[0] is None, f[0] or 0, f[1], f[2]))
+        for doc_id, at, crc, n in self.full:
+            sequence, tier, step = self._numbers(self.top)
+            yield doc_id, at, self.top, crc, n, sequence, 0, tier, step
+        self.full = []
+        for tier, pieces in self._sequences(last):
+            offset, (sequence, _, step) = 0, self._numbers(tier)
             for k, start, length in pieces:
-                doc_id, n = self.docs[k]
-                own = self.ids[k]
-                at = start - (n - len(own))
-                yield doc_id, start, length, zlib.crc32(own[at : at + length].tobytes()), n, sequence, offset, tier, base + taken // room
+                doc_id, n, ids, left = self.docs[k]
+                at = start - (n - len(ids))
+                yield doc_id, start, length, zlib.crc32(ids[at : at + length].astype("<u4").tobytes()), n, sequence, offset, tier, step
                 offset += length
-            sequence, taken = sequence + 1, taken + tier
+                self.docs[k][3] = left - length
+                if left == length:
+                    del self.docs[k]
+            self.pending -= tier
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, tiers=TIERS, step_windows: int = STEP_WINDOWS) -> DataFrame:
     """One row per piece; a sequence's pieces have offsets from 0 without gaps and fill its tier."""
 
     def packed(batches):
-        import pandas as pd
         from pyspark import TaskContext
 
-        tokenizer, packer = tokens.load(tokenizer_path), Packer(tiers, step_windows)
+        tokenizer, packer = tokens.load(tokenizer_path), Packer(TaskContext.get().partitionId() << 36, tiers, step_windows)
         end = np.array([end_id], dtype=tokenizer.dtype).tobytes()
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].array, batch["text"], strict=True):
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
-                packer.add(doc_id, np.frombuffer(tokenizer.ids(text) + end, dtype=tokenizer.dtype))
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                ids = np.frombuffer(tokenizer.ids(text) + end, dtype=tokenizer.dtype)
+                packer.add(None if doc_id is None else int(doc_id), ids)
+                if packer.pending > PENDING:
+                    yield from _frames(packer.rows(last=False), names)
         tokenizer.forget()
-        names, rows = [c.split()[0] for c in SCHEMA.split(", ")], []
-        for row in packer.rows(TaskContext.get().partitionId() << 36):
-            rows.append(row)
-            if len(rows) == 20_000:
-                yield _frame(rows, names)
-                rows = []
-        if rows:
-            yield _frame(rows, names)
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return materialize(texts.mapInPandas(packed, SCHEMA), "pieces")  # in bounded batches
+        yield from _frames(packer.rows(), names)
 
+    doc_id = F.col("doc_id").cast("long").cast("string").alias("doc_id")  # beside nulls pandas would make ids floats
+    return materialize(docs.select(doc_id, text_of().alias("text")).mapInPandas(packed, SCHEMA), "pieces")
 
-def _frame(rows, names):
-    import pandas as pd
 
-    out = pd.DataFrame(rows, columns=names)
-    return out.astype({"doc_id": "Int64"})
+def _frames(rows, names: list[str]):
+    """In bounded batches."""
+    while part := list(islice(rows, 20_000)):
+        yield frame(part, names, "doc_id")
