@@ -10,8 +10,9 @@ occurrences. Terms the corpus lacks rule their windows out at once.
 
 Words: A-Z lower-cased, then ASCII digits, letters and everything beyond ASCII. A window is
 ``window`` consecutive words of an item; a shorter item, but not an empty one, is one window. Null
-texts have no words. Rows are keyed by doc_id and text, so repeated rows (null doc_ids too) get
-equal results; items of one item_id count once. Empty tables are fine; other columns are ignored.
+texts have no words. Rows are keyed by doc_id and a hash of the text, so repeated rows (null doc_ids too) get
+equal results; items of one item_id count once. Very long texts are rows of postings like any other; words of
+equal frequency are ordered by place. Empty tables are fine; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 from continuo.llm.common import checked_broadcast, materialize, text_of
 
 WINDOW = 10
-#: Rows of terms, seeds, item words or document keys that are broadcast at most.
-BROADCAST_ROWS = 500_000
+#: Rows of terms, seeds, item words or document keys that are broadcast at most; beyond it joins shuffle, and the
+#: runtime splits common terms.
+BROADCAST_ROWS = 200_000
 _SPLIT = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The closing entry's word; no text has it.
@@ -44,6 +46,12 @@ def words_with_positions(rows: DataFrame, *keep: str) -> DataFrame:
     return out.select(*keep, F.when(F.col("word") == _CLOSE, F.col("n_words")).otherwise(F.col("at") - F.col("lead")).alias("pos"), lower_ascii(F.col("word")).alias("term"), "n_words")
 
 
+def document_key(doc_id: Column, text: Column) -> Column:
+    """Names a row by its doc_id and text; never null."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return F.concat_ws(":", doc_id.cast("long").cast("string"), F.hex(F.xxhash64(text)))
+
+
 class PositionalIndex:
     """Postings of the benchmark's terms in all documents, and the benchmark's items."""
 
@@ -55,7 +63,7 @@ class PositionalIndex:
         self.n_item_words = self.items.count()
         closing = self.items.sparkSession.createDataFrame([(_CLOSE,)], "term string")
         terms = self.items.select("term").unionByName(closing).distinct()
-        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("doc", F.xxhash64("doc_id", "text"))
+        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("doc", document_key(F.col("doc_id"), F.col("text")))
         found = words_with_positions(docs, "doc_id", "doc").join(checked_broadcast(terms, self.n_item_words, BROADCAST_ROWS), "term")
         found = found.select("term", "doc_id", "doc", "pos", F.when(F.col("term") == _CLOSE, F.col("n_words")).alias("n_words"))
         self.postings = materialize(found, "postings")
@@ -99,17 +107,26 @@ class PositionalIndex:
         return runs.where(F.col("length") >= F.least(F.lit(self.window), F.col("item_words"))).select("doc", "item_id", "start", "length")
 
     def proximity(self, slop: int) -> DataFrame:
-        """(doc, item_id, pos): occurrences of an item's rarest term with all its terms within its length plus ``slop``."""
+        """(doc_id, item_id, pos): places of an item's rarest term with all its terms within its length plus ``slop``.
+
+        Positions fall into stretches of that length, so a place needs its own stretch and the two beside it: of each
+        term there only the first and last position are kept, however often it is repeated. A repeated place of
+        equal rows is one.
+        """
         frequency = self.postings.groupBy("term").agg(F.count("*").alias("frequency"))
-        terms = self.items.join(self.small(frequency), "term").groupBy("item", "item_id", "n_words", "term").agg(F.min("frequency").alias("frequency"))
+        reach = (F.col("n_words") + slop).alias("reach")
+        terms = self.items.join(self.small(frequency), "term").groupBy("item", "item_id", reach, "term").agg(F.min("frequency").alias("frequency"))
         rarest = terms.groupBy("item").agg(F.min(F.struct("frequency", "term")).alias("r"))
         wanted = self.items.groupBy("item").agg(F.countDistinct("term").alias("distinct"))
-        rare = rarest.join(wanted, "item").select("item", F.col("r.term").alias("term"), "distinct")
-        anchors = self.postings.join(self.small(rare), "term").select("doc", "item", "distinct", F.col("pos").alias("at"))
-        near = anchors.join(self.small(terms), "item").join(self.postings.select("doc", "term", "pos"), ["doc", "term"])
-        near = near.where(F.abs(F.col("pos") - F.col("at")) <= F.col("n_words") + slop)
-        found = near.groupBy("doc", "item", "item_id", "at", "distinct").agg(F.countDistinct("term").alias("terms"))
-        return found.where("terms = distinct").select("doc", "item_id", F.col("at").alias("pos"))
+        rare = rarest.join(wanted, "item").select("item", F.col("r.term").alias("rare"), "distinct")
+        terms = materialize(terms.join(rare, "item"), "near-terms")
+        places = self.postings.join(self.small(terms), "term")
+        places = places.withColumn("stretch", F.floor(F.col("pos") / (F.col("reach") + 1)))
+        ends = places.groupBy("doc", "item", "stretch", "term").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+        at = places.where("term = rare").select("doc", "doc_id", "item", "item_id", "reach", "distinct", F.col("pos").alias("at"), F.explode(F.array(*[F.col("stretch") + k for k in (-1, 0, 1)])).alias("stretch"))
+        near = at.distinct().join(ends, ["doc", "item", "stretch"]).where("first <= at + reach and last >= at - reach")
+        found = near.groupBy("doc", "doc_id", "item", "item_id", "at", "distinct").agg(F.countDistinct("term").alias("terms"))
+        return found.where("terms = distinct").select("doc_id", "item_id", F.col("at").alias("pos"))
 
     def hits(self) -> DataFrame:
         """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document, and its key ``doc``."""

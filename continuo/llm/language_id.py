@@ -2,8 +2,8 @@
 
 Evidence: character trigrams of the whole text, the declared markup language, the address suffix
 and a prior of the host. The trigram model is fitted on a bounded sample of distinct texts with a declared
-language (``SAMPLE`` per language, of at most ``SAMPLE_CHARS`` characters, for the ``LANGUAGES`` most
-frequent ones). All other tables are counted over all rows by grouped aggregation: what hosts,
+language (``SAMPLE`` per language, of at most ``SAMPLE_CHARS`` characters; for the ``LANGUAGES`` most
+frequent ones, more than ISO 639-1 knows, so that the model stays below 256 MB). All other tables are counted over all rows by grouped aggregation: what hosts,
 suffixes and declarations go with which text language. Host priors are smoothed by their suffix's,
 those by the global one (Dirichlet). Trigrams depend on each other, so a text counts as ``EFFECTIVE``
 trigrams at most.
@@ -14,7 +14,8 @@ the modelled languages only, so a text is unknown if under ``LETTER_SHARE`` of i
 or if it is too unlikely in every language: below the floor of log likelihood a trigram that held-out
 texts of the language set (their median less ``SPREADS`` of their spreads, less ``SHORT`` / sqrt(trigrams)).
 The text alone decides this; a declaration or host makes no text known. Null declarations, suffixes and hosts
-are no evidence. Repeated rows are judged alike. Without any declared language nothing is rejected.
+are no evidence. Repeated rows are judged alike; of languages with equal posteriors the first in the alphabet
+counts. Without any declared language nothing is rejected.
 """
 
 from __future__ import annotations
@@ -25,8 +26,7 @@ from pyspark.sql import functions as F
 
 from continuo.llm.common import checked_broadcast, materialize, unbatched
 
-LANGUAGES, SAMPLE, SAMPLE_CHARS, EFFECTIVE, LETTERS, CONFIDENT, STRENGTH = 32, 300, 8_000, 300, 3, 0.5, 10.0
-BROADCAST_HOSTS = 200_000
+LANGUAGES, SAMPLE, SAMPLE_CHARS, EFFECTIVE, LETTERS, CONFIDENT, STRENGTH = 256, 300, 8_000, 300, 3, 0.5, 10.0
 UNKNOWN, LETTER_SHARE, SPREADS, LEAST_SPREAD, SHORT = "unknown", 0.15, 12.0, 0.25, 14.0
 _CLASSES = np.zeros(256, dtype=np.int32)
 _CLASSES[np.arange(97, 123)] = _CLASSES[np.arange(65, 91)] = np.arange(1, 27)
@@ -124,7 +124,7 @@ def _score(model: TrigramModel):
 
 def _shares(counted: DataFrame, key: str, languages: list[str], parent) -> DataFrame:
     """(key, shares): the smoothed distribution of languages behind each value of ``key``."""
-    wide = counted.groupBy(key).agg(*[F.sum(F.when(F.col("best") == x, F.col("rows")).otherwise(0)).alias(f"c{k}") for k, x in enumerate(languages)], *([F.first("above").alias("above")] if parent is None else []))
+    wide = counted.groupBy(key).agg(*[F.sum(F.when(F.col("best") == x, F.col("rows")).otherwise(0)).alias(f"c{k}") for k, x in enumerate(languages)], *([F.max("above").alias("above")] if parent is None else []))
     counts = [F.col(f"c{k}") for k in range(len(languages))]
     total = sum(counts[1:], counts[0]) + STRENGTH
     above = [F.col("above")[k] if parent is None else F.lit(parent[k]) for k in range(len(languages))]
@@ -148,11 +148,11 @@ def identify(rows: DataFrame) -> DataFrame:
     nothing = F.array(*[F.lit(0.0) for _ in languages])
     by_suffix = _shares(counted.where("suffix is not null"), "suffix", languages, top)
     above = F.coalesce("shares", F.array(*map(F.lit, top)))
-    hosts = counted.where("host is not null").join(checked_broadcast(by_suffix, by_suffix.count(), BROADCAST_HOSTS), "suffix", "left").withColumn("above", above).drop("shares")
+    hosts = counted.where("host is not null").join(checked_broadcast(by_suffix, by_suffix.count()), "suffix", "left").withColumn("above", above).drop("shares")
     out = scored
     for key, shares in (("host", _shares(hosts, "host", languages, None)), ("suffix", by_suffix), ("declared", _shares(counted.where("declared is not null"), "declared", languages, top))):
         shares = materialize(shares, "language-shares")
-        out = out.join(checked_broadcast(shares.select(key, ratios(F.col("shares")).alias(f"e_{key}")), shares.count(), BROADCAST_HOSTS), key, "left")
+        out = out.join(checked_broadcast(shares.select(key, ratios(F.col("shares")).alias(f"e_{key}")), shares.count()), key, "left")
     # the suffix is in the host's prior already, so it speaks for itself only where there is no host
     evidence = [F.coalesce("e_host", "e_suffix", nothing), F.coalesce("e_declared", nothing), F.array(*[F.lit(float(np.log(x))) for x in top])]
     fused = F.col("scores")

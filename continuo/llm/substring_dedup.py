@@ -12,8 +12,8 @@ windows gives the maximal repeats of at least ``window`` words.
 No pairs are formed: each group is reduced to its smallest doc_id by a partial aggregate and joined
 back. Documents are keyed by doc_id and text, so repeated rows get the same result; equal doc_ids
 are never sources for each other, null doc_ids are neither sources nor cut. Null and short texts
-have no windows. Empty tables give no rows. Other columns pass through; names with a leading double
-underscore are reserved.
+have no windows. Empty tables give no rows. Other columns pass through, but for one that has the name of a
+column that is added, which gives way.
 """
 
 from __future__ import annotations
@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from continuo.llm.common import materialize, unbatched
+from continuo.llm.common import BROADCAST_KEYS, materialize, unbatched
 from continuo.llm.hashing import Words, mix
 
 WINDOW, GRAM = 50, 10
-#: Document keys that are broadcast at most (16 bytes each); beyond it, joins shuffle the texts.
-BROADCAST_KEYS = 1_000_000
+#: The columns that the result adds.
+ADDED = {"__n_words": T.LongType(), "__n_removed": T.LongType(), "__kept_sha256": T.StringType()}
 _SEGMENT, _POSITION = 1 << 22, np.uint64((1 << 24) - 1)
 _OCCURRENCES = "anchor long, context long, doc_id long, text_key long, lo int, n int, at int"
 
@@ -126,11 +126,15 @@ def only(docs: DataFrame, keys: DataFrame, keep: bool = True) -> DataFrame:
     """The documents with (or without) a key among ``keys``; filtered before any shuffle where the keys are few."""
     on = ["doc_id", "__text_key"]
     few = keys.select(*on).distinct()
-    if keys.count() <= BROADCAST_KEYS:
+    if is_small(keys):
         few = F.broadcast(few)
     return docs.join(few, on, "left_semi" if keep else "left_anti")
 
 
+def is_small(keys: DataFrame) -> bool:
+    return keys.count() <= BROADCAST_KEYS
+
+
 def cut_words(words: Words, document: np.ndarray, lo: np.ndarray, n: np.ndarray):
     """(removed words, kept bytes, their offsets) by document, without the words of the given spans."""
     edge = np.zeros(len(words.hashes) + 1, dtype=np.int64)
@@ -169,7 +173,8 @@ def _cut(names: list[str]):
             hashes = [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
             text = pa.StringArray.from_buffers(len(spans), pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data))
             text = pc.if_else(pa.array(removed > 0), text, batch["text"])
-            own = {"text": text, "__n_words": pa.array(words.counts.astype(np.int64)), "__n_removed": pa.array(removed.astype(np.int64)), "__kept_sha256": pa.array(hashes)}
+            numbers = (pa.array(x.astype(np.int64)) for x in (words.counts, removed))
+            own = {"text": text, **dict(zip(ADDED, (*numbers, pa.array(hashes)), strict=True))}
             yield pa.RecordBatch.from_arrays([own.get(c, batch[c] if c in batch.schema.names else None) for c in names], names)
 
     return run
@@ -177,13 +182,18 @@ def _cut(names: list[str]):
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """docs with ``text`` cut (kept words joined by one space; unchanged where nothing goes), __n_words, __n_removed, __kept_sha256."""
-    typed = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
+    typed = docs.drop(*ADDED, "__text_key", "__spans").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
+    on = ["doc_id", "__text_key"]
     keyed = typed.withColumn("__text_key", F.xxhash64("text"))
-    spans = covered_spans(keyed.select("doc_id", "__text_key", "text"), window, gram)
+    spans = covered_spans(keyed.select(*on, "text"), window, gram)
     spans = spans.groupBy("doc_id", F.col("text_key").alias("__text_key")).agg(F.collect_list(F.struct("lo", "n")).alias("__spans"))
     spans = materialize(spans, "covered-spans")
-    touched = only(keyed, spans).join(spans, ["doc_id", "__text_key"], "left")
-    rest = only(keyed, spans, keep=False).withColumn("__spans", F.lit(None).cast("array<struct<lo:int,n:int>>"))
-    both = touched.select(*typed.columns, "__spans").unionByName(rest.select(*typed.columns, "__spans"))
-    schema = T.StructType([*typed.schema.fields, T.StructField("__n_words", T.LongType()), T.StructField("__n_removed", T.LongType()), T.StructField("__kept_sha256", T.StringType())])
+    names = [*typed.columns, "__spans"]
+    if is_small(spans):  # only the texts that lose words are shuffled
+        touched = only(keyed, spans).join(spans, on, "left").select(*names)
+        rest = only(keyed, spans, keep=False).withColumn("__spans", F.lit(None).cast("array<struct<lo:int,n:int>>"))
+        both = touched.unionByName(rest.select(*names))
+    else:  # all texts once
+        both = keyed.join(spans, on, "left").select(*names)
+    schema = T.StructType([*typed.schema.fields, *(T.StructField(n, t) for n, t in ADDED.items())])
     return both.mapInArrow(_cut([f.name for f in schema.fields]), schema)
