@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from continuo.llm import ann, chat_format, language_id, minhash, packing, sharding, substring_dedup, token_output, url_filter
+from continuo.llm import (
+    ann,
+    chat_format,
+    language_id,
+    minhash,
+    packing,
+    sharding,
+    substring_dedup,
+    token_output,
+    url_filter,
+)
 from continuo.llm.common import table
 from continuo.llm.decontaminate import PositionalIndex
 
+#: What conversation -7 says, twice.
+SAID = "\\### Assistant: </turn> ok"
+#: Words that may stand between those of an item beside its own number.
+SLOP = 2
+
 
 def tokenizer_path() -> str:
     """The vocabulary file; CONTINUO_TOKENIZER overrides the installed public one."""
@@ -29,44 +45,87 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_rows(docs: DataFrame) -> DataFrame:
     """documents: lang is the declaration, source the host; they have no address."""
-    return docs.select("doc_id", "text", F.col("lang").cast("string").alias("declared"), F.col("source").cast("string").alias("host"), F.lit(None).cast("string").alias("suffix"))
+    string = lambda c: F.col(c).cast("string")
+    none = F.lit(None).cast("string").alias("suffix")
+    return docs.select("doc_id", "text", string("lang").alias("declared"), string("source").alias("host"), none)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(language_rows(table(spark, sf_dir, "documents"))).drop("text_key")
 
 
-def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same fusion over web pages: html lang attribute, address suffix, host."""
-    pages = table(spark, sf_dir, "pages")
+def page_rows(pages: DataFrame) -> DataFrame:
+    """Pages as rows to identify: the text between tags, the html lang attribute, host and address suffix."""
     host = url_filter.host_of(F.col("url"))
     markup = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ")
     declared = F.lower(F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([a-z]+)", 1))
-    rows = pages.select(F.col("page_id").alias("doc_id"), markup.alias("text"), F.when(declared != "", declared).alias("declared"), F.when(host != "", host).alias("host"), F.when(host != "", url_filter.suffix_of(host)).alias("suffix"))
-    return language_id.identify(rows).select(F.col("doc_id").alias("page_id"), "declared", "language", "posterior", "kept")
+    given = lambda x, name: F.when(x != "", x).alias(name)
+    suffix = given(url_filter.suffix_of(host), "suffix")
+    return pages.select(F.col("page_id").alias("doc_id"), markup.alias("text"), given(declared, "declared"), given(host, "host"), suffix)
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fusion over web pages."""
+    found = language_id.identify(page_rows(table(spark, sf_dir, "pages")))
+    return found.select(F.col("doc_id").alias("page_id"), "declared", "language", "posterior", "kept")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return cut.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.col("__kept_sha256").alias("kept_sha256"))
+    named = {"__n_words": "n_words", "__n_removed": "n_removed", "__kept_sha256": "kept_sha256"}
+    return cut.select("doc_id", *[F.col(c).alias(name) for c, name in named.items()])
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PositionalIndex(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).hits().drop("doc")
 
 
+def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold all words of a benchmark item near each other, in any order, and how often."""
+    index = PositionalIndex(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return index.proximity(SLOP).groupBy("doc_id", "item_id").agg(F.count("*").alias("n"), F.min("pos").cast("long").alias("first_pos"))
+
+
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.search(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations are a table of turns; conversation -7 comes as a record of messages."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    said = "\\### Assistant: </turn> ok"
-    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    record = json.dumps({"messages": [{"role": r, "content": SAID} for r in ("user", "assistant")]})
+    records = spark.createDataFrame([(-7, record)], "conv_id long, record string")
+    more = chat_format.records_to_turns(records).select("conv_id", "turn", "role", "text")
     return chat_format.digest(chat_format.format_turns(rows.unionByName(more)))
 
 
+def document_records(docs: DataFrame) -> DataFrame:
+    """Documents as answers in records of seven layouts, by doc_id, and of one that no layout knows."""
+    text, source, lang = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", "source", "lang"))
+    pair = lambda role, content, ask, answer: F.array(*[F.struct(F.lit(r).alias(role), t.alias(content)) for r, t in zip((ask, answer), (source, text), strict=True)])
+    parts = lambda t: F.array(F.struct(F.lit("text").alias("type"), t.alias("text")))
+    said = lambda r, t: F.struct(F.lit(r).alias("role"), parts(t).alias("content"))
+    layouts = [
+        F.struct(pair("role", "content", "user", "assistant").alias("messages"), lang.alias("prompt")),
+        F.struct(pair("from", "value", "human", "gpt").alias("conversations"), F.lit(1).alias("version")),
+        F.struct(source.alias("instruction"), lang.alias("input"), text.alias("output")),
+        F.struct(source.alias("prompt"), text.alias("response")),
+        F.struct(lang.alias("system"), source.alias("prompt"), text.alias("completion")),
+        F.struct(lang.alias("context"), source.alias("question"), text.alias("answer")),
+        F.struct(F.array(said("user", source), said("assistant", text)).alias("messages")),
+        F.struct(text.alias("body")),
+    ]
+    record = F.coalesce(*[F.when(F.pmod("doc_id", F.lit(len(layouts))) == k, F.to_json(x)) for k, x in enumerate(layouts)])
+    return docs.select(F.col("doc_id").alias("conv_id"), record.alias("record"))
+
+
+def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heterogeneous records in one template; records of no known layout are left out."""
+    turns = chat_format.records_to_turns(document_records(table(spark, sf_dir, "documents"))).where("turn is not null")
+    return chat_format.digest(chat_format.format_turns(turns.select("conv_id", "turn", "role", "text")))
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -74,22 +133,50 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     store = token_output.write_tokens(docs, tokenizer_path(), end_id=1)
-    keys = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(token_output.NULL_KEY)).alias("key")).distinct()
-    return store.read(store.lookup(keys))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(token_output.NULL_KEY)).alias("key")
+    return store.read(store.lookup(docs.select(key).distinct()))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels are those of documents; a page's address names its document."""
     outcomes = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("bad"))
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", url_filter.document_of(F.col("url")).alias("doc_id"))
-    return url_filter.judge(pages, outcomes, key="doc_id")
-
-
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_packing, op3_language_id, language_id_pages, op4_substring_dedup, op5_decontamination, op6_nearest_neighbours, op7_chat_format, op8_minhash_dedup, op9_token_output, op10_url_filter)}
+    document = url_filter.document_of(F.col("url")).alias("doc_id")
+    judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url", document), outcomes, key="doc_id")
+    rounded = {c: F.round(c, 6) for c in ("mean", "lower")}
+    return judged.withColumns(rounded).withColumnsRenamed({"n": "host_labels", "bad": "host_bad", "mean": "host_mean", "lower": "host_lower"})
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sharding,
+        op2_packing,
+        op3_language_id,
+        language_id_pages,
+        op4_substring_dedup,
+        op5_decontamination,
+        benchmark_proximity,
+        op6_nearest_neighbours,
+        op7_chat_format,
+        chat_layouts,
+        op8_minhash_dedup,
+        op9_token_output,
+        op10_url_filter,
+    )
+}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = r"[^\x20\x09-\x0D]+"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_DIGEST = """SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, er, et)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, er, et) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(er) + length(et) + 23)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
+_ESCAPED = r"e AS (SELECT *, replace(replace(role, '\', '\\'), '<|', '<\|') AS er, replace(replace(text, '\', '\\'), '<|', '<\|') AS et FROM r)"
+_PAIRED = "|".join(url_filter.SECOND_LEVEL)
+_SHRUNK = "1 / least(greatest(coalesce(sum(n * (bad / n - prior) ** 2 - prior * (1 - prior)) / nullif(sum((n - 1) * prior * (1 - prior)), 0), 0.5), 0.01), 0.5) - 1 AS k"
 
 ORACLES = {
     "op4_substring_dedup": rf"""
@@ -115,16 +202,28 @@ items AS (SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS t FROM
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
        sha256(coalesce(items.t, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
-    "op7_chat_format": r"""
+    "benchmark_proximity": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_ALNUM}') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM d),
+b AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_ALNUM}') AS w FROM benchmark),
+t AS (SELECT DISTINCT item_id, len(w) + {SLOP} AS reach, unnest(w) AS term FROM b),
+f AS (SELECT term, count(*) AS f FROM p GROUP BY term),
+r AS (SELECT item_id, reach, count(*) AS n_terms, arg_min(term, (coalesce(f, 1000000000), term)) AS rare FROM t LEFT JOIN f USING (term) GROUP BY 1, 2),
+a AS (SELECT r.*, p.doc_id, p.pos FROM r JOIN p ON p.term = r.rare),
+m AS (SELECT a.item_id, a.doc_id, a.pos FROM a JOIN t ON t.item_id = a.item_id
+      JOIN p ON p.doc_id = a.doc_id AND p.term = t.term AND p.pos BETWEEN a.pos - a.reach AND a.pos + a.reach
+      GROUP BY a.item_id, a.doc_id, a.pos, a.n_terms HAVING count(DISTINCT p.term) = a.n_terms)
+SELECT doc_id, item_id, count(*) AS n, min(pos)::BIGINT AS first_pos FROM m GROUP BY 1, 2""",
+    "op7_chat_format": rf"""
 WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-e AS (SELECT *, replace(replace(role, '\', '\\'), '<|', '<\|') AS er, replace(replace(text, '\', '\\'), '<|', '<\|') AS et FROM r)
-SELECT conv_id, count(*)::BIGINT AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, er, et)) AS turns_sha256,
-       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, er, et) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       sum(length(er) + length(et) + 23)::BIGINT AS formatted_chars
-FROM e GROUP BY conv_id""",
+           UNION ALL SELECT -7, 0, 'user', '{SAID}' UNION ALL SELECT -7, 1, 'assistant', '{SAID}'),
+{_ESCAPED} {_DIGEST}""",
+    "chat_layouts": rf"""
+WITH d AS (SELECT doc_id AS conv_id, doc_id % 8 AS k, coalesce(text, '') AS t, coalesce(source, '') AS s, coalesce(lang, '') AS l FROM documents WHERE doc_id % 8 <> 7),
+r AS (SELECT conv_id, 0 AS turn, 'system' AS role, l AS text FROM d WHERE k = 4 AND trim(l) <> ''
+      UNION ALL SELECT conv_id, 1, 'user', CASE k WHEN 2 THEN concat_ws(chr(10), nullif(s, ''), nullif(l, '')) WHEN 5 THEN concat_ws(chr(10), nullif(l, ''), nullif(s, '')) ELSE s END FROM d
+      UNION ALL SELECT conv_id, 2, 'assistant', t FROM d),
+{_ESCAPED} {_DIGEST}""",
     "op8_minhash_dedup": rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_SPACED}') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
@@ -136,27 +235,31 @@ reach(a, z) AS (SELECT x, y FROM both_ways UNION SELECT reach.a, both_ways.y FRO
 root AS (SELECT a, least(a, min(z)) AS r FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(root.r, d.doc_id) AS component_id, coalesce(root.r, d.doc_id) = d.doc_id AS kept
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN root ON root.a = d.doc_id""",
-    "op10_url_filter": r"""
+    "op10_url_filter": rf"""
 WITH h AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                   coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
-l AS (SELECT doc_id AS page_id, max(toxic) AS bad FROM labels WHERE toxic IS NOT NULL GROUP BY doc_id),
-g AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM h LEFT JOIN l USING (page_id) GROUP BY host),
-c AS (SELECT *, string_split(host, '.') AS q FROM g),
-f AS (SELECT host, n, bad, array_to_string(q[-2:], '.') AS domain, q[-1] AS suffix FROM c),
-t AS (SELECT (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1) AS top FROM f),
-sc AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM f GROUP BY suffix),
-sk AS (SELECT 1 / least(greatest(coalesce(sum(n * (bad / n - top) ** 2 - top * (1 - top)) / nullif(sum((n - 1) * top * (1 - top)), 0), 0.5), 0.01), 0.5) - 1 AS k FROM sc, t WHERE n > 0),
-sm AS (SELECT suffix, (bad + k * top) / (n + k) AS mean FROM sc, t, sk),
-dc AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM f GROUP BY ALL),
+o AS (SELECT *, try_cast(regexp_extract(path, '/([0-9]{{1,18}})(?:\.html?)?/?$', 1) AS BIGINT) AS doc_id FROM h),
+l AS (SELECT doc_id, max(toxic) AS bad FROM labels WHERE toxic IS NOT NULL GROUP BY doc_id),
+g AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS bad FROM o LEFT JOIN l USING (doc_id) GROUP BY host),
+c AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare FROM g),
+q AS (SELECT *, string_split(bare, '.') AS q, regexp_matches(bare, '^[0-9.]*$') AS digits FROM c),
+f AS (SELECT host, n, bad, CASE WHEN regexp_matches(array_to_string(q[-2:], '.'), '^(?:{_PAIRED})\.[a-z][a-z]$') THEN 2 ELSE 1 END AS labels, q, digits, bare FROM q),
+v AS (SELECT host, n, bad, CASE WHEN digits THEN bare ELSE array_to_string(q[-labels - 1:], '.') END AS domain, CASE WHEN digits THEN '' ELSE array_to_string(q[-labels:], '.') END AS suffix FROM f),
+t AS (SELECT (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1) AS top FROM v),
+sc AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(top) AS prior FROM v, t GROUP BY suffix),
+sk AS (SELECT {_SHRUNK} FROM sc WHERE n > 0),
+sm AS (SELECT suffix, (bad + k * prior) / (n + k) AS mean FROM sc, sk),
+dc AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM v GROUP BY ALL),
 dp AS (SELECT dc.*, sm.mean AS prior FROM dc JOIN sm USING (suffix)),
-dk AS (SELECT 1 / least(greatest(coalesce(sum(n * (bad / n - prior) ** 2 - prior * (1 - prior)) / nullif(sum((n - 1) * prior * (1 - prior)), 0), 0.5), 0.01), 0.5) - 1 AS k FROM dp WHERE n > 0),
+dk AS (SELECT {_SHRUNK} FROM dp WHERE n > 0),
 dm AS (SELECT domain, (bad + k * prior) / (n + k) AS mean FROM dp, dk),
-hp AS (SELECT f.*, dm.mean AS prior FROM f JOIN dm USING (domain)),
-hk AS (SELECT 1 / least(greatest(coalesce(sum(n * (bad / n - prior) ** 2 - prior * (1 - prior)) / nullif(sum((n - 1) * prior * (1 - prior)), 0), 0.5), 0.01), 0.5) - 1 AS k FROM hp WHERE n > 0),
-hm AS (SELECT host, n + k AS size, (bad + k * prior) / (n + k) AS mean FROM hp, hk),
-blocked AS (SELECT host FROM hm WHERE mean - 1.2816 * sqrt(mean * (1 - mean) / (size + 1)) > 0.5),
+hp AS (SELECT v.*, dm.mean AS prior FROM v JOIN dm USING (domain)),
+hk AS (SELECT {_SHRUNK} FROM hp WHERE n > 0),
+hm AS (SELECT host, n, bad, n + k AS size, (bad + k * prior) / (n + k) AS mean FROM hp, hk),
+hl AS (SELECT *, mean - {url_filter.Z} * sqrt(mean * (1 - mean) / (size + 1)) AS lower FROM hm),
 rules(rh, rp, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
 fits AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v FROM h, rules WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
-SELECT h.page_id, h.host, h.path, fits.rule, coalesce(fits.v, CASE WHEN blocked.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
-FROM h LEFT JOIN fits USING (page_id) LEFT JOIN blocked ON blocked.host = h.host""",
+SELECT h.page_id, h.host, h.path, fits.rule, coalesce(fits.v, CASE WHEN lower > least({url_filter.MAX_BAD}, {url_filter.RATIO} * top) THEN 'block' ELSE 'allow' END) AS verdict,
+       hl.n AS host_labels, hl.bad AS host_bad, round(hl.mean, 6) AS host_mean, round(lower, 6) AS host_lower
+FROM h LEFT JOIN fits USING (page_id) LEFT JOIN hl ON hl.host = h.host, t""",
 }
