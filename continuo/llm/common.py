@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: An Arrow batch that goes to Python holds about so many bytes at most (one row at least).
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 #: Rows of keys that are broadcast at most; as hashed relations such rows take 60 to 270 bytes each.
 BROADCAST_KEYS = 200_000
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"

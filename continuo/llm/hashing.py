@@ -10,6 +10,7 @@ import numpy as np
 
 _BYTE_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _WORD_BASE = np.uint64(0xC2B2AE3D27D4EB4F | 1)
+KEPT_POWERS = 1 << 19
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 #: Separators: space and the ASCII controls 09 to 0D.
@@ -29,7 +30,9 @@ def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
             steps = np.full(size, b, dtype=np.uint64)
             steps[0] = 1
             tables.append(np.cumprod(steps, dtype=np.uint64))
-        got = _POWERS[int(base)] = (tables[0], tables[1])
+        got = (tables[0], tables[1])
+        if size <= KEPT_POWERS:  # those for a very long text go with it
+            _POWERS[int(base)] = got
     return got
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from continuo.llm import tokens
-from continuo.llm.common import frame, materialize, text_of
+from continuo.llm.common import materialize, text_of, unbatched
 
 TIERS = (4096, 2048, 1024, 512, 256)
 STEP_WINDOWS = 16
@@ -155,21 +155,23 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, tiers=TIERS, ste
 
         tokenizer, packer = tokens.load(tokenizer_path), Packer(TaskContext.get().partitionId() << 36, tiers, step_windows)
         end = np.array([end_id], dtype=tokenizer.dtype).tobytes()
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.frombuffer(tokenizer.ids(text) + end, dtype=tokenizer.dtype)
-                packer.add(None if doc_id is None else int(doc_id), ids)
+        for batch in unbatched(batches):
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                packer.add(doc_id, np.frombuffer(tokenizer.ids(text) + end, dtype=tokenizer.dtype))
                 if packer.pending > PENDING:
-                    yield from _frames(packer.rows(last=False), names)
+                    yield from _batches(packer.rows(last=False))
         tokenizer.forget()
-        yield from _frames(packer.rows(), names)
+        yield from _batches(packer.rows())
 
-    doc_id = F.col("doc_id").cast("long").cast("string").alias("doc_id")  # beside nulls pandas would make ids floats
-    return materialize(docs.select(doc_id, text_of().alias("text")).mapInPandas(packed, SCHEMA), "pieces")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    return materialize(texts.mapInArrow(packed, SCHEMA), "pieces")
 
 
-def _frames(rows, names: list[str]):
-    """In bounded batches."""
+def _batches(rows):
+    """Arrow batches of bounded size."""
+    import pyarrow as pa
+
+    kinds = [c.split() for c in SCHEMA.split(", ")]
     while part := list(islice(rows, 20_000)):
-        yield frame(part, names, "doc_id")
+        arrays = [pa.array(x, pa.int32() if kind == "int" else pa.int64()) for x, (_, kind) in zip(zip(*part, strict=True), kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, [name for name, _ in kinds])

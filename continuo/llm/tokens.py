@@ -14,8 +14,8 @@ import numpy as np
 
 from continuo.llm.common import give_back
 
-#: Parts and letter runs that a worker remembers at most.
-MAX_PARTS, MAX_RUNS, MAX_PART_CHARS = 600_000, 350_000, 48
+#: Parts that a worker remembers at most, and their length.
+MAX_PARTS, MAX_PART_CHARS = 500_000, 48
 _LOADED: dict[str, WordTokenizer] = {}
 
 
@@ -37,7 +37,6 @@ class WordTokenizer:
             self.by_parts = self._drops_space(json.load(f))
         self.letters = _byte_letters()
         self.parts: dict[str, bytes] = {"": b""}
-        self.runs: dict[str, bytes] = {}
 
     @staticmethod
     def _drops_space(config: dict) -> bool:
@@ -54,32 +53,35 @@ class WordTokenizer:
 
     def _run(self, run: str) -> bytes:
         """A lower-case letter run of Latin-1, straight through the library's merges."""
-        got = self.runs.get(run)
-        if got is None:
-            spelled = run if run.isascii() else "".join(self.letters[b] for b in run.encode())
-            got = np.array([t.id for t in self.model.tokenize(spelled)], dtype=self.dtype).tobytes()
-            if len(self.runs) < MAX_RUNS:
-                self.runs[run] = got
-        return got
+        spelled = run if run.isascii() else "".join(self.letters[b] for b in run.encode())
+        return np.array([t.id for t in self.model.tokenize(spelled)], dtype=self.dtype).tobytes()
 
     def _part(self, part: str) -> bytes:
+        """A part's ids. A word with other case or punctuation behind it is put together of remembered ones."""
+        if len(part) > MAX_PART_CHARS:
+            return self._encode(part)
         word = part.rstrip(".,")
-        if len(part) <= MAX_PART_CHARS and word.isalpha() and max(word) <= "ÿ":
-            got = self._run(word.lower())
-            if len(word) < len(part):
-                tail = part[len(word) :]
-                if tail not in self.runs:
-                    self.runs[tail] = self._encode(tail)
-                got += self.runs[tail]
+        if word.isalpha() and max(word) <= "ÿ":
+            lower = word.lower()
+            got = self.parts.get(lower)
+            if got is None:
+                got = self._remember(lower, self._run(lower))
+            if lower == part:
+                return got
+            if tail := part[len(word) :]:
+                got += self.parts[tail] if tail in self.parts else self._remember(tail, self._encode(tail))
         else:
             got = self._encode(part)
-        if len(self.parts) < MAX_PARTS and len(part) <= MAX_PART_CHARS:
-            self.parts[part] = got
-        return got
+        return self._remember(part, got)
+
+    def _remember(self, part: str, ids: bytes) -> bytes:
+        if len(self.parts) < MAX_PARTS:
+            self.parts[part] = ids
+        return ids
 
     def forget(self) -> None:
         """Drops the memo; the worker lives on beside other stages."""
-        self.parts, self.runs = {"": b""}, {}
+        self.parts = {"": b""}
         give_back()
 
     def ids(self, text: str) -> bytes:
