@@ -5,19 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that state texts are compared without.
+#: Words that state texts are compared without; white space and line ends of the model's texts; phrases
+#: that state texts are brought to one form of; what memory texts are compared without.
 STATE_STOPWORDS = ("a", "an", "the", "is", "are", "still", "yet")
+SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+LINE_END = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+STILL_MISSING, NOT_YET = r"\b(?:is )?still missing\b", r"\bno\s+(.+?)\s+yet\b"
+VOLATILE_ID = r"\b(?:turn|session|project|observation)_?id\s*[:=]\s*[a-z0-9_.:-]+\b"
+ISO_TIME = r"\b\d{4}-\d{2}-\d{2}t\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:z|[+-]\d{2}:\d{2})?\b"
 
 
 def squash(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
+
+
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def iso_seconds(text: Column) -> Column:
+    """Seconds of an ISO time, null if it is none."""
+    return F.unix_timestamp(F.try_to_timestamp(text))
 
 
 def normalize_state(text: Column) -> Column:
     """Case and spacing folded; "still missing" and "no X yet" brought to "X missing"; punctuation dropped."""
     out = F.lower(squash(F.coalesce(text, F.lit(""))))
-    out = F.regexp_replace(out, r"\b(?:is )?still missing\b", " missing")
-    out = F.regexp_replace(out, r"\bno\s+(.+?)\s+yet\b", "$1 missing")
+    out = F.regexp_replace(out, STILL_MISSING, " missing")
+    out = F.regexp_replace(out, NOT_YET, "$1 missing")
     return squash(F.regexp_replace(out, r"[^\p{L}\p{N}_\s]", " "))
 
 
@@ -35,9 +50,7 @@ def state_matches(left: Column, right: Column) -> Column:
 def normalize_memory(text: Column) -> Column:
     """Case folded, slashes unified, volatile ids and ISO times dropped, spacing squashed."""
     out = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("\\"), F.lit("/"))
-    out = F.regexp_replace(out, r"\b(?:turn|session|project|observation)_?id\s*[:=]\s*[a-z0-9_.:-]+\b", "")
-    out = F.regexp_replace(out, r"\b\d{4}-\d{2}-\d{2}t\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:z|[+-]\d{2}:\d{2})?\b", "")
-    return squash(out)
+    return squash(F.regexp_replace(F.regexp_replace(out, VOLATILE_ID, ""), ISO_TIME, ""))
 
 
 def fingerprint(kind: Column, status: Column, text: Column) -> Column:

@@ -30,6 +30,20 @@ def closure_reasons(events: DataFrame) -> DataFrame:
     return events.select("budget", F.explode(reasons).alias("reason")).groupBy("budget", "reason").agg(F.count("*").alias("n"))
 
 
+def sync_summary(rows: DataFrame) -> DataFrame:
+    """One row over sync events: how many, synced, skipped, ratios, times; sums over none are null."""
+    skipped = F.col("skipped").cast("int")
+    return rows.agg(F.count("*").alias("events"), F.sum(1 - skipped).alias("synced"), F.sum(skipped).alias("skipped"), F.round(F.avg("compression_ratio"), 3).alias("ratio"), F.round(F.avg("build_ms"), 2).alias("build_ms"), F.max("build_ms").alias("max_build_ms"), F.max("at").alias("latest"))
+
+
+def closure_metrics(rows: DataFrame) -> DataFrame:
+    """One row over closure events (event_kind, passed, reasons): totals, and how often each reason was given."""
+    sums = rows.agg(F.count("*").alias("events"), F.count_if(F.col("event_kind") == "mismatch").alias("mismatches"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"))
+    each = rows.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    counts = each.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("reason_counts"))  # a few reasons
+    return sums.join(F.broadcast(counts))  # one row each
+
+
 def latest_sync(events: DataFrame) -> DataFrame:
     """Latest successful event of each project."""
     return events.where("not skipped").groupBy("project_id").agg(F.max(F.struct("generated_at", "event_id")).alias("x")).select("project_id", "x.event_id", "x.generated_at")

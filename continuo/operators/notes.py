@@ -13,27 +13,27 @@ from continuo.functions.text import squash
 
 #: Words, tags and phrases that the score knows.
 HIGH_VALUE_TAGS = {
-    "baseline": "actual baseline current estado state version",
-    "blocker": "blocker bloqueada bloqueado bloqueante bloqueo pendiente pendientes",
-    "current-state": "actual current estado state version",
-    "decision": "autorizacion decision decidir explicit final",
-    "freeze": "bloqueada bloqueado cierre congelada congelado freeze frozen hold",
-    "governance": "gobernanza governance policy protocolo",
-    "installation-state": "instalada instalado instalacion installation local runtime",
-    "publish-hold": "assets checksums github hold publicacion publicar publish release tag",
-    "release": "assets checksums github publicacion publicar publish release tag",
-    "roadmap": "plan planes roadmap roadmaps",
-    "version-state": "actual baseline estado instalada instalado version",
+    "baseline": ("actual", "baseline", "current", "estado", "state", "version"),
+    "blocker": ("blocker", "bloqueada", "bloqueado", "bloqueante", "bloqueo", "pendiente", "pendientes"),
+    "current-state": ("actual", "current", "estado", "state", "version"),
+    "decision": ("autorizacion", "decision", "decidir", "explicit", "final"),
+    "freeze": ("bloqueada", "bloqueado", "cierre", "congelada", "congelado", "freeze", "frozen", "hold"),
+    "governance": ("gobernanza", "governance", "policy", "protocolo"),
+    "installation-state": ("instalada", "instalado", "instalacion", "installation", "local", "runtime"),
+    "publish-hold": ("assets", "checksums", "github", "hold", "publicacion", "publicar", "publish", "release", "tag"),
+    "release": ("assets", "checksums", "github", "publicacion", "publicar", "publish", "release", "tag"),
+    "roadmap": ("plan", "planes", "roadmap", "roadmaps"),
+    "version-state": ("actual", "baseline", "estado", "instalada", "instalado", "version"),
 }
 HIDDEN_STATUSES = ("low_value", "retired", "superseded")
-STOPWORDS = set("a al and con de del el en for la las los of on para por the to un una y".split())
-GENERIC = set("audit auditoria auditorias auditar code codigo doc docs documento documentos manifest manifiesto package packages paquete paquetes plan planes pro report reporte reportes reports roadmap roadmaps".split())
+STOPWORDS = {"a", "al", "and", "con", "de", "del", "el", "en", "for", "la", "las", "los", "of", "on", "para", "por", "the", "to", "un", "una", "y"}
+GENERIC = {"audit", "auditoria", "auditorias", "auditar", "code", "codigo", "doc", "docs", "documento", "documentos", "manifest", "manifiesto", "package", "packages", "paquete", "paquetes", "plan", "planes", "pro", "report", "reporte", "reportes", "reports", "roadmap", "roadmaps"}
 META_TAGS = ("local-install", "manual-note-search", "mcp-internal", "relevance-gate", "test", "validation")
-META_WORDS = set("debug diagnostic gate install internal local manual meta note relevance search smoke test validation".split())
+META_WORDS = {"debug", "diagnostic", "gate", "install", "internal", "local", "manual", "meta", "note", "relevance", "search", "smoke", "test", "validation"}
 ALIASES = (
-    set("bloqueada bloqueado cierre congelada congelado freeze frozen hold".split()),
-    set("github publicacion publicar publish release".split()),
-    set("site sitio sitios website websites".split()),
+    {"bloqueada", "bloqueado", "cierre", "congelada", "congelado", "freeze", "frozen", "hold"},
+    {"github", "publicacion", "publicar", "publish", "release"},
+    {"site", "sitio", "sitios", "website", "websites"},
 )
 STABLE_PHRASES = ("baseline", "do not publish", "do not touch", "explicit approval", "final decision", "freeze tecnico", "frozen assets", "hashes", "human diff ready", "installed version", "publish pending", "release hold")
 
@@ -69,7 +69,7 @@ def score(notes: DataFrame, query: str) -> DataFrame:
     asked = meaningful(words)
     weak = {w for w in words if len(w) == 1 or w.isdigit()}
     groups = [g for g in ALIASES if g & words]
-    boostable = {tag for tag, near in HIGH_VALUE_TAGS.items() if set(near.split()) & words}
+    boostable = {tag for tag, near in HIGH_VALUE_TAGS.items() if set(near) & words}
     has = lambda column: F.contains(F.col(column), F.lit(folded))
 
     rows = notes.where(~F.lower(F.coalesce("status", F.lit(""))).isin(*HIDDEN_STATUSES)).select(
@@ -120,6 +120,16 @@ def merge_ranked(found: DataFrame, scored: DataFrame, notes: DataFrame, limit: i
     return plain.unionByName(ranked).orderBy(F.desc("score"), "priority", "rank", F.desc("updated_at"), "id").limit(limit)
 
 
+def merge_scored(found: DataFrame, scored: DataFrame, asked: DataFrame) -> DataFrame:
+    """Found rows and scored notes in one table with ``score``: found notes without a score drop out, other rows have 0.
+
+    found: rows with rank. asked: the rows of the notes that were scored. scored: id, note_score.
+    """
+    plain = found.where("coalesce(source_kind, '') <> 'manual_note'").withColumn("score", F.lit(0.0))
+    noted = asked.join(scored, "id").join(found.select("id", "rank"), "id", "left").withColumn("rank", F.coalesce("rank", F.lit(0.0)))
+    return plain.unionByName(noted.withColumnRenamed("note_score", "score").select(*plain.columns))
+
+
 def create(raw: DataFrame) -> DataFrame:
     """Notes as observations. raw: project_key, session_id, text, title, tags, importance. Blank texts give no row.
 

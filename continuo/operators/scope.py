@@ -14,7 +14,9 @@ from continuo.operators.notes import meaningful
 #: Phrases of title prompts, broad folder names, names that never narrow a search, name patterns.
 PROMPT_NOISE = ("generate a concise ui title", "generate a clear, informative task title", "generate a short title", "the tasks typically have to do with coding-related tasks", "fill the structured title field")
 BROAD = ("lab", "src", "docs", "tests", "scripts", "workspace")
-NEVER_NARROW = "ambient appdata classifier local policy policy-classifier policy-safety program-files program-files-x86 programdata roaming safety safety-classifier self-harm system32 temp tmp users windows".split()
+NEVER_NARROW = (
+    "ambient", "appdata", "classifier", "local", "policy", "policy-classifier", "policy-safety", "program-files", "program-files-x86", "programdata", "roaming", "safety", "safety-classifier", "self-harm", "system32", "temp", "tmp", "users", "windows",
+)
 PATHS = r"(?:[A-Za-z]:[\\/][^\n`\"']+|/[A-Za-z0-9_.\-/]+)"
 REPO_NAME = r"\b[A-Za-z0-9]+(?:[-_][A-Za-z0-9]+)+\b"
 #: Points of a literal sub-scope, folder or session match, and of an equal path hint.
@@ -143,15 +145,75 @@ def resolve(sessions: DataFrame, hint: str | None = None, current_cwd: str | Non
     return ranked.where(F.col("rn") <= limit).drop("second")
 
 
+#: Sessions that a scope lists at most, and names that it lists.
+LISTED_SESSIONS, LISTED_NAMES = 100, 8
+
+
 def lanes(sessions: DataFrame, limit: int = 8) -> DataFrame:
-    """lane, session_count, session_ids (the 8 smallest), latest_turn_at, top_score; best lanes first, 1 to 20.
+    """lane, session_count, session_ids (the 8 smallest), latest_turn_at, top_score, signals, matched; best lanes first, 1 to 20.
 
-    sessions: session_id, sub_scope, cwd, last_turn_at, score. The ids are cut to 8 a lane before they are collected.
+    sessions: session_id, sub_scope, cwd, last_turn_at, score, and signals and matched (lists of names) if they were scored.
+    The ids are cut to 8 a lane before they are collected; signals and matched words are those of a few hints.
     """
     rows = sessions.withColumn("lane", lane_of(F.col("sub_scope"), F.col("cwd"))).where("lane is not null")
     order = Window.partitionBy("lane").orderBy("session_id")
-    few = rows.select("lane", "session_id").withColumn("rn", F.row_number().over(order)).where("rn <= 8")
+    few = rows.select("lane", "session_id").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= LISTED_NAMES)
     ids = few.groupBy("lane").agg(F.array_sort(F.collect_list("session_id")).alias("session_ids"))
     whole = rows.groupBy("lane").agg(F.count("*").alias("session_count"), F.max("last_turn_at").alias("latest_turn_at"), F.max("score").alias("top_score"))
     joined = whole.join(ids, "lane")
+    for name in ("signals", "matched"):
+        if name in rows.columns:
+            each = rows.select("lane", F.explode(name).alias(name)).groupBy("lane").agg(F.array_sort(F.collect_set(name)).alias(name))
+            joined = joined.join(each, "lane", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
     return joined.orderBy(F.desc("top_score"), F.desc_nulls_last("latest_turn_at"), F.desc("session_count"), F.desc("lane")).limit(max(1, min(limit, 20)))
+
+
+def confidence(top: int, second: int = 0) -> str:
+    return "high" if top >= 150 and top >= second + 45 else "medium" if top >= 70 else "low"
+
+
+def routing(hinted: bool, found: list[dict], lanes_: list[dict], sessions: int) -> dict:
+    """Where resolved hints lead: found are the resolver's rows, lanes_ those of ``lanes``; never a session by itself."""
+    broad = sessions > 1 or len(lanes_) > 1
+    sure = found[0]["confidence"] if hinted and found else "low"
+    if not hinted:
+        decision = "needs_hint"
+    elif not found:
+        decision = "no_match"
+    elif sure == "high" or len(lanes_) == 1:
+        decision = "lane_resolved"
+    else:
+        decision = "ambiguous"
+    return {
+        "routing_decision": decision, "confidence": sure, "candidates": found, "candidate_lanes": lanes_, "session_count": sessions, "multiple_sessions_detected": sessions > 1,
+        "multiple_lanes_detected": len(lanes_) > 1, "broad_scope_detected": broad, "do_not_fetch_project_wide_pack": broad or decision != "needs_hint",
+        "signals_used": sorted({x for r in found for x in r["signals"] or ()}), "recommended_scope": found[0]["lane"] if sure == "high" else None,
+    }
+
+
+def notices(scope: dict) -> list[str]:
+    """The lines of a pack that say which sessions it is made of. scope: see ``Engine.scope_metadata``."""
+    if not scope["session_filter_applied"] and not scope["broad_scope_detected"]:
+        return []
+    sessions, names = scope["source_session_count"], scope["source_sub_scope_count"]
+    if scope["session_filter_applied"]:
+        lines = [f"Session scope: session-scoped; session_filter=applied; source_sessions={sessions}; external_session_id={scope['source_sessions'][0] if scope['source_sessions'] else 'unknown'}."]
+    else:
+        lines = [
+            f"Session scope: project-wide; session_filter=not_applied; source_sessions={sessions}; sub_scopes={names}.",
+            "Scope warning: mixed persisted sessions/sub-scopes. Use `mem_session_list` + `session_id`.",
+            "No active objective selected: this project-wide pack is advisory until narrowed.",
+            'Suggested narrowing: choose a target from candidate_sub_scopes, then call mem_session_list(project_key, query="<target sub-scope>") before treating this project-wide pack as active context.',
+        ]
+    last, captured = scope["last_operational_capture_at"], scope["last_captured_turn_at"]
+    if last:
+        beside = f" (last captured turn: `{captured}`)" if captured and captured != last else ""
+        lines.append(f"Last operational capture: `{last}`{beside}. Persisted; not live current-turn awareness.")
+    elif captured:
+        lines.append(f"Last captured turn: `{captured}`. Persisted; not live current-turn awareness.")
+    return lines
+
+
+def short_notices(lines: list[str]) -> list[str]:
+    """Those that very small packs keep."""
+    return [x for x in lines if not x.startswith(("Suggested narrowing:", "No active objective selected:"))]

@@ -1,48 +1,64 @@
-"""Extraction of labelled facts, open-work state, deltas, completion checks, health and budgets."""
+"""Extraction of labelled facts, open-work state, completion checks, health and budgets."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from continuo.functions import text as T
 
 _AFTER = r"\s*[:\-]\s*(.+)$"
-#: Kinds with their labels, importance and confidence; the first that fits wins.
+_DOD = "dod|definition of done"
+#: Kinds with their labels, importance and confidence; the first that fits wins. Claims and decisions have
+#: patterns of their own.
 KINDS = (
     ("objective", "objective|goal|target|mission", 4, 0.72),
     ("constraint", "constraint|restriction|rule", 4, 0.7),
-    ("project_dod", r"project\s+(?:dod|definition of done)", 5, 0.76),
-    ("mission_dod", r"mission\s+(?:dod|definition of done)", 5, 0.76),
-    ("session_dod", r"session\s+(?:dod|definition of done)|dod|definition of done", 5, 0.74),
+    ("project_dod", rf"project\s+(?:{_DOD})", 5, 0.76),
+    ("mission_dod", rf"mission\s+(?:{_DOD})", 5, 0.76),
+    ("session_dod", rf"session\s+(?:{_DOD})|{_DOD}", 5, 0.74),
     ("pending_item", "pending|todo|to do|remaining|open item", 5, 0.74),
     ("completed_item", "done|completed|finished", 3, 0.7),
     ("blocker", "blocker|blocked|risk", 5, 0.78),
 )
 CLAIM = r"(?i)^\s*(?:status\s*[:\-]\s*(?:done|complete|completed|finished)|(?:we are|we're|it is)\s+(?:done|finished|complete(?:d)?))\s*$"
 DECISION = r"(?iu)^\s*(?:[-*]\s*(?:decision|decisión)|decision|decisión|resolved|resolution)\s*[:\-]\s*(.+)$"
-INLINE = (
-    r"(?i)\s+(?=(?:decision|decisión|objective|goal|target|mission|constraint|restriction|rule|project\s+(?:dod|definition of done)|mission\s+(?:dod|definition of done)|"
-    r"session\s+(?:dod|definition of done)|(?<!project )(?<!mission )(?<!session )(?:dod|definition of done)|pending|todo|to do|remaining|open item|done|completed|finished|blocker|blocked|risk|status)\s*[:\-])"
-)
+#: Before a label inside a line; a bare definition of done doesn't follow the word that makes it another kind.
+_BARE = rf"(?<!project )(?<!mission )(?<!session )(?:{_DOD})"
+_LABELS = [labels.removesuffix(_DOD) + _BARE if kind == "session_dod" else labels for kind, labels, _, _ in KINDS]
+INLINE = rf"(?i)\s+(?=(?:decision|decisión|{'|'.join(_LABELS)}|status)\s*[:\-])"
+DOD = ("project_dod", "mission_dod", "session_dod")
 #: Calls of the memory's own tools; a turn that makes one, or asks for an exact answer, holds no facts.
 TOOLS = "search|get|recent|project_brief|open_work|completion_check|recent_changes|scope_guard|context_pack|provenance|health|snapshot_(?:list|create|restore)"
 DIAGNOSTIC = rf"(?i)\b(?:use|call|invoke)\b.{{0,160}}\bmem_(?:{TOOLS})\b|respond exactly as\s*:|without using tools or reading files"
 #: Titles, importance and confidence of the kinds that no label names.
 TITLES = {"objective": "Objective", "user_request": "User request", "constraint": "Constraint", "project_dod": "Project DoD", "mission_dod": "Mission DoD", "session_dod": "Session DoD", "pending_item": "Pending", "completed_item": "Completed", "blocker": "Blocker", "completion_claim": "Completion claim", "decision": "Decision"}
 WEIGHTS = {kind: (importance, confidence) for kind, _, importance, confidence in KINDS} | {"completion_claim": (5, 0.62), "user_request": (4, 0.38), "decision": (4, 0.75)}
+#: What an open state forbids.
+GUARDRAILS = (
+    "Do not declare completion while pending work remains.",
+    "Before closing, confirm each pending item explicitly.",
+    "Keep the active user request in scope; do not silently narrow it.",
+    "If blockers remain, say blocked and list them instead of saying done.",
+    "Do not declare completion while Definition of Done items are still missing.",
+    "A recent completion claim conflicts with open pending work. Re-check scope before closing.",
+    "A recent completion claim conflicts with Definition of Done gaps. Re-check closure before closing.",
+)
 #: Profiles in order with the limits that open work must fit.
 BUDGETS = (("micro", 3, 2, 2, 2, 0), ("normal", 4, 3, 3, 3, 1), ("full", 6, 4, 5, 4, 2))
 
 
+def segment_list(text: Column) -> Column:
+    """(line, cut, part, segment) of a text in order: lines, cut at semicolons and before inline labels."""
+    part = lambda line, cut: lambda t, k: F.struct(line.alias("line"), cut.alias("cut"), k.alias("part"), T.strip(t).alias("segment"))
+    cut = lambda line: lambda t, k: F.transform(F.split(T.strip(t), INLINE), part(line, k))
+    lines = F.transform(F.split(text, T.LINE_END), lambda t, k: F.flatten(F.transform(F.split(T.strip(t), r"\s*;\s*"), cut(k))))
+    return F.filter(F.flatten(lines), lambda x: x["segment"] != "")
+
+
 def segments(rows: DataFrame, text: str, *keys: str) -> DataFrame:
-    """``keys``, line, part, segment: lines, cut at semicolons and before inline labels."""
-    out = rows.select(*keys, F.posexplode(F.split(text, r"\r\n|\n|\r")).alias("line", "t"))
-    out = out.select(*keys, "line", F.posexplode(F.split(F.trim("t"), r"\s*;\s*")).alias("cut", "t"))
-    out = out.select(*keys, "line", "cut", F.posexplode(F.split(F.trim("t"), INLINE)).alias("part", "t"))
-    return out.select(*keys, "line", "cut", "part", F.trim("t").alias("segment")).where("segment <> ''")
+    """``keys``, line, cut, part, segment."""
+    return rows.select(*keys, F.inline(segment_list(F.col(text))))
 
 
 def clean_value(value: Column) -> Column:
@@ -51,38 +67,63 @@ def clean_value(value: Column) -> Column:
     return F.trim(F.element_at(F.split(squashed, r"(?<=[.!?])\s+(?=[A-Z])", 2), 1))
 
 
-def extract(rows: DataFrame, text: str, *keys: str) -> DataFrame:
-    """Observations of labelled text: first label wins, one of each (kind, normalized text) per text."""
-    cut = segments(rows, text, *keys)
-    kind, value = F.lit(None).cast("string"), F.lit(None).cast("string")
-    kind = F.when(F.col("segment").rlike(CLAIM), "completion_claim")
+def _fact(x: Column) -> Column:
+    """(kind, normalized, line, cut, part, value) of a segment; no kind if it has no label."""
+    segment = x["segment"]
+    claimed = segment.rlike(CLAIM)
+    kind, value = F.when(claimed, "completion_claim"), F.when(claimed, "assistant claimed the work was complete")
     for name, labels, _, _ in reversed(KINDS):
         pattern = rf"(?i)^\s*(?:{labels}){_AFTER}"
-        fits = F.col("segment").rlike(pattern)
+        fits = segment.rlike(pattern)
         kind = F.when(fits, name).otherwise(kind)
-        value = F.when(fits, F.regexp_extract("segment", pattern, 1)).otherwise(value)
-    found = cut.withColumn("kind", kind).withColumn("value", clean_value(value)).where("kind is not null")
-    claimed = F.col("kind") == "completion_claim"
-    found = found.withColumn("value", F.when(claimed, "assistant claimed the work was complete").otherwise(F.col("value")))
-    found = found.withColumn("normalized", T.normalize_state(F.when(claimed, F.col("segment")).otherwise(F.col("value"))))
-    found = found.where(~F.col("normalized").isin("", "and", "or"))
-    first = Window.partitionBy(*keys, "kind", "normalized").orderBy("line", "cut", "part")
-    return found.withColumn("rn", F.row_number().over(first)).where("rn = 1").select(*keys, "line", "cut", "part", "kind", "value", "normalized")
+        value = F.when(fits, clean_value(F.regexp_extract(segment, pattern, 1))).otherwise(value)
+    normalized = T.normalize_state(F.when(kind == "completion_claim", segment).otherwise(value))
+    return F.struct(kind.alias("kind"), normalized.alias("normalized"), x["line"], x["cut"], x["part"], value.alias("value"))
+
+
+def _decision(x: Column) -> Column:
+    value = F.trim(F.regexp_extract(x["segment"], DECISION, 1))
+    return F.struct(F.lit("decision").alias("kind"), T.normalize_state(value).alias("normalized"), x["line"], x["cut"], x["part"], value.alias("value"))
+
+
+def _found(rows: DataFrame, segments_: str, to_fact, name: str) -> DataFrame:
+    """Adds ``name``: the facts of a column of segments, each (kind, normal form) once, where it stands first.
+
+    All in the row: facts are sorted by what makes them equal, and one stays that differs from the one before it.
+    """
+    fits = lambda x: x["kind"].isNotNull() & ~x["normalized"].isin("", "and", "or")
+    sorted_ = F.array_sort(F.filter(F.transform(segments_, to_fact), fits))
+    before = lambda k: F.get(F.col("__sorted"), k - 1)
+    new = lambda x, k: (k == 0) | (x["kind"] != before(k)["kind"]) | (x["normalized"] != before(k)["normalized"])
+    return rows.withColumn("__sorted", sorted_).withColumn(name, F.filter("__sorted", new)).drop("__sorted")
+
+
+def extract(rows: DataFrame, text: str, *keys: str) -> DataFrame:
+    """``keys``, line, cut, part, kind, value, normalized: the labelled facts of each text, nothing shuffled."""
+    cut = rows.select(*keys, segment_list(F.coalesce(text, F.lit(""))).alias("__segments"))
+    found = _found(cut, "__segments", _fact, "__facts").select(*keys, F.inline("__facts"))
+    return found.select(*keys, "line", "cut", "part", "kind", "value", "normalized")
 
 
 def decisions(rows: DataFrame, text: str, *keys: str) -> DataFrame:
     """Decisions of a text, each normal form once."""
-    found = segments(rows, text, *keys).withColumn("value", F.trim(F.regexp_extract("segment", DECISION, 1))).withColumn("normalized", T.normalize_state(F.col("value"))).where("normalized <> ''")
-    first = Window.partitionBy(*keys, "normalized").orderBy("line", "cut", "part")
-    return found.withColumn("rn", F.row_number().over(first)).where("rn = 1").select(*keys, "line", "cut", "part", F.lit("decision").alias("kind"), "value", "normalized")
+    cut = rows.select(*keys, segment_list(F.coalesce(text, F.lit(""))).alias("__segments"))
+    found = _found(cut, "__segments", _decision, "__facts").select(*keys, F.inline("__facts"))
+    return found.select(*keys, "line", "cut", "part", "kind", "value", "normalized")
+
+
+def request(text: Column) -> Column:
+    """The first 280 characters of a message's lines."""
+    lines = F.filter(F.transform(F.split(text, T.LINE_END), T.strip), lambda x: x != "")
+    return F.substring(F.trim(F.array_join(lines, " | ")), 1, 280)
 
 
 def summarize(messages: Column, reply: Column) -> Column:
     """The last two messages and up to 400 characters of the reply on one line."""
-    said = F.trim(F.array_join(F.when(F.size(messages) <= 2, messages).otherwise(F.slice(messages, -2, 2)), " | "))
-    line = F.replace(F.trim(reply), F.lit("\n"), F.lit(" "))
+    said = T.strip(F.array_join(F.when(F.size(messages) <= 2, messages).otherwise(F.slice(messages, -2, 2)), " | "))
+    line = F.replace(T.strip(reply), F.lit("\n"), F.lit(" "))
     line = F.when(F.length(line) > 400, F.concat(F.substring(line, 1, 397), F.lit("..."))).otherwise(line)
-    return F.trim(F.concat(F.when(said == "", "No user message").otherwise(said), F.lit(" -> "), line))
+    return T.strip(F.concat(F.when(said == "", "No user message").otherwise(said), F.lit(" -> "), line))
 
 
 def turn_observations(events: DataFrame, *keys: str, tool: str | None = None) -> DataFrame:
@@ -91,50 +132,78 @@ def turn_observations(events: DataFrame, *keys: str, tool: str | None = None) ->
     events: ``keys``, runtime, input_messages, assistant_message; null messages count as none. Turns that only probe
     the memory give nothing; ``tool`` names the tool whose use by name counts as such. Facts are distinct within one
     message, not across them. Output: ``keys``, type, title, summary, detail, importance, confidence, status.
+    A turn's rows come out of its own row, so payloads of equal keys never mix.
     """
     probe = DIAGNOSTIC + (rf"|use the {tool} mcp tool" if tool else "")
     none = F.array().cast("array<string>")
-    turns = events.select(*keys, F.coalesce("runtime", F.lit("")).alias("runtime"), F.array_compact(F.coalesce("input_messages", none)).alias("messages"), F.coalesce("assistant_message", F.lit("")).alias("reply"))
+    own = [k for k in keys if k != "runtime"]
+    turns = events.select(*own, F.coalesce("runtime", F.lit("")).alias("runtime"), F.array_compact(F.coalesce("input_messages", none)).alias("messages"), F.coalesce("assistant_message", F.lit("")).alias("reply"))
     turns = turns.where(~F.array_join("messages", "\n").rlike(probe))
-    summary = turns.select(*keys, F.lit("session_summary").alias("type"), F.concat("runtime", F.lit(" turn summary")).alias("title"), summarize(F.col("messages"), F.col("reply")).alias("summary"), F.substring("reply", 1, 8000).alias("detail"), F.lit(2).alias("importance"), F.lit(0.45).alias("confidence"), F.lit("snapshot").alias("status"))
-    blocks = turns.select(*keys, F.posexplode("messages").alias("block", "text"))
-    lines = F.filter(F.transform(F.split("text", r"\r\n|\n|\r"), F.trim), lambda x: x != "")
-    requests = blocks.withColumn("value", F.substring(F.trim(F.array_join(lines, " | ")), 1, 280)).where("value <> ''").select(*keys, "block", F.lit("user_request").alias("kind"), "value")
-    replies = turns.select(*keys, F.lit(-1).alias("block"), F.col("reply").alias("text"))
-    texts = blocks.unionByName(replies)
-    facts = extract(texts, "text", *keys, "block").select(*keys, "block", "kind", "value").unionByName(requests).unionByName(decisions(replies, "text", *keys, "block").select(*keys, "block", "kind", "value"))
-    entry = lambda of: F.create_map(*[F.lit(x) for kind, v in of.items() for x in (kind, v)])[F.col("kind")]
-    same = [F.col(f"f.{k}").eqNullSafe(F.col(f"t.{k}")) for k in (*keys, "block")]  # null keys meet too
-    found = facts.alias("f").join(texts.alias("t"), reduce(lambda a, b: a & b, same)).select(
-        *[F.col(f"f.{k}").alias(k) for k in keys], F.col("kind").alias("type"), F.concat(entry(TITLES), F.lit(": "), F.substring("value", 1, 72)).alias("title"), F.col("value").alias("summary"), F.substring("text", 1, 8000).alias("detail"),
+    title = F.concat("runtime", F.lit(" turn summary")).alias("title")
+    summary = turns.select(*keys, F.lit("session_summary").alias("type"), title, summarize(F.col("messages"), F.col("reply")).alias("summary"), F.substring("reply", 1, 8000).alias("detail"), F.lit(2).alias("importance"), F.lit(0.45).alias("confidence"), F.lit("snapshot").alias("status"))
+    said = F.transform("messages", lambda m: F.struct(F.lit(False).alias("reply"), m.alias("text")))
+    texts = turns.select(*keys, F.inline(F.concat(said, F.array(F.struct(F.lit(True).alias("reply"), F.col("reply").alias("text"))))))
+    texts = texts.withColumn("__segments", segment_list(F.col("text")))
+    texts = _found(_found(texts, "__segments", _fact, "__facts"), "__segments", _decision, "__decisions")
+    asked = F.struct(F.lit("user_request").alias("kind"), F.lit("").alias("normalized"), F.lit(0).alias("line"), F.lit(0).alias("cut"), F.lit(0).alias("part"), request(F.col("text")).alias("value"))
+    every = F.concat("__facts", F.when(F.col("reply"), F.col("__decisions")).otherwise(F.array(asked)))
+    found = texts.select(*keys, "text", F.explode(F.filter(every, lambda x: x["value"] != "")).alias("x"))
+    kind, value = F.col("x.kind"), F.col("x.value")
+    entry = lambda of: F.create_map(*[F.lit(x) for k, v in of.items() for x in (k, v)])[kind]
+    facts = found.select(
+        *keys, kind.alias("type"), F.concat(entry(TITLES), F.lit(": "), F.substring(value, 1, 72)).alias("title"), value.alias("summary"), F.substring("text", 1, 8000).alias("detail"),
         entry({k: w[0] for k, w in WEIGHTS.items()}).alias("importance"), entry({k: w[1] for k, w in WEIGHTS.items()}).alias("confidence"), F.lit("active").alias("status"),
     )
-    return summary.unionByName(found)
+    return summary.unionByName(facts)
 
 
 def open_work(items: DataFrame, key: str) -> DataFrame:
     """The open items of a state: pending ones and definitions of done that nothing completed resolves, and blockers.
 
-    items: the bounded state items (key, type, id, summary, normalized, updated_at), see ``changes.state_items``.
+    items: the bounded state items (key, type, pos, id, summary, normalized, updated_at), see ``changes.state_items``.
     """
     done = items.where("type = 'completed_item'").alias("d")
-    todo = items.where("type in ('pending_item', 'project_dod', 'mission_dod', 'session_dod')").alias("p")
+    todo = items.where(F.col("type").isin("pending_item", *DOD)).alias("p")
     meets = (F.col(f"p.{key}") == F.col(f"d.{key}")) & T.state_matches(F.col("p.normalized"), F.col("d.normalized"))
-    return todo.join(done, meets, "left_anti").unionByName(items.where("type = 'blocker'")).select(key, "type", "id", "summary", "normalized", "updated_at")
+    return todo.join(done, meets, "left_anti").unionByName(items.where("type = 'blocker'")).select(key, "type", "pos", "id", "summary", "normalized", "updated_at")
+
+
+def counts(items: DataFrame, open_items: DataFrame, key: str) -> DataFrame:
+    """Counts of a state: what is open, evidence, claims and the rest, one row a group."""
+    of = lambda *kinds: F.count(F.when(F.col("type").isin(*kinds), 1))
+    whole = items.groupBy(key).agg(of("completed_item").alias("evidence"), of("completion_claim").alias("claims"), of("constraint").alias("constraints"), of("objective").alias("objectives"), of("user_request").alias("requests"), of(*DOD).alias("dod_total"))
+    left = open_items.groupBy(key).agg(of("pending_item").alias("pending"), of("blocker").alias("blockers"), of(*DOD).alias("dod_missing"))
+    return whole.join(left, key, "left").fillna(0, ["pending", "blockers", "dod_missing"])
+
+
+def guardrails(counted: DataFrame) -> DataFrame:
+    """Adds guardrails: what the state forbids, in a fixed order."""
+    has = lambda c: F.col(c) > 0
+    said = F.array_compact(F.array(*[F.when(condition, F.lit(text)) for condition, text in (
+        (has("pending"), GUARDRAILS[0]), (has("pending"), GUARDRAILS[1]), (has("requests"), GUARDRAILS[2]), (has("blockers"), GUARDRAILS[3]),
+        (has("dod_missing"), GUARDRAILS[4]), (has("claims") & has("pending"), GUARDRAILS[5]), (has("claims") & has("dod_missing"), GUARDRAILS[6]),
+    )]))
+    return counted.withColumn("guardrails", said)
+
+
+def objective(items: DataFrame, key: str) -> DataFrame:
+    """key, objective: the kept objective, else the first request."""
+    ranked = F.struct((F.col("type") != "objective").alias("later"), "pos", "summary")
+    return items.where("type in ('objective', 'user_request')").groupBy(key).agg(F.min(ranked).alias("x")).select(key, F.col("x.summary").alias("objective"))
 
 
 def scope_guard(items: DataFrame, open_items: DataFrame, key: str) -> DataFrame:
     """key, must_not_drop, flags: texts that a pack must keep, in order of kind, and why the work is not closed."""
-    order = {"objective": 0, "constraint": 1, "pending_item": 2, "blocker": 3, "project_dod": 4, "mission_dod": 5, "session_dod": 6}
+    order = {"objective": 0, "user_request": 0, "constraint": 1, "pending_item": 2, "blocker": 3, "project_dod": 4, "mission_dod": 5, "session_dod": 6}
     place = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])[F.col("type")]
-    kept = items.where("type in ('objective', 'constraint')").select(key, "type", "id", "summary").unionByName(open_items.select(key, "type", "id", "summary"))
+    first = objective(items, key).select(key, F.lit("objective").alias("type"), F.lit(0).cast("long").alias("pos"), F.col("objective").alias("summary"))
+    rest = items.where("type = 'constraint'").select(key, "type", F.col("pos").cast("long").alias("pos"), "summary")
+    kept = first.unionByName(rest).unionByName(open_items.select(key, "type", F.col("pos").cast("long").alias("pos"), "summary"))
     listed = kept.withColumn("place", place).where("summary <> ''")
-    texts = listed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", F.negative("id").alias("newest"), "summary"))).alias("xs")).select(key, F.array_distinct(F.col("xs.summary")).alias("must_not_drop"))
-    of = lambda *kinds: F.count(F.when(F.col("type").isin(*kinds), 1)) > 0
-    claims = items.groupBy(key).agg(of("completion_claim").alias("claimed"))
-    state = open_items.groupBy(key).agg(of("pending_item").alias("p"), of("blocker").alias("b"), of("project_dod", "mission_dod", "session_dod").alias("d"))
-    flags = F.array_compact(F.array(F.when(F.col("claimed") & F.col("p").isNotNull(), "closure_mismatch"), F.when(F.col("p"), "pending_work_open"), F.when(F.col("b"), "blockers_open"), F.when(F.col("d"), "dod_incomplete")))
-    return claims.join(texts, key, "left").join(state, key, "left").select(key, "must_not_drop", flags.alias("flags"))
+    texts = listed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "pos", "summary"))).alias("xs")).select(key, F.array_distinct(F.col("xs.summary")).alias("must_not_drop"))
+    checked = completion_check(counts(items, open_items, key))
+    flags = F.array_compact(F.array(F.when(F.col("closure_mismatch"), "closure_mismatch"), F.when(F.col("pending") > 0, "pending_work_open"), F.when(F.col("blockers") > 0, "blockers_open"), F.when(F.col("dod_missing") > 0, "dod_incomplete")))
+    return checked.join(texts, key, "left").select(key, "must_not_drop", flags.alias("flags"))
 
 
 def unresolved(items: DataFrame, key: str) -> DataFrame:
@@ -155,12 +224,6 @@ def fold_dedupe(items: DataFrame, *keys: str, limit: int) -> DataFrame:
     return ordered.select(*keys, F.explode(F.slice(F.aggregate("xs", empty, step), 1, limit)).alias("x")).select(*keys, "x.pos", "x.normalized")
 
 
-def counts(items: DataFrame, key: str) -> DataFrame:
-    """Open and closed counts of each group."""
-    of = lambda *kinds: F.count(F.when(F.col("kind").isin(*kinds), 1))
-    return items.groupBy(key).agg(of("pending_item").alias("pending"), of("blocker").alias("blockers"), of("project_dod", "mission_dod", "session_dod").alias("dod_missing"), of("completed_item").alias("evidence"), of("completion_claim").alias("claims"), of("constraint").alias("constraints"), of("objective").alias("objectives"))
-
-
 def completion_check(counted: DataFrame) -> DataFrame:
     """Ordered reasons; done without any; mismatch if done is claimed all the same."""
     reasons = F.array_compact(F.array(F.when(F.col("pending") > 0, "pending_items_open"), F.when(F.col("blockers") > 0, "blockers_open"), F.when(F.col("dod_missing") > 0, "dod_incomplete"), F.when(F.col("evidence") == 0, "missing_evidence")))

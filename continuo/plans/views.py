@@ -19,10 +19,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = read(spark, sf_dir, "labels").select("doc_id", "quality")
+def observations(spark: SparkSession, sf_dir: str, status: bool = True) -> DataFrame:
+    """Documents as observations; only with ``status`` are their labels read and joined."""
+    rows = read(spark, sf_dir, "documents")
+    if status:
+        rows = rows.join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+        label = F.when(F.col("quality") == 1, "active").when(F.col("quality") == 0, "low_value").otherwise("snapshot")
     kind = F.element_at(F.array(*map(F.lit, TYPES)), (F.col("doc_id") % 12 + 1).cast("int"))
-    return read(spark, sf_dir, "documents").join(labels, "doc_id", "left").select(
+    return rows.select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("project_key"),
         (F.col("doc_id") % 50).alias("session_id"),
@@ -31,7 +35,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.substring("text", 1, 72).alias("title"),
         F.substring("text", 1, 280).alias("summary"),
         F.col("text").alias("detail"),
-        F.when(F.col("quality") == 1, "active").when(F.col("quality") == 0, "low_value").otherwise("snapshot").alias("status"),
+        *([label.alias("status")] if status else []),
         (1 + F.col("doc_id") % 5).alias("importance"),
         (F.lit(EPOCH) + F.col("doc_id")).alias("updated_at"),
     )
@@ -58,10 +62,10 @@ def sync_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 NOTE_TAGS = ("release, data quality", "freeze", "local-install", "Café notes, baseline")
 
 
-def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def notes(spark: SparkSession, sf_dir: str, status: bool = True) -> DataFrame:
     """Every observation as a manual note with a line of tags."""
     tags = F.element_at(F.array(*map(F.lit, NOTE_TAGS)), (F.col("id") % 4 + 1).cast("int"))
-    return observations(spark, sf_dir).withColumn("detail", F.concat("detail", F.lit("\n\nTags: "), tags))
+    return observations(spark, sf_dir, status).withColumn("detail", F.concat("detail", F.lit("\n\nTags: "), tags))
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +96,7 @@ turns AS (SELECT conv_id % 7 AS project_id, conv_id AS session_id, turn, role, t
  {_LABELS}[turn % 8 + 1] || ': ' || text || '; Blocker: ' || role || ' access still missing' AS labelled FROM conversations),
 sync AS (SELECT event_id, event_type AS budget, event_type = 'error' AS skipped, user_id % 7 AS project_id, value / 1000 AS compression_ratio, value AS build_ms,
  epoch_us(ts) AS generated_at, (props->>'$.k')::BIGINT AS k FROM events),
-notes AS (SELECT * REPLACE (detail || chr(10) || chr(10) || 'Tags: ' || {_TAGS}[id % 4 + 1] AS detail) FROM observations WHERE id % 3 = 0),
+notes AS (SELECT * REPLACE (detail || chr(10) || chr(10) || 'Tags: ' || {_TAGS}[id % 4 + 1] AS detail) FROM observations),
 messages AS (SELECT session_id, turn AS pos, captured_at, CASE WHEN session_id % 4 = 0 AND turn % 2 = 0 THEN 'Generate a short title. ' || text WHEN session_id % 4 = 1 THEN 'Context. User prompt: ' || text
  ELSE 'see /srv/app/data-' || session_id % 3 || '/x and tool-' || session_id % 4 || ' ' || text END AS text FROM turns),
 sessions AS (SELECT session_id, 'conv-' || session_id AS external_id, '/work/team-' || session_id % 5 || CASE WHEN session_id % 6 = 0 THEN '/docs' ELSE '/repo-' || session_id % 9 END AS cwd,

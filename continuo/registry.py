@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from continuo.functions import text as T
-from continuo.operators import changes, governance, metrics, pack, retrieval, state
+from continuo.operators import changes, governance, metrics, retrieval, state
 from continuo.plans import views
 from continuo.plans.views import EPOCH, PROTECTED, SQL
 
 QUERIES, ORACLES = {}, {}
-POLICIES = [("tag_as", {"types": ["blocker"], "add": ["urgent"]}), ("exclude_from_pack", {"statuses": ["low_value"]}), ("always_retrieve", {"tags": ["urgent"]}), ("archive_if_stale", {"types": ["decision", "blocker"], "days": 0}), ("never_archive", {"types": ["blocker"]})]
-BM25_TERMS = ["der", "und"]
+POLICIES = [
+    ("tag_as", {"selector": {"types": ["blocker"]}, "tags": ["urgent"]}),
+    ("exclude_from_pack", {"selector": {"statuses": ["low_value"]}}),
+    ("always_keep_priority", {"selector": {"tags": ["urgent"]}}),
+    ("auto_archive_after", {"selector": {"types": ["decision", "blocker"]}, "days": 1}),
+    ("never_archive", {"selector": {"types": ["blocker"]}}),
+]
+SEARCHED = "der und"
 _NORMAL = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(lower({}), '\s+', ' ', 'g')), '\b(?:is )?still missing\b', ' missing', 'g'), '\bno\s+(.+?)\s+yet\b', '\1 missing', 'g'), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 _MEMORY = r"trim(regexp_replace(regexp_replace(regexp_replace(replace(lower({}), '\', '/'), '\b(?:turn|session|project|observation)_?id\s*[:=]\s*[a-z0-9_.:-]+\b', '', 'g'), '\b\d{{4}}-\d{{2}}-\d{{2}}t\d{{2}}:\d{{2}}:\d{{2}}(?:\.\d+)?(?:z|[+-]\d{{2}}:\d{{2}})?\b', '', 'g'), '\s+', ' ', 'g'))"
 _PROTECTED = "(" + ", ".join(f"'{p}'" for p in PROTECTED) + ")"
@@ -40,7 +46,7 @@ def project_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT t.session_id, t.turns, t.last_at, t.first_text, coalesce(o.n, 0) AS observations FROM (SELECT session_id, count(*) AS turns, max(captured_at) AS last_at, arg_min(text, captured_at) AS first_text FROM turns GROUP BY 1) t LEFT JOIN (SELECT session_id, count(*) AS n FROM observations GROUP BY 1) o ON o.session_id = t.session_id")
 def session_list(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.session_list(views.turns(spark, sf), views.observations(spark, sf))
+    return metrics.session_list(views.turns(spark, sf), views.observations(spark, sf, status=False))
 
 
 @query("SELECT session_id, turn, role, substr(replace(text, chr(10), ' '), 1, 180) AS preview, captured_at FROM turns")
@@ -72,12 +78,12 @@ def project_revision(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT project_key, max(updated_at) AS latest FROM observations WHERE type NOT IN ('user_request', 'decision', 'session_summary') GROUP BY 1")
 def latest_change(spark: SparkSession, sf: str) -> DataFrame:
-    return views.observations(spark, sf).where(F.col("type").isin(*views.MEANINGFUL)).groupBy("project_key").agg(F.max("updated_at").alias("latest"))
+    return views.observations(spark, sf, status=False).where(F.col("type").isin(*views.MEANINGFUL)).groupBy("project_key").agg(F.max("updated_at").alias("latest"))
 
 
-@query(f"SELECT type, normalized, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM (SELECT type, id, {_NORMAL.format('summary')} AS normalized FROM observations) WHERE normalized <> '' GROUP BY 1, 2 HAVING count(*) > 1")
+@query(f"SELECT type, normalized, count(*) AS n, min(id) AS first_id, max(id) AS last_id, arg_max(summary, (updated_at, id)) AS latest_summary FROM (SELECT type, id, summary, updated_at, {_NORMAL.format('summary')} AS normalized FROM observations) WHERE normalized <> '' GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_buckets(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.duplicate_buckets(views.observations(spark, sf))
+    return retrieval.duplicate_buckets(views.observations(spark, sf, status=False))
 
 
 @query(f"SELECT max(id) AS id, fingerprint, count(*) AS duplicate_count, count(DISTINCT session_id) AS sessions, max(updated_at) AS latest FROM (SELECT *, sha256({_MEMORY.format('''concat_ws(chr(0), type, status, concat_ws(' ', summary, detail, title))''')}) AS fingerprint FROM observations) GROUP BY fingerprint")
@@ -87,17 +93,17 @@ def retrieval_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT id, session_id, type FROM observations QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY CASE WHEN type IN {_PROTECTED} THEN 0 ELSE 1 END, updated_at DESC, id DESC) <= 8")
 def session_cap(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.cap_per_session(views.observations(spark, sf)).select("id", "session_id", "type")
+    return retrieval.cap_per_session(views.observations(spark, sf, status=False)).select("id", "session_id", "type")
 
 
 @query("SELECT id, project_key, row_number() OVER (PARTITION BY project_key ORDER BY CASE WHEN importance >= 4 THEN 0 ELSE 1 END, updated_at, id::VARCHAR)::INT AS pos FROM observations")
 def priority_sort(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.priority_positions(views.observations(spark, sf)).select("id", "project_key", "pos")
+    return retrieval.priority_positions(views.observations(spark, sf, status=False)).select("id", "project_key", "pos")
 
 
 @query("SELECT id, project_key FROM observations WHERE lower(title) LIKE '%der %' OR lower(summary) LIKE '%der %' OR lower(detail) LIKE '%der %'")
 def like_search(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.like_search(views.observations(spark, sf), "der ").select("id", "project_key")
+    return retrieval.like_search(views.observations(spark, sf, status=False), "der ").select("id", "project_key")
 
 
 _BM25 = r""", w AS (SELECT id, regexp_extract_all(lower(concat_ws(' ', title, summary, detail)), '[\p{L}\p{N}]+') AS words FROM observations),
@@ -109,23 +115,49 @@ ranked AS (SELECT id, 0 - greatest(ln((n - n0 + 0.5::DOUBLE) / (n0 + 0.5::DOUBLE
 
 @query(_BM25 + "SELECT id, round(rank, 6) AS rank FROM ranked")
 def bm25_search(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.bm25(views.observations(spark, sf), BM25_TERMS).select("id", F.round("rank", 6).alias("rank"))
+    return retrieval.bm25(views.observations(spark, sf, status=False), SEARCHED).select("id", F.round("rank", 6).alias("rank"))
 
 
 @query(_BM25 + "SELECT id, type FROM observations JOIN ranked USING (id) ORDER BY priority, round(rank, 9), updated_at DESC LIMIT 20")
 def ranked_search(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.search(views.observations(spark, sf), " ".join(BM25_TERMS), 20).select("id", "type")
+    return retrieval.search(views.observations(spark, sf, status=False), SEARCHED, 20).select("id", "type")
+
+
+_COPY = _MEMORY.format("""concat_ws(chr(0), type, status, concat_ws(' ', nullif(summary, ''), nullif(detail, ''), nullif(title, '')))""")
+
+
+@query(_BM25 + f""", m AS (SELECT *, sha256({_COPY}) AS fingerprint FROM observations JOIN ranked USING (id) WHERE project_key IN ('src1', 'src3'))
+SELECT id, type, duplicate_count, sessions, latest FROM (SELECT *, count(*) OVER f AS duplicate_count, max(updated_at) OVER f AS latest, row_number() OVER (PARTITION BY fingerprint ORDER BY priority, round(rank, 9), updated_at DESC, id) AS k FROM m WINDOW f AS (PARTITION BY fingerprint))
+JOIN (SELECT fingerprint, count(DISTINCT session_id) AS sessions FROM m GROUP BY 1) USING (fingerprint) WHERE k = 1 ORDER BY priority, round(rank, 9), updated_at DESC, id LIMIT 20""")
+def search_full(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranked over all rows, found among two projects, copies in one row, then the limit."""
+    rows = views.observations(spark, sf)
+    among = rows.where(F.col("project_key").isin("src1", "src3"))
+    order = ["priority", F.round("rank", 9), F.desc("updated_at"), "id"]
+    found = retrieval.collapsed(retrieval.hits(rows, SEARCHED, among), *order)
+    return found.orderBy(*order).limit(20).select("id", "type", "duplicate_count", "sessions", "latest")
+
+
+_LANGUAGE = r"""SELECT id, (len([x FOR x IN regexp_extract_all(lower(title), '[\p{L}\p{N}]+') IF x = 'und']) + len([x FOR x IN regexp_extract_all(lower(detail), '[\p{L}\p{N}]+') IF x = 'und']) + len([x FOR x IN regexp_extract_all(lower(summary), '[\p{L}\p{N}]+') IF x = 'und'])) > 0 AS u,
+ len([x FOR x IN regexp_extract_all(lower(title), '[\p{L}\p{N}]+') IF starts_with(x, 'th')]) > 0 AS p,
+ ' ' || array_to_string(regexp_extract_all(lower(detail), '[\p{L}\p{N}]+'), ' ') || ' ' || ' . ' || array_to_string(regexp_extract_all(lower(summary), '[\p{L}\p{N}]+'), ' ') || ' . ' || array_to_string(regexp_extract_all(lower(title), '[\p{L}\p{N}]+'), ' ') || ' ' AS w FROM observations"""
+
+
+@query(f", l AS ({_LANGUAGE}) SELECT id FROM l WHERE (p OR contains(w, ' of the ')) AND NOT u")
+def search_language(spark: SparkSession, sf: str) -> DataFrame:
+    """A prefix in one column, a phrase in any, and a word that must not occur."""
+    return retrieval.bm25(views.observations(spark, sf, status=False), '(title : th* OR "of the") NOT und').select("id")
 
 
 @query("SELECT project_key, session_id, count(*) AS items, max(updated_at) AS latest, max(importance) AS top FROM observations GROUP BY 1, 2")
 def lane_inventory(spark: SparkSession, sf: str) -> DataFrame:
-    return views.observations(spark, sf).groupBy("project_key", "session_id").agg(F.count("*").alias("items"), F.max("updated_at").alias("latest"), F.max("importance").alias("top"))
+    return views.observations(spark, sf, status=False).groupBy("project_key", "session_id").agg(F.count("*").alias("items"), F.max("updated_at").alias("latest"), F.max("importance").alias("top"))
 
 
 @query("SELECT o.id, o.project_key, t.turns, t.last_at FROM observations o LEFT JOIN (SELECT session_id, count(*) AS turns, max(captured_at) AS last_at FROM turns GROUP BY 1) t USING (session_id)")
 def provenance_star(spark: SparkSession, sf: str) -> DataFrame:
     by_session = views.turns(spark, sf).groupBy("session_id").agg(F.count("*").alias("turns"), F.max("captured_at").alias("last_at"))
-    return views.observations(spark, sf).join(by_session, "session_id", "left").select("id", "project_key", "turns", "last_at")
+    return views.observations(spark, sf, status=False).join(by_session, "session_id", "left").select("id", "project_key", "turns", "last_at")
 
 
 @query("SELECT project_id, arg_max(event_id, (generated_at, event_id)) AS event_id, max(generated_at) AS generated_at FROM sync WHERE NOT skipped GROUP BY 1")
@@ -138,26 +170,32 @@ def baseline_asof(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.baseline_sync(views.sync_events(spark, sf))
 
 
-@query(f"SELECT id, CASE WHEN type = 'blocker' THEN 'urgent' ELSE '' END AS tags, status = 'low_value' AS excluded, type = 'blocker' AS always, type = 'decision' AND updated_at <= {EPOCH + 500} AS archived FROM observations")
+_ARCHIVED = f"(type = 'decision' AND updated_at <= {EPOCH + 500})"
+
+
+@query(f"SELECT id, CASE WHEN type = 'blocker' THEN 'urgent' ELSE '' END AS tags, {_ARCHIVED} AS retrieval_excluded, {_ARCHIVED} OR status = 'low_value' AS pack_excluded, type = 'blocker' AND status <> 'low_value' AS keep_priority, type = 'blocker' AS never_archive FROM observations")
 def policy_effects(spark: SparkSession, sf: str) -> DataFrame:
-    out = governance.effects(views.observations(spark, sf), POLICIES, EPOCH + 500)
-    return out.select("id", F.array_join("tags", ",").alias("tags"), "excluded", "always", "archived")
+    out = governance.effects(views.observations(spark, sf), POLICIES, EPOCH + 500 + 86_400)
+    return out.select("id", F.array_join("tags", ",").alias("tags"), "retrieval_excluded", "pack_excluded", "keep_priority", "never_archive")
 
 
-@query("SELECT l.t AS target, l.s AS source, 'inh-' || id AS item_id, type FROM observations o JOIN (VALUES ('src1', 'src0'), ('src2', 'src0'), ('src1', 'src3')) l(t, s) ON o.project_key = l.s QUALIFY row_number() OVER (PARTITION BY l.t, l.s ORDER BY updated_at DESC, id DESC) <= 8")
+@query("SELECT l.t AS target, l.s AS source, 'inh-observation:' || l.s || ':' || id AS item_key, type, title || ' (inherited from ' || l.s || ')' AS title FROM observations o JOIN (VALUES ('src1', 'src0', 'blocker,decision', 8), ('src2', 'src0', NULL, 3), ('src1', 'src3', NULL, 8)) l(t, s, k, n) ON o.project_key = l.s AND (l.k IS NULL OR contains(l.k, o.type)) QUALIFY row_number() OVER (PARTITION BY l.t, l.s ORDER BY updated_at DESC, id DESC) <= l.n")
 def inherited_items(spark: SparkSession, sf: str) -> DataFrame:
-    links = spark.createDataFrame([("src1", "src0"), ("src2", "src0"), ("src1", "src3")], "target string, source string")
-    return governance.inherited(views.observations(spark, sf), links)
+    rows = views.observations(spark, sf, status=False).withColumn("tags", F.array().cast("array<string>")).withColumn("status", F.lit("active"))
+    links = (("src1", "src0", {"types": ["blocker", "decision"]}), ("src2", "src0", {"limit": 3}), ("src1", "src3", {}))
+    order = [F.desc("updated_at"), F.desc("id")]
+    taken = [governance.inherited(rows.where(F.col("project_key") == source), chosen, source, "observation", order).select(F.lit(target).alias("target"), F.lit(source).alias("source"), "item_key", "type", "title") for target, source, chosen in links]
+    return taken[0].unionByName(taken[1]).unionByName(taken[2])
 
 
 @query(f"SELECT id, {_NORMAL.format('detail')} AS normalized FROM observations")
 def normalize_state(spark: SparkSession, sf: str) -> DataFrame:
-    return views.observations(spark, sf).select("id", T.normalize_state(F.col("detail")).alias("normalized"))
+    return views.observations(spark, sf, status=False).select("id", T.normalize_state(F.col("detail")).alias("normalized"))
 
 
 @query("SELECT project_key, sum(length(detail))::BIGINT AS source_chars, sum(length(summary))::BIGINT AS pack_chars, greatest(1, ceil(sum(length(detail)) / 4.0))::BIGINT AS source_tokens, greatest(1, ceil(sum(length(summary)) / 4.0))::BIGINT AS pack_tokens FROM observations GROUP BY 1")
 def token_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.token_stats(views.observations(spark, sf))
+    return metrics.token_stats(views.observations(spark, sf, status=False))
 
 
 @query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
@@ -175,7 +213,7 @@ def _facts_sql() -> str:
     kinds = cases.format(*[f"'{kind}'" for kind, *_ in state.KINDS])
     values = cases.format(*[f"regexp_extract(segment, '(?i)^\\s*(?:{labels})\\s*[:\\-]\\s*(.+)$', 1)" for _, labels, _, _ in state.KINDS])
     claim = state.CLAIM.replace("'", "''")
-    return rf""", l AS (SELECT session_id, turn, unnest(x) AS t, generate_subscripts(x, 1) AS line FROM (SELECT session_id, turn, string_split_regex(labelled, '\r\n|\n|\r') AS x FROM turns)),
+    return rf""", l AS (SELECT session_id, turn, unnest(x) AS t, generate_subscripts(x, 1) AS line FROM (SELECT session_id, turn, string_split_regex(labelled, '{T.LINE_END}') AS x FROM turns)),
 c AS (SELECT session_id, turn, line, unnest(x) AS seg, generate_subscripts(x, 1) AS cut FROM (SELECT *, string_split_regex(trim(t), '\s*;\s*') AS x FROM l)),
 p AS (SELECT session_id, turn, line, cut, unnest(x) AS t, generate_subscripts(x, 1) AS part FROM (SELECT *, string_split({marked}, chr(1)) AS x FROM (SELECT session_id, turn, line, cut, trim(seg) AS seg FROM c))),
 s AS (SELECT * EXCLUDE t, trim(replace(t, chr(2), ' ')) AS segment FROM p WHERE trim(t) <> ''),
@@ -196,10 +234,34 @@ def _match(a: str, b: str) -> str:
     return f"({a} = {b} OR (length({a}) >= 18 AND contains({b}, {a})) OR (length({b}) >= 18 AND contains({a}, {b})) OR (len({words(a)}) > 0 AND len({words(b)}) > 0 AND ({inside(a, b)} OR {inside(b, a)})))"
 
 
-_FACTS = _facts_sql()
-_STATE_FACTS = _FACTS + f", few AS (SELECT * FROM facts QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn, line, cut, part) <= {changes.STATE_ROWS}) "
+def fold_sql(source: str, name: str, key: str, carried: tuple[str, ...], limit: str) -> str:
+    """Greedy fuzzy dedupe in SQL: six rounds, each of which takes a kind's first text left and drops what matches it."""
+    kept = ", ".join(f"arg_min({c}, pos) AS {c}" for c in carried)
+    out = f", {name}_0 AS MATERIALIZED (SELECT {key}, type, normalized, min(pos) AS pos{', ' + kept if kept else ''} FROM {source} WHERE normalized <> '' GROUP BY 1, 2, 3)"
+    for k in range(1, 7):
+        out += f", {name}_k{k} AS MATERIALIZED (SELECT * FROM {name}_{k - 1} QUALIFY row_number() OVER (PARTITION BY {key}, type ORDER BY pos) = 1)"
+        out += f", {name}_{k} AS MATERIALIZED (SELECT b.* FROM {name}_{k - 1} b JOIN {name}_k{k} a ON a.{key} = b.{key} AND a.type = b.type AND NOT {_match('a.normalized', 'b.normalized')})"
+    return out + f", {name} AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM {name}_k{k} WHERE {limit} >= {k}" for k in range(1, 7)) + ")"
+
+
+def open_sql(items: str, name: str, key: str) -> str:
+    """Open items of a state, and its counts in ``name``_counts."""
+    dod = f"type IN {state.DOD}"
+    return f""", {name} AS MATERIALIZED (SELECT p.* FROM {items} p WHERE p.type = 'blocker' OR ((p.type = 'pending_item' OR p.{dod}) AND NOT EXISTS (SELECT 1 FROM {items} d WHERE d.type = 'completed_item' AND d.{key} = p.{key} AND {_match('p.normalized', 'd.normalized')}))),
+{name}_counts AS MATERIALIZED (SELECT i.*, coalesce(pending, 0) AS pending, coalesce(blockers, 0) AS blockers, coalesce(dod_missing, 0) AS dod_missing FROM
+ (SELECT {key}, count(*) FILTER (type = 'completed_item') AS evidence, count(*) FILTER (type = 'completion_claim') AS claims, count(*) FILTER (type = 'constraint') AS constraints, count(*) FILTER (type = 'objective') AS objectives, count(*) FILTER (type = 'user_request') AS requests, count(*) FILTER ({dod}) AS dod_total FROM {items} GROUP BY 1) i
+ LEFT JOIN (SELECT {key}, count(*) FILTER (type = 'pending_item') AS pending, count(*) FILTER (type = 'blocker') AS blockers, count(*) FILTER ({dod}) AS dod_missing FROM {name} GROUP BY 1) o ON o.{key} = i.{key})"""
+
+
+LIMIT_SQL = "CASE type " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in changes.STATE_LIMITS.items()) + " END"
+FACTS = _facts_sql()
+_FEW = f", few AS (SELECT * FROM facts QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn, line, cut, part) <= {changes.STATE_ROWS}) "
+REQUESTS = rf"""requests AS (SELECT session_id, turn, -1 AS line, substr(trim(array_to_string([x FOR x IN [trim(y) FOR y IN string_split_regex(labelled, '{T.LINE_END}')] IF x <> ''], ' | ')), 1, 280) AS value FROM turns WHERE role <> 'assistant'),
+said AS (SELECT session_id, turn, line, cut, part, kind AS type, value AS summary FROM facts UNION ALL SELECT session_id, turn, line, 0, 0, 'user_request', value FROM requests WHERE value <> ''),
+placed AS (SELECT *, {_NORMAL.format('summary')} AS normalized FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn, line, cut, part) AS pos FROM said) WHERE pos <= {changes.STATE_ROWS})"""
+_SAID = FACTS + ", " + REQUESTS + fold_sql("placed", "si", "session_id", ("summary",), LIMIT_SQL) + open_sql("si", "oi", "session_id")
 _REASONS = "concat_ws(',', CASE WHEN pending > 0 THEN 'pending_items_open' END, CASE WHEN blockers > 0 THEN 'blockers_open' END, CASE WHEN dod_missing > 0 THEN 'dod_incomplete' END, CASE WHEN evidence = 0 THEN 'missing_evidence' END)"
-_BUDGET = "CASE " + " ".join(f"WHEN pending <= {p} AND blockers <= {b} AND dod_missing <= {d} AND constraints <= {c} AND 0 <= {n} THEN {{{k}}}" for k, (_, p, b, d, c, n) in enumerate(state.BUDGETS)) + " ELSE {3} END"
+_BUDGET = "CASE " + " ".join(f"WHEN pending <= {p} AND blockers <= {b} AND dod_missing <= {d} AND constraints <= {c} AND summaries <= {n} THEN {{{k}}}" for k, (_, p, b, d, c, n) in enumerate(state.BUDGETS)) + " ELSE {3} END"
 
 
 def _extracted(spark: SparkSession, sf: str) -> DataFrame:
@@ -211,54 +273,52 @@ def _state_rows(spark: SparkSession, sf: str) -> DataFrame:
     return changes.leading(_extracted(spark, sf), ["session_id"], changes.STATE_ROWS, "turn", "line", "cut", "part")
 
 
-@query(_FACTS + "SELECT session_id, turn, kind, value, normalized FROM facts")
+def said(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the requests of turns that people wrote, as rows of a state."""
+    asked = views.turns(spark, sf).where("role <> 'assistant'").withColumn("summary", state.request(F.col("labelled"))).where("summary <> ''")
+    place = {"line": F.lit(-1), "cut": F.lit(0), "part": F.lit(0), "type": F.lit("user_request")}
+    names = ["session_id", "turn", *place, "summary"]
+    facts = _extracted(spark, sf).withColumnsRenamed({"kind": "type", "value": "summary"}).select(*names)
+    rows = facts.unionByName(asked.withColumns(place).select(*names))
+    order = F.row_number().over(Window.partitionBy("session_id").orderBy("turn", "line", "cut", "part"))
+    none = {c: F.lit("") for c in ("detail", "title")} | {"id": F.lit(0).cast("long"), "updated_at": F.lit(0).cast("long")}
+    return rows.withColumn("pos", order).where(F.col("pos") <= changes.STATE_ROWS).withColumns(none)
+
+
+def _counted(spark: SparkSession, sf: str) -> DataFrame:
+    items = changes.state_items(said(spark, sf), "session_id")
+    return state.counts(items, state.open_work(items, "session_id"), "session_id")
+
+
+@query(FACTS + "SELECT session_id, turn, kind, value, normalized FROM facts")
 def extract_labels(spark: SparkSession, sf: str) -> DataFrame:
     return _extracted(spark, sf).select("session_id", "turn", "kind", "value", "normalized")
 
 
 @query("SELECT session_id, turn, count(*) AS segments FROM (SELECT session_id, turn, unnest(string_split_regex(trim(l), '\\s*;\\s*')) AS s FROM (SELECT session_id, turn, unnest(string_split(labelled, chr(10))) AS l FROM turns)) WHERE trim(s) <> '' GROUP BY 1, 2".replace("\\\\", "\\"))
 def extract_segments(spark: SparkSession, sf: str) -> DataFrame:
-    return state.segments(views.turns(spark, sf), "labelled", "session_id", "turn").groupBy("session_id", "turn").agg(F.count("*").alias("segments"))
+    return views.turns(spark, sf).select("session_id", "turn", F.size(state.segment_list(F.col("labelled"))).cast("long").alias("segments")).where("segments > 0")
 
 
-@query(_STATE_FACTS + f"SELECT session_id, turn, normalized FROM few p WHERE kind = 'pending_item' AND NOT EXISTS (SELECT 1 FROM few d WHERE d.kind = 'completed_item' AND d.session_id = p.session_id AND {_match('p.normalized', 'd.normalized')})")
+@query(FACTS + _FEW + f"SELECT session_id, turn, normalized FROM few p WHERE kind = 'pending_item' AND NOT EXISTS (SELECT 1 FROM few d WHERE d.kind = 'completed_item' AND d.session_id = p.session_id AND {_match('p.normalized', 'd.normalized')})")
 def fuzzy_unresolved(spark: SparkSession, sf: str) -> DataFrame:
     return state.unresolved(_state_rows(spark, sf), "session_id").select("session_id", "turn", "normalized")
 
 
-@query()
+@query(FACTS + _FEW + ", folded AS (SELECT session_id, kind AS type, normalized, row_number() OVER (PARTITION BY session_id ORDER BY turn, line, cut, part) AS pos FROM few)" + fold_sql("folded", "fo", "session_id", (), "6") + "SELECT session_id, type AS kind, pos, normalized FROM fo")
 def state_fold(spark: SparkSession, sf: str) -> DataFrame:
-    items = _state_rows(spark, sf).withColumn("pos", F.col("turn") * 1000 + F.col("cut"))
-    return state.fold_dedupe(items, "session_id", "kind", limit=6)
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("turn", "line", "cut", "part"))
+    return state.fold_dedupe(_state_rows(spark, sf).withColumn("pos", place), "session_id", "kind", limit=6)
 
 
-@query(_FACTS + f"SELECT *, {_REASONS} AS reasons, {_REASONS} = '' AS done, CASE WHEN {_REASONS} = '' THEN 'ready_to_close' ELSE string_split({_REASONS}, ',')[1] END AS primary_reason, claims > 0 AND {_REASONS} <> '' AS closure_mismatch FROM counted")
+@query(_SAID + f"SELECT *, {_REASONS} AS reasons, {_REASONS} = '' AS done, CASE WHEN {_REASONS} = '' THEN 'ready_to_close' ELSE string_split({_REASONS}, ',')[1] END AS primary_reason, claims > 0 AND {_REASONS} <> '' AS closure_mismatch FROM oi_counts")
 def completion_check(spark: SparkSession, sf: str) -> DataFrame:
-    return state.completion_check(state.counts(_extracted(spark, sf), "session_id"))
+    return state.completion_check(_counted(spark, sf))
 
 
-@query(_FACTS + "SELECT *, 0 AS summaries, " + _BUDGET.format(*[f"'{b[0]}'" for b in state.BUDGETS], "'full'") + " AS budget, " + _BUDGET.format(*["'fits_open_work_profile'"] * 3, "'requires_full_profile'") + " AS budget_reason FROM counted")
+@query(_SAID + ", bc AS (SELECT *, CASE WHEN requests > 0 THEN 1 ELSE 0 END AS summaries FROM oi_counts) SELECT *, " + _BUDGET.format(*[f"'{b[0]}'" for b in state.BUDGETS], "'full'") + " AS budget, " + _BUDGET.format(*["'fits_open_work_profile'"] * 3, "'requires_full_profile'") + " AS budget_reason FROM bc")
 def auto_budget(spark: SparkSession, sf: str) -> DataFrame:
-    return state.auto_budget(state.counts(_extracted(spark, sf), "session_id").withColumn("summaries", F.lit(0)))
-
-
-_HEALTH = f", d AS (SELECT project_key, sum(n - 1)::BIGINT AS surplus FROM (SELECT project_key, count(*) AS n FROM observations GROUP BY project_key, type, {_NORMAL.format('summary')}) GROUP BY 1), m AS (SELECT project_key, count(*) FILTER (updated_at < {EPOCH + 100}) AS stale, count(*) FILTER (type LIKE '%_dod' AND status = 'low_value') AS dod_missing FROM observations GROUP BY 1) "
-
-
-@query(_HEALTH + "SELECT project_key, surplus, stale, dod_missing, greatest(0, least(100, 100 - least(surplus * 4, 20) - least(stale * 3, 15) - least(dod_missing * 8, 24)))::BIGINT AS score FROM d JOIN m USING (project_key)")
-def health_score(spark: SparkSession, sf: str) -> DataFrame:
-    rows = views.observations(spark, sf).withColumn("normalized", T.normalize_state(F.col("summary")))
-    surplus = rows.groupBy("project_key", "type", "normalized").agg(F.count("*").alias("n")).groupBy("project_key").agg(F.sum(F.col("n") - 1).alias("surplus"))
-    other = rows.groupBy("project_key").agg(F.count(F.when(F.col("updated_at") < EPOCH + 100, 1)).alias("stale"), F.count(F.when(F.col("type").endswith("_dod") & (F.col("status") == "low_value"), 1)).alias("dod_missing"))
-    return state.health(surplus.join(other, "project_key").withColumn("contradictions", F.lit(0))).drop("contradictions")
-
-
-@query()
-def context_pack(spark: SparkSession, sf: str) -> DataFrame:
-    kinds = F.array(*[F.lit(kind) for kind, *_ in state.KINDS], F.lit("completion_claim"))
-    order = F.array_position(kinds, F.col("kind"))
-    items = _state_rows(spark, sf).withColumn("pos", F.col("turn") * 1000 + F.col("cut")).withColumn("kind_order", order)
-    return pack.pack(items, "session_id")
+    return state.auto_budget(_counted(spark, sf).withColumn("summaries", F.when(F.col("requests") > 0, 1).otherwise(0)))
 
 
-from continuo import state_queries  # noqa: E402, F401 - registers the queries on notes, sessions and changes
+from continuo import state_queries  # noqa: E402, F401 - registers the queries on notes, sessions, state, changes and packs

@@ -1,93 +1,187 @@
-"""An append-only Parquet store: keyed inserts that ignore what is there, latest-wins reads, tombstones."""
+"""An append-only Parquet store: keyed inserts that ignore what is there, latest-wins reads, tombstones.
+
+Every table is partitioned by a bucket of its project, so what asks for one project reads one bucket of it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+import zlib
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from continuo.functions import folding as fd
+from continuo.functions.text import iso_seconds
+from continuo.operators.search import posting_rows, search_words
 from continuo.operators.state import turn_observations
+from continuo.plans.schemas import DEFAULTS, ENVELOPE, ENVELOPE_MORE, TABLES, columns
+
+#: Partitions of a table; part of its layout.
+BUCKETS = 64
+SESSION, TURN = ("project_key", "runtime", "session_id"), ("project_key", "runtime", "session_id", "turn_id")
+#: Metadata that names the model, the capturing version, and the project's root.
+MODEL_KEYS = ("model_name", "model", "model-name", "llm_model")
+VERSION_KEYS = ("producer_version", "server_version", "package_version")
+SCHEMA_VERSION = "capture_schema_version"
 
-#: The envelope of one captured turn.
-ENVELOPE = "runtime string, project_key string, session_id string, turn_id string, cwd string, timestamp string, input_messages array<string>, assistant_message string"
 
-OBSERVATION = "id long, project_key string, session_id string, turn_id string, type string, title string, summary string, detail string, importance int, confidence double, status string, source_kind string, updated_at long, dedupe_hash string"
-OBSERVATION_COLUMNS = [part.split()[0] for part in OBSERVATION.split(", ")]
+def bucket_of(project_key: str) -> int:
+    return zlib.crc32(project_key.encode()) % BUCKETS
+
+
+def bucket(project_key: Column) -> Column:
+    return F.pmod(F.crc32(F.encode(F.coalesce(project_key, F.lit("")), "UTF-8")), F.lit(BUCKETS)).cast("int")
 
 
 class Store:
     def __init__(self, spark: SparkSession, base: str, read_only: bool = False):
         self.spark, self.base, self.read_only = spark, base.rstrip("/"), read_only
+        self.version = 0  # grows with every write through this object
 
     def path(self, table: str) -> str:
         return f"{self.base}/{table}"
 
-    def read(self, table: str, schema) -> DataFrame:
+    def views(self) -> None:
+        """Registers every table as a temporary view of its name."""
+        for name in TABLES:
+            self.read(name).createOrReplaceTempView(name)
+
+    def _raw(self, table: str) -> DataFrame:
         try:
-            return self.spark.read.schema(schema).parquet(self.path(table))
+            return self.spark.read.schema(f"{TABLES[table]}, bucket int").parquet(self.path(table))
         except Exception as e:  # a table that nobody has written yet is empty
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], f"{TABLES[table]}, bucket int")
+
+    def read(self, table: str, project_key: str | None = None) -> DataFrame:
+        """A table's rows, of one project's bucket only if a project is given. Columns that a file lacks are null or default."""
+        rows = self._raw(table)
+        if project_key is not None:
+            rows = rows.where((F.col("bucket") == bucket_of(project_key)) & (F.col("project_key") == project_key))
+        for name, value in DEFAULTS.get(table, {}).items():
+            rows = rows.withColumn(name, F.coalesce(name, F.lit(value)))
+        return rows.drop("bucket")
 
     def append(self, table: str, rows: DataFrame) -> None:
+        """Written as one file a bucket where it is small; the runtime splits a large one."""
         if self.read_only:
             raise PermissionError(f"{table}: the store is read-only")
-        rows.write.mode("append").parquet(self.path(table))
+        dealt = rows.select(*columns(table)).withColumn("bucket", bucket(F.col("project_key"))).hint("rebalance", "bucket")
+        if table == "postings":
+            dealt = dealt.sortWithinPartitions("bucket", "term")  # a reader of few terms skips the other row groups
+        dealt.write.mode("append").partitionBy("bucket").parquet(self.path(table))
+        self.version += 1
+
+    def insert_or_ignore(self, table: str, rows: DataFrame, keys: tuple[str, ...], order: str) -> DataFrame:
+        """Appends of each key the first row, if the table has none; gives what it appended.
 
-    def insert_or_ignore(self, table: str, rows: DataFrame, keys: list[str], order: str) -> None:
-        """Of each key the first row stays; keys that the table holds already are left alone."""
+        keys hold project_key; only the buckets of the rows' projects are compared.
+        """
+        batch = uuid.uuid4().hex
+        rows = rows.withColumn("batch", F.lit(batch)).select(*columns(table))
+        touched = [r[0] for r in rows.select(bucket(F.col("project_key"))).distinct().collect()]  # BUCKETS at most
+        held = self._raw(table).where(F.col("bucket").isin(touched)).select(*keys).distinct()
         first = rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("__rn = 1").drop("__rn")
-        self.append(table, first.join(self.read(table, rows.schema).select(*keys).distinct(), keys, "left_anti"))
+        self.append(table, first.join(held, list(keys), "left_anti"))
+        return self._raw(table).where(F.col("bucket").isin(touched) & (F.col("batch") == batch)).drop("bucket")
 
-    def latest(self, table: str, schema, keys: list[str], version: str) -> DataFrame:
+    def latest(self, table: str, keys: tuple[str, ...], project_key: str | None = None) -> DataFrame:
         """The newest row of each key; a newest row with ``deleted`` hides its key."""
-        rows = self.read(table, schema)
-        out = rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(version)))).where("__rn = 1").drop("__rn")
+        rows = self.read(table, project_key)
+        newest = Window.partitionBy(*keys).orderBy(F.desc("at"))
+        out = rows.withColumn("__rn", F.row_number().over(newest)).where("__rn = 1").drop("__rn")
         return out.where(~F.coalesce(F.col("deleted"), F.lit(False))) if "deleted" in out.columns else out
 
-    def ingest(self, events: DataFrame) -> None:
-        """Turns (first payload wins), all observations of their texts keyed by content, projects and sessions seen.
+    # -- ingest
 
-        Null keys and times count as empty texts, so that replayed rows meet what is stored.
+    def ingest(self, events: DataFrame) -> DataFrame:
+        """Turns (first payload wins), what their texts hold, its provenance and index, projects and sessions seen.
+
+        Null keys and times count as empty texts, so that replayed rows meet what is stored. Gives the new turns.
         """
-        keys = ("project_key", "session_id", "turn_id", "timestamp")
-        events = events.withColumns({k: F.coalesce(k, F.lit("")) for k in keys})
-        turns = events.withColumn("content_hash", F.sha2(F.to_json(F.struct(*sorted(events.columns))), 256))
-        self.insert_or_ignore("turns", turns, ["session_id", "turn_id"], "timestamp")
-        found = turn_observations(events, *keys)
-        content = F.sha2(F.concat_ws("|", *keys[:3], "type", "title", "summary", "detail"), 256)
-        at = F.coalesce(F.unix_timestamp(F.try_to_timestamp("timestamp")), F.lit(0))
-        rows = found.withColumns({"dedupe_hash": content, "source_kind": F.lit("turn"), "updated_at": at}).withColumn("id", F.xxhash64("dedupe_hash")).drop("timestamp")
-        self.insert_or_ignore("observations", rows.select(*OBSERVATION_COLUMNS), ["dedupe_hash"], "updated_at")
-        self.append("projects", events.select("project_key", F.col("cwd").alias("root_path"), at.alias("seen_at")).distinct())
-        self.append("sessions", events.select("project_key", "session_id", "runtime", "cwd", at.alias("seen_at")).distinct())
-
-    def observations(self) -> DataFrame:
-        return self.read("observations", OBSERVATION)
-
-    def projects(self) -> DataFrame:
+        events = envelope(events)
+        fresh = self.insert_or_ignore("turns", events, TURN, "captured_at")
+        found = turn_observations(fresh, *TURN, "captured_at")
+        content = F.sha2(F.concat_ws("|", *TURN, "type", "title", "summary", "detail"), 256)
+        none = F.array().cast("array<string>")
+        found = found.withColumns({"dedupe_hash": content, "source_kind": F.lit("turn_extract"), "updated_at": F.col("captured_at"), "files": none})
+        named = events.select(*TURN, F.coalesce(*[said(k) for k in MODEL_KEYS]).alias("model_name")).dropDuplicates(TURN)
+        self.add_observations(found.withColumn("id", F.xxhash64("dedupe_hash")), fresh.join(named, list(TURN), "left"))
+        root = F.coalesce(said("project_root_path"), F.nullif(F.trim("cwd"), F.lit("")))
+        self.append("projects", events.select("project_key", root.alias("root_path"), F.col("captured_at").alias("seen_at")).distinct())
+        self.append("sessions", events.select(*SESSION, "cwd", "metadata", F.col("captured_at").alias("seen_at")))
+        return fresh
+
+    def add_observations(self, rows: DataFrame, turns: DataFrame | None = None) -> DataFrame:
+        """New observations with their provenance and their words in the index. turns: those that rows come from, with model_name."""
+        fresh = self.insert_or_ignore("observations", rows, ("project_key", "dedupe_hash"), "updated_at")
+        none = {c: F.lit(None).cast("string") for c in ("turn_hash", "model_name", "cwd")}
+        from_turns = None if turns is None else turns.select(*TURN, F.col("content_hash").alias("turn_hash"), "model_name", "cwd")
+        source = fresh.withColumns(none) if from_turns is None else fresh.join(from_turns, list(TURN), "left")
+        span = F.to_json(F.struct("files", F.col("type").alias("observation_type"), "source_kind", "title")).alias("source_span")
+        self.append("provenance", source.select(F.lit("observation").alias("memory_kind"), F.col("id").cast("string").alias("memory_id"), *TURN, F.col("id").alias("observation_id"), *none, span, F.col("updated_at").alias("at")))
+        self.append("postings", posting_rows(fresh))
+        sizes = [F.size(search_words(F.col(c))) for c in ("title", "summary", "detail")]
+        self.append("index_stats", fresh.groupBy("project_key").agg(F.count("*").alias("rows"), F.sum(sizes[0] + sizes[1] + sizes[2]).cast("long").alias("words")))
+        return fresh
+
+    # -- what is stored
+
+    def observations(self, project_key: str | None = None) -> DataFrame:
+        return self.read("observations", project_key)
+
+    def decisions(self, project_key: str | None = None) -> DataFrame:
+        """A decision a row: those that observations made; the observation's id is the decision's."""
+        rows = self.observations(project_key).where("type = 'decision'")
+        return rows.select("id", "project_key", "runtime", "session_id", "title", F.col("summary").alias("decision_text"), "status", "updated_at")
+
+    def projects(self, project_key: str | None = None) -> DataFrame:
         """project_key, name, root_path, updated_at. The first root that is not blank sticks; its newest spelling shows."""
-        seen = self.read("projects", "project_key string, root_path string, seen_at long").withColumn("root_key", fd.path_key(F.col("root_path")))
+        seen = self.read("projects", project_key).withColumn("root_key", fd.path_key(F.col("root_path")))
         first = seen.where("root_key <> ''").groupBy("project_key").agg(F.min(F.struct("seen_at", "root_key")).alias("x")).select("project_key", F.col("x.root_key").alias("root_key"))
         roots = seen.join(first, ["project_key", "root_key"]).groupBy("project_key").agg(F.max(F.struct("seen_at", "root_path")).alias("x")).select("project_key", "x.root_path")
         name = F.trim(F.translate("project_key", "-_", "  "))
         names = F.coalesce(F.nullif(name, F.lit("")), F.col("project_key"))
         return seen.groupBy("project_key").agg(F.max("seen_at").alias("updated_at")).join(roots, "project_key", "left").select("project_key", names.alias("name"), "root_path", "updated_at")
 
-    def sessions(self) -> DataFrame:
-        """project_key, session_id, cwd (the newest that is not null), first_seen, last_seen."""
-        seen = self.read("sessions", "project_key string, session_id string, runtime string, cwd string, seen_at long")
+    def sessions(self, project_key: str | None = None) -> DataFrame:
+        """project_key, runtime, session_id, cwd (the newest that is not null), metadata, started_at, last_seen, root_path, root_match, warning.
+
+        Metadata is merged by key: the newest value that is not blank; the first producer version is kept beside the last,
+        and the capture schema is the highest seen. A folder outside the root that the metadata names doesn't match.
+        """
+        seen = self.read("sessions", project_key)
         newest = F.max(F.when(F.col("cwd").isNotNull(), F.struct("seen_at", "cwd")))
-        return seen.groupBy("project_key", "session_id").agg(newest.alias("x"), F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen")).select("project_key", "session_id", F.col("x.cwd").alias("cwd"), "first_seen", "last_seen")
-
-
-def notify_to_envelope(payloads: DataFrame) -> DataFrame:
-    """agent-turn-complete payloads (JSON in ``value``) as envelopes; other types are left out."""
-    get = lambda *names: F.coalesce(*[F.get_json_object("value", f"$['{n}']") for n in names])
-    messages = F.from_json(get("input-messages", "input_messages"), "array<string>")
-    return payloads.where(F.get_json_object("value", "$.type") == "agent-turn-complete").select(
-        F.lit("codex").alias("runtime"), F.coalesce(get("project_key", "project-key"), F.lit("default")).alias("project_key"), F.coalesce(get("thread-id", "thread_id"), F.lit("unknown-session")).alias("session_id"),
-        F.coalesce(get("turn-id", "turn_id"), F.lit("unknown-turn")).alias("turn_id"), get("cwd").alias("cwd"), get("timestamp").alias("timestamp"), F.coalesce(messages, F.array().cast("array<string>")).alias("input_messages"),
-        F.coalesce(get("last-assistant-message", "last_assistant_message"), F.lit("")).alias("assistant_message"),
-    )
+        times = seen.groupBy(*SESSION).agg(newest.alias("x"), F.min("seen_at").alias("started_at"), F.max("seen_at").alias("last_seen")).select(*SESSION, F.col("x.cwd").alias("cwd"), "started_at", "last_seen")
+        each = seen.select(*SESSION, "seen_at", F.explode("metadata").alias("name", "value")).where("trim(value) <> ''")
+        folded = each.groupBy(*SESSION, "name").agg(F.max(F.struct("seen_at", "value")).alias("last"), F.min(F.struct("seen_at", "value")).alias("first"), F.max(F.expr("try_cast(value as long)")).alias("most"))
+        version = F.when(F.col("name") == SCHEMA_VERSION, F.greatest(F.lit(1), F.coalesce("most", F.lit(1))).cast("string")).otherwise(F.col("last.value"))
+        entries = F.array(F.struct(F.col("name").alias("key"), version.alias("value")))
+        firsts = F.array(F.struct(F.lit("producer_version_first_seen").alias("key"), F.col("first.value").alias("value")))
+        entries = F.when(F.col("name") == "producer_version", F.concat(entries, firsts)).otherwise(entries)
+        merged = folded.where("name <> 'producer_version_first_seen'").groupBy(*SESSION).agg(F.map_from_entries(F.flatten(F.collect_list(entries))).alias("metadata"))
+        out = times.join(merged, list(SESSION), "left").withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>")))
+        root = said("project_root_path")
+        out = out.withColumns({"root_path": root, "root_match": root.isNull() | fd.within(F.col("cwd"), root)})
+        wrong = F.when(F.startswith(F.coalesce(said("project_resolution_source"), F.lit("")), F.lit("mentioned_path")), "mentioned_path_capture_cwd_outside_project_root").otherwise("session_cwd_outside_project_root")
+        version = F.coalesce(*[said(k) for k in VERSION_KEYS])
+        return out.withColumns({"warning": F.when(~F.col("root_match"), wrong), "producer_version": version})
+
+
+def said(name: str) -> Column:
+    """A value of the column ``metadata``, null if it is blank."""
+    return F.nullif(F.trim(F.col("metadata")[name]), F.lit(""))
+
+
+def envelope(events: DataFrame) -> DataFrame:
+    """Events with all columns of a turn; payloads that nobody kept are the event as JSON."""
+    have = {c.lower() for c in events.columns}
+    missing = [part.split(" ", 1) for part in ENVELOPE_MORE.split(", ") if part.split()[0] not in have]
+    events = events.withColumns({name: F.lit(None).cast(kind) for name, kind in missing})
+    events = events.withColumns({k: F.coalesce(k, F.lit("")) for k in (*TURN, "timestamp")})
+    own = sorted(part.split()[0] for part in ENVELOPE.split(", "))
+    payload = F.coalesce("raw_payload", F.to_json(F.struct(*own)))
+    at = F.coalesce(iso_seconds(F.col("timestamp")), F.lit(0)).cast("long")
+    return events.withColumns({"raw_payload": payload, "content_hash": F.sha2(payload, 256), "captured_at": at})

@@ -1,16 +1,16 @@
-"""Queries on notes, sessions, state changes and repairs; importing the module registers them."""
+"""Queries on notes, sessions, state, changes, repairs and packs; importing the module registers them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from continuo.functions import folding as fd
 from continuo.functions import text as T
-from continuo.operators import changes, metrics, notes, scope, state
+from continuo.operators import changes, metrics, notes, pack, retrieval, scope, state
 from continuo.plans import views
 from continuo.plans.views import EPOCH
-from continuo.registry import _MEMORY, _NORMAL, _match, query
+from continuo.registry import _COPY, _NORMAL, _REASONS, FACTS, LIMIT_SQL, REQUESTS, _match, fold_sql, open_sql, query, said
 
 NOTE_QUERY = "hold release notes 7"
 SCOPE_HINT, SCOPE_CWD = "repo-3 und conv-12", "/home/dev/repo-4"
@@ -59,19 +59,18 @@ def note_score(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT project_key, trim(regexp_replace(detail, '\\s+', ' ', 'g')) AS summary, 'Manual note: ' || rtrim(substr(trim(regexp_replace(detail, '\\s+', ' ', 'g')), 1, 80)) AS title, 5::INT AS importance FROM observations GROUP BY ALL")
 def note_create(spark: SparkSession, sf: str) -> DataFrame:
-    rows = views.observations(spark, sf).select("project_key", F.lit(None).cast("long").alias("session_id"), F.col("detail").alias("text"), F.lit(None).cast("string").alias("title"), F.array(F.lit("a"), F.lit(" a ")).alias("tags"), F.lit(9).alias("importance"))
+    rows = views.observations(spark, sf, status=False).select("project_key", F.lit(None).cast("long").alias("session_id"), F.col("detail").alias("text"), F.lit(None).cast("string").alias("title"), F.array(F.lit("a"), F.lit(" a ")).alias("tags"), F.lit(9).alias("importance"))
     return notes.create(rows).select("project_key", "summary", "title", "importance")
 
 
 @query(f"SELECT id, {_fold('detail')} AS folded FROM notes")
 def fold_text(spark: SparkSession, sf: str) -> DataFrame:
-    return views.notes(spark, sf).select("id", fd.fold(F.col("detail")).alias("folded"))
+    return views.notes(spark, sf, status=False).select("id", fd.fold(F.col("detail")).alias("folded"))
 
 
-@query(f"SELECT id, sha256({_MEMORY.format('''concat_ws(chr(0), type, status, concat_ws(' ', summary, detail, title))''')}) AS fingerprint FROM observations")
+@query(f"SELECT id, CASE WHEN concat_ws('', summary, detail, title) <> '' THEN sha256({_COPY}) END AS fingerprint FROM observations")
 def fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    rows = views.observations(spark, sf)
-    return rows.select("id", T.fingerprint(F.col("type"), F.col("status"), F.concat_ws(" ", "summary", "detail", "title")).alias("fingerprint"))
+    return retrieval.with_fingerprint(views.observations(spark, sf)).select("id", "fingerprint")
 
 
 # ---- sessions
@@ -167,80 +166,175 @@ def recent_turn_context(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- state, changes and repairs
 
-_LIMIT = "CASE type " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in changes.STATE_LIMITS.items()) + " END"
+_TYPES = tuple(changes.STATE_LIMITS)
+_STATE_TEXT = _NORMAL.format("coalesce(nullif(summary, ''), nullif(detail, ''), title)")
+_CARRIED = ("id", "summary", "updated_at")
 
 
-def _items(name: str, where: str = "true") -> str:
-    return f""", {name} AS (SELECT * FROM (SELECT session_id, type, normalized, max(id) AS id, arg_max(summary, id) AS summary, max(updated_at) AS updated_at FROM (SELECT *, {_NORMAL.format("coalesce(nullif(summary, ''), nullif(detail, ''), title)")} AS normalized FROM observations WHERE {where})
- WHERE normalized <> '' AND type IN {tuple(changes.STATE_LIMITS)} GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY session_id, type ORDER BY id DESC) <= {_LIMIT})"""
+def _governed(name: str, key: str, most: int = changes.STATE_ROWS) -> str:
+    """The rows that state is derived from: of the newest ones the oldest first."""
+    return f""", {name} AS MATERIALIZED (SELECT *, {_STATE_TEXT} AS normalized FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY updated_at, id::VARCHAR) AS pos FROM
+ (SELECT * FROM observations WHERE type IN {_TYPES} QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY updated_at DESC, id DESC) <= {changes.NEWEST_ROWS})) WHERE pos <= {most})"""
 
 
-def _state(spark: SparkSession, sf: str, before: int | None = None) -> DataFrame:
-    rows = views.observations(spark, sf)
-    return changes.state_items(rows if before is None else rows.where(F.col("updated_at") < before), "session_id")
+def _earlier(name: str, key: str, before: int) -> str:
+    return f""", {name} AS MATERIALIZED (SELECT *, {_STATE_TEXT} AS normalized FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY updated_at DESC, id DESC) AS pos FROM observations
+ WHERE type IN {_TYPES} AND updated_at < {before}) WHERE pos <= {changes.EARLIER_ROWS})"""
 
 
-@query(_items("si") + "SELECT session_id, type, id, normalized FROM si")
+def _items(name: str, source: str, key: str) -> str:
+    return fold_sql(source, name, key, _CARRIED, LIMIT_SQL)
+
+
+def _rows(spark: SparkSession, sf: str) -> DataFrame:
+    return views.observations(spark, sf, status=False)
+
+
+def _state(spark: SparkSession, sf: str, key: str) -> tuple[DataFrame, DataFrame]:
+    items = changes.state_items(changes.governed(_rows(spark, sf), key), key)
+    return items, state.open_work(items, key)
+
+
+_SESSION = _governed("gr", "session_id") + _items("si", "gr", "session_id")
+_PROJECT = _governed("gr", "project_key") + _items("pi", "gr", "project_key") + open_sql("pi", "oi", "project_key")
+
+
+@query(_SESSION + "SELECT session_id, type, pos, id, normalized FROM si")
 def state_items(spark: SparkSession, sf: str) -> DataFrame:
-    return _state(spark, sf).select("session_id", "type", "id", "normalized")
+    return _state(spark, sf, "session_id")[0].select("session_id", "type", "pos", "id", "normalized")
+
+
+_PART = f"CASE WHEN type IN {state.DOD} THEN 'dod' WHEN type = 'pending_item' THEN 'pending' ELSE type END AS part"
+
+
+def _watched(name: str, items: str, open_: str) -> str:
+    columns = f"session_id, {_PART}, id, summary, normalized"
+    return f", {name} AS MATERIALIZED (SELECT {columns} FROM {open_} UNION ALL SELECT {columns} FROM {items} WHERE type = 'constraint')"
 
 
 def _missing(left: str, right: str, change: str) -> str:
-    return f"SELECT a.session_id, a.type, '{change}' AS change, a.id FROM {left} a WHERE NOT EXISTS (SELECT 1 FROM {right} b WHERE a.session_id = b.session_id AND a.type = b.type AND {_match('a.normalized', 'b.normalized')})"
+    return f"SELECT a.session_id, a.part, '{change}' AS change, a.id FROM {left} a WHERE NOT EXISTS (SELECT 1 FROM {right} b WHERE a.session_id = b.session_id AND a.part = b.part AND {_match('a.normalized', 'b.normalized')})"
+
+
+_DELTA = _SESSION + open_sql("si", "so", "session_id") + _watched("cur", "si", "so") + _earlier("er", "session_id", CHANGED_AT) + _items("ei", "er", "session_id") + open_sql("ei", "eo", "session_id") + _watched("prev", "ei", "eo")
 
 
-@query(_items("cur") + _items("prev", f"updated_at < {CHANGED_AT}") + _missing("cur", "prev", "added") + " UNION ALL " + _missing("prev", "cur", "removed"))
+@query(_DELTA + _missing("cur", "prev", "added") + " UNION ALL " + _missing("prev", "cur", "removed"))
 def state_delta(spark: SparkSession, sf: str) -> DataFrame:
-    return changes.delta(_state(spark, sf), _state(spark, sf, CHANGED_AT), "session_id").drop("summary")
+    """Open items and constraints of the state now (the oldest first) against those of an earlier time (the newest first)."""
+    now = changes.watched(*_state(spark, sf, "session_id"), "session_id")
+    old = changes.state_items(changes.earlier(_rows(spark, sf), "session_id", CHANGED_AT), "session_id")
+    then = changes.watched(old, state.open_work(old, "session_id"), "session_id")
+    return changes.delta(now, then, "session_id").drop("summary")
 
 
-#: Blockers take even and completed items odd sessions in the views, so pairs are sought within each project.
-_PROJECT_ITEMS = _items("pi").replace("session_id", "project_key")
+def _objective(name: str, items: str) -> str:
+    return f", {name} AS (SELECT session_id, arg_min(summary, (CASE WHEN type = 'objective' THEN 0 ELSE 1 END, pos)) AS objective FROM {items} WHERE type IN ('objective', 'user_request') GROUP BY 1)"
 
 
-@query(_PROJECT_ITEMS + f"SELECT a.project_key, CASE a.type WHEN 'blocker' THEN 'blocker_vs_completed' ELSE 'pending_vs_completed' END AS kind, a.id AS left_id, max(b.id) AS right_id FROM pi a JOIN pi b ON a.project_key = b.project_key AND a.type IN ('pending_item', 'blocker') AND b.type = 'completed_item' AND {_match('a.normalized', 'b.normalized')} GROUP BY 1, 2, 3")
-def contradictions(spark: SparkSession, sf: str) -> DataFrame:
-    return changes.contradictions(changes.state_items(views.observations(spark, sf), "project_key"), "project_key")
+_NOW, _THEN = (_NORMAL.format(f"coalesce({c}.objective, '')") for c in ("a", "b"))
+
 
+@query(_DELTA + _objective("oa", "si") + _objective("ob", "ei") + f", normal AS (SELECT coalesce(a.session_id, b.session_id) AS session_id, {_NOW} AS x, {_THEN} AS y FROM oa a FULL JOIN ob b ON a.session_id = b.session_id) SELECT session_id, NOT {_match('x', 'y')} AS changed FROM normal")
+def objective_changes(spark: SparkSession, sf: str) -> DataFrame:
+    old = changes.state_items(changes.earlier(_rows(spark, sf), "session_id", CHANGED_AT), "session_id")
+    now, then = state.objective(_state(spark, sf, "session_id")[0], "session_id"), state.objective(old, "session_id")
+    return changes.objective_changed(now, then, "session_id")
 
-_OPEN = _PROJECT_ITEMS + f""", open_items AS (SELECT p.* FROM pi p WHERE p.type = 'blocker' OR (p.type IN ('pending_item', 'project_dod', 'mission_dod', 'session_dod') AND NOT EXISTS (SELECT 1 FROM pi d WHERE d.type = 'completed_item' AND d.project_key = p.project_key AND {_match('p.normalized', 'd.normalized')})))"""
 
+_CHECKED = f", ck AS MATERIALIZED (SELECT *, {_REASONS} AS reasons, claims > 0 AND {_REASONS} <> '' AS mismatch FROM oi_counts)"
+_AGAINST = f"""SELECT a.project_key, CASE a.type WHEN 'blocker' THEN 'blocker_vs_completed' ELSE 'pending_vs_completed' END AS kind, a.summary AS left_text, arg_min(b.summary, b.pos) AS right_text FROM oi a JOIN pi b ON a.project_key = b.project_key AND a.type IN ('pending_item', 'blocker') AND b.type = 'completed_item' AND {_match('a.normalized', 'b.normalized')} GROUP BY a.project_key, a.type, a.pos, a.summary
+ UNION ALL SELECT project_key, 'closure_mismatch', 'completion_claim', reasons FROM ck WHERE mismatch"""
+
+
+def _checked(items: DataFrame, open_items: DataFrame) -> DataFrame:
+    return state.completion_check(state.counts(items, open_items, "project_key"))
+
+
+@query(_PROJECT + _CHECKED + _AGAINST)
+def contradictions(spark: SparkSession, sf: str) -> DataFrame:
+    items, left = _state(spark, sf, "project_key")
+    return changes.contradictions(items, left, _checked(items, left), "project_key")
 
-@query(_OPEN + "SELECT project_key, type, id, summary FROM open_items")
+
+@query(_PROJECT + "SELECT project_key, type, pos, id, summary FROM oi")
 def open_work(spark: SparkSession, sf: str) -> DataFrame:
-    items = changes.state_items(views.observations(spark, sf), "project_key")
-    return state.open_work(items, "project_key").select("project_key", "type", "id", "summary")
+    return _state(spark, sf, "project_key")[1].select("project_key", "type", "pos", "id", "summary")
+
+
+_RAILS = ", ".join(f"CASE WHEN {condition} THEN '{text}' END" for condition, text in zip(("pending > 0", "pending > 0", "requests > 0", "blockers > 0", "dod_missing > 0", "claims > 0 AND pending > 0", "claims > 0 AND dod_missing > 0"), state.GUARDRAILS, strict=True))
+
+
+@query(_PROJECT + _CHECKED + f"""SELECT project_key, evidence, claims, constraints, objectives, requests, dod_total, pending, blockers, dod_missing, reasons, concat_ws('|', {_RAILS}) AS guardrails FROM ck""")
+def guardrails(spark: SparkSession, sf: str) -> DataFrame:
+    found = state.guardrails(_checked(*_state(spark, sf, "project_key")))
+    return found.withColumn("guardrails", F.array_join("guardrails", "|")).drop("done", "primary_reason", "closure_mismatch")
 
 
-@query(_OPEN + """, f AS (SELECT project_key, count(*) FILTER (type = 'pending_item') > 0 AS p, count(*) FILTER (type = 'blocker') > 0 AS b, count(*) FILTER (type LIKE '%_dod') > 0 AS d FROM open_items GROUP BY 1),
-c AS (SELECT project_key, count(*) FILTER (type = 'completion_claim') > 0 AS claimed FROM pi GROUP BY 1),
-k AS (SELECT project_key, type, id, summary FROM pi WHERE type IN ('objective', 'constraint') UNION ALL SELECT project_key, type, id, summary FROM open_items), n AS (SELECT project_key, count(DISTINCT summary) AS must_keep FROM k WHERE summary <> '' GROUP BY 1)
-SELECT c.project_key, coalesce(must_keep, 0) AS must_keep, concat_ws(',', CASE WHEN claimed AND f.project_key IS NOT NULL THEN 'closure_mismatch' END, CASE WHEN p THEN 'pending_work_open' END, CASE WHEN b THEN 'blockers_open' END, CASE WHEN d THEN 'dod_incomplete' END) AS flags FROM c LEFT JOIN f USING (project_key) LEFT JOIN n USING (project_key)""")
+@query(_PROJECT + _CHECKED + """, first AS (SELECT project_key, arg_min(summary, (CASE WHEN type = 'objective' THEN 0 ELSE 1 END, pos)) AS summary FROM pi WHERE type IN ('objective', 'user_request') GROUP BY 1),
+k AS (SELECT project_key, summary FROM first UNION ALL SELECT project_key, summary FROM pi WHERE type = 'constraint' UNION ALL SELECT project_key, summary FROM oi), n AS (SELECT project_key, count(DISTINCT summary) AS must_keep FROM k WHERE summary <> '' GROUP BY 1)
+SELECT ck.project_key, coalesce(must_keep, 0) AS must_keep, concat_ws(',', CASE WHEN mismatch THEN 'closure_mismatch' END, CASE WHEN pending > 0 THEN 'pending_work_open' END, CASE WHEN blockers > 0 THEN 'blockers_open' END, CASE WHEN dod_missing > 0 THEN 'dod_incomplete' END) AS flags FROM ck LEFT JOIN n USING (project_key)""")
 def scope_guard(spark: SparkSession, sf: str) -> DataFrame:
-    items = changes.state_items(views.observations(spark, sf), "project_key")
-    out = state.scope_guard(items, state.open_work(items, "project_key"), "project_key")
+    out = state.scope_guard(*_state(spark, sf, "project_key"), "project_key")
     return out.select("project_key", F.coalesce(F.size("must_not_drop"), F.lit(0)).cast("long").alias("must_keep"), F.array_join("flags", ",").alias("flags"))
 
 
-_STALE = f"type IN {changes.OPEN_KINDS} AND updated_at < {STALE_NOW - 30 * 86_400}"
+_STALE = f""", st AS MATERIALIZED (SELECT project_key, CASE WHEN type IN {state.DOD} THEN 'dod_missing' ELSE type END AS kind, summary, updated_at FROM (SELECT project_key, type, summary, updated_at FROM oi UNION ALL SELECT project_key, type, summary, updated_at FROM pi WHERE type = 'constraint') WHERE updated_at < {STALE_NOW - changes.STALE_DAYS * 86_400})"""
 
 
-@query(f"SELECT id, type, project_key FROM observations WHERE {_STALE}")
+@query(_PROJECT + _STALE + "SELECT * FROM st")
 def stale_items(spark: SparkSession, sf: str) -> DataFrame:
-    return changes.stale(views.observations(spark, sf), STALE_NOW).select("id", "type", "project_key")
+    return changes.stale(*_state(spark, sf, "project_key"), "project_key", STALE_NOW)
+
+
+_COPIES = _governed("hr", "project_key", changes.HEALTH_ROWS) + ", dp AS MATERIALIZED (SELECT project_key, type, normalized, count(*) AS n, list(id ORDER BY pos) AS ids, arg_min(summary, pos) AS latest FROM hr WHERE normalized <> '' GROUP BY 1, 2, 3 HAVING count(*) > 1)"
+
+
+def _copies(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows = changes.governed(_rows(spark, sf), "project_key", most=changes.HEALTH_ROWS)
+    return rows, changes.duplicates(rows, "project_key")
+
 
+@query(FACTS + f", {REQUESTS} SELECT session_id, type, normalized, count(*) AS n, string_agg(turn, ',' ORDER BY pos) AS ids, arg_min(summary, pos) AS latest FROM placed WHERE normalized <> '' GROUP BY 1, 2, 3 HAVING count(*) > 1")
+def duplicate_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Equal texts of one kind of each session, by the turns that say them."""
+    rows = said(spark, sf).withColumn("id", F.col("turn"))
+    return changes.duplicates(rows, "session_id").withColumn("ids", F.array_join(F.transform("ids", lambda x: x.cast("string")), ","))
 
-@query(f""", n AS (SELECT id, project_key, type, {_NORMAL.format("coalesce(nullif(summary, ''), nullif(detail, ''), title)")} AS normalized FROM observations), r AS (SELECT project_key, 'archive_duplicate_observations' AS repair_kind, id FROM n WHERE normalized <> '' QUALIFY row_number() OVER (PARTITION BY project_key, type, normalized ORDER BY id DESC) > 1
- UNION ALL SELECT project_key, 'archive_stale_open_items', id FROM observations WHERE {_STALE}) SELECT project_key, repair_kind, id FROM r WHERE id NOT IN (SELECT id FROM observations WHERE type = 'blocker')""")
+
+@query(_PROJECT + _CHECKED + _STALE + _COPIES + f""", ag AS (SELECT project_key, count(*) AS contradictions FROM ({_AGAINST}) GROUP BY 1), sc AS (SELECT project_key, count(*) AS stale FROM st GROUP BY 1), du AS (SELECT project_key, sum(n - 1)::BIGINT AS surplus FROM dp GROUP BY 1)
+SELECT project_key, coalesce(surplus, 0) AS surplus, coalesce(contradictions, 0) AS contradictions, coalesce(stale, 0) AS stale, dod_missing, CASE dod_total WHEN 0 THEN 1 ELSE round_even(((dod_total - dod_missing) / dod_total)::DOUBLE, 3) END::DOUBLE AS coverage,
+ greatest(0, least(100, 100 - least(coalesce(surplus, 0) * 4, 20) - least(coalesce(contradictions, 0) * 15, 45) - least(coalesce(stale, 0) * 3, 15) - least(dod_missing * 8, 24)))::BIGINT AS score FROM ck LEFT JOIN ag USING (project_key) LEFT JOIN sc USING (project_key) LEFT JOIN du USING (project_key)""")
+def health_score(spark: SparkSession, sf: str) -> DataFrame:
+    """The health report's numbers for every project at once."""
+    items, left = _state(spark, sf, "project_key")
+    checked = _checked(items, left)
+    number = lambda frame, name: frame.groupBy("project_key").agg(F.count("*").alias(name))
+    surplus = _copies(spark, sf)[1].groupBy("project_key").agg(F.sum(F.col("n") - 1).alias("surplus"))
+    against = number(changes.contradictions(items, left, checked, "project_key"), "contradictions")
+    rows = checked.select("project_key", "dod_total", "dod_missing").join(surplus, "project_key", "left").join(against, "project_key", "left")
+    rows = rows.join(number(changes.stale(items, left, "project_key", STALE_NOW), "stale"), "project_key", "left").fillna(0)
+    coverage = F.when(F.col("dod_total") == 0, 1.0).otherwise(F.bround((F.col("dod_total") - F.col("dod_missing")) / F.col("dod_total"), 3))
+    return state.health(rows.withColumn("coverage", coverage)).drop("dod_total")
+
+
+@query(_PROJECT + _STALE + _COPIES + """, r AS (SELECT project_key, 'archive_duplicate_observations' AS repair_kind, unnest(ids[2:]) AS id FROM dp UNION ALL SELECT DISTINCT h.project_key, 'archive_stale_open_items', h.id FROM hr h JOIN st ON st.project_key = h.project_key AND st.summary = h.summary)
+SELECT project_key, repair_kind, id FROM r WHERE id NOT IN (SELECT id FROM observations WHERE type = 'blocker')""")
 def repair_proposals(spark: SparkSession, sf: str) -> DataFrame:
-    rows = views.observations(spark, sf)
-    return changes.repairs(rows, "project_key", changes.stale(rows, STALE_NOW), rows.where("type = 'blocker'"))
+    rows, copies = _copies(spark, sf)
+    old = changes.stale(*_state(spark, sf, "project_key"), "project_key", STALE_NOW)
+    return changes.repairs(copies, rows, old, "project_key", _rows(spark, sf).where("type = 'blocker'")).drop("reason")
+
+
+@query("SELECT session_id, count(*) AS n, 8::BIGINT AS used FROM observations GROUP BY 1 HAVING count(*) > 8")
+def session_cap_report(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.cap_report(_rows(spark, sf))
 
 
 @query("SELECT o.project_key, o.id, s.event_id, s.generated_at FROM observations o LEFT JOIN (SELECT * FROM sync WHERE budget = 'purchase') s ON s.event_id = o.id")
 def snapshot_left(spark: SparkSession, sf: str) -> DataFrame:
     kept = views.sync_events(spark, sf).where("budget = 'purchase'").select(F.col("event_id"), "generated_at")
-    rows = views.observations(spark, sf).select("project_key", "id")
+    rows = _rows(spark, sf).select("project_key", "id")
     return rows.join(kept, rows["id"] == kept["event_id"], "left").select("project_key", "id", "event_id", "generated_at")
 
 
@@ -259,3 +353,45 @@ def turn_summaries(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def turn_observations(spark: SparkSession, sf: str) -> DataFrame:
     return state.turn_observations(_events(spark, sf), "session_id", "turn")
+
+
+# ---- events and packs
+
+
+@query("""SELECT count(*) AS events, count(*) FILTER (budget = 'error') AS mismatches, count(*) FILTER (k & 15 = 0) AS passed, count(*) FILTER (k & 15 <> 0) AS failed, (SELECT string_agg(reason || ':' || n, ',' ORDER BY reason) FROM
+ (SELECT reason, count(*) AS n FROM (SELECT unnest([x FOR x IN [CASE WHEN k & 1 > 0 THEN 'pending_items_open' END, CASE WHEN k & 2 > 0 THEN 'blockers_open' END, CASE WHEN k & 4 > 0 THEN 'dod_incomplete' END, CASE WHEN k & 8 > 0 THEN 'missing_evidence' END] IF x IS NOT NULL]) AS reason FROM sync) GROUP BY 1)) AS reason_counts FROM sync""")
+def closure_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    reasons = F.array_compact(F.array(*[F.when(F.col("k").bitwiseAND(1 << i) > 0, name) for i, name in enumerate(("pending_items_open", "blockers_open", "dod_incomplete", "missing_evidence"))]))
+    rows = views.sync_events(spark, sf).select(F.when(F.col("budget") == "error", "mismatch").otherwise("check").alias("event_kind"), reasons.alias("reasons"))
+    found = metrics.closure_metrics(rows.withColumn("passed", F.size("reasons") == 0))
+    pairs = F.transform(F.map_entries("reason_counts"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
+    return found.withColumn("reason_counts", F.array_join(pairs, ","))
+
+
+def pack_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows, decisions, summaries, scopes and source characters of a pack for each session."""
+    turns = _events(spark, sf)
+    found = state.turn_observations(turns, "session_id", "turn").withColumn("updated_at", F.col("turn"))
+    found = found.withColumn("id", F.xxhash64("session_id", "turn", "type", "summary", "detail"))
+    decided = changes.leading(found.where("type = 'decision'"), ["session_id"], pack.DECISION_ROWS, F.desc("turn"), F.desc("id"))
+    first = lambda rows, *order: rows.withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy(*order)))
+    decided = first(decided, "turn", F.col("id").cast("string")).where(F.col("place") <= pack.PACK_DECISIONS)
+    recent = first(found, F.desc("turn"), F.desc("id")).where((F.col("place") <= pack.RECENT_ROWS) & (F.col("type") == "session_summary"))
+    summaries = recent.select("session_id", "place", F.col("summary").alias("value"))
+    number = summaries.groupBy("session_id").agg(F.greatest(F.count("*"), F.lit(pack.LEAST_TURNS)).alias("most"))
+    shown = first(turns, F.desc("turn")).join(number, "session_id").where("place <= most")
+    said = F.aggregate(F.coalesce("input_messages", F.array().cast("array<string>")), F.lit(0), lambda n, m: n + F.length(m)) + F.coalesce(F.length("assistant_message"), F.lit(0))
+    chars = shown.groupBy("session_id").agg(F.sum(said).alias("source_chars"))
+    names = {"name": F.concat(F.lit("conv-"), F.col("session_id").cast("string")), "max_chars": F.lit(None).cast("int"), "notices": F.array().cast("array<string>"), "suppressed": F.col("session_id") % 5 == 0}
+    budget = F.element_at(F.array(*map(F.lit, ("auto", "micro", "normal", "full"))), (F.col("session_id") % 4 + 1).cast("int"))
+    scopes = turns.select("session_id").distinct().withColumns({**names, "budget": budget})
+    rows, _ = pack.candidates(changes.governed(found, "session_id"), "session_id", None)
+    return rows, decided.select("session_id", "place", F.col("summary").alias("value")), summaries, scopes, chars
+
+
+@query()
+def context_pack(spark: SparkSession, sf: str) -> DataFrame:
+    """A pack for every session: state, decisions, summaries, guardrails and the budget that fits them."""
+    *parts, chars = pack_inputs(spark, sf)
+    made = pack.with_source(pack.build(*parts, "session_id"), chars, "session_id")
+    return made.withColumn("pack_hash", pack.pack_hash(F.col("text"), F.col("budget"), F.col("pack_chars"))).drop("titles")

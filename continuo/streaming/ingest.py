@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from continuo.sources.store import ENVELOPE, Store
+from continuo.plans.schemas import ENVELOPE
+from continuo.sources.store import Store
 
 
 def ingest_stream(spark: SparkSession, source: str, store: Store, checkpoint: str) -> StreamingQuery:

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from continuo import registry
 from continuo.functions import text as T
 from continuo.operators import governance, retrieval, state
-from continuo.sources.store import ENVELOPE, Store, notify_to_envelope
+from continuo.plans.schemas import ENVELOPE
+from continuo.sources.notify import notify_to_envelope
+from continuo.sources.store import Store
 from continuo.streaming.ingest import ingest_stream
 
 
@@ -60,12 +62,37 @@ def test_search_falls_back_to_substrings(spark):
 
 
 def test_policy_validation():
-    assert governance.validate("tag_as", {"types": ["x"], "add": ["y"]}) == []
-    assert len(governance.validate("nope", {})) == 2
+    found = governance.validate("tag_as", {"selector": {"types": [" x ", 3], "tags": ["T"]}, "tag": "Y", "tags": "z", "note": " n "})
+    assert found["valid"] and len(found["warnings"]) == 1 and found["normalized_rule"] == {"selector": {"types": ["x"], "statuses": [], "ids": [], "text_contains": [], "tags": ["t"]}, "apply_to": [], "tags": ["y", "z"], "note": "n"}
+    assert governance.validate("nope", {})["errors"] and governance.validate("never_archive", {"selector": {"ids": ["4", "x"]}})["normalized_rule"]["selector"]["ids"] == [4]
+    assert governance.validate_inheritance("marked_inheritable", {})["normalized_selector"] == {"types": [], "tags": ["inheritable"], "text_contains": [], "limit": 8}
+    assert governance.validate_inheritance("rules_only", {"types": ["x"], "limit": -1}) | {"normalized_selector": 0} == {"valid": False, "errors": ["selector.limit must be a positive integer"], "warnings": ["rules_only ignores selector item filters"], "normalized_selector": 0}
+
+
+def test_policy_texts_span_title_and_summary(spark):
+    rows = spark.createDataFrame([(1, "blocker", "active", "Tail end", "Begins here", "hidden words", 5)], "id long, type string, status string, title string, summary string, detail string, updated_at long")
+    hit = lambda text: governance.effects(rows, [("exclude_from_pack", {"selector": {"text_contains": [text]}})], 0).first().pack_excluded
+    assert hit("tail") and hit("end begins") and hit("here begins") and not hit("hidden")
+
+
+def test_notify_payloads(spark):
+    base = '"type":"agent-turn-complete","thread-id":"t","turn-id":"1"'
+    payloads = [
+        "{%s,\"cwd\":\"/w/repo-x\",\"input-messages\":[\"a\",{\"text\":\"b\"},{\"content\":\"c\"},{\"z\":1,\"y\":2},null,7,\"\"],\"model\":\"m\"}" % base,
+        '{%s,"input_messages":"one","project-name":" Named ","last-assistant-message":{"text":"said"}}' % base,
+        '{%s,"input-messages":["see /srv/app/data-1/x.py, and C:\\\\Work\\\\tool-2."]}' % base,
+        '{%s,"cwd":"C:\\\\Windows\\\\System32","workspace_key":"temp"}' % base, '{"type":"other"}', "no json",
+    ]
+    rows = spark.createDataFrame([(p,) for p in payloads], "value string")
+    got = notify_to_envelope(rows).collect()
+    assert [r.project_key for r in got] == ["default-project", "Named", "tool-2", "default-project"]
+    assert got[0].input_messages == ["a", "b", "c", '{"y":2,"z":1}', "7"] and got[0].metadata["model_name"] == "m" and got[1].input_messages == ["one"] and got[1].assistant_message == "said"
+    assert [r.project_key for r in notify_to_envelope(rows, project_from_cwd=True).collect()] == ["repo-x", "Named", "tool-2", "default-project"]
+    assert {r.metadata["project_resolution_source"] for r in notify_to_envelope(rows, "mine").collect()} == {"explicit"}
 
 
 def test_store_is_idempotent(spark, tmp_path):
-    payload = '{"type":"agent-turn-complete","thread-id":"t","turn-id":"1","input-messages":["Pending: docs"],"last-assistant-message":"Done: parser"}'
+    payload = '{"type":"agent-turn-complete","thread-id":"t","turn-id":"1","timestamp":"2026-01-01T00:00:00Z","input-messages":["Pending: docs"],"last-assistant-message":"Done: parser"}'
     events = notify_to_envelope(spark.createDataFrame([(payload,), ('{"type":"other"}',)], "value string"))
     store = Store(spark, str(tmp_path))
     for _ in range(2):
@@ -82,4 +109,4 @@ def test_stream_ingest(spark, tmp_path):
     (source / "a.json").write_text('{"runtime":"codex","project_key":"p","session_id":"s","turn_id":"1","timestamp":"2026-01-01T00:00:00Z","input_messages":["Pending: docs"],"assistant_message":"ok"}\n' * 2)
     store = Store(spark, str(tmp_path / "store"))
     ingest_stream(spark, str(source), store, str(tmp_path / "ck")).awaitTermination(120)
-    assert store.read("turns", ENVELOPE).count() == 1
+    assert store.read("turns").count() == 1
