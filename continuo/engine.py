@@ -417,7 +417,16 @@ class Engine:
         }
 
     def context_pack(self, project_key: str, max_chars: int | None = None, budget: str = "auto", session_id: str | None = None, now: int = 0, known_hash: str | None = None) -> dict:
-        """The pack's text, what it was made of, and a hash that only its content changes."""
+        """The pack's text, what it was made of, and a hash that only its content changes; made once for each state of the store."""
+        key = (project_key, session_id, now, self.store.version, max_chars, budget)
+        if key not in self._kept:
+            self._kept[key] = self._pack(project_key, max_chars, budget, session_id, now)
+        made = self._kept[key]
+        if known_hash == made["pack_hash"]:
+            return {"not_modified": True, "pack_hash": known_hash, "message": "continuity pack unchanged"}
+        return dict(made)
+
+    def _pack(self, project_key: str, max_chars: int | None, budget: str, session_id: str | None, now: int) -> dict:
         found = self.effective(project_key, session_id, now)
         rows, cut = pack.candidates(found.rows("pack_excluded").where(F.col("pos") <= (pack.POOL if session_id is None else pack.SESSION_POOL)), "key", "session_id" if session_id is None else None)
         rows = local(rows)
@@ -446,8 +455,6 @@ class Engine:
             out |= {"pack_chars": size, "pack_tokens": max(1, -(-size // 4)), "compression_ratio": round(size / max(out["source_chars"], 1), 3)}
         out |= about | {"project_key": project_key, "session_id": session_id, "sessions_capped": [r.asDict() for r in cut.drop("key").collect()]}
         out["pack_hash"] = hashlib.sha256(json.dumps(out, sort_keys=True, default=str).encode()).hexdigest()
-        if known_hash == out["pack_hash"]:
-            return {"not_modified": True, "pack_hash": known_hash, "message": "continuity pack unchanged"}
         return out
 
     def _log_sync(self, project_key: str, made: dict, path: str | None, skipped: bool, reason: str | None, now: int) -> None:

@@ -194,13 +194,14 @@ def objective(items: DataFrame, key: str) -> DataFrame:
 
 def scope_guard(items: DataFrame, open_items: DataFrame, key: str) -> DataFrame:
     """key, must_not_drop, flags: texts that a pack must keep, in order of kind, and why the work is not closed."""
-    order = {"objective": 0, "user_request": 0, "constraint": 1, "pending_item": 2, "blocker": 3, "project_dod": 4, "mission_dod": 5, "session_dod": 6}
+    order = {"constraint": 1, "pending_item": 2, "blocker": 3, "project_dod": 4, "mission_dod": 5, "session_dod": 6}
     place = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])[F.col("type")]
-    first = objective(items, key).select(key, F.lit("objective").alias("type"), F.lit(0).cast("long").alias("pos"), F.col("objective").alias("summary"))
-    rest = items.where("type = 'constraint'").select(key, "type", F.col("pos").cast("long").alias("pos"), "summary")
-    kept = first.unionByName(rest).unionByName(open_items.select(key, "type", F.col("pos").cast("long").alias("pos"), "summary"))
-    listed = kept.withColumn("place", place).where("summary <> ''")
-    texts = listed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "pos", "summary"))).alias("xs")).select(key, F.array_distinct(F.col("xs.summary")).alias("must_not_drop"))
+    marked = items.join(open_items.select(key, "type", "pos", F.lit(True).alias("open")), [key, "type", "pos"], "left")
+    kept = F.when((F.col("type") == "constraint") | F.coalesce("open", F.lit(False)), F.struct(place.alias("place"), "pos", "summary"))
+    first = F.when(F.col("type").isin("objective", "user_request"), F.struct((F.col("type") != "objective").alias("later"), "pos", "summary"))
+    listed = marked.groupBy(key).agg(F.min(first)["summary"].alias("first"), F.array_sort(F.collect_list(kept))["summary"].alias("rest"))
+    texts = F.array_distinct(F.filter(F.concat(F.array("first"), "rest"), lambda x: F.coalesce(x, F.lit("")) != ""))
+    texts = listed.select(key, F.when(F.size(texts) > 0, texts).alias("must_not_drop"))
     checked = completion_check(counts(items, open_items, key))
     flags = F.array_compact(F.array(F.when(F.col("closure_mismatch"), "closure_mismatch"), F.when(F.col("pending") > 0, "pending_work_open"), F.when(F.col("blockers") > 0, "blockers_open"), F.when(F.col("dod_missing") > 0, "dod_incomplete")))
     return checked.join(texts, key, "left").select(key, "must_not_drop", flags.alias("flags"))

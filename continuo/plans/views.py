@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from continuo.plans.session import steady
+
 #: Observation types, in order of doc_id modulo 12, and their retrieval priority.
 TYPES = ("pending_item", "blocker", "project_dod", "mission_dod", "session_dod", "objective", "constraint", "user_request", "decision", "completed_item", "completion_claim", "session_summary")
 PRIORITY = (0, 1, 2, 2, 2, 3, 3, 3, 4, 5, 6, 7)
@@ -16,7 +18,7 @@ EPOCH = 1_767_225_600
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return steady(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def observations(spark: SparkSession, sf_dir: str, status: bool = True) -> DataFrame:

@@ -16,6 +16,7 @@ from continuo.functions.text import iso_seconds
 from continuo.operators.search import posting_rows, search_words
 from continuo.operators.state import turn_observations
 from continuo.plans.schemas import DEFAULTS, ENVELOPE, ENVELOPE_MORE, TABLES, columns
+from continuo.plans.session import steady
 
 #: Partitions of a table; part of its layout.
 BUCKETS = 64
@@ -36,7 +37,7 @@ def bucket(project_key: Column) -> Column:
 
 class Store:
     def __init__(self, spark: SparkSession, base: str, read_only: bool = False):
-        self.spark, self.base, self.read_only = spark, base.rstrip("/"), read_only
+        self.spark, self.base, self.read_only = steady(spark), base.rstrip("/"), read_only
         self.version = 0  # grows with every write through this object
 
     def path(self, table: str) -> str:

@@ -13,6 +13,7 @@ from continuo.operators import changes, notes, scope, state
 from continuo.operators.retrieval import recent, search
 from continuo.operators.search import parse
 from continuo.plans import views
+from continuo.plans.session import steady
 
 NOTE = "id long, title string, summary string, detail string, status string, importance int"
 ITEM = "project_key string, type string, id long, summary string, detail string, title string, updated_at long"
@@ -95,6 +96,7 @@ def test_resolve_and_lanes(spark):
 
 
 def state_of(rows):
+    steady(rows.sparkSession)
     items = changes.state_items(rows, "project_key")
     return items, state.open_work(items, "project_key")
 
