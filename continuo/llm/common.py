@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from continuo.plans.session import steady
+
 #: An Arrow batch that goes to Python holds about so many bytes at most (one row at least).
 BATCH_BYTES = 4 << 20
 #: Rows of keys that are broadcast at most; as hashed relations such rows take 60 to 270 bytes each.
@@ -56,6 +58,7 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches of this session stay below BATCH_BYTES from now on."""
+    steady(spark)
     now = spark.conf.get(_BATCH_CONF).rstrip("bB")
     if not now.isdecimal() or not 0 < int(now) <= BATCH_BYTES:
         spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
