@@ -12,7 +12,8 @@ A row is rejected (``kept`` false) if its text has fewer than ``LETTERS`` letter
 included, if it is ``UNKNOWN``, or if no language has a posterior of ``CONFIDENT``. Posteriors compare
 the modelled languages only, so a text is unknown if under ``LETTER_SHARE`` of its bytes are letters
 or if it is too unlikely in every language: below the floor of log likelihood a trigram that held-out
-texts of the language set (their median less ``SPREADS`` of their spreads, less ``SHORT`` / sqrt(trigrams)).
+texts of the language set (the median of what each half of the sample is worth to the other, less ``SPREADS`` of
+their spreads, less ``SHORT`` / sqrt(trigrams)). Texts of the sample that this floor rejects teach nothing.
 The text alone decides this; a declaration or host makes no text known. Null declarations, suffixes and hosts
 are no evidence. Repeated rows are judged alike; of languages with equal posteriors the first in the alphabet
 counts. Without any declared language nothing is rejected.
@@ -49,21 +50,31 @@ def _likelihoods(texts: list[str]) -> np.ndarray:
     return np.log(counts / counts.sum()).astype(np.float32)
 
 
-def _floor(texts: list[str]) -> float:
-    """From each half of the texts under the model of the other; one text alone sets no floor."""
+def _typical(texts: list[str]) -> tuple[list[str], float]:
+    """The texts that the others of their language explain, and the floor that says so.
+
+    Each half of the texts is judged under the model of the other; one text alone sets no floor.
+    """
     halves = texts[::2], texts[1::2]
     if not halves[1]:
-        return -np.inf
-    held = np.array([table[trigrams(_bytes(t))].mean() for table, half in ((_likelihoods(halves[1]), halves[0]), (_likelihoods(halves[0]), halves[1])) for t in half])
+        return texts, -np.inf
+    tables = _likelihoods(halves[1]), _likelihoods(halves[0])
+    held, number, letters = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
+    for k, text in enumerate(texts):
+        grams = trigrams(_bytes(text))
+        held[k], number[k], letters[k] = tables[k % 2][grams].mean(), len(grams), (_CLASSES[_bytes(text)] > 0).sum()
     middle = np.median(held)
-    return float(middle - SPREADS * max(1.4826 * np.median(np.abs(held - middle)), LEAST_SPREAD))
+    floor = float(middle - SPREADS * max(1.4826 * np.median(np.abs(held - middle)), LEAST_SPREAD))
+    fits = (held >= floor - SHORT / np.sqrt(number)) & (letters >= LETTER_SHARE * (number + 2))
+    return [t for t, fit in zip(texts, fits, strict=True) if fit], floor
 
 
 class TrigramModel:
     def __init__(self, labelled: dict[str, list[str]]):
         self.languages = sorted(labelled)
-        self.table = np.stack([_likelihoods(labelled[x]) for x in self.languages])
-        self.floors = np.array([_floor(labelled[x]) for x in self.languages])
+        typical = [_typical(labelled[x]) for x in self.languages]  # junk that somebody declared teaches nothing
+        self.table = np.stack([_likelihoods(texts) for texts, _ in typical])
+        self.floors = np.array([floor for _, floor in typical])
 
     def known(self, number: np.ndarray, letters: np.ndarray, scores: np.ndarray) -> np.ndarray:
         """Whether a text could be in one of the languages at all; from what ``scores`` gives."""
@@ -91,11 +102,17 @@ def fit(rows: DataFrame) -> TrigramModel | None:
     Copies count once, so a language of few texts has all of them in its sample. Only hashes are dealt out to choose it.
     """
     declared = rows.where("declared is not null and text is not null").withColumn("chars", F.length("text")).where(F.col("chars").between(20, SAMPLE_CHARS))
-    counts = declared.groupBy("declared").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "declared").limit(LANGUAGES).collect()
+    declared = declared.select("declared", "text", F.xxhash64("text").alias("hash"))
+    sizes = declared.groupBy("declared").agg(F.count("*").alias("rows"), F.approx_count_distinct("hash").alias("texts"))
+    counts = sizes.orderBy(F.desc("rows"), "declared").limit(LANGUAGES).collect()
     if not counts:
         return None
-    declared = declared.where(F.col("declared").isin([r["declared"] for r in counts])).withColumn("hash", F.xxhash64("text"))
-    keys = declared.select("declared", "hash").distinct().withColumn("k", F.row_number().over(Window.partitionBy("declared").orderBy("hash"))).where(F.col("k") <= SAMPLE).drop("k")
+    # hashes are even, so below this share of their range lie a few times SAMPLE of a language's texts at any size
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["declared"], 4.0 * SAMPLE / max(r["texts"], 1))])
+    place = F.shiftrightunsigned("hash", 32)
+    declared = declared.where(F.col("declared").isin([r["declared"] for r in counts])).where(place <= share[F.col("declared")] * 2.0**32)
+    first = Window.partitionBy("declared").orderBy(place, "hash")
+    keys = declared.select("declared", "hash").distinct().withColumn("k", F.row_number().over(first)).where(F.col("k") <= SAMPLE).drop("k")
     drawn = declared.join(F.broadcast(keys), ["declared", "hash"]).groupBy("declared", "hash").agg(F.min("text").alias("text"))
     labelled: dict[str, list[str]] = {}
     for r in drawn.orderBy("declared", "hash").collect():  # LANGUAGES * SAMPLE rows at most, as are the keys

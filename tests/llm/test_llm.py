@@ -291,7 +291,10 @@ def test_language_rejects_what_no_modelled_language_explains(spark):
     judged = language_id.identify(queries.language_rows(table.unionByName(spark.createDataFrame(junk, "doc_id long, text string, lang string, source string")))).collect()
     assert [(x.doc_id, x.language) for x in judged if x.doc_id < 0 and (x.language, x.kept) != ("unknown", False)] == []
     assert sum(x.kept for x in judged if x.doc_id >= 0) == table.count()  # every clean document stays
-    assert language_id._floor(["one text"]) == -np.inf
+    assert language_id._typical(["one text"]) == (["one text"], -np.inf)
+    english = [r.text for r in table.where("lang = 'en' and length(text) > 200").limit(60).collect()]
+    odd = [kinds[k]() for k in ("random", "tags", "cyrillic", "digits")]
+    assert sorted(language_id._typical([*english, *odd])[0]) == sorted(english)  # declared junk teaches nothing
 
 
 def test_language_sample_has_every_language_and_names_the_rest_unknown(spark, monkeypatch):
