@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from continuo.llm import (
     ann,
     chat_format,
+    impact_search,
     language_id,
+    merkle,
     minhash,
     packing,
     sharding,
+    slack_packing,
     substring_dedup,
     token_output,
     url_filter,
@@ -146,6 +149,25 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumns(rounded).withColumnsRenamed({"n": "host_labels", "bad": "host_bad", "mean": "host_mean", "lower": "host_lower"})
 
 
+def byte_tokenizer_path() -> str:
+    """The byte-level vocabulary file; CONTINUO_BYTE_TOKENIZER overrides the installed public one."""
+    import public_tokenizers
+
+    return os.environ.get("CONTINUO_BYTE_TOKENIZER") or public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered_text())
+
+
+def op12_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slack_packing.pack(table(spark, sf_dir, "documents"), byte_tokenizer_path(), end_id=2)
+
+
+def op13_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -162,6 +184,9 @@ QUERIES = {
         op8_minhash_dedup,
         op9_token_output,
         op10_url_filter,
+        op11_merkle_manifest,
+        op12_slack_packing,
+        op13_impact_search,
     )
 }
 
@@ -178,7 +203,58 @@ _ESCAPED = r"e AS (SELECT *, replace(replace(role, '\', '\\'), '<|', '<\|') AS e
 _PAIRED = "|".join(url_filter.SECOND_LEVEL)
 _SHRUNK = "1 / least(greatest(coalesce(sum(n * (bad / n - prior) ** 2 - prior * (1 - prior)) / nullif(sum((n - 1) * prior * (1 - prior)), 0), 0.5), 0.01), 0.5) - 1 AS k"
 
+#: The checksum of a decimal number's digits: a table-free CRC-32, bit by bit.
+_CRC32 = """xor(list_reduce(range(1, length({0}) + 1), lambda c, i: list_reduce(range(1, 9),
+    lambda x, j: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, ascii(({0})[i])::BIGINT)), 4294967295::BIGINT), 4294967295::BIGINT)"""
+_LEAF = """sha256(concat_ws('', coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+    coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-'), coalesce(strlen({0}) || ':' || {0}, '-')))"""
+
+
+def _tree(name: str, start: str, levels: int) -> str:
+    """CTEs of a tree's levels: {name}0 from ``start`` (g, pos, h), then runs of 8 while a group has several nodes."""
+    out = [f"{name}0 AS ({start})"]
+    for k in range(levels):
+        out.append(f"""{name}r{k} AS (SELECT g, pos // 8 AS run, list(h ORDER BY pos) AS hs, any_value(c) AS c
+    FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM {name}{k}) GROUP BY ALL),
+{name}{k + 1} AS (SELECT g, run AS pos, CASE WHEN c = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h FROM {name}r{k})""")
+    return ",\n".join(out)
+
+
+def _climb(name: str, before: str, levels: int) -> str:
+    """CTEs that follow each row's place ``spot`` through the runs: the siblings join ``path``, ``fold`` is hashed on."""
+    out = []
+    for k in range(levels):
+        kept = before if k == 0 else f"{name}c{k - 1}"
+        out.append(f"""{name}c{k} AS (SELECT x.* EXCLUDE (spot, path, fold), spot // 8 AS spot,
+    path || array_to_string(hs[:spot % 8] || hs[spot % 8 + 2:], '') AS path,
+    CASE WHEN c = 1 THEN fold ELSE sha256(array_to_string(hs[:spot % 8] || [fold] || hs[spot % 8 + 2:], '')) END AS fold
+    FROM {kept} x JOIN {name}r{k} r ON r.g = x.g AND r.run = x.spot // 8)""")
+    return ",\n".join(out)
+
+
 ORACLES = {
+    "op11_merkle_manifest": f"""
+WITH d AS (SELECT *, coalesce('=' || lang, '') AS grp, {_LEAF.format("text")} AS leaf FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id, leaf) - 1 AS spot,
+    CASE WHEN {_CRC32.format("doc_id::VARCHAR")} % 3 = 0 THEN {_LOWER.format("text")} ELSE text END AS now FROM d),
+{_tree("a", "SELECT grp AS g, spot AS pos, leaf AS h FROM p", 8)},
+{_tree("b", "SELECT 0 AS g, row_number() OVER (ORDER BY g) - 1 AS pos, h FROM a8 WHERE pos = 0", 3)},
+x AS (SELECT doc_id, leaf, grp, grp AS g, spot, '' AS path, {_LEAF.format("now")} AS fold FROM p),
+{_climb("a", "x", 8)},
+s AS (SELECT g AS grp, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS spot FROM a8),
+y AS (SELECT doc_id, leaf, s.subroot, 0 AS g, s.spot, path, fold FROM ac7 JOIN s USING (grp)),
+{_climb("b", "y", 3)}
+SELECT doc_id, leaf, subroot, h AS root, sha256(path) AS proof_sha256, fold AS folded_root, fold = h AS verified FROM bc2, b3""",
+    "op13_impact_search": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_ALNUM}') AS w FROM documents),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d),
+q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_ALNUM}')) AS term FROM benchmark)),
+t AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM t, s GROUP BY term, n_docs),
+r AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+      FROM q JOIN t USING (term) JOIN f USING (term), s GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM r WHERE score > 0 QUALIFY rank <= 10""",
     "op4_substring_dedup": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
 win AS (SELECT doc_id, s, sha256(array_to_string(w[s:s + 49], ' ')) AS h
