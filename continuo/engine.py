@@ -2,6 +2,7 @@
 
 Questions of one project look at bounded rows (the newest 480, 20 decisions, 100 sessions); what governance leaves of
 them is worked out once for each state of the store and kept as a small local table that further plans start from.
+What is kept stands until anybody writes to the project or to one that it inherits from.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from continuo.functions.folding import slug
+from continuo.kept import Kept
 from continuo.operators import changes, governance, metrics, notes, pack, retrieval, scope, search, state
 from continuo.plans.schemas import TABLES
 from continuo.plans.views import MEANINGFUL, PRIORITY, TYPES
@@ -30,6 +32,8 @@ NOT_SMALLER = "context_pack_not_smaller_than_source"
 ALIVE_SECONDS, STORM = 120, 5
 #: What governance says of an item.
 JUDGED = ("never_archive", "retrieval_excluded", "pack_excluded", "keep_priority")
+#: States and packs that an engine keeps at most.
+KEPT_ANSWERS = 64
 
 
 def managed_block(document: str, block: str) -> str:
@@ -112,7 +116,7 @@ class Effective:
 class Engine:
     def __init__(self, spark: SparkSession, base: str, read_only: bool = False):
         self.spark, self.store = spark, Store(spark, base, read_only)
-        self._kept: dict = {}
+        self._kept = Kept(self.store.revision, KEPT_ANSWERS)
 
     # -- rows
 
@@ -167,26 +171,49 @@ class Engine:
         return governance.inherited(self.decision_rows(source, limit=limit), chosen, source, "decision", [F.desc("updated_at"), F.desc("id")])
 
     def effective(self, project_key: str, session_id: str | None = None, now: int = 0) -> Effective:
-        """Governance, worked out once for each version of the store that this engine has written."""
+        """Governance, worked out once for each state of the projects that it looks at."""
         if session_id is not None:
             self.session(project_key, session_id)
-        key = (project_key, session_id, now, self.store.version)
-        if key not in self._kept:
-            self._kept = {k: v for k, v in self._kept.items() if k[3] == self.store.version}
-            self._kept[key] = Effective(self, project_key, session_id, now)
-        return self._kept[key]
+        made = lambda: Effective(self, project_key, session_id, now)
+        return self._kept.get(("effective", project_key, session_id, now), project_key, made, lambda e: {source for source, *_ in e.links})
 
     # -- sources
 
-    def ingest(self, events: DataFrame, now: int | None = None) -> None:
-        """Stores events. Each project with new turns is checked; a claim against open work is logged with its newest turn."""
-        fresh = self.store.ingest(events)
-        newest = fresh.groupBy("project_key").agg(F.max(F.struct("captured_at", "turn_id")).alias("x")).select("project_key", "x.captured_at", "x.turn_id")
-        rows = self.store.observations().join(newest.select("project_key"), "project_key", "left_semi")
-        items = changes.state_items(changes.governed(rows, "project_key"), "project_key")
-        checked = state.completion_check(state.counts(items, state.open_work(items, "project_key"), "project_key")).where("closure_mismatch")
-        found = checked.join(newest, "project_key").withColumns({"event_kind": F.lit("mismatch"), "passed": F.col("done"), "reasons": F.split("reasons", ","), "at": F.col("captured_at") if now is None else F.lit(now).cast("long")})
-        self.store.append("closure_events", found)
+    def ingest(self, events: DataFrame, now: int | None = None, batch: str | None = None) -> None:
+        """Stores events; a claim against the work that is open after a turn is logged with that turn.
+
+        A replay completes what a failure has left out and changes nothing else. ``batch`` names the events.
+        """
+        self.store.ingest(events, batch, lambda turns, touched: self._check_turns(turns, touched, now))
+
+    def _check_turns(self, turns: DataFrame, touched: list[int], now: int | None) -> None:
+        """Events of the turns after which a claim stands against open work, whatever batches they came in.
+
+        The state after a turn is that of the newest rows up to it in the order of time. Rows and turns of a project are
+        numbered from a little before its first new turn, and each turn meets the stretch of rows that ends with it.
+        """
+        turns = turns.withColumn("turn_key", F.sha2(F.concat_ws("\u0001", *TURN), 256))
+        since = turns.groupBy("project_key").agg(F.min("captured_at").alias("since"))
+        rows = self.store.rows_of("observations", touched).where(F.col("type").isin(*changes.STATE_LIMITS)).join(since, "project_key")
+        before = changes.leading(rows.where("updated_at < since"), ["project_key"], changes.NEWEST_ROWS, F.desc("updated_at"), F.desc("id"))
+        rows = rows.where("updated_at >= since").unionByName(before).withColumn("turn_key", F.lit(None).cast("string"))
+        names = ["project_key", *TURN[1:], "id", "updated_at", "turn_key"]
+        ends = turns.select("project_key", *TURN[1:], F.lit(None).cast("long").alias("id"), F.col("captured_at").alias("updated_at"), "turn_key")
+        order = Window.partitionBy("project_key").orderBy("updated_at", *TURN[1:], F.col("turn_key").isNotNull(), "id")
+        n = F.count("id").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("n")
+        placed = rows.select(*names).unionByName(ends.select(*names)).select("project_key", "id", "turn_key", n)
+        stretch = lambda n: F.floor((n - 1) / changes.NEWEST_ROWS)
+        ends = placed.where("turn_key is not null and n > 0").select("project_key", "turn_key", F.col("n").alias("upto"))
+        ends = ends.withColumn("stretch", F.explode(F.array(stretch(F.col("upto")), stretch(F.col("upto")) - 1)))
+        numbers = placed.where("turn_key is null").select("project_key", "id", "n", stretch(F.col("n")).alias("stretch"))
+        met = numbers.join(ends, ["project_key", "stretch"]).where((F.col("n") <= F.col("upto")) & (F.col("n") > F.col("upto") - changes.NEWEST_ROWS))
+        state_rows = met.select("project_key", "id", "turn_key").join(rows.drop("turn_key", "since"), ["project_key", "id"])
+        items = changes.state_items(changes.governed(state_rows, "turn_key"), "turn_key")
+        checked = state.completion_check(state.counts(items, state.open_work(items, "turn_key"), "turn_key")).where("closure_mismatch")
+        at = F.col("captured_at") if now is None else F.lit(now).cast("long")
+        found = checked.join(turns.select("turn_key", *TURN, "captured_at"), "turn_key")
+        found = found.withColumns({"event_kind": F.lit("mismatch"), "passed": F.col("done"), "reasons": F.split("reasons", ","), "at": at})
+        self.store.insert_or_ignore("closure_events", found, (*TURN, "event_kind"), "at", touched=touched)
 
     def ingest_notify(self, payloads: DataFrame, project_key: str | None = None, project_from_cwd: bool = False) -> None:
         self.ingest(notify_to_envelope(payloads, project_key, project_from_cwd))
@@ -356,7 +383,7 @@ class Engine:
         counted = one.join(state.counts(items, left, "key"), "key", "left").fillna(0)
         checked = self._named(state.completion_check(counted), project_key)
         if record:
-            event = {"turn_id": F.lit(None).cast("string"), "event_kind": F.lit("check"), "passed": F.col("done"), "reasons": F.filter(F.split("reasons", ","), lambda r: r != ""), "at": F.lit(now).cast("long")}
+            event = {"turn_id": F.lit(None).cast("string"), "runtime": F.lit(None).cast("string"), "session_id": F.lit(session_id).cast("string"), "event_kind": F.lit("check"), "passed": F.col("done"), "reasons": F.filter(F.split("reasons", ","), lambda r: r != ""), "at": F.lit(now).cast("long")}
             self.store.append("closure_events", checked.withColumns(event))
         return checked
 
@@ -418,10 +445,9 @@ class Engine:
 
     def context_pack(self, project_key: str, max_chars: int | None = None, budget: str = "auto", session_id: str | None = None, now: int = 0, known_hash: str | None = None) -> dict:
         """The pack's text, what it was made of, and a hash that only its content changes; made once for each state of the store."""
-        key = (project_key, session_id, now, self.store.version, max_chars, budget)
-        if key not in self._kept:
-            self._kept[key] = self._pack(project_key, max_chars, budget, session_id, now)
-        made = self._kept[key]
+        sources = lambda _: {source for source, *_ in self.links(project_key)}
+        make = lambda: self._pack(project_key, max_chars, budget, session_id, now)
+        made = self._kept.get(("pack", project_key, session_id, now, max_chars, budget), project_key, make, sources)
         if known_hash == made["pack_hash"]:
             return {"not_modified": True, "pack_hash": known_hash, "message": "continuity pack unchanged"}
         return dict(made)

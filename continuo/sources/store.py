@@ -1,12 +1,23 @@
 """An append-only Parquet store: keyed inserts that ignore what is there, latest-wins reads, tombstones.
 
 Every table is partitioned by a bucket of its project, so what asks for one project reads one bucket of it.
+
+A batch of events goes into several tables. Each is keyed and filled from the stored turns of the batch, not from
+what a call has just inserted, and a marker is written last. So a replay after a failure, whichever table it came
+at, completes what is missing and gives the store that no failure would have given; a whole batch is skipped. One
+writer at a time is assumed; readers may come and go.
+
+Buckets with many small files are merged: rows are rewritten in the table's order without those removed, beside a list
+of old and new files, so that a merge that is interrupted is completed when the store is opened next.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 import zlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +36,10 @@ SESSION, TURN = ("project_key", "runtime", "session_id"), ("project_key", "runti
 MODEL_KEYS = ("model_name", "model", "model-name", "llm_model")
 VERSION_KEYS = ("producer_version", "server_version", "package_version")
 SCHEMA_VERSION = "capture_schema_version"
+#: Files of a bucket that are merged once there are more; what a merge sorts by; keys of rows that have been removed.
+MOST_FILES = 64
+SORTED = {"postings": ("term",), "observations": ("project_key", "updated_at"), "turns": ("project_key", "captured_at")}
+REMOVED = ("project_key", "id", "batch")
 
 
 def bucket_of(project_key: str) -> int:
@@ -38,7 +53,8 @@ def bucket(project_key: Column) -> Column:
 class Store:
     def __init__(self, spark: SparkSession, base: str, read_only: bool = False):
         self.spark, self.base, self.read_only = steady(spark), base.rstrip("/"), read_only
-        self.version = 0  # grows with every write through this object
+        if not read_only:
+            self.recover()
 
     def path(self, table: str) -> str:
         return f"{self.base}/{table}"
@@ -63,70 +79,228 @@ class Store:
             rows = rows.where((F.col("bucket") == bucket_of(project_key)) & (F.col("project_key") == project_key))
         for name, value in DEFAULTS.get(table, {}).items():
             rows = rows.withColumn(name, F.coalesce(name, F.lit(value)))
+        if set(REMOVED) <= set(columns(table)) and table != "removals":
+            rows = self._left(rows, project_key)
         return rows.drop("bucket")
 
-    def append(self, table: str, rows: DataFrame) -> None:
+    def _left(self, rows: DataFrame, project_key: str | None = None) -> DataFrame:
+        """Rows that no removal names; without removals the plan has no join."""
+        gone = self._raw("removals")
+        gone = gone if project_key is None else gone.where(F.col("bucket") == bucket_of(project_key))
+        return rows.join(gone.select("bucket", *REMOVED).distinct(), ["bucket", *REMOVED], "left_anti")
+
+    def append(self, table: str, rows: DataFrame, touched: list[int] | None = None) -> None:
         """Written as one file a bucket where it is small; the runtime splits a large one."""
         if self.read_only:
             raise PermissionError(f"{table}: the store is read-only")
+        if "seq" in columns(table):
+            rows = self._sequenced(table, rows, touched)
         dealt = rows.select(*columns(table)).withColumn("bucket", bucket(F.col("project_key"))).hint("rebalance", "bucket")
-        if table == "postings":
-            dealt = dealt.sortWithinPartitions("bucket", "term")  # a reader of few terms skips the other row groups
+        if table in SORTED:
+            dealt = dealt.sortWithinPartitions("bucket", *SORTED[table])  # a reader of few terms skips the other row groups
         dealt.write.mode("append").partitionBy("bucket").parquet(self.path(table))
-        self.version += 1
 
-    def insert_or_ignore(self, table: str, rows: DataFrame, keys: tuple[str, ...], order: str) -> DataFrame:
-        """Appends of each key the first row, if the table has none; gives what it appended.
+    def _touched(self, rows: DataFrame) -> list[int]:
+        return [r[0] for r in rows.select(bucket(F.col("project_key"))).distinct().collect()]  # BUCKETS at most
+
+    def _of(self, table: str, touched: list[int]) -> DataFrame:
+        return self._raw(table).where(F.col("bucket").isin(touched))
+
+    def rows_of(self, table: str, touched: list[int]) -> DataFrame:
+        """The rows of some buckets that no removal names."""
+        return self._left(self._of(table, touched)).drop("bucket")
+
+    def _sequenced(self, table: str, rows: DataFrame, touched: list[int] | None) -> DataFrame:
+        """Rows with the number after the project's last one in this table."""
+        held = self._of(table, self._touched(rows) if touched is None else touched)
+        last = held.groupBy(F.col("project_key").alias("of")).agg(F.max("seq").alias("last"))
+        out = rows.drop("seq").join(last, F.col("project_key").eqNullSafe(F.col("of")), "left")
+        return out.withColumn("seq", F.coalesce("last", F.lit(0)).cast("long") + 1).drop("of", "last")
+
+    def insert_or_ignore(self, table: str, rows: DataFrame, keys: tuple[str, ...], order: str, batch: str | None = None, touched: list[int] | None = None) -> None:
+        """Appends of each key the first row, if the table has none that is left. Keys may be null.
 
         keys hold project_key; only the buckets of the rows' projects are compared.
         """
-        batch = uuid.uuid4().hex
-        rows = rows.withColumn("batch", F.lit(batch)).select(*columns(table))
-        touched = [r[0] for r in rows.select(bucket(F.col("project_key"))).distinct().collect()]  # BUCKETS at most
-        held = self._raw(table).where(F.col("bucket").isin(touched)).select(*keys).distinct()
+        touched = self._touched(rows) if touched is None else touched
+        held = self._of(table, touched)
+        if set(REMOVED) <= set(columns(table)):
+            held = self._left(held)
+        held = held.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+        rows = rows if batch is None else rows.withColumn("batch", F.lit(batch))
+        rows = rows.select(*[c for c in columns(table) if c != "seq"])
         first = rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("__rn = 1").drop("__rn")
-        self.append(table, first.join(held, list(keys), "left_anti"))
-        return self._raw(table).where(F.col("bucket").isin(touched) & (F.col("batch") == batch)).drop("bucket")
+        met = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+        self.append(table, first.join(held, met, "left_anti"), touched)
 
     def latest(self, table: str, keys: tuple[str, ...], project_key: str | None = None) -> DataFrame:
-        """The newest row of each key; a newest row with ``deleted`` hides its key."""
+        """The newest row of each key; a newest row with ``deleted`` hides its key.
+
+        Rows of one time go by their number, those that older versions wrote without one by their contents.
+        """
         rows = self.read(table, project_key)
-        newest = Window.partitionBy(*keys).orderBy(F.desc("at"))
+        numbered = [F.desc_nulls_last("seq")] if "seq" in rows.columns else []
+        newest = Window.partitionBy(*keys).orderBy(F.desc("at"), *numbered, F.xxhash64(*rows.columns))
         out = rows.withColumn("__rn", F.row_number().over(newest)).where("__rn = 1").drop("__rn")
         return out.where(~F.coalesce(F.col("deleted"), F.lit(False))) if "deleted" in out.columns else out
 
     # -- ingest
 
-    def ingest(self, events: DataFrame) -> DataFrame:
+    def ingest(self, events: DataFrame, batch: str | None = None, then: Callable[[DataFrame, list[int]], None] | None = None) -> DataFrame:
         """Turns (first payload wins), what their texts hold, its provenance and index, projects and sessions seen.
 
-        Null keys and times count as empty texts, so that replayed rows meet what is stored. Gives the new turns.
+        Null keys and times count as empty texts, so that replayed rows meet what is stored. ``batch`` names the events,
+        by default by their contents; ``then`` takes the batch's turns and their buckets before the batch is marked
+        as whole. Gives the turns of batches that were not whole before.
         """
         events = envelope(events)
-        fresh = self.insert_or_ignore("turns", events, TURN, "captured_at")
-        found = turn_observations(fresh, *TURN, "captured_at")
+        batch = batch or self._name_of(events)
+        if self._whole().where(F.col("batch") == batch).head(1):
+            return self._raw("turns").drop("bucket").where("false")
+        touched = self._touched(events)
+        self.insert_or_ignore("turns", events, TURN, "captured_at", batch, touched)
+        keys = events.select(*TURN).distinct()
+        turns = self._of("turns", touched).join(keys, list(TURN), "left_semi").join(self._whole(), "batch", "left_anti")
+        found = turn_observations(turns, *TURN, "captured_at")
         content = F.sha2(F.concat_ws("|", *TURN, "type", "title", "summary", "detail"), 256)
         none = F.array().cast("array<string>")
         found = found.withColumns({"dedupe_hash": content, "source_kind": F.lit("turn_extract"), "updated_at": F.col("captured_at"), "files": none})
-        named = events.select(*TURN, F.coalesce(*[said(k) for k in MODEL_KEYS]).alias("model_name")).dropDuplicates(TURN)
-        self.add_observations(found.withColumn("id", F.xxhash64("dedupe_hash")), fresh.join(named, list(TURN), "left"))
+        self.insert_or_ignore("observations", found.withColumn("id", F.xxhash64("dedupe_hash")), ("project_key", "dedupe_hash"), "updated_at", batch, touched)
+        stored = self._left(self._of("observations", touched)).join(turns.select(*TURN), list(TURN), "left_semi").where("source_kind = 'turn_extract'")
+        self._derive(stored, touched, turns)
         root = F.coalesce(said("project_root_path"), F.nullif(F.trim("cwd"), F.lit("")))
-        self.append("projects", events.select("project_key", root.alias("root_path"), F.col("captured_at").alias("seen_at")).distinct())
-        self.append("sessions", events.select(*SESSION, "cwd", "metadata", F.col("captured_at").alias("seen_at")))
-        return fresh
-
-    def add_observations(self, rows: DataFrame, turns: DataFrame | None = None) -> DataFrame:
-        """New observations with their provenance and their words in the index. turns: those that rows come from, with model_name."""
-        fresh = self.insert_or_ignore("observations", rows, ("project_key", "dedupe_hash"), "updated_at")
+        seen = events.select("project_key", root.alias("root_path"), F.col("captured_at").alias("seen_at"))
+        self.insert_or_ignore("projects", seen, ("project_key", "root_path", "seen_at"), "root_path", touched=touched)
+        visits = events.select(*SESSION, "cwd", "metadata", F.col("captured_at").alias("seen_at"), F.sha2(F.to_json(F.struct("cwd", "metadata")), 256).alias("entry"))
+        self.insert_or_ignore("sessions", visits, (*SESSION, "seen_at", "entry"), "seen_at", touched=touched)
+        if then is not None:
+            then(turns.drop("bucket"), touched)
+        self.finish(batch)
+        self.tidy(touched)
+        return self._of("turns", touched).where(F.col("batch") == batch).drop("bucket")
+
+    @staticmethod
+    def _name_of(events: DataFrame) -> str:
+        """A name that equal events give."""
+        parts = [F.to_json(F.struct(c)) if kind.startswith(("map", "array")) else F.col(c) for c, kind in sorted(events.dtypes)]
+        one = events.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*parts).cast("decimal(38,0)")).alias("h")).first()
+        return f"{one.n}:{one.h or 0}"
+
+    def _whole(self) -> DataFrame:
+        """The names of the batches that all tables have; a row a call, so it is small beside what the calls wrote."""
+        return self.read("batches", "").select("batch")
+
+    def finish(self, batch: str) -> None:
+        """Marks a batch as whole."""
+        self.append("batches", self.spark.createDataFrame([("", batch, 0)], TABLES["batches"]), [bucket_of("")])
+
+    def add_observations(self, rows: DataFrame) -> DataFrame:
+        """New observations that no turn made, with their provenance and their words in the index."""
+        batch, touched = uuid.uuid4().hex, self._touched(rows)
+        self.insert_or_ignore("observations", rows, ("project_key", "dedupe_hash"), "updated_at", batch, touched)
+        keys = rows.select("project_key", "dedupe_hash").distinct()
+        stored = self._left(self._of("observations", touched)).join(keys, ["project_key", "dedupe_hash"], "left_semi").join(self._whole(), "batch", "left_anti")
+        self._derive(stored, touched)
+        self.finish(batch)
+        return self._of("observations", touched).where(F.col("batch") == batch).drop("bucket")
+
+    def _derive(self, stored: DataFrame, touched: list[int], turns: DataFrame | None = None) -> None:
+        """Provenance, index and word counts of stored observations, where they lack. turns: those that rows come from."""
         none = {c: F.lit(None).cast("string") for c in ("turn_hash", "model_name", "cwd")}
         from_turns = None if turns is None else turns.select(*TURN, F.col("content_hash").alias("turn_hash"), "model_name", "cwd")
-        source = fresh.withColumns(none) if from_turns is None else fresh.join(from_turns, list(TURN), "left")
+        source = stored.withColumns(none) if from_turns is None else stored.join(from_turns, list(TURN), "left")
         span = F.to_json(F.struct("files", F.col("type").alias("observation_type"), "source_kind", "title")).alias("source_span")
-        self.append("provenance", source.select(F.lit("observation").alias("memory_kind"), F.col("id").cast("string").alias("memory_id"), *TURN, F.col("id").alias("observation_id"), *none, span, F.col("updated_at").alias("at")))
-        self.append("postings", posting_rows(fresh))
-        sizes = [F.size(search_words(F.col(c))) for c in ("title", "summary", "detail")]
-        self.append("index_stats", fresh.groupBy("project_key").agg(F.count("*").alias("rows"), F.sum(sizes[0] + sizes[1] + sizes[2]).cast("long").alias("words")))
-        return fresh
+        source = source.select(F.lit("observation").alias("memory_kind"), F.col("id").cast("string").alias("memory_id"), *TURN, F.col("id").alias("observation_id"), *none, span, F.col("updated_at").alias("at"))
+        self.insert_or_ignore("provenance", source, ("project_key", "memory_kind", "memory_id"), "at", touched=touched)
+        self.insert_or_ignore("postings", posting_rows(stored, "batch"), (*REMOVED, "term"), "dl", touched=touched)
+        batches = stored.select("batch").distinct()
+        self.insert_or_ignore("index_stats", word_counts(self._of("observations", touched).join(batches, "batch", "left_semi")), ("project_key", "batch"), "rows", touched=touched)
+
+    def remove_observations(self, project_key: str, ids: list[int], now: int) -> None:
+        """Takes observations, their words and word counts away; what comes again later is a new row."""
+        rows = self.read("observations", project_key).where(F.col("id").isin(ids))
+        gone = local_rows(rows.select(*columns("observations")))
+        less = word_counts(gone).withColumns({"rows": -F.col("rows"), "words": -F.col("words"), "batch": F.lit(uuid.uuid4().hex)})
+        self.append("index_stats", less, [bucket_of(project_key)])
+        self.append("removals", gone.select(*REMOVED, F.lit(now).cast("long").alias("at")), [bucket_of(project_key)])
+
+    # -- files
+
+    def _files(self):
+        """Hadoop's path class and the file system of the store."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        return path, path(self.base).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def revision(self, project_key: str) -> str:
+        """A name of the state of the project's buckets, which every writer's next write changes; no table is read."""
+        path, files = self._files()
+        parts = []
+        for table in sorted(TABLES):
+            at = path(f"{self.path(table)}/bucket={bucket_of(project_key)}")
+            if table != "heartbeats" and files.exists(at):
+                whole = files.getContentSummary(at)
+                parts.append((table, whole.getFileCount(), whole.getLength(), files.getFileStatus(at).getModificationTime()))
+        return hashlib.sha256(json.dumps(parts).encode()).hexdigest()
+
+    def tidy(self, touched: list[int]) -> None:
+        """Merges the buckets that have come to hold more than MOST_FILES files."""
+        path, files = self._files()
+        for table in TABLES:
+            dirs = {b: path(f"{self.path(table)}/bucket={b}") for b in touched}
+            many = [b for b, at in dirs.items() if files.exists(at) and files.getContentSummary(at).getFileCount() > MOST_FILES]
+            if many:
+                self.merge(table, many)
+
+    def merge(self, table: str, buckets: list[int]) -> None:
+        """Rewrites buckets of a table as few sorted files, without removed rows; word counts of whole batches are summed.
+
+        The new files are written aside, then listed beside the old ones, then moved in, then the old ones go.
+        A reader that has listed the old files must list again if it is that slow.
+        """
+        if self.read_only:
+            raise PermissionError(f"{table}: the store is read-only")
+        path, files = self._files()
+        dirs = [f"{self.path(table)}/bucket={b}" for b in buckets]
+        held = {d: [x.getPath().getName() for x in files.listStatus(path(d)) if x.getPath().getName().startswith("part-")] for d in dirs}
+        old = [f"{d}/{name}" for d, names in held.items() for name in names]
+        rows = self.spark.read.schema(f"{TABLES[table]}, bucket int").option("basePath", self.path(table)).parquet(*old)
+        if set(REMOVED) <= set(columns(table)):
+            rows = self._left(rows)
+        if table == "index_stats":
+            rows = rows.join(self._whole().withColumn("whole", F.lit(True)), "batch", "left")
+            kept = F.when(F.col("whole").isNull(), F.col("batch")).alias("batch")  # a batch that isn't whole may come again
+            rows = rows.groupBy("bucket", "project_key", kept).agg(F.sum("rows").alias("rows"), F.sum("words").alias("words"))
+        aside = f"{self.base}/_merged-{uuid.uuid4().hex}"
+        dealt = rows.select(*columns(table), "bucket").hint("rebalance", "bucket")
+        dealt.sortWithinPartitions("bucket", *SORTED.get(table, ())).write.partitionBy("bucket").parquet(aside)
+        new = []
+        for b in buckets:
+            at = path(f"{aside}/bucket={b}")
+            if files.exists(at):
+                new += [[x.getPath().toString(), f"{self.path(table)}/bucket={b}/{x.getPath().getName()}"] for x in files.listStatus(at) if x.getPath().getName().startswith("part-")]
+        out = files.create(path(f"{aside}.json"), True)
+        out.write(bytearray(json.dumps({"new": new, "old": old, "aside": aside}).encode()))
+        out.close()
+        self.recover()
+
+    def recover(self) -> None:
+        """Completes merges that have listed their files; what else lies aside is of merges that never came so far."""
+        path, files = self._files()
+        if not files.exists(path(self.base)):
+            return
+        names = [x.getPath().getName() for x in files.listStatus(path(self.base))]
+        for name in names:
+            if name.startswith("_merged-") and name.endswith(".json"):
+                text = "".join(r.value for r in self.spark.read.text(f"{self.base}/{name}", wholetext=True).collect())
+                listed = json.loads(text)
+                for source, target in listed["new"]:
+                    if files.exists(path(source)):
+                        files.rename(path(source), path(target))
+                for gone in [*listed["old"], listed["aside"], f"{self.base}/{name}"]:
+                    files.delete(path(gone), True)
+        for name in names:
+            if name.startswith("_merged-") and not name.endswith(".json") and f"{name}.json" not in names:
+                files.delete(path(f"{self.base}/{name}"), True)
 
     # -- what is stored
 
@@ -171,6 +345,18 @@ class Store:
         return out.withColumns({"warning": F.when(~F.col("root_match"), wrong), "producer_version": version})
 
 
+def word_counts(observations: DataFrame) -> DataFrame:
+    """(project_key, batch, rows, words): what ranks need of all rows."""
+    sizes = [F.size(search_words(F.col(c))) for c in ("title", "summary", "detail")]
+    words = F.sum(sizes[0] + sizes[1] + sizes[2]).cast("long").alias("words")
+    return observations.groupBy("project_key", "batch").agg(F.count("*").alias("rows"), words)
+
+
+def local_rows(rows: DataFrame) -> DataFrame:
+    """The few rows that somebody named, as a table of the driver."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
 def said(name: str) -> Column:
     """A value of the column ``metadata``, null if it is blank."""
     return F.nullif(F.trim(F.col("metadata")[name]), F.lit(""))
@@ -185,4 +371,5 @@ def envelope(events: DataFrame) -> DataFrame:
     own = sorted(part.split()[0] for part in ENVELOPE.split(", "))
     payload = F.coalesce("raw_payload", F.to_json(F.struct(*own)))
     at = F.coalesce(iso_seconds(F.col("timestamp")), F.lit(0)).cast("long")
-    return events.withColumns({"raw_payload": payload, "content_hash": F.sha2(payload, 256), "captured_at": at})
+    model = F.coalesce(*[said(k) for k in MODEL_KEYS])
+    return events.withColumns({"raw_payload": payload, "content_hash": F.sha2(payload, 256), "captured_at": at, "model_name": model})

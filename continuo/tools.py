@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from continuo.engine import Engine
+from continuo.kept import Kept
 from continuo.sources.telemetry import Telemetry, stable_hash
 
 #: Tools, those that write, those of the smallest profile, those whose answers are kept, and argument bounds.
@@ -23,6 +24,8 @@ MINIMAL = ("mem_session_list", "mem_scope_resolve", "mem_bootstrap_context", "me
 PROFILES = {"minimal": MINIMAL, "standard": tuple(t for t in TOOLS if t not in WRITES), "full": TOOLS}
 KEPT = ("mem_context_pack", "mem_project_brief", "mem_open_work", "mem_scope_guard")
 KEEP_SECONDS, MOST_ROWS = 15, 1000
+#: Answers that are kept at most; one stands for KEEP_SECONDS, and no longer than the project's rows.
+MOST_KEPT = 256
 _NOTE = "project_key string, session_id string, text string, title string, tags array<string>, importance int"
 
 
@@ -54,7 +57,8 @@ class Tools:
 
     def __init__(self, engine: Engine, profile: str = "full", mode: str = "compact", clock: Callable[[], float] = time.time, keep_seconds: int = KEEP_SECONDS, telemetry: Telemetry | None = None):
         self.engine, self.names, self.profile, self.mode, self.clock, self.keep = engine, PROFILES[profile], profile, mode, clock, keep_seconds
-        self.telemetry, self.kept, self.hits, self.misses = telemetry or Telemetry("off", ""), {}, 0, 0
+        self.telemetry, self.hits, self.misses = telemetry or Telemetry("off", ""), 0, 0
+        self.kept, self.until = Kept(engine.store.revision, MOST_KEPT), {}
 
     def list(self) -> tuple[str, ...]:
         return self.names
@@ -77,15 +81,21 @@ class Tools:
     def _answer(self, name: str, a: dict):
         if name not in KEPT or self.keep <= 0:
             return self._run(name, a)
-        revision = self.engine.revision(a["project_key"]).first().asDict()
-        key = stable_hash({"tool": name, "arguments": a, "revision": revision, "profile": self.profile})
-        until, data = self.kept.get(key, (0, None))
-        if self.clock() < until:
+        key, made = stable_hash({"tool": name, "arguments": a, "profile": self.profile}), []
+        if key in self.until and self.until[key] <= self.clock():
+            self.kept.answers.pop(key, None)
+
+        def make():
+            made.append(key)
+            return self._run(name, a)
+
+        data = self.kept.get(key, a["project_key"], make)
+        if made:
+            self.misses += 1
+            self.until[key] = self.clock() + self.keep
+            self.until = {k: t for k, t in self.until.items() if k in self.kept.answers}
+        else:
             self.hits += 1
-            return data
-        self.misses += 1
-        data = self._run(name, a)
-        self.kept[key] = (self.clock() + self.keep, data)
         return data
 
     def _run(self, name: str, a: dict):

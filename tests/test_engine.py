@@ -59,7 +59,7 @@ def test_state_reports(engine):
     assert guard.flags == ["closure_mismatch", "pending_work_open", "blockers_open", "dod_incomplete"] and guard.must_not_drop[0] == "ship the parser"
     assert guard.broad_scope_detected and guard.source_session_count == 3
     metrics = engine.closure_metrics("demo").first()
-    assert (metrics.mismatches, metrics.failed) == (1, 2) and metrics.reason_counts["blockers_open"] == 2  # one on ingest, one asked for
+    assert (metrics.mismatches, metrics.failed) == (2, 3) and metrics.reason_counts["blockers_open"] == 3  # after the claim's turn and the next one; one asked for
     empty = engine.completion_check("nobody").first()
     assert (empty.reasons, empty.done) == ("missing_evidence", False)
     states = {r.summary: r.open for r in engine.operational_state("demo").collect()}
