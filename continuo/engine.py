@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from continuo.functions.folding import slug
 from continuo.kept import Kept
-from continuo.operators import changes, governance, metrics, notes, pack, retrieval, scope, search, state
+from continuo.operators import changes, governance, metrics, notes, pack, portfolio, retrieval, scope, search, state
 from continuo.plans.schemas import TABLES
 from continuo.plans.views import MEANINGFUL, PRIORITY, TYPES
 from continuo.sources.notify import notify_to_envelope
@@ -113,6 +113,37 @@ class Effective:
         return [r.id for r in self.all_rows.where(F.col(column) & F.col("id").isNotNull()).select("id").collect()]
 
 
+class Portfolio:
+    """What governance leaves of the bounded rows of all projects, as plans over the store's tables."""
+
+    def __init__(self, engine: Engine, now: int):
+        store = engine.store
+        policies = portfolio.numbered(store.latest("policies", ("project_key", "policy_id")), "policy_id")
+        links = portfolio.numbered(store.latest("inheritances", ("project_key", "link_id")), "link_id")
+        few = max(policies.count(), links.count()) <= portfolio.FEW
+        own_rules, all_rules = portfolio.rules(policies), portfolio.rules(policies, links)
+        repaired, tags = store.read("repairs"), F.array().cast("array<string>")
+        plain = lambda place: {"item_key": F.concat(F.lit(f"{place}:"), F.col("id").cast("string")), "inherited_from": F.lit(None).cast("string"), "tags": tags}
+        newest = [F.desc("updated_at"), F.desc("id")]
+        rows = engine.retrievable(None).where(F.col("type").isin(*changes.STATE_LIMITS))
+        rows = changes.leading(rows, ["project_key"], changes.NEWEST_ROWS, *newest).withColumns(plain("observation"))
+        made = store.decisions().withColumns({"type": F.lit("decision"), "summary": F.col("decision_text"), "detail": F.col("decision_text")})
+        made = changes.leading(made, ["project_key"], pack.DECISION_ROWS, *newest).withColumns(plain("decision"))
+        # what a source passes on is what its own rules leave of its newest rows
+        sources = changes.leading(rows, ["project_key"], changes.EARLIER_ROWS, *newest)
+        sources = portfolio.effects(sources, own_rules, now, repaired, few).where("not retrieval_excluded")
+        passed = portfolio.inherited(sources, links, governance.OBSERVATIONS_PASS, "observation", few)
+        aged = made.withColumn("age", F.row_number().over(Window.partitionBy("project_key").orderBy(*newest)))
+        decided = portfolio.inherited(aged, links, governance.DECISIONS_PASS, "decision", few)
+        both = lambda a, b: a.select(*portfolio.NAMES).unionByName(b.select(*portfolio.NAMES))
+        self.rows = portfolio.effects(both(rows, passed), all_rules, now, repaired, few)
+        self.decisions = portfolio.effects(both(made, decided), all_rules, now, repaired, few)
+
+    def states(self) -> tuple[DataFrame, DataFrame]:
+        """The state's items and its open ones of every project."""
+        return portfolio.states(portfolio.visible(self.rows))
+
+
 class Engine:
     def __init__(self, spark: SparkSession, base: str, read_only: bool = False):
         self.spark, self.store = spark, Store(spark, base, read_only)
@@ -177,6 +208,14 @@ class Engine:
         made = lambda: Effective(self, project_key, session_id, now)
         return self._kept.get(("effective", project_key, session_id, now), project_key, made, lambda e: {source for source, *_ in e.links})
 
+    def portfolio(self, now: int = 0) -> Portfolio:
+        """Rows, decisions and states of all projects, in one plan each."""
+        return Portfolio(self, now)
+
+    def baselines(self) -> DataFrame:
+        """The time that each project's changes count from."""
+        return portfolio.baselines(self.store.observations(), self.store.read("context_syncs"), self.store.read("projects"))
+
     # -- sources
 
     def ingest(self, events: DataFrame, now: int | None = None, batch: str | None = None) -> None:
@@ -195,6 +234,8 @@ class Engine:
         turns = turns.withColumn("turn_key", F.sha2(F.concat_ws("\u0001", *TURN), 256))
         since = turns.groupBy("project_key").agg(F.min("captured_at").alias("since"))
         rows = self.store.rows_of("observations", touched).where(F.col("type").isin(*changes.STATE_LIMITS)).join(since, "project_key")
+        if not rows.where("type = 'completion_claim'").head(1):
+            return
         before = changes.leading(rows.where("updated_at < since"), ["project_key"], changes.NEWEST_ROWS, F.desc("updated_at"), F.desc("id"))
         rows = rows.where("updated_at >= since").unionByName(before).withColumn("turn_key", F.lit(None).cast("string"))
         names = ["project_key", *TURN[1:], "id", "updated_at", "turn_key"]

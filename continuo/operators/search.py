@@ -263,6 +263,11 @@ def counts_in_texts(observations: DataFrame, phrases) -> DataFrame:
     return found.select("id", "dl", *_counted(phrases, {key: F.col(f"p{key[0]}_{key[1]}") for key in places}))
 
 
+def lengths(observations: DataFrame) -> DataFrame:
+    """(id, dl): how many words a text has."""
+    return observations.select("id", reduce(lambda a, b: a + b, [F.size(search_words(F.col(c))) for c in COLUMNS]).alias("dl"))
+
+
 def posting_rows(observations: DataFrame, *keep: str) -> DataFrame:
     """The inverted index: a row a term and observation with the term's positions in each column."""
     words = observations.select("id", "project_key", *keep, *[search_words(F.col(c)).alias(c) for c in COLUMNS])

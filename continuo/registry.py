@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from continuo.functions import text as T
-from continuo.operators import changes, governance, metrics, retrieval, state
+from continuo.operators import changes, governance, metrics, portfolio, retrieval, search, state
 from continuo.plans import views
 from continuo.plans.views import EPOCH, PROTECTED, SQL
 
@@ -149,6 +149,30 @@ def search_language(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.bm25(views.observations(spark, sf, status=False), '(title : th* OR "of the") NOT und').select("id")
 
 
+_NEAR = "NEAR(und der, 2) OR ^the"
+_PLACES = r""", c AS (SELECT id, 1 AS c, regexp_extract_all(lower(title), '[\p{L}\p{N}]+') AS words FROM observations
+    UNION ALL SELECT id, 2, regexp_extract_all(lower(summary), '[\p{L}\p{N}]+') FROM observations UNION ALL SELECT id, 3, regexp_extract_all(lower(detail), '[\p{L}\p{N}]+') FROM observations),
+p AS (SELECT id, c, unnest(words) AS word, unnest(range(len(words))) AS pos FROM c),
+near AS (SELECT u.id, count(DISTINCT (u.c, u.pos)) AS f0, count(DISTINCT (d.c, d.pos)) AS f1 FROM p u JOIN p d ON d.id = u.id AND d.c = u.c AND abs(d.pos - u.pos) <= 3
+    WHERE u.word = 'und' AND d.word = 'der' GROUP BY u.id),
+first AS (SELECT id, count(*) AS f2 FROM p WHERE word = 'the' AND pos = 0 GROUP BY id),
+l AS (SELECT id, sum(len(words))::BIGINT AS dl FROM c GROUP BY id),
+s AS (SELECT count(*) AS n, avg(dl) AS a, (SELECT count(DISTINCT id) FROM p WHERE word = 'und') AS n0, (SELECT count(DISTINCT id) FROM p WHERE word = 'der') AS n1, (SELECT count(*) FROM first) AS n2 FROM l),
+h AS (SELECT l.*, s.*, coalesce(f0, 0) AS f0, coalesce(f1, 0) AS f1, coalesce(f2, 0) AS f2 FROM l LEFT JOIN near USING (id) LEFT JOIN first USING (id), s WHERE f0 > 0 OR f2 > 0)
+"""
+_WORTH = "greatest(ln((n - n{0} + 0.5::DOUBLE) / (n{0} + 0.5::DOUBLE)), 1e-6::DOUBLE) * f{0} * 2.2::DOUBLE / (f{0} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / a))"
+
+
+@query(_PLACES + f"SELECT id, round(0 - {' - '.join(_WORTH.format(k) for k in range(3))}, 6) AS rank FROM h")
+def search_near(spark: SparkSession, sf: str) -> DataFrame:
+    """Two words near each other, or one that begins a column, by the inverted index of all observations."""
+    rows = views.observations(spark, sf, status=False)
+    tree, phrases = search.parse(_NEAR)
+    sums = search.lengths(rows).agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"))
+    found = search.ranked(retrieval.cut(search.counts_in_postings(search.posting_rows(rows), phrases)), tree, sums)
+    return found.select("id", F.round("rank", 6).alias("rank"))
+
+
 @query("SELECT project_key, session_id, count(*) AS items, max(updated_at) AS latest, max(importance) AS top FROM observations GROUP BY 1, 2")
 def lane_inventory(spark: SparkSession, sf: str) -> DataFrame:
     return views.observations(spark, sf, status=False).groupBy("project_key", "session_id").agg(F.count("*").alias("items"), F.max("updated_at").alias("latest"), F.max("importance").alias("top"))
@@ -188,6 +212,59 @@ def inherited_items(spark: SparkSession, sf: str) -> DataFrame:
     return taken[0].unionByName(taken[1]).unionByName(taken[2])
 
 
+#: Rules and links of several projects: (project, order, kind, rule), (project, order, link, source, mode, selector).
+ALL_POLICIES = [
+    ("src0", 1, "tag_as", '{"selector": {"types": ["session_dod", "decision", "mission_dod"]}, "tags": ["inheritable"]}'),
+    ("src0", 2, "tag_as", '{"selector": {"tags": ["inheritable"], "text_contains": ["und"]}, "tags": ["twice"]}'),
+    ("src0", 3, "exclude_from_pack", '{"selector": {"tags": ["twice"]}}'),
+    ("src1", 1, "auto_archive_after", '{"selector": {"types": ["decision", "objective"]}, "days": 1}'),
+    ("src1", 2, "never_archive", '{"selector": {"text_contains": ["der"]}}'),
+    ("src2", 1, "exclude_from_pack", '{"selector": {"statuses": ["low_value"]}}'),
+    ("src2", 2, "always_keep_priority", '{"selector": {"types": ["constraint"], "statuses": ["low_value", "active"]}}'),
+]
+ALL_LINKS = [
+    ("src1", 1, "l1", "src0", "marked_inheritable", '{"tags": ["inheritable"], "limit": 3}'),
+    ("src2", 1, "l2", "src1", "rules_only", "{}"),
+    ("src3", 1, "l3", "src0", "combined", '{"types": ["decision"], "limit": 2}'),
+]
+_THEN = EPOCH + 500 + 86_400
+_GOVERNED = f""", newest AS (SELECT *, lower(trim(title) || ' ' || trim(summary) || ' ' || trim(summary)) AS t FROM observations QUALIFY row_number() OVER (PARTITION BY project_key ORDER BY updated_at DESC, id DESC) <= 480),
+tagged AS (SELECT *, CASE WHEN project_key = 'src0' AND type IN ('session_dod', 'decision', 'mission_dod') THEN CASE WHEN contains(t, 'und') THEN 'inheritable,twice' ELSE 'inheritable' END ELSE '' END AS tags FROM newest),
+m AS (SELECT project_key, 'observation:' || id AS item_key, type, status, t, tags, updated_at, false AS passed, id FROM tagged
+  UNION ALL SELECT target, 'inh-observation:src0:' || id, type, status, t, tags, updated_at, true, NULL FROM
+    (SELECT 'src1' AS target, *, row_number() OVER (ORDER BY updated_at DESC, id DESC) AS k FROM tagged WHERE project_key = 'src0' AND tags <> '' UNION ALL
+     SELECT 'src3', *, row_number() OVER (ORDER BY updated_at DESC, id DESC) + 1 FROM tagged WHERE project_key = 'src0' AND type = 'decision') WHERE k <= 3),
+r AS (SELECT *, project_key IN ('src1', 'src2') AND type IN ('decision', 'objective') AND updated_at <= {EPOCH + 500} AS old, project_key IN ('src1', 'src2') AND contains(t, 'der') AS never,
+    project_key = 'src2' AND type = 'constraint' AND status IN ('low_value', 'active') AS keep, project_key IN ('src0', 'src3') AND contains(tags, 'twice') OR project_key = 'src2' AND status = 'low_value' AS out FROM
+    (SELECT * REPLACE (CASE WHEN project_key = 'src3' AND type IN ('session_dod', 'decision', 'mission_dod') AND NOT passed THEN CASE WHEN contains(t, 'und') THEN 'inheritable,twice' ELSE 'inheritable' END ELSE tags END AS tags) FROM m))
+"""
+
+
+@query(_GOVERNED + "SELECT project_key, item_key, type, tags, old AND NOT never AS retrieval_excluded, old AND NOT never OR out AS pack_excluded, keep AND NOT (old AND NOT never OR out) AS keep_priority, never AS never_archive FROM r")
+def governance_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules, links and what they say of every project's newest rows, in one plan."""
+    policies = spark.createDataFrame(ALL_POLICIES, "project_key string, n long, kind string, rule string")
+    links = spark.createDataFrame(ALL_LINKS, "project_key string, n long, link_id string, source_key string, mode string, selector string")
+    plain = {"item_key": F.concat(F.lit("observation:"), F.col("id").cast("string")), "inherited_from": F.lit(None).cast("string"), "tags": F.array().cast("array<string>")}
+    rows = changes.leading(views.observations(spark, sf), ["project_key"], changes.NEWEST_ROWS, F.desc("updated_at"), F.desc("id")).withColumns(plain)
+    sources = portfolio.effects(rows, portfolio.rules(policies), _THEN).where("not retrieval_excluded")
+    passed = portfolio.inherited(sources, links, governance.OBSERVATIONS_PASS, "observation")
+    names = [c for c in portfolio.NAMES if c != "session_id"]
+    found = portfolio.effects(rows.select(*names).unionByName(passed.select(*names)), portfolio.rules(policies, links), _THEN)
+    return found.select("project_key", "item_key", "type", F.array_join("tags", ",").alias("tags"), "retrieval_excluded", "pack_excluded", "keep_priority", "never_archive")
+
+
+@query("""SELECT p.project_key, coalesce(b, CASE WHEN n > 1 THEN prev ELSE last END) AS since, CASE WHEN b IS NOT NULL THEN 'sync_before_latest_meaningful_change' WHEN n > 1 THEN 'previous_successful_context_sync'
+    WHEN n = 1 THEN 'last_successful_context_sync' ELSE 'project_start' END AS source
+FROM (SELECT DISTINCT project_id AS project_key FROM sync) p LEFT JOIN (SELECT s.project_id, max(generated_at) FILTER (generated_at < changed_at) AS b, count(*) AS n, max(generated_at) AS last, list(generated_at ORDER BY generated_at DESC)[2] AS prev
+  FROM sync s LEFT JOIN (SELECT project_id, max(generated_at) AS changed_at FROM sync WHERE k >= 99 AND budget = 'error' GROUP BY 1) c USING (project_id) WHERE NOT skipped GROUP BY 1) x ON x.project_id = p.project_key""")
+def baselines_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The time that changes of every project count from; failed syncs with a high key stand for changes."""
+    syncs = views.sync_events(spark, sf).withColumnsRenamed({"project_id": "project_key", "generated_at": "at"})
+    changed = syncs.where("k >= 99 and skipped").select("project_key", F.lit("blocker").alias("type"), F.col("at").alias("updated_at"))
+    return portfolio.baselines(changed, syncs, syncs)
+
+
 @query(f"SELECT id, {_NORMAL.format('detail')} AS normalized FROM observations")
 def normalize_state(spark: SparkSession, sf: str) -> DataFrame:
     return views.observations(spark, sf, status=False).select("id", T.normalize_state(F.col("detail")).alias("normalized"))
