@@ -20,6 +20,7 @@ from continuo.functions.folding import slug
 from continuo.kept import Kept
 from continuo.operators import changes, governance, metrics, notes, pack, portfolio, retrieval, scope, search, state
 from continuo.plans.schemas import TABLES
+from continuo.plans.scratch import cut
 from continuo.plans.views import MEANINGFUL, PRIORITY, TYPES
 from continuo.sources.notify import notify_to_envelope
 from continuo.sources.store import SESSION, TURN, Store
@@ -249,7 +250,7 @@ class Engine:
         numbers = placed.where("turn_key is null").select("project_key", "id", "n", stretch(F.col("n")).alias("stretch"))
         met = numbers.join(ends, ["project_key", "stretch"]).where((F.col("n") <= F.col("upto")) & (F.col("n") > F.col("upto") - changes.NEWEST_ROWS))
         state_rows = met.select("project_key", "id", "turn_key").join(rows.drop("turn_key", "since"), ["project_key", "id"])
-        items = changes.state_items(changes.governed(state_rows, "turn_key"), "turn_key")
+        items = cut(changes.state_items(cut(changes.governed(state_rows, "turn_key")), "turn_key"))
         checked = state.completion_check(state.counts(items, state.open_work(items, "turn_key"), "turn_key")).where("closure_mismatch")
         at = F.col("captured_at") if now is None else F.lit(now).cast("long")
         found = checked.join(turns.select("turn_key", *TURN, "captured_at"), "turn_key")
@@ -290,7 +291,7 @@ class Engine:
         parsed, ranks = search.parse(query), None
         if parsed is not None and parsed[0] is not None:
             sums = self.store.read("index_stats").agg(F.sum("rows").alias("n"), (F.sum("words") / F.sum("rows")).alias("avg_dl"))
-            ranks = search.ranked(retrieval.cut(search.counts_in_postings(self.store.read("postings"), parsed[1])), parsed[0], sums)
+            ranks = search.ranked(cut(search.counts_in_postings(self.store.read("postings"), parsed[1])), parsed[0], sums)
         found = retrieval.hits(rows, query, rows, ranks)
         known = rows.where("source_kind = 'manual_note'")
         asked = known.join(found.select("id"), "id", "left_semi").unionByName(notes.candidates(known, 100)).dropDuplicates(["id"])

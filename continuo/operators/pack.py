@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from continuo.functions.text import approx_tokens, compact
 from continuo.operators import changes, retrieval, state
 from continuo.operators.scope import is_noise
+from continuo.plans.scratch import cut
 
 #: Budgets with their characters and how many bullets each section takes.
 LIMITS = ("max_chars", "decisions", "requests", "constraints", "dod_missing", "pending", "blockers", "completed", "summaries", "guardrails")
@@ -120,7 +121,7 @@ def build(rows: DataFrame, decisions: DataFrame, summaries: DataFrame, scopes: D
     max_chars (null: the budget's), notices (lines), suppressed (no objective is named). whole: the rows of the state
     that picks a budget, if it isn't that of the pack.
     """
-    items = retrieval.cut(changes.state_items(rows, key))
+    items = cut(changes.state_items(rows, key))
     left = state.open_work(items, key).select(key, "type", "pos", F.lit(True).alias("open"))
     marked = items.join(left, [key, "type", "pos"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
     is_open = {"dod_missing", "pending", "blockers"}

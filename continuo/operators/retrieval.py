@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from continuo.functions import text as T
 from continuo.operators import search as search_language
+from continuo.plans.scratch import cut
 from continuo.plans.views import PROTECTED
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -26,11 +27,6 @@ def like_search(observations: DataFrame, query: str) -> DataFrame:
     return observations.where(F.like(fold("title"), pattern) | F.like(fold("summary"), pattern) | F.like(fold("detail"), pattern))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint where the session has a folder for it, so that what is worked out once is read afterwards."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
-
-
 def bm25(observations: DataFrame, query: str) -> DataFrame:
     """(id, rank) of the rows that meet a query of ``search.parse``, by one pass over their texts."""
     tree, phrases = search_language.parse(query)

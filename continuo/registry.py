@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from continuo.functions import text as T
 from continuo.operators import changes, governance, metrics, portfolio, retrieval, search, state
 from continuo.plans import views
+from continuo.plans.scratch import cut
 from continuo.plans.views import EPOCH, PROTECTED, SQL
 
 QUERIES, ORACLES = {}, {}
@@ -169,7 +170,7 @@ def search_near(spark: SparkSession, sf: str) -> DataFrame:
     rows = views.observations(spark, sf, status=False)
     tree, phrases = search.parse(_NEAR)
     sums = search.lengths(rows).agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"))
-    found = search.ranked(retrieval.cut(search.counts_in_postings(search.posting_rows(rows), phrases)), tree, sums)
+    found = search.ranked(cut(search.counts_in_postings(search.posting_rows(rows), phrases)), tree, sums)
     return found.select("id", F.round("rank", 6).alias("rank"))
 
 

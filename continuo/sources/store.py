@@ -18,6 +18,8 @@ import json
 import uuid
 import zlib
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -167,14 +169,13 @@ class Store:
         found = found.withColumns({"dedupe_hash": content, "source_kind": F.lit("turn_extract"), "updated_at": F.col("captured_at"), "files": none})
         self.insert_or_ignore("observations", found.withColumn("id", F.xxhash64("dedupe_hash")), ("project_key", "dedupe_hash"), "updated_at", batch, touched)
         stored = self._left(self._of("observations", touched)).join(turns.select(*TURN), list(TURN), "left_semi").where("source_kind = 'turn_extract'")
-        self._derive(stored, touched, turns)
         root = F.coalesce(said("project_root_path"), F.nullif(F.trim("cwd"), F.lit("")))
         seen = events.select("project_key", root.alias("root_path"), F.col("captured_at").alias("seen_at"))
-        self.insert_or_ignore("projects", seen, ("project_key", "root_path", "seen_at"), "root_path", touched=touched)
         visits = events.select(*SESSION, "cwd", "metadata", F.col("captured_at").alias("seen_at"), F.sha2(F.to_json(F.struct("cwd", "metadata")), 256).alias("entry"))
-        self.insert_or_ignore("sessions", visits, (*SESSION, "seen_at", "entry"), "seen_at", touched=touched)
-        if then is not None:
-            then(turns.drop("bucket"), touched)
+        steps = [partial(self.insert_or_ignore, "projects", seen, ("project_key", "root_path", "seen_at"), "root_path", touched=touched)]
+        steps += [partial(self.insert_or_ignore, "sessions", visits, (*SESSION, "seen_at", "entry"), "seen_at", touched=touched)]
+        steps += self._derived(stored, touched, turns)
+        together(steps if then is None else [partial(then, turns.drop("bucket"), touched), *steps])
         self.finish(batch)
         self.tidy(touched)
         return self._of("turns", touched).where(F.col("batch") == batch).drop("bucket")
@@ -200,21 +201,21 @@ class Store:
         self.insert_or_ignore("observations", rows, ("project_key", "dedupe_hash"), "updated_at", batch, touched)
         keys = rows.select("project_key", "dedupe_hash").distinct()
         stored = self._left(self._of("observations", touched)).join(keys, ["project_key", "dedupe_hash"], "left_semi").join(self._whole(), "batch", "left_anti")
-        self._derive(stored, touched)
+        together(self._derived(stored, touched))
         self.finish(batch)
         return self._of("observations", touched).where(F.col("batch") == batch).drop("bucket")
 
-    def _derive(self, stored: DataFrame, touched: list[int], turns: DataFrame | None = None) -> None:
-        """Provenance, index and word counts of stored observations, where they lack. turns: those that rows come from."""
+    def _derived(self, stored: DataFrame, touched: list[int], turns: DataFrame | None = None) -> list[Callable[[], None]]:
+        """What inserts provenance, index and word counts of stored observations, where they lack. turns: those that rows come from."""
         none = {c: F.lit(None).cast("string") for c in ("turn_hash", "model_name", "cwd")}
         from_turns = None if turns is None else turns.select(*TURN, F.col("content_hash").alias("turn_hash"), "model_name", "cwd")
         source = stored.withColumns(none) if from_turns is None else stored.join(from_turns, list(TURN), "left")
         span = F.to_json(F.struct("files", F.col("type").alias("observation_type"), "source_kind", "title")).alias("source_span")
         source = source.select(F.lit("observation").alias("memory_kind"), F.col("id").cast("string").alias("memory_id"), *TURN, F.col("id").alias("observation_id"), *none, span, F.col("updated_at").alias("at"))
-        self.insert_or_ignore("provenance", source, ("project_key", "memory_kind", "memory_id"), "at", touched=touched)
-        self.insert_or_ignore("postings", posting_rows(stored, "batch"), (*REMOVED, "term"), "dl", touched=touched)
         batches = stored.select("batch").distinct()
-        self.insert_or_ignore("index_stats", word_counts(self._of("observations", touched).join(batches, "batch", "left_semi")), ("project_key", "batch"), "rows", touched=touched)
+        counts = word_counts(self._of("observations", touched).join(batches, "batch", "left_semi"))
+        parts = (("provenance", source, ("project_key", "memory_kind", "memory_id"), "at"), ("postings", posting_rows(stored, "batch"), (*REMOVED, "term"), "dl"), ("index_stats", counts, ("project_key", "batch"), "rows"))
+        return [partial(self.insert_or_ignore, *part, touched=touched) for part in parts]
 
     def remove_observations(self, project_key: str, ids: list[int], now: int) -> None:
         """Takes observations, their words and word counts away; what comes again later is a new row."""
@@ -291,8 +292,9 @@ class Store:
         names = [x.getPath().getName() for x in files.listStatus(path(self.base))]
         for name in names:
             if name.startswith("_merged-") and name.endswith(".json"):
-                text = "".join(r.value for r in self.spark.read.text(f"{self.base}/{name}", wholetext=True).collect())
-                listed = json.loads(text)
+                stream = files.open(path(f"{self.base}/{name}"))  # Spark's readers skip such names
+                listed = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+                stream.close()
                 for source, target in listed["new"]:
                     if files.exists(path(source)):
                         files.rename(path(source), path(target))
@@ -345,6 +347,13 @@ class Store:
         return out.withColumns({"warning": F.when(~F.col("root_match"), wrong), "producer_version": version})
 
 
+def together(steps: list[Callable[[], None]]) -> None:
+    """Runs steps that don't wait for each other at the same time; the first failure is raised once all have ended."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        for done in [pool.submit(step) for step in steps]:
+            done.result()
+
+
 def word_counts(observations: DataFrame) -> DataFrame:
     """(project_key, batch, rows, words): what ranks need of all rows."""
     sizes = [F.size(search_words(F.col(c))) for c in ("title", "summary", "detail")]
