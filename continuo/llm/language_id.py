@@ -16,7 +16,7 @@ texts of the language set (the median of what each half of the sample is worth t
 their spreads, less ``SHORT`` / sqrt(trigrams)). Texts of the sample that this floor rejects teach nothing.
 The text alone decides this; a declaration or host makes no text known. Null declarations, suffixes and hosts
 are no evidence. Repeated rows are judged alike; of languages with equal posteriors the first in the alphabet
-counts. Without any declared language nothing is rejected.
+counts. Without any declared language there are no posteriors, and the rules on letters alone reject.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from continuo.llm.common import checked_broadcast, materialize, unbatched
 
 LANGUAGES, SAMPLE, SAMPLE_CHARS, EFFECTIVE, LETTERS, CONFIDENT, STRENGTH = 256, 300, 8_000, 300, 3, 0.5, 10.0
+LEAST_CHARS = 20
 UNKNOWN, LETTER_SHARE, SPREADS, LEAST_SPREAD, SHORT = "unknown", 0.15, 12.0, 0.25, 14.0
 _CLASSES = np.zeros(256, dtype=np.int32)
 _CLASSES[np.arange(97, 123)] = _CLASSES[np.arange(65, 91)] = np.arange(1, 27)
@@ -101,25 +102,39 @@ def fit(rows: DataFrame) -> TrigramModel | None:
 
     Copies count once, so a language of few texts has all of them in its sample. Only hashes are dealt out to choose it.
     """
-    declared = rows.where("declared is not null and text is not null").withColumn("chars", F.length("text")).where(F.col("chars").between(20, SAMPLE_CHARS))
-    declared = declared.select("declared", "text", F.xxhash64("text").alias("hash"))
-    sizes = declared.groupBy("declared").agg(F.count("*").alias("rows"), F.approx_count_distinct("hash").alias("texts"))
+    declared = rows.where("declared is not null and text is not null")
+    declared = declared.select("declared", "text", F.xxhash64("text").alias("hash"), (F.length("text") >= LEAST_CHARS).alias("long"))
+    distinct = F.coalesce(F.nullif(F.approx_count_distinct(F.when(F.col("long"), F.col("hash"))), F.lit(0)), F.approx_count_distinct("hash"))
+    sizes = declared.groupBy("declared").agg(F.count("*").alias("rows"), distinct.alias("texts"), F.max("long").alias("any_long"))
     counts = sizes.orderBy(F.desc("rows"), "declared").limit(LANGUAGES).collect()
     if not counts:
         return None
     # hashes are even, so below this share of their range lie a few times SAMPLE of a language's texts at any size
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["declared"], 4.0 * SAMPLE / max(r["texts"], 1))])
     place = F.shiftrightunsigned("hash", 32)
-    declared = declared.where(F.col("declared").isin([r["declared"] for r in counts])).where(place <= share[F.col("declared")] * 2.0**32)
+    short_only = F.col("declared").isin([r["declared"] for r in counts if not r["any_long"]])
+    declared = declared.where(F.col("declared").isin([r["declared"] for r in counts]) & (F.col("long") | short_only)).where(place <= share[F.col("declared")] * 2.0**32)
     first = Window.partitionBy("declared").orderBy(place, "hash")
     keys = declared.select("declared", "hash").distinct().withColumn("k", F.row_number().over(first)).where(F.col("k") <= SAMPLE).drop("k")
-    drawn = declared.join(F.broadcast(keys), ["declared", "hash"]).groupBy("declared", "hash").agg(F.min("text").alias("text"))
+    drawn = declared.join(F.broadcast(keys), ["declared", "hash"]).groupBy("declared", "hash").agg(F.min(_window()).alias("text"))
     labelled: dict[str, list[str]] = {}
     for r in drawn.orderBy("declared", "hash").collect():  # LANGUAGES * SAMPLE rows at most, as are the keys
         labelled.setdefault(r["declared"], []).append(r["text"])
     return TrigramModel(labelled) if labelled else None
 
 
+def _window():
+    """The text, or a part of it at a place that its hash gives."""
+    last = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0))
+    return F.substring(F.col("text"), (F.pmod(F.col("hash"), (last + 1).cast("long")) + 1).cast("int"), F.lit(SAMPLE_CHARS))
+
+
+def _by_letters(text):
+    """Whether the rules that need no model let a text pass."""
+    letters = F.octet_length(F.regexp_replace(text, r"[\x00-\x40\x5B-\x60\x7B-\x7F]", ""))
+    return F.coalesce((letters >= LETTERS) & (letters >= LETTER_SHARE * F.octet_length(text)), F.lit(False))
+
+
 def _score(model: TrigramModel):
     def run(batches):
         import pyarrow as pa
@@ -153,7 +168,7 @@ def identify(rows: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"), "host", "suffix", "declared")
     model = fit(rows)
     if model is None:
-        return rows.select("doc_id", "text_key", "declared", F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("posterior"), F.lit(True).alias("kept"))
+        return rows.select("doc_id", "text_key", "declared", F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("posterior"), _by_letters(F.col("text")).alias("kept"))
     languages = model.languages
     scored = materialize(rows.mapInArrow(_score(model), "doc_id long, text_key long, host string, suffix string, declared string, letters long, known boolean, scores array<double>, best string"), "language-scores")
     sure = scored.where((F.col("letters") >= LETTERS) & F.col("known"))

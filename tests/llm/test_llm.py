@@ -297,6 +297,29 @@ def test_language_rejects_what_no_modelled_language_explains(spark):
     assert sorted(language_id._typical([*english, *odd])[0]) == sorted(english)  # declared junk teaches nothing
 
 
+def test_languages_of_long_or_short_texts_only_are_modelled(spark, sf):
+    """French texts longer than any window teach, and so do short ones of a language without others."""
+    table = spark.read.parquet(f"{sf}/documents.parquet").where("lang in ('fr', 'en') and length(text) > 40").select("doc_id", "text", "lang")
+    longer = F.expr(f"repeat(concat(text, ' '), cast(ceil({language_id.SAMPLE_CHARS + 1} / length(text)) as int))")
+    rows = table.select("doc_id", F.when(F.col("lang") == "fr", longer).otherwise(F.col("text")).alias("text"), F.col("lang").alias("declared"))
+    junk = [(90_000 + k, t, "fr") for k, t in enumerate(["12 %% 34", "=" * 9_000, None])]
+    short = [(91_000 + k, f"zyx qqv{k % 7}", "zz") for k in range(30)]
+    rows = rows.unionByName(spark.createDataFrame(junk + short, "doc_id long, text string, declared string"))
+    none = {c: F.lit(None).cast("string") for c in ("host", "suffix")}
+    got = language_id.identify(rows.withColumns(none)).collect()
+    french = [r for r in got if r.declared == "fr" and r.doc_id < 90_000]
+    assert len(french) > 10 and all(r.kept and r.language == "fr" for r in french)
+    assert not any(r.kept for r in got if 90_000 <= r.doc_id < 91_000)
+    assert all(r.kept and r.language == "zz" for r in got if r.doc_id >= 91_000)
+
+
+def test_letters_alone_decide_without_declared_languages(spark):
+    texts = ["plain words", "日本語", None, "", "  ", "12 %%", "ab", "a1234567890b1234567890c1234567890"]
+    rows = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(texts)], "doc_id long, text string, declared string, host string, suffix string")
+    got = {r.doc_id: (r.kept, r.language) for r in language_id.identify(rows).collect()}
+    assert got == {k: (k < 2, None) for k in range(len(texts))}
+
+
 def test_language_sample_has_every_language_and_names_the_rest_unknown(spark, monkeypatch):
     r = random.Random(5)
     sounds = {x: ["".join(r.choices("bcdfghklmnprstvwz", k=1)) + "".join(r.choices("aeiouy", k=2)) for _ in range(9)] for x in ("aa", "bb", "cc", "dd")}
