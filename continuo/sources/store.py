@@ -91,10 +91,13 @@ class Store:
         gone = gone if project_key is None else gone.where(F.col("bucket") == bucket_of(project_key))
         return rows.join(gone.select("bucket", *REMOVED).distinct(), ["bucket", *REMOVED], "left_anti")
 
-    def append(self, table: str, rows: DataFrame, touched: list[int] | None = None) -> None:
-        """Written as one file a bucket where it is small; the runtime splits a large one."""
+    def _writable(self, table: str) -> None:
         if self.read_only:
             raise PermissionError(f"{table}: the store is read-only")
+
+    def append(self, table: str, rows: DataFrame, touched: list[int] | None = None) -> None:
+        """Written as one file a bucket where it is small; the runtime splits a large one."""
+        self._writable(table)
         if "seq" in columns(table):
             rows = self._sequenced(table, rows, touched)
         dealt = rows.select(*columns(table)).withColumn("bucket", bucket(F.col("project_key"))).hint("rebalance", "bucket")
@@ -155,6 +158,7 @@ class Store:
         by default by their contents; ``then`` takes the batch's turns and their buckets before the batch is marked
         as whole. Gives the turns of batches that were not whole before.
         """
+        self._writable("turns")
         events = envelope(events)
         batch = batch or self._name_of(events)
         if self._whole().where(F.col("batch") == batch).head(1):
@@ -258,8 +262,7 @@ class Store:
         The new files are written aside, then listed beside the old ones, then moved in, then the old ones go.
         A reader that has listed the old files must list again if it is that slow.
         """
-        if self.read_only:
-            raise PermissionError(f"{table}: the store is read-only")
+        self._writable(table)
         path, files = self._files()
         dirs = [f"{self.path(table)}/bucket={b}" for b in buckets]
         held = {d: [x.getPath().getName() for x in files.listStatus(path(d)) if x.getPath().getName().startswith("part-")] for d in dirs}
