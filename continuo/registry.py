@@ -333,10 +333,11 @@ def open_sql(items: str, name: str, key: str) -> str:
 
 LIMIT_SQL = "CASE type " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in changes.STATE_LIMITS.items()) + " END"
 FACTS = _facts_sql()
-_FEW = f", few AS (SELECT * FROM facts QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn, line, cut, part) <= {changes.STATE_ROWS}) "
+_NEWEST = f"row_number() OVER (PARTITION BY session_id ORDER BY turn DESC, line DESC, cut DESC, part DESC) <= {changes.NEWEST_ROWS}"
+_FEW = f", few AS (SELECT * FROM (SELECT * FROM facts QUALIFY {_NEWEST}) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn, line, cut, part) <= {changes.STATE_ROWS}) "
 REQUESTS = rf"""requests AS (SELECT session_id, turn, -1 AS line, substr(trim(array_to_string([x FOR x IN [trim(y) FOR y IN string_split_regex(labelled, '{T.LINE_END}')] IF x <> ''], ' | ')), 1, 280) AS value FROM turns WHERE role <> 'assistant'),
 said AS (SELECT session_id, turn, line, cut, part, kind AS type, value AS summary FROM facts UNION ALL SELECT session_id, turn, line, 0, 0, 'user_request', value FROM requests WHERE value <> ''),
-placed AS (SELECT *, {_NORMAL.format('summary')} AS normalized FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn, line, cut, part) AS pos FROM said) WHERE pos <= {changes.STATE_ROWS})"""
+placed AS (SELECT *, {_NORMAL.format('summary')} AS normalized FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn, line, cut, part) AS pos FROM (SELECT * FROM said QUALIFY {_NEWEST})) WHERE pos <= {changes.STATE_ROWS})"""
 _SAID = FACTS + ", " + REQUESTS + fold_sql("placed", "si", "session_id", ("summary",), LIMIT_SQL) + open_sql("si", "oi", "session_id")
 _REASONS = "concat_ws(',', CASE WHEN pending > 0 THEN 'pending_items_open' END, CASE WHEN blockers > 0 THEN 'blockers_open' END, CASE WHEN dod_missing > 0 THEN 'dod_incomplete' END, CASE WHEN evidence = 0 THEN 'missing_evidence' END)"
 _BUDGET = "CASE " + " ".join(f"WHEN pending <= {p} AND blockers <= {b} AND dod_missing <= {d} AND constraints <= {c} AND summaries <= {n} THEN {{{k}}}" for k, (_, p, b, d, c, n) in enumerate(state.BUDGETS)) + " ELSE {3} END"
@@ -347,8 +348,12 @@ def _extracted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _state_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """The facts that a session's state is derived from: the first ones, as many as the model takes."""
-    return changes.leading(_extracted(spark, sf), ["session_id"], changes.STATE_ROWS, "turn", "line", "cut", "part")
+    """The facts that a session's state is derived from: of the newest ones the oldest, as many as the model takes."""
+    return changes.leading(_newest(_extracted(spark, sf)), ["session_id"], changes.STATE_ROWS, "turn", "line", "cut", "part")
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    return changes.leading(rows, ["session_id"], changes.NEWEST_ROWS, *[F.desc(c) for c in ("turn", "line", "cut", "part")])
 
 
 def said(spark: SparkSession, sf: str) -> DataFrame:
@@ -357,7 +362,7 @@ def said(spark: SparkSession, sf: str) -> DataFrame:
     place = {"line": F.lit(-1), "cut": F.lit(0), "part": F.lit(0), "type": F.lit("user_request")}
     names = ["session_id", "turn", *place, "summary"]
     facts = _extracted(spark, sf).withColumnsRenamed({"kind": "type", "value": "summary"}).select(*names)
-    rows = facts.unionByName(asked.withColumns(place).select(*names))
+    rows = _newest(facts.unionByName(asked.withColumns(place).select(*names)))
     order = F.row_number().over(Window.partitionBy("session_id").orderBy("turn", "line", "cut", "part"))
     none = {c: F.lit("") for c in ("detail", "title")} | {"id": F.lit(0).cast("long"), "updated_at": F.lit(0).cast("long")}
     return rows.withColumn("pos", order).where(F.col("pos") <= changes.STATE_ROWS).withColumns(none)
