@@ -257,8 +257,8 @@ class Engine:
         found = found.withColumns({"event_kind": F.lit("mismatch"), "passed": F.col("done"), "reasons": F.split("reasons", ","), "at": at})
         self.store.insert_or_ignore("closure_events", found, (*TURN, "event_kind"), "at", touched=touched)
 
-    def ingest_notify(self, payloads: DataFrame, project_key: str | None = None, project_from_cwd: bool = False) -> None:
-        self.ingest(notify_to_envelope(payloads, project_key, project_from_cwd))
+    def ingest_notify(self, payloads: DataFrame, project_key: str | None = None, project_from_cwd: bool = False, files: DataFrame | None = None) -> None:
+        self.ingest(notify_to_envelope(payloads, project_key, project_from_cwd, files))
 
     # -- retrieval
 

@@ -85,6 +85,19 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("session_id", F.concat(F.lit("conv-"), key.cast("string")).alias("external_id"), cwd.alias("cwd"), "last_turn_at", "turns")
 
 
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the files of folders that sessions work in or messages name: guides, state files, manifests, notes."""
+    key, team = F.col("doc_id"), F.col("doc_id") % 5
+    repo = F.concat(F.lit("/work/team-"), team.cast("string"), F.lit("/repo-"), (key % 9).cast("string"))
+    kind, name = key % 9, F.concat(F.lit("scope-"), team.cast("string"), F.lit("-"), (key % 9).cast("string"))
+    guide = F.concat(F.lit("# Guide\nScope: `"), name, F.lit("`\n"), "text")
+    state = F.concat(F.lit("# State\n\nNombre canonico:\n\n- `"), name, F.lit("`\n"), "text")
+    number = lambda n: (key % n).cast("string")
+    path = F.when(kind < 3, F.concat(repo, F.lit("/AGENTS.md"))).when(kind < 5, F.concat(repo, F.lit("/PROJECTS_STATE_"), number(7), F.lit(".md")))
+    path = path.when(kind == 5, F.concat(repo, F.lit("/pyproject.toml"))).when(kind == 6, F.concat(F.lit("/srv/app/data-"), number(2), F.lit("/.git/"), key.cast("string")))
+    return read(spark, sf_dir, "documents").select(path.otherwise(F.concat(repo, F.lit("/notes/"), key.cast("string"))).alias("path"), F.when(kind < 3, guide).when(kind < 5, state).alias("text"))
+
+
 #: The same tables in the SQL of the oracles.
 _LIST = "[" + ", ".join(f"'{t}'" for t in TYPES) + "]"
 _PRIO = "[" + ", ".join(map(str, PRIORITY)) + "]"

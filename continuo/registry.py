@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from continuo.functions import text as T
-from continuo.operators import changes, governance, metrics, portfolio, retrieval, search, state
+from continuo.operators import changes, governance, identity, metrics, portfolio, retrieval, search, state
 from continuo.plans import views
 from continuo.plans.scratch import cut
 from continuo.plans.views import EPOCH, PROTECTED, SQL
+from continuo.sources import notify
 
 QUERIES, ORACLES = {}, {}
 POLICIES = [
@@ -404,4 +405,47 @@ def auto_budget(spark: SparkSession, sf: str) -> DataFrame:
     return state.auto_budget(_counted(spark, sf).withColumn("summaries", F.when(F.col("requests") > 0, 1).otherwise(0)))
 
 
+_REPO = "'/work/team-' || doc_id % 5 || '/repo-' || doc_id % 9"
+_PROJECTS = f""", listed AS (SELECT doc_id % 9 AS kind, CASE WHEN doc_id % 9 < 3 THEN {_REPO} || '/AGENTS.md' WHEN doc_id % 9 < 5 THEN {_REPO} || '/PROJECTS_STATE_' || doc_id % 7 || '.md'
+  WHEN doc_id % 9 = 5 THEN {_REPO} || '/pyproject.toml' WHEN doc_id % 9 = 6 THEN '/srv/app/data-' || doc_id % 2 || '/.git/' || doc_id ELSE {_REPO} || '/notes/' || doc_id END AS path,
+  CASE WHEN doc_id % 9 < 5 THEN 'scope-' || doc_id % 5 || '-' || doc_id % 9 END AS named FROM documents),
+parts AS (SELECT DISTINCT string_split(path, '/') AS p FROM listed),
+folders AS (SELECT DISTINCT array_to_string(p[:n], '/') AS folder FROM (SELECT p, unnest(range(1, len(p))) AS n FROM parts)),
+marks AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, CASE WHEN kind < 3 THEN 0 ELSE 1 END AS rank, named AS key FROM listed WHERE kind < 5
+ UNION ALL SELECT regexp_replace(path, '(/[.]git)?/[^/]*$', ''), 2, regexp_extract(path, '([^/]+)(/[.]git)?/[^/]*$', 1) FROM listed WHERE kind < 3 OR kind IN (5, 6)),
+roots AS (SELECT folder, min({{'rank': rank, 'key': key}}) AS root FROM marks GROUP BY 1),
+asked AS (SELECT m.session_id, m.pos, m.text, CASE m.session_id % 7 WHEN 3 THEN '/srv/app' WHEN 5 THEN NULL ELSE s.cwd END AS cwd FROM messages m JOIN sessions s USING (session_id)),
+raw AS (SELECT session_id, pos, 0 AS place, cwd AS path FROM asked UNION ALL
+ SELECT session_id, pos, unnest(range(1, len(x) + 1)), unnest(x) FROM (SELECT session_id, pos, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z]:[\\\\/][^\\s`"<>|]+')
+   || regexp_extract_all(text, '(?:^|[^A-Za-z0-9_])(/(?:[^\\s`"<>|]+/)*[^\\s`"<>|]+)', 1), lambda x: regexp_replace(trim(x), '[.,;:)\\]}}''"]+$', '')), lambda x: x <> '') AS x FROM asked)),
+bare AS (SELECT DISTINCT path, regexp_replace(regexp_replace(path, '/+', '/', 'g'), '/$', '') AS spot, nullif(regexp_extract(regexp_replace(replace(path, '\\', '/'), '/+$', ''), '[^/]*$'), '') AS leaf FROM raw WHERE path IS NOT NULL),
+ups AS (SELECT path, n AS depth, array_to_string(p[:n], '/') AS folder FROM (SELECT path, string_split(spot, '/') AS p, unnest(range(1, len(string_split(spot, '/')) + 1)) AS n FROM bare)),
+met AS (SELECT path, max({{'depth': depth, 'folder': folder}}) AS start, max({{'depth': depth, 'folder': folder, 'root': root}}) FILTER (root IS NOT NULL) AS mark FROM ups JOIN folders USING (folder) LEFT JOIN roots USING (folder) GROUP BY 1),
+found AS (SELECT path, CASE WHEN marked THEN mark.root.key ELSE trim(leaf) END AS key, CASE WHEN marked THEN mark.folder ELSE CASE WHEN start.folder = '' THEN '/' ELSE start.folder END END AS root,
+  CASE WHEN marked THEN ['AGENTS.md', 'PROJECTS_STATE', 'project_marker'][mark.root.rank + 1] ELSE 'leaf' END AS src, CASE WHEN NOT marked THEN 'low' WHEN mark.root.rank < 2 THEN 'high' ELSE 'medium' END AS sure
+ FROM (SELECT *, coalesce(mark.depth > start.depth - 10, false) AS marked FROM bare LEFT JOIN met USING (path)) WHERE leaf IS NOT NULL AND lower(leaf) NOT IN ('tmp', 'temp', 'windows', 'winnt', 'system32', 'syswow64')),
+places AS (SELECT r.session_id, r.pos, r.place, r.path, a.cwd, f.key, f.root, f.src, f.sure FROM raw r JOIN asked a USING (session_id, pos) JOIN found f ON f.path = r.path),
+picks AS (SELECT session_id, pos, any_value(cwd) AS cwd, min({{'key': key, 'root': root, 'src': src, 'sure': sure}}) FILTER (place = 0) AS here, arg_min({{'key': key, 'root': root, 'src': src, 'sure': sure}}, place) FILTER (place > 0) AS anywhere,
+  arg_min({{'key': key, 'root': root, 'src': src, 'sure': sure}}, place) FILTER (place > 0 AND (path = cwd OR starts_with(path, cwd || '/'))) AS inside, list(key) FILTER (place > 0) AS keys FROM places GROUP BY ALL),
+picked AS (SELECT a.session_id, a.pos, p.* EXCLUDE (session_id, pos, cwd), CASE WHEN a.cwd IS NULL THEN CASE WHEN anywhere IS NULL THEN 'none' ELSE 'anywhere' END WHEN here.sure <> 'low' THEN 'sure' WHEN inside IS NOT NULL THEN 'inside' ELSE 'here' END AS how
+ FROM asked a LEFT JOIN picks p USING (session_id, pos)),
+chosen AS (SELECT *, CASE how WHEN 'anywhere' THEN anywhere WHEN 'inside' THEN inside WHEN 'none' THEN NULL ELSE here END AS x FROM picked)
+SELECT session_id, pos, coalesce(x.key, 'default-project') AS project_key, x.root AS root_path, CASE how WHEN 'none' THEN 'fallback' WHEN 'sure' THEN 'cwd:' || x.src WHEN 'here' THEN 'cwd:' || x.src ELSE 'mentioned_path:' || x.src END AS source,
+ coalesce(x.sure, 'low') AS confidence, CASE WHEN how IN ('inside', 'here') THEN 'cwd_did_not_resolve_to_project' WHEN how = 'sure' AND len(list_filter(coalesce(keys, []), lambda k: k <> here.key)) > 0 THEN 'mentioned_path_ignored_due_to_cwd_project' ELSE '' END AS warnings
+FROM chosen""".replace("\\\\", "\\")
+
+
+@query(_PROJECTS)
+def project_identity(spark: SparkSession, sf: str) -> DataFrame:
+    """The project of every message: by marks of the folders that its session works in or its text names."""
+    said = views.messages(spark, sf).join(views.sessions(spark, sf).select("session_id", "cwd"), "session_id")
+    cwd = F.when(F.col("session_id") % 7 == 3, "/srv/app").when(F.col("session_id") % 7 != 5, F.col("cwd"))
+    rows = said.select("session_id", "pos", cwd.alias("cwd"), notify.mentioned(F.array("text")).alias("paths"))
+    rows = identity.looked_up(rows, views.listing(spark, sf))
+    who = identity.identity(None, F.lit(None).cast("string"), F.col("cwd"), F.col("places"), True)
+    return rows.select("session_id", "pos", who.alias("who")).select(
+        "session_id", "pos", "who.project_key", "who.root_path", "who.source", "who.confidence", F.array_join("who.warnings", ",").alias("warnings"),
+    )
+
+
 from continuo import state_queries  # noqa: E402, F401 - registers the queries on notes, sessions, state, changes and packs

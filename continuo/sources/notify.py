@@ -5,17 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from continuo.functions import folding as fd
+from continuo.operators import identity
 
-#: Fields that name the project, fields with texts that may mention paths, names that are no project.
+#: Fields that name the project, fields with texts that may mention paths.
 PROJECT_FIELDS = ("project_key", "project-key", "project_name", "project-name", "workspace_key", "workspace-key", "workspace_name", "workspace-name")
 TEXT_FIELDS = (
     "input-messages", "input_messages", "input", "prompt", "request", "user-message", "user_message", "last-assistant-message", "last_assistant_message",
     "assistant-response", "assistant_response", "response", "output",
 )
-TECHNICAL = ("", "system32", "syswow64", "windows", "winnt", "temp", "tmp", "program files", "program files (x86)")
 WINDOWS_PATH, POSIX_PATH = r"[A-Za-z]:[\\/][^\s`\"<>|]+", r"(?<!\w)/(?:[^\s`\"<>|]+/)*[^\s`\"<>|]+"
-FALLBACK = "default-project"
 
 
 def _text(x: Column) -> Column:
@@ -34,62 +32,32 @@ def texts(value: Column) -> Column:
     return F.coalesce(F.filter(every, lambda x: x.isNotNull() & (x != "")), F.array().cast("array<string>"))
 
 
-def usable(key: Column) -> Column:
-    """The trimmed key, null if it names no project."""
-    bare = F.trim(key)
-    return F.when(~F.lower(bare).isin(*TECHNICAL), bare)
-
-
-def is_technical(path: Column) -> Column:
-    flat = F.lower(F.trim(F.translate(path, "/", "\\")))
-    return F.lower(F.coalesce(fd.path_leaf(path), F.lit(""))).isin(*TECHNICAL) | F.contains(flat, F.lit("\\windows\\system32")) | F.endswith(flat, F.lit("\\windows"))
-
-
 def mentioned(said: Column) -> Column:
     """The distinct paths in texts, Windows ones of a text first, without punctuation behind them."""
     found = F.flatten(F.transform(said, lambda t: F.concat(F.regexp_extract_all(t, F.lit(WINDOWS_PATH), F.lit(0)), F.regexp_extract_all(t, F.lit(POSIX_PATH), F.lit(0)))))
     return F.array_distinct(F.filter(F.transform(found, lambda p: F.regexp_replace(F.trim(p), r"[.,;:)\]}'\"]+$", "")), lambda p: p != ""))
 
 
-def identity(explicit: str | None, payload_key: Column, cwd: Column, paths: Column, from_cwd: bool) -> Column:
-    """(project_key, source, confidence, warnings): explicit, the payload's, the folder's, that of a mentioned path, or none.
+def notify_to_envelope(payloads: DataFrame, project_key: str | None = None, project_from_cwd: bool = False, files: DataFrame | None = None) -> DataFrame:
+    """agent-turn-complete payloads (JSON in ``value``) as envelopes with metadata; other types are left out.
 
-    Only names count: no folder is looked into.
+    With a listing of ``files`` (path, text) projects are known by the marks of their roots, else by names of folders alone.
     """
-    def out(key: Column, source: str, sure: str, *warnings: str) -> Column:
-        return F.struct(key.alias("project_key"), F.lit(source).alias("source"), F.lit(sure).alias("confidence"), F.array(*map(F.lit, warnings)).cast("array<string>").alias("warnings"))
-
-    fallback = F.lit(FALLBACK)
-    if explicit:
-        return out(F.lit(explicit), "explicit", "high")
-    leaf = lambda path: F.when(~is_technical(path), usable(fd.path_leaf(path)))
-    by_path = lambda xs: F.get(F.filter(F.transform(xs, leaf), lambda k: k.isNotNull()), 0)
-    anywhere = by_path(paths)
-    free = F.when(anywhere.isNotNull(), out(anywhere, "mentioned_path:leaf", "low")).otherwise(out(fallback, "fallback", "low"))
-    if from_cwd:
-        inside = by_path(F.filter(paths, lambda p: fd.within(p, cwd)))
-        unsure = "cwd_did_not_resolve_to_project"
-        by_cwd = F.when(is_technical(cwd), out(fallback, "fallback", "low", "technical_cwd_ignored"))
-        by_cwd = by_cwd.when(inside.isNotNull(), out(inside, "mentioned_path:leaf", "low", unsure))
-        by_cwd = by_cwd.when(leaf(cwd).isNotNull(), out(leaf(cwd), "cwd:leaf", "low", unsure)).otherwise(out(fallback, "fallback", "low", unsure))
-        free = F.when(F.coalesce(cwd, F.lit("")) != "", by_cwd).otherwise(free)
-    return F.when(payload_key.isNotNull(), out(payload_key, "payload_project_key", "high")).otherwise(free)
-
-
-def notify_to_envelope(payloads: DataFrame, project_key: str | None = None, project_from_cwd: bool = False) -> DataFrame:
-    """agent-turn-complete payloads (JSON in ``value``) as envelopes with metadata; other types are left out."""
     rows = payloads.withColumn("p", F.try_parse_json("value"))
     get = lambda *names: F.coalesce(*[F.nullif(F.try_variant_get("p", f'$["{n}"]', "string"), F.lit("")) for n in names])
     raw = lambda *names: F.coalesce(*[F.try_variant_get("p", f'$["{n}"]', "variant") for n in names])
     rows = rows.where(get("type") == "agent-turn-complete")
-    named = [usable(F.when(F.schema_of_variant(raw(n)) == "STRING", get(n))) for n in PROJECT_FIELDS]
+    named = [identity.usable(F.when(F.schema_of_variant(raw(n)) == "STRING", get(n))) for n in PROJECT_FIELDS]
     rows = rows.withColumns({"payload_key": F.coalesce(*named), "cwd": get("cwd", "cwd_path"), "said": F.flatten(F.array(*[texts(raw(n)) for n in TEXT_FIELDS]))})
     rows = rows.withColumn("paths", mentioned(F.col("said")))
-    rows = rows.withColumn("who", identity(project_key, F.col("payload_key"), F.col("cwd"), F.col("paths"), project_from_cwd))
-    root = F.when(F.col("who.source").isin("explicit", "payload_project_key"), F.col("cwd"))
+    if files is None or project_key:
+        rows = rows.withColumn("places", identity.by_names(F.col("cwd"), F.col("paths")))
+    else:
+        rows = identity.looked_up(rows, files)
+    rows = rows.withColumn("who", identity.identity(project_key, F.col("payload_key"), F.col("cwd"), F.col("places"), project_from_cwd))
     about = {
         "notification_type": get("type"), "model_name": get("model", "model-name", "model_name"), "project_resolution_source": F.col("who.source"), "project_resolution_confidence": F.col("who.confidence"),
-        "project_resolution_warnings": F.nullif(F.array_join("who.warnings", ","), F.lit("")), "project_root_path": root,
+        "project_resolution_warnings": F.nullif(F.array_join("who.warnings", ","), F.lit("")), "project_root_path": F.col("who.root_path"),
     }
     metadata = F.map_filter(F.create_map(*[x for name, value in about.items() for x in (F.lit(name), value)]), lambda _, v: v.isNotNull())
     reply = F.coalesce(*[F.get(texts(raw(n)), 0) for n in ("last-assistant-message", "last_assistant_message")])
