@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from continuo.functions import text as T
-from continuo.operators import changes, governance, identity, metrics, portfolio, retrieval, search, state
+from continuo.operators import changes, fuzzy, governance, identity, metrics, portfolio, retrieval, search, state
 from continuo.plans import views
 from continuo.plans.scratch import cut
 from continuo.plans.views import EPOCH, PROTECTED, SQL
@@ -448,4 +448,34 @@ def project_identity(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_ALL = f""", oa AS MATERIALIZED (SELECT *, [w FOR w IN list_distinct(string_split(normalized, ' ')) IF w <> '' AND w NOT IN {tuple(T.STATE_STOPWORDS)}] AS words FROM
+ (SELECT id, project_key, type, updated_at, {_NORMAL.format('detail')} AS normalized FROM observations WHERE type IN ('pending_item', 'blocker', 'completed_item', 'constraint')) WHERE normalized <> '')"""
+_MEET = """a.project_key = b.project_key AND (a.normalized = b.normalized OR (length(a.normalized) >= 18 AND contains(b.normalized, a.normalized)) OR (length(b.normalized) >= 18 AND contains(a.normalized, b.normalized))
+ OR (len(a.words) > 0 AND len(b.words) > 0 AND (list_has_all(a.words, b.words) OR list_has_all(b.words, a.words))))"""
+
+
+def _state_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts of all observations that state compares, in their normal form."""
+    rows = views.observations(spark, sf, status=False).where(F.col("type").isin("pending_item", "blocker", "completed_item", "constraint"))
+    return cut(rows.select("id", "project_key", "type", "updated_at", T.normalize_state(F.col("detail")).alias("normalized")).where("normalized <> ''"))
+
+
+@query(_ALL + f"""SELECT a.id, a.project_key, a.type, min({{'updated_at': b.updated_at, 'id': b.id}}).id AS completed_id FROM oa a JOIN oa b ON {_MEET}
+ WHERE a.type IN ('pending_item', 'blocker') AND b.type = 'completed_item' GROUP BY 1, 2, 3""")
+def contradictions_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Of all open items of a project, not only those of its state, each that a completed text matches, with the first such."""
+    rows = _state_texts(spark, sf)
+    found = fuzzy.first_matches(rows.where("type in ('pending_item', 'blocker')"), rows.where("type = 'completed_item'"), "project_key", ["updated_at", "id"], ["id"])
+    return found.select("id", "project_key", "type", F.col("match.id").alias("completed_id"))
+
+
+@query(_ALL + f""", sides AS (SELECT *, id % 24 < 12 AS now FROM oa WHERE type <> 'completed_item')
+SELECT a.id, a.project_key, a.type, CASE WHEN a.now THEN 'added' ELSE 'removed' END AS change FROM sides a WHERE NOT EXISTS (SELECT 1 FROM sides b WHERE b.now <> a.now AND {_MEET})""")
+def state_delta_all(spark: SparkSession, sf: str) -> DataFrame:
+    """What all watched texts of a project have that those of its other half of ids match nowhere, both ways."""
+    rows = _state_texts(spark, sf).where("type <> 'completed_item'")
+    now = F.col("id") % 24 < 12
+    return fuzzy.changed(rows.where(now), rows.where(~now), "project_key").select("id", "project_key", "type", "change")
+
+
 from continuo import state_queries  # noqa: E402, F401 - registers the queries on notes, sessions, state, changes and packs
