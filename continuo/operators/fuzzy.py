@@ -58,27 +58,44 @@ def asked_terms(text: Column) -> Column:
 
 
 def texts(items: DataFrame, key: str) -> DataFrame:
-    return items.where("normalized is not null").select(F.col(key).alias("g"), F.col("normalized").alias("text")).distinct()
+    """g, h, text, tokens, chars: each text of a group once, its md5, how many tokens and characters it has."""
+    found = items.where("normalized is not null").select(F.col(key).alias("g"), F.col("normalized").alias("text")).distinct()
+    return found.select("g", F.unhex(F.md5("text")).alias("h"), "text", F.size(T.state_tokens(F.col("text"))).alias("tokens"), F.length("text").alias("chars"))
 
 
-def _within(short: DataFrame, long: DataFrame) -> DataFrame:
-    """g, short, long: texts of the one side that lie within texts of the other."""
-    held = long.select("g", F.xxhash64("text").alias("h"), F.explode(held_terms(F.col("text"))).alias("term"))
+def terms(found: DataFrame) -> DataFrame:
+    """g, term, long, tokens, chars of every term by which a shorter text could find one of these."""
+    return found.select("g", F.explode(held_terms(F.col("text"))).alias("term"), F.col("h").alias("long"), "tokens", "chars")
+
+
+def _within(short: DataFrame, long: DataFrame, held: DataFrame) -> DataFrame:
+    """g, short, long: texts of the one side that lie within texts of the other, whose terms are ``held``.
+
+    Rows a term carry no text, so a long text costs what its words cost. Merge joins: terms are many more than the planner
+    guesses from the tables they come from, and it would broadcast them.
+    """
     often = held.groupBy("g", "term").agg(F.count("*").alias("n"))
-    asked = short.select("g", F.col("text").alias("short"), F.explode(asked_terms(F.col("text"))).alias("x")).select("g", "short", "x.way", F.size("x.terms").alias("most"), F.explode("x.terms").alias("term"))
-    rarest = asked.join(often, ["g", "term"]).groupBy("g", "short", "way", "most").agg(F.count("*").alias("met"), F.min(F.struct("n", "term")).alias("x"))
-    found = rarest.where("met = most").select("g", "short", "way", F.col("x.term").alias("term")).join(held, ["g", "term"]).drop("term")
-    both = found.join(long.select("g", F.xxhash64("text").alias("h"), F.col("text").alias("long")), ["g", "h"])
-    inside = F.size(F.array_except(T.state_tokens(F.col("short")), T.state_tokens(F.col("long")))) == 0
-    true = F.when(F.col("way") == "tokens", inside & (F.size(T.state_tokens(F.col("long"))) > 0)).when(F.col("way") == "equal", F.col("short") == F.col("long"))
-    return both.where(true.otherwise(F.contains("long", "short"))).select("g", "short", "long")
+    asked = short.select("g", F.col("h").alias("short"), "tokens", "chars", F.explode(asked_terms(F.col("text"))).alias("x"))
+    asked = asked.select("g", "short", "tokens", "chars", "x.way", F.size("x.terms").alias("most"), F.explode("x.terms").alias("term"))
+    rarest = asked.join(often.hint("merge"), ["g", "term"]).groupBy("g", "short", "tokens", "chars", "way", "most").agg(F.count("*").alias("met"), F.min(F.struct("n", "term")).alias("x"))
+    a = rarest.where("met = most").select("g", F.col("x.term").alias("term"), "short", "way", "tokens", "chars").alias("a")
+    fits = (F.col("a.way") == "tokens") & (F.col("a.tokens") <= F.col("b.tokens")) | (F.col("a.way") != "tokens") & (F.col("a.chars") <= F.col("b.chars"))
+    meets = (F.col("a.g") == F.col("b.g")) & (F.col("a.term") == F.col("b.term")) & fits
+    both = a.join(held.alias("b").hint("merge"), meets).select("a.g", "a.short", "a.way", "b.long")
+    for side, table in (("short", short), ("long", long)):
+        named = table.select("g", F.col("h").alias(side), F.col("text").alias(f"{side}_text"))
+        both = both.join(named.hint("merge"), ["g", side])
+    inside = F.size(F.array_except(T.state_tokens(F.col("short_text")), T.state_tokens(F.col("long_text")))) == 0
+    true = F.when(F.col("way") == "tokens", inside).when(F.col("way") == "equal", F.col("short_text") == F.col("long_text"))
+    return both.where(true.otherwise(F.contains("long_text", "short_text"))).select("g", F.col("short_text").alias("short"), F.col("long_text").alias("long"))
 
 
 def matches(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """key, left, right: all pairs of different texts of a group, and equal ones, that match; each pair once."""
     a, b = cut(texts(left, key)), cut(texts(right, key))
-    pairs = _within(a, b).select("g", F.col("short").alias("left"), F.col("long").alias("right"))
-    pairs = pairs.unionByName(_within(b, a).select("g", F.col("long").alias("left"), F.col("short").alias("right")))
+    held_a, held_b = cut(terms(a)), cut(terms(b))
+    pairs = _within(a, b, held_b).select("g", F.col("short").alias("left"), F.col("long").alias("right"))
+    pairs = pairs.unionByName(_within(b, a, held_a).select("g", F.col("long").alias("left"), F.col("short").alias("right")))
     return pairs.distinct().withColumnRenamed("g", key)
 
 
