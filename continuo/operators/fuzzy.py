@@ -10,7 +10,8 @@ one must have too, and one of them, the group's rarest, finds the candidates:
 
 A text with a term that no longer text has matches nothing and drops out before any pair is met. Candidates are tested on
 the texts themselves, so the result is that of comparing all pairs. Items have a key of the group and ``normalized``, the
-normal form of the state; equal texts of a group count once, null texts match nothing.
+normal form of the state; equal texts of a group count once, null texts and rows
+without a group match nothing.
 """
 
 from __future__ import annotations
@@ -58,14 +59,19 @@ def asked_terms(text: Column) -> Column:
 
 
 def texts(items: DataFrame, key: str) -> DataFrame:
-    """g, h, text, tokens, chars: each text of a group once, its md5, how many tokens and characters it has."""
-    found = items.where("normalized is not null").select(F.col(key).alias("g"), F.col("normalized").alias("text")).distinct()
-    return found.select("g", F.unhex(F.md5("text")).alias("h"), "text", F.size(T.state_tokens(F.col("text"))).alias("tokens"), F.length("text").alias("chars"))
+    """h, g, text, tokens, chars: each text of a group once, the md5 of both, how many tokens and characters it has."""
+    found = items.where("normalized is not null and " + key + " is not null").select(F.col(key).alias("g"), F.col("normalized").alias("text")).distinct()
+    h = F.unhex(F.md5(F.concat(F.col("g").cast("string"), F.lit("\n"), "text")))
+    return found.select(h.alias("h"), "g", "text", F.size(T.state_tokens(F.col("text"))).alias("tokens"), F.length("text").alias("chars"))
 
 
 def terms(found: DataFrame) -> DataFrame:
-    """g, term, long, tokens, chars of every term by which a shorter text could find one of these."""
-    return found.select("g", F.explode(held_terms(F.col("text"))).alias("term"), F.col("h").alias("long"), "tokens", "chars")
+    """term, long, tokens, chars of every term by which a shorter text could find one of these.
+
+    A term is a 64-bit hash of group and term: equal hashes of others only add candidates, which the texts then refute.
+    """
+    rows = found.select("g", F.explode(held_terms(F.col("text"))).alias("term"), F.col("h").alias("long"), "tokens", "chars")
+    return rows.select(F.xxhash64("g", "term").alias("term"), "long", "tokens", "chars")
 
 
 def _within(short: DataFrame, long: DataFrame, held: DataFrame) -> DataFrame:
@@ -74,20 +80,21 @@ def _within(short: DataFrame, long: DataFrame, held: DataFrame) -> DataFrame:
     Rows a term carry no text, so a long text costs what its words cost. Merge joins: terms are many more than the planner
     guesses from the tables they come from, and it would broadcast them.
     """
-    often = held.groupBy("g", "term").agg(F.count("*").alias("n"))
+    often = held.groupBy("term").agg(F.count("*").alias("n"))
     asked = short.select("g", F.col("h").alias("short"), "tokens", "chars", F.explode(asked_terms(F.col("text"))).alias("x"))
     asked = asked.select("g", "short", "tokens", "chars", "x.way", F.size("x.terms").alias("most"), F.explode("x.terms").alias("term"))
-    rarest = asked.join(often.hint("merge"), ["g", "term"]).groupBy("g", "short", "tokens", "chars", "way", "most").agg(F.count("*").alias("met"), F.min(F.struct("n", "term")).alias("x"))
-    a = rarest.where("met = most").select("g", F.col("x.term").alias("term"), "short", "way", "tokens", "chars").alias("a")
+    asked = asked.select(F.xxhash64("g", "term").alias("term"), "short", "tokens", "chars", "way", "most")
+    rarest = asked.join(often.hint("merge"), "term").groupBy("short", "tokens", "chars", "way", "most").agg(F.count("*").alias("met"), F.min(F.struct("n", "term")).alias("x"))
+    a = rarest.where("met = most").select(F.col("x.term").alias("term"), "short", "way", "tokens", "chars").alias("a")
     fits = (F.col("a.way") == "tokens") & (F.col("a.tokens") <= F.col("b.tokens")) | (F.col("a.way") != "tokens") & (F.col("a.chars") <= F.col("b.chars"))
-    meets = (F.col("a.g") == F.col("b.g")) & (F.col("a.term") == F.col("b.term")) & fits
-    both = a.join(held.alias("b").hint("merge"), meets).select("a.g", "a.short", "a.way", "b.long")
+    both = a.join(held.alias("b").hint("merge"), (F.col("a.term") == F.col("b.term")) & fits).select("a.short", "a.way", "b.long")
     for side, table in (("short", short), ("long", long)):
-        named = table.select("g", F.col("h").alias(side), F.col("text").alias(f"{side}_text"))
-        both = both.join(named.hint("merge"), ["g", side])
+        named = table.select(F.col("h").alias(side), F.col("g").alias(f"{side}_g"), F.col("text").alias(f"{side}_text"))
+        both = both.join(named.hint("merge"), side)
     inside = F.size(F.array_except(T.state_tokens(F.col("short_text")), T.state_tokens(F.col("long_text")))) == 0
     true = F.when(F.col("way") == "tokens", inside).when(F.col("way") == "equal", F.col("short_text") == F.col("long_text"))
-    return both.where(true.otherwise(F.contains("long_text", "short_text"))).select("g", F.col("short_text").alias("short"), F.col("long_text").alias("long"))
+    true = (F.col("short_g") == F.col("long_g")) & true.otherwise(F.contains("long_text", "short_text"))
+    return both.where(true).select(F.col("short_g").alias("g"), F.col("short_text").alias("short"), F.col("long_text").alias("long"))
 
 
 def matches(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
