@@ -26,6 +26,8 @@ WINDOW = 10
 #: Rows of terms, seeds, item words or document keys that are broadcast at most; beyond it joins shuffle, and the
 #: runtime splits common terms.
 BROADCAST_ROWS = 200_000
+#: Positions of a block in which places of different items meet the words beside them.
+BLOCK = 64
 _SPLIT = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The closing entry's word; no text has it.
@@ -110,24 +112,47 @@ class PositionalIndex:
         """(doc_id, item_id, pos): places of an item's rarest term with all its terms within its length plus ``slop``.
 
         Positions fall into stretches of that length, so a place needs its own stretch and the two beside it: of each
-        term there only the first and last position are kept, however often it is repeated. A repeated place of
-        equal rows is one.
+        term there only the first and last position are kept, however often it is repeated. Only places with the item's
+        second rarest term in reach meet the others, so a common term is met near those places and not wherever it
+        stands. A repeated place of equal rows is one.
         """
         frequency = self.postings.groupBy("term").agg(F.count("*").alias("frequency"))
         reach = (F.col("n_words") + slop).alias("reach")
-        terms = self.items.join(self.small(frequency), "term").groupBy("item", "item_id", reach, "term").agg(F.min("frequency").alias("frequency"))
-        rarest = terms.groupBy("item").agg(F.min(F.struct("frequency", "term")).alias("r"))
-        wanted = self.items.groupBy("item").agg(F.countDistinct("term").alias("distinct"))
-        rare = rarest.join(wanted, "item").select("item", F.col("r.term").alias("rare"), "distinct")
-        terms = materialize(terms.join(rare, "item"), "near-terms")
-        places = self.postings.join(self.small(terms), "term")
+        terms = self.items.select("item", "item_id", reach, "term").distinct()
+        lists = terms.join(self.small(frequency), "term", "left").groupBy("item", "item_id", "reach")
+        lists = lists.agg(F.array_sort(F.collect_list(F.struct(F.coalesce("frequency", F.lit(0)).alias("f"), "term"))).alias("terms")).where(F.col("terms")[0]["f"] > 0)
+        rare = F.explode(F.slice("terms", 1, 2)["term"]).alias("term")
+        seeds = materialize(lists.select("item", "item_id", "reach", F.size("terms").alias("distinct"), F.col("terms")[0]["term"].alias("rare"), rare), "near-seeds")
+        places = self.postings.join(checked_broadcast(seeds, seeds.count(), BROADCAST_ROWS), "term")
         places = places.withColumn("stretch", F.floor(F.col("pos") / (F.col("reach") + 1)))
-        ends = places.groupBy("doc", "item", "stretch", "term").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
-        at = places.where("term = rare").select("doc", "doc_id", "item", "item_id", "reach", "distinct", F.col("pos").alias("at"), F.explode(F.array(*[F.col("stretch") + k for k in (-1, 0, 1)])).alias("stretch"))
-        near = at.distinct().join(ends, ["doc", "item", "stretch"]).where("first <= at + reach and last >= at - reach")
-        found = near.groupBy("doc", "doc_id", "item", "item_id", "at", "distinct").agg(F.countDistinct("term").alias("terms"))
+        at = places.where("term = rare").select("doc", "doc_id", "item", "item_id", "reach", "distinct", F.col("pos").alias("at"), "stretch").distinct()
+        second = places.where("term <> rare").groupBy("doc", "item", "stretch").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+        met = materialize(at.where("distinct = 1").unionByName(self._near(at.where("distinct > 1"), second).select(*at.columns).distinct()), "near-places")
+        found = self._near(met, self._ends(met, terms)).groupBy("doc", "doc_id", "item", "item_id", "at", "distinct").agg(F.countDistinct("term").alias("terms"))
         return found.where("terms = distinct").select("doc_id", "item_id", F.col("at").alias("pos"))
 
+    @staticmethod
+    def _near(at: DataFrame, ends: DataFrame) -> DataFrame:
+        """Places beside the ends of a stretch that are in reach."""
+        beside = at.withColumn("stretch", F.explode(F.array(*[F.col("stretch") + k for k in (-1, 0, 1)])))
+        return beside.join(ends, ["doc", "item", "stretch"]).where("first <= at + reach and last >= at - reach")
+
+    def _ends(self, met: DataFrame, terms: DataFrame) -> DataFrame:
+        """(doc, item, stretch, term, first, last) of an item's terms in the stretches around places that are met.
+
+        Items have stretches of different lengths, so both sides are cut into blocks of one length.
+        """
+        around = met.select("doc", "item", "reach", F.explode(F.array(*[F.col("stretch") + k for k in (-1, 0, 1)])).alias("stretch")).where("stretch >= 0").distinct()
+        low, high = F.col("stretch") * (F.col("reach") + 1), (F.col("stretch") + 1) * (F.col("reach") + 1) - 1
+        block = F.explode(F.sequence(F.floor(low / BLOCK), F.floor(high / BLOCK))).alias("block")
+        around = around.select("doc", "item", "stretch", low.alias("low"), high.alias("high"), block)
+        docs = materialize(met.select("doc").distinct(), "near-documents")
+        n = docs.count()
+        words = self.postings.select("doc", "pos", "term")
+        words = words.join(F.broadcast(docs), "doc", "left_semi") if n <= BROADCAST_ROWS else words
+        words = words.withColumn("block", F.floor(F.col("pos") / BLOCK)).join(around, ["doc", "block"]).where("pos between low and high")
+        return words.join(self.small(terms.select("item", "term")), ["item", "term"]).groupBy("doc", "item", "stretch", "term").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+
     def hits(self) -> DataFrame:
         """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document, and its key ``doc``."""
         places = self.phrases().select("doc", "item_id", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("pos"))

@@ -392,6 +392,24 @@ def test_decontamination_edges_and_proximity(spark):
     assert PositionalIndex(docs(spark, pairs), items.limit(0)).hits().where("contaminated").count() == 0
 
 
+def shuffled_rows(spark):
+    store, none = spark._jsc.sc().statusStore(), spark._jvm.java.util.ArrayList()
+    stages = store.stageList(none, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), none)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_proximity_meets_common_words_near_rare_ones_only(spark):
+    """A word of many items is not dealt out once for each of them wherever it stands."""
+    docs = [(k, " ".join(f"the w{k}x{j}" if j % 50 else f"a{k} the the b{k}" for j in range(500))) for k in range(60)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(k, f"a{k} the b{k}") for k in range(60)], "item_id long, text string")
+    index = PositionalIndex(docs, items)
+    before = shuffled_rows(spark)
+    got = index.proximity(2).groupBy("doc_id", "item_id").count().collect()
+    assert sorted(map(tuple, got)) == [(k, k, 10) for k in range(60)]
+    assert shuffled_rows(spark) - before < 30_000  # 31,000 times the word, 60 items
+
+
 def brute_near(vectors, queries_, k):
     out = {}
     for q, v in queries_:
