@@ -27,6 +27,8 @@ K1, B = 1.2, 0.75
 _TOKEN = re.compile(r'\s*(?:"((?:[^"]|"")*)"|([^\W]+|[\x1a]+)|([():{}*+,^-]))', re.U)
 #: Words between the phrases of a NEAR group that names no number.
 NEAR_WORDS = 10
+#: Up to so many words a place's neighbours are listed and met by hashing, so a long text costs what its places cost.
+LISTED = 64
 
 
 class Phrase(NamedTuple):
@@ -217,15 +219,20 @@ def _near(places: list[Column], phrases: list[Phrase]) -> list[Column]:
     """Of the phrases' places in one column those that take part in a group. Places: where phrases begin, ascending."""
     reach = [len(p.words) + p.distance for p in phrases]
 
-    def in_reach(x: Column, last: Column, r: int) -> Column:
-        return F.exists(x, lambda q: (q <= last) & (q >= last - r))
+    def around(x: Column, low: int, high: int) -> Column:
+        return F.flatten(F.transform(x, lambda q: F.sequence(q + low, q + high)))
 
-    def taking_part(x: Column, r: int) -> Column:
-        return F.filter(x, lambda q: F.exists(ends, lambda last: (q <= last) & (last <= q + r)))
+    def in_reach(x: Column, ends: Column, r: int) -> Column:
+        """The ends that a place of x lies before, at most r words."""
+        return F.array_intersect(ends, around(x, 0, r)) if r <= LISTED else F.filter(ends, lambda last: F.exists(x, lambda q: (q <= last) & (q >= last - r)))
 
-    every = lambda last: reduce(lambda a, b: a & b, [in_reach(x, last, r) for x, r in zip(places, reach, strict=True)])
-    ends = F.filter(F.array_distinct(F.concat(*places)), every)
-    return [taking_part(x, r) for x, r in zip(places, reach, strict=True)]
+    def taking_part(x: Column, ends: Column, r: int) -> Column:
+        return F.array_intersect(x, around(ends, -r, 0)) if r <= LISTED else F.filter(x, lambda q: F.exists(ends, lambda last: (q <= last) & (last <= q + r)))
+
+    every = reduce(lambda ends, xr: in_reach(xr[0], ends, xr[1]), zip(places, reach, strict=True), F.array_distinct(F.concat(*places)))
+    held = F.array(every)  # a lambda's variable is worked out once, an expression for each element that a lambda meets
+    of = lambda x, r: lambda ends: taking_part(x, ends, r)
+    return [F.transform(held, of(x, r))[0] for x, r in zip(places, reach, strict=True)]
 
 
 def _counted(phrases: list[Phrase], places: dict[tuple[int, str], Column]) -> list[Column]:
@@ -288,8 +295,8 @@ def counts_in_postings(postings: DataFrame, phrases) -> DataFrame:
 
     def begins(p: Phrase, column: str) -> Column:
         lists = [F.col(place[(w, p.prefix and k == len(p.words) - 1), column]) for k, w in enumerate(p.words)]
-        follow = lambda x: reduce(lambda a, b: a & b, [F.array_contains(y, x + k) for k, y in enumerate(lists) if k], F.lit(True))
-        return F.filter(lists[0], lambda x: follow(x) & (x == 0) if p.first else follow(x))
+        at = reduce(lambda found, ky: F.array_intersect(found, F.transform(ky[1], lambda x: x - ky[0])), list(enumerate(lists))[1:], lists[0])
+        return F.filter(at, lambda x: x == 0) if p.first else at
 
     places = {(k, c): begins(p, c).alias(f"p{k}_{c}") for k, p in enumerate(phrases) for c in p.columns}
     found = found.select("id", "dl", *places.values())

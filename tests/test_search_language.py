@@ -55,3 +55,16 @@ def test_what_is_no_query_of_the_language(fts):
         with pytest.raises(sqlite3.OperationalError):
             fts.execute("SELECT rowid FROM t WHERE t MATCH ?", (query,)).fetchall()
         assert search.parse(query) is None, query
+
+
+def test_near_groups_cost_what_their_places_cost(spark):
+    """A text that repeats the words of a group hundreds of times is counted at once, in any reach."""
+    import time
+
+    rows = spark.createDataFrame([(1, "p", "", "", "und der x " * 400), (2, "p", "", "", "und x x x x der " * 400)], "id long, project_key string, title string, summary string, detail string")
+    began = time.time()
+    for query, wanted in (("NEAR(und der, 2)", {1: (400, 400), 2: (399, 399)}), ("NEAR(und der, 0)", {1: (400, 400), 2: (399, 399)}), ("NEAR(und der, 90)", {1: (400, 400), 2: (400, 400)})):
+        phrases = search.parse(query)[1]
+        for found in (search.counts_in_texts(rows, phrases), search.counts_in_postings(search.posting_rows(rows), phrases)):
+            assert {r.id: (r.f0, r.f1) for r in found.collect()} == wanted, query
+    assert time.time() - began < 60
