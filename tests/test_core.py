@@ -110,3 +110,13 @@ def test_stream_ingest(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     ingest_stream(spark, str(source), store, str(tmp_path / "ck")).awaitTermination(120)
     assert store.read("turns").count() == 1
+
+
+def test_a_label_is_tried_once_on_a_segment(spark):
+    """Kind, value and normal form of a fact are worked out one after the other, not each anew from the segment."""
+    rows = spark.createDataFrame([(1, "Pending: ship it. Now or never; Done: no docs yet\nBlocker: x.\n\nstatus: done")], "k long, text string")
+    found = state.extract(rows, "text", "k")
+    assert found._jdf.queryExecution().analyzed().toString().count("pending|todo") <= 4
+    assert sorted((r.kind, r.value, r.normalized) for r in found.collect()) == [
+        ("blocker", "x.", "x"), ("completed_item", "no docs yet", "docs missing"), ("completion_claim", "assistant claimed the work was complete", "status done"), ("pending_item", "ship it.", "ship it"),
+    ]
