@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from continuo.llm import tokens
-from continuo.llm.common import materialize, text_of, unbatched
+from continuo.llm.common import give_back, materialize, text_of, unbatched
 
 TIERS = (4096, 2048, 1024, 512, 256)
 STEP_WINDOWS = 16
 #: Ids that wait in one task before they are packed.
 PENDING = 4_000_000
+#: Parts of texts that a task remembers: waiting ids share its memory with them.
+PARTS = 250_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
@@ -153,15 +155,18 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, tiers=TIERS, ste
     def packed(batches):
         from pyspark import TaskContext
 
-        tokenizer, packer = tokens.load(tokenizer_path), Packer(TaskContext.get().partitionId() << 36, tiers, step_windows)
+        tokenizer, packer = tokens.load(tokenizer_path, PARTS), Packer(TaskContext.get().partitionId() << 36, tiers, step_windows)
         end = np.array([end_id], dtype=tokenizer.dtype).tobytes()
         for batch in unbatched(batches):
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 packer.add(doc_id, np.frombuffer(tokenizer.ids(text) + end, dtype=tokenizer.dtype))
                 if packer.pending > PENDING:
                     yield from _batches(packer.rows(last=False))
+        batch = doc_id = text = None  # what still refers to a batch holds the memory of the parts beside it
         tokenizer.forget()
         yield from _batches(packer.rows())
+        del packer
+        give_back()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return materialize(texts.mapInArrow(packed, SCHEMA), "pieces")

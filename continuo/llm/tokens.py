@@ -37,6 +37,7 @@ class WordTokenizer:
             self.by_parts = self._drops_space(json.load(f))
         self.letters = _byte_letters()
         self.parts: dict[str, bytes] = {"": b""}
+        self.most = MAX_PARTS
 
     @staticmethod
     def _drops_space(config: dict) -> bool:
@@ -75,7 +76,7 @@ class WordTokenizer:
         return self._remember(part, got)
 
     def _remember(self, part: str, ids: bytes) -> bytes:
-        if len(self.parts) < MAX_PARTS:
+        if len(self.parts) < self.most:
             self.parts[part] = ids
         return ids
 
@@ -91,9 +92,11 @@ class WordTokenizer:
         return b"".join([known[p] if p in known else part(p) for p in text.replace("\n", " ").split(" ")])
 
 
-def load(path: str) -> WordTokenizer:
+def load(path: str, most: int = MAX_PARTS) -> WordTokenizer:
+    """The worker's tokenizer; from now on it remembers ``most`` parts."""
     if path not in _LOADED:
         _LOADED[path] = WordTokenizer(path)
+    _LOADED[path].most = most
     return _LOADED[path]
 
 

@@ -740,3 +740,13 @@ def test_pipeline_stages(spark, sf, tmp_path):
     kept = {r.doc_id for r in spark.read.parquet(f"{tmp_path}/decontamination").collect()}
     assert 9001 in kept and 9002 not in kept and 9003 not in kept
     assert {r.doc_id for r in rows.select("doc_id").distinct().collect()} == kept
+
+
+def test_a_tokenizer_remembers_as_many_parts_as_it_is_told():
+    path, words = queries.tokenizer_path(), "one two three four five six, seven. One"
+    whole = tokens.load(path).ids(words)
+    few = tokens.load(path, 3)
+    few.forget()
+    assert few.ids(words) == whole and len(few.parts) == 3
+    few.forget()
+    assert tokens.load(path).ids(words) == whole and len(tokens.load(path).parts) > 7
