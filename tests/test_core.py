@@ -1,3 +1,5 @@
+import time
+
 import duckdb
 import pandas as pd
 import pytest
@@ -120,3 +122,17 @@ def test_a_label_is_tried_once_on_a_segment(spark):
     assert sorted((r.kind, r.value, r.normalized) for r in found.collect()) == [
         ("blocker", "x.", "x"), ("completed_item", "no docs yet", "docs missing"), ("completion_claim", "assistant claimed the work was complete", "status done"), ("pending_item", "ship it.", "ship it"),
     ]
+
+
+def test_normal_form_of_states_in_one_pass(spark):
+    def plain(text):  # the rule, step by step
+        text = T.squash(F.lower(T.squash(F.coalesce(text, F.lit("")))))
+        text = F.regexp_replace(F.regexp_replace(text, T.STILL_MISSING, " missing"), T.NOT_YET, "$1 missing")
+        return T.squash(F.regexp_replace(text, r"[^\p{L}\p{N}_\s]", " "))
+
+    texts = [None, "", " ", " .a", "a. ", "a  b", "a\t- b", "No docs\nyet!", "no Yet", "is STILL  missing: x", "distill missing", "yeti no a yet, no b yeti yet.", "É-ß_1́²", "Σ ΟΔΟΣ\nΟΔΟΣ.", "a\x85b\x1cc\x00d", "　x﻿ y"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.normalize_state(F.col("t")).alias("got"), plain(F.col("t")).alias("want"))
+    assert all(r.got == r.want for r in rows.collect())
+    start = time.monotonic()
+    long = spark.createDataFrame([("no words " * 60_000,)], "t string").select(F.length(T.normalize_state(F.col("t"))).alias("n"))
+    assert long.first().n == 60_000 * 9 - 1 and time.monotonic() - start < 10  # each "no" had searched the rest for "yet"

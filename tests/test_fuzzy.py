@@ -59,3 +59,19 @@ def test_a_hot_group_of_ten_thousand_items(spark):
     assert {r.id for r in fuzzy.unmatched(a, b, "k").collect()} == set(want) - set(found)
     both = fuzzy.changed(a, b, "k").groupBy("change").agg(F.count("*").alias("n")).collect()
     assert {r.change for r in both} == {"added", "removed"} and dict(both)["added"] == 5000 - len(found)
+
+
+def test_one_join_of_long_texts_serves_both_changes(spark, monkeypatch):
+    dice = random.Random(3)
+    some = lambda n: [f"{dice.choice('abc')}{dice.randrange(400)}{'x' * dice.randrange(12)}" for _ in range(n)]
+    long = [some(dice.choice((70, 150, 300))) for _ in range(60)]
+    left = [" ".join(t) for t in long] + ["the", "still yet"]
+    right = [" ".join(t[1:-1]) + w for t, w in zip(long[:20], ("", " other") * 10, strict=True)] + [" ".join(reversed(t)) for t in long[20:30]] + [" ".join(t)[1:-1] for t in long[30:40]] + [t[5] for t in long[40:45]] + ["the"]
+    made, cut = [], fuzzy.cut
+    monkeypatch.setattr(fuzzy, "cut", lambda df: made.append(df.columns) or cut(df))
+    found = {(r.id, r.change) for r in fuzzy.changed(rows(spark, left), rows(spark, right, 1000), "k").collect()}
+    want = {(n, "added") for n, a in enumerate(left) if not any(brute(a, b) for b in right)}
+    assert found == want | {(1000 + n, "removed") for n, b in enumerate(right) if not any(brute(a, b) for a in left)} and len(found) > 20
+    assert sum("text" in c for c in made) == 2 and not any("term" in c and "way" not in c for c in made)  # no table of all texts' terms
+    monkeypatch.setattr(fuzzy, "BROADCAST", -1)  # as with many
+    assert found == {(r.id, r.change) for r in fuzzy.changed(rows(spark, left), rows(spark, right, 1000), "k").collect()}
