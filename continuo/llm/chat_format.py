@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from continuo.llm.common import frame
+from continuo.llm.common import bound_batches, frame
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 
@@ -163,6 +163,7 @@ def records_to_turns(records: DataFrame, json_column: str = "record", layouts=LA
 
     A record of unknown layout, without turns, or that is no JSON object, gives one row with null turn.
     """
+    bound_batches(records.sparkSession)  # a worker holds a batch as text, objects and turns at once
     records_only = {name: layout for name, layout in layouts.items() if "columns" not in layout}
 
     def batches_to_turns(batches):
@@ -230,6 +231,7 @@ def parse_piece(piece: str) -> tuple[str, str]:
 
 def digest(formatted: DataFrame) -> DataFrame:
     """Reads formatted conversations back, turn by turn in order: hashes are streamed, no conversation is gathered."""
+    bound_batches(formatted.sparkSession)
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
     names = [c.split()[0] for c in schema.split(", ")]

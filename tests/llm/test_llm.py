@@ -750,3 +750,13 @@ def test_a_tokenizer_remembers_as_many_parts_as_it_is_told():
     assert few.ids(words) == whole and len(few.parts) == 3
     few.forget()
     assert tokens.load(path).ids(words) == whole and len(tokens.load(path).parts) > 7
+
+
+def test_chat_formatting_bounds_its_batches(spark):
+    from continuo.llm import chat_format, common
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for run in (lambda: chat_format.records_to_turns(spark.createDataFrame([(1, "{}")], "conv_id long, record string")), lambda: chat_format.digest(spark.createDataFrame([(1, 0, "", 0, 0)], "conv_id long, turn long, piece string, loss_start long, loss_length long"))):
+        spark.conf.set(name, "64m")
+        run()
+        assert int(spark.conf.get(name)) == common.BATCH_BYTES
