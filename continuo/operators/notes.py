@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from continuo.functions import folding as fd
-from continuo.functions.text import squash
+from continuo.functions.text import SQL_TRIMMED, squash
 
 #: Words, tags and phrases that the score knows.
 HIGH_VALUE_TAGS = {
@@ -130,15 +131,16 @@ def merge_scored(found: DataFrame, scored: DataFrame, asked: DataFrame) -> DataF
     return plain.unionByName(noted.withColumnRenamed("note_score", "score").select(*plain.columns))
 
 
-def create(raw: DataFrame) -> DataFrame:
-    """Notes as observations. raw: project_key, session_id, text, title, tags, importance. Blank texts give no row.
+def create(raw: DataFrame, one_line: Callable[[Column], Column] = squash, blanks: bool = False) -> DataFrame:
+    """Notes as observations. raw: project_key, session_id, text, title, tags, importance. Blank and null texts give no row, unless ``blanks``.
 
-    The first note of equal content stays; its key hashes project, session, title, text and tags.
+    ``one_line`` says what white space is. The first note of equal content stays; its key hashes project, session, title, text and tags.
     """
-    blank = lambda c: F.coalesce(squash(F.col(c)), F.lit(""))
-    tags = F.array_distinct(F.filter(F.transform(F.coalesce("tags", F.array().cast("array<string>")), squash), lambda t: t != ""))
-    rows = raw.withColumns({"text": blank("text"), "title": blank("title"), "tags": tags}).where("text <> ''")
-    title = F.when(F.col("title") != "", F.col("title")).otherwise(F.rtrim(F.concat(F.lit("Manual note: "), F.substring("text", 1, 80))))
+    tags = F.array_distinct(F.filter(F.transform(F.coalesce("tags", F.array().cast("array<string>")), one_line), lambda t: t != ""))
+    rows = raw.withColumns({"text": one_line(F.col("text")), "title": F.coalesce(one_line(F.col("title")), F.lit("")), "tags": tags})
+    if not blanks:
+        rows = rows.where("text <> ''")
+    title = F.when(F.col("title") != "", F.col("title")).otherwise(F.concat(F.lit("Manual note: "), F.rtrim(F.substring("text", 1, 80), F.lit(SQL_TRIMMED))))
     rows = rows.withColumn("title", title)
     rows = rows.select(
         "project_key", "session_id", F.lit("session_summary").alias("type"), "title", F.col("text").alias("summary"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from continuo import registry
 from continuo.functions import text as T
-from continuo.operators import governance, retrieval, state
+from continuo.operators import governance, notes, retrieval, state
 from continuo.plans.schemas import ENVELOPE
 from continuo.sources.notify import notify_to_envelope
 from continuo.sources.store import Store
@@ -28,6 +28,20 @@ def test_against_sql(spark, sf, name):
     assert plain(registry.QUERIES[name](spark, sf).toPandas()) == plain(con.sql(registry.ORACLES[name]).df())
 
 
+def test_note_create_of_odd_texts_against_sql(spark, sf, tmp_path):
+    odd = [None, None, "", " ", " \n\t ", "\x0b", "\xa0", "a\x0bb  c", "\x1ca\x85", "\xa0a\xa0\xa0b\u3000", "a \u2028", "x" * 79 + "\xa0yz", "x" * 79 + "\n\nyz", "a\x00", "a  b", "a b"]
+    rows = [(k, text, ("p", None)[k % 3 == 0]) for k, text in enumerate(odd * 3)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for t in ("labels", "conversations", "events"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want, got = con.sql(registry.ORACLES["note_create"]).fetchall(), [tuple(r) for r in registry.QUERIES["note_create"](spark, str(tmp_path)).collect()]
+    assert len(got) == 22 and sorted(got, key=repr) == sorted(want, key=repr)
+    raw = spark.createDataFrame([("p", None, text, None, None, None) for text in odd[:10]], "project_key string, session_id long, text string, title string, tags array<string>, importance int")
+    assert sorted(r.title for r in notes.create(raw).collect()) == ["Manual note: a", "Manual note: a b", "Manual note: a b c"]  # the operator refuses blank notes, as a tool does
+
+
 def texts(spark, *pairs):
     return spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "id long, a string, b string")
 
